@@ -32,6 +32,8 @@ from loomline.llm.components import connected
 from loomline.llm.shingles import mixed, shingle_sets
 
 UNIT = 512
+#: Bits of the broadcast map of documents that share a signature, as a power of 2: 131,072 rows of 64 at most.
+BITS = 23
 #: First-level partitions that a set may pass over, and the least elements of a signature that is sent all the same.
 SPARE, FEW = 2, 4
 #: Elements whose signatures are made at once.
@@ -222,6 +224,15 @@ def verify(rows: DataFrame, k: int, num: int) -> DataFrame:
     return rows.repartition("unit").sortWithinPartitions("unit").select("unit", "doc", "text").mapInArrow(run, "doc long, root long")
 
 
+def among(own: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of own whose doc is a member, and some that aren't: by a bitmap of hashes that is at most 1 << BITS bits, broadcast."""
+    slot = f"pmod(xxhash64(doc), {1 << BITS})"
+    word, bit = F.expr(f"shiftright({slot}, 6)"), F.expr(f"shiftleft(1L, cast(pmod({slot}, 64) as int))")
+    bits = members.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    marked = own.withColumns({"_w": word, "_b": bit})
+    return marked.join(F.broadcast(bits), (F.col("_w") == F.col("_word")) & (F.col("_bits").bitwiseAND(F.col("_b")) != 0), "left_semi").drop("_w", "_b")
+
+
 def components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 90) -> DataFrame:
     """(key, n_shingles, component_id), a row per row of df; sets link if 100 * intersection >= num * union."""
     docs = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
@@ -230,11 +241,14 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / UNIT).cast("int"))
     members = clusters.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = cut(members.select(F.col("node").alias("doc"), "root", "blocks", "block"), "members")
-    texts = docs.where("_id is not null").select(F.col("_id").alias("doc"), F.col("_text").alias("text"))
-    small = verify(texts.join(members.where("blocks = 1"), "doc").select(F.col("root").cast("string").alias("unit"), "doc", "text"), k, num)
+    own = docs.where("_id is not null").select(F.col("_id").alias("doc"), F.col("_text").alias("text"))
+    # texts travel once, and only those of members and of few others
+    texts = cut(among(own, members).join(members.hint("shuffle_merge"), "doc"), "texts")
+    small = verify(texts.where("blocks = 1").select(F.col("root").cast("string").alias("unit"), "doc", "text"), k, num)
     known = small
     large = members.where("blocks > 1")
     if not large.isEmpty():
+        texts = texts.where("blocks > 1").select("doc", "text")
         # each block of a large cluster meets the first
         unit = lambda *c: F.concat_ws("/", F.col("root"), *c)
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("meets")
