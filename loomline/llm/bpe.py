@@ -20,8 +20,8 @@ from loomline.llm import pretok
 from loomline.llm.common import strings
 
 #: Distinct pre-tokens a worker keeps before it starts afresh; bounds its memory.
-CACHE = 1_500_000
-SLOT_BITS = 22
+CACHE = 500_000
+SLOT_BITS = 20
 SHORT = 15
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
