@@ -417,3 +417,14 @@ def test_pipeline_by_brute_force(spark, real):
         want += [(d["doc_id"], own.encode_ordinary(d["text"] or ""))] * (int(rate) + (share < rate - int(rate)))
     got = [(r.doc_id, r.ids) for r in corpus_pipeline.run(spark, SF).collect()]
     assert sorted(got) == sorted(want) and labels
+
+
+def test_token_counts_of_many_distinct_words(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    token_count.load.cache_clear()
+    text = " ".join(f"q{i * 7919 % 1000003}z{i}" for i in range(40000))
+    count = len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+    df = spark.createDataFrame([(text, 1), (text + " end", 2)], "text string, n int").coalesce(1)
+    assert [r.n_tokens for r in token_count.count_tokens(df, path, sample_rows=0).orderBy("n").collect()] == [count, count + 1]
