@@ -242,7 +242,9 @@ def test_op5_whole_table(spark, real):
     assert {r.doc_id: r.n_shingles for r in got} == dict(zip(ids.tolist(), map(len, sets)))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("lot", [1 << 20, 7])
+def test_components(spark, monkeypatch, lot):
+    monkeypatch.setattr(components, "AT_ONCE", lot)
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)] + [(400, 400 + i) for i in range(60)] + [(5, 5), (None, 3)]
     root = {x: x for e in edges if None not in e for x in e}
