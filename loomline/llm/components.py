@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, lookup
+from loomline.llm.common import HOT_SHARE, cut, lookup
 
 #: Edges whose forest is made at once, in a task.
 AT_ONCE = 1 << 20
@@ -83,6 +83,6 @@ def connected(edges: DataFrame) -> DataFrame:
         n, open_nodes = nodes.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("_n") > 1)))).first()
         if not open_nodes:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
-        # only a node that has a smaller neighbour moves its larger ones
-        least = nodes.where("up > 0").select(F.col("a").alias("b"), "m", "_n")
+        # only a node that has a smaller neighbour moves its larger ones; hot ones without stay, so that their rows aren't dealt by them
+        least = nodes.where((F.col("up") > 0) | (F.col("_n") >= max(2, 2 * n // HOT_SHARE))).select(F.col("a").alias("b"), F.when(F.col("up") > 0, F.col("m")).alias("m"), "_n")
         now = by_node(lookup(now, least, "b", "_n", 2 * n).select("a", F.coalesce("m", "b").alias("b")))
