@@ -157,7 +157,7 @@ def score(models: DataFrame, workspace_tokens: int, goal: str, budget: int | Non
     whole = F.lit(0.35) * col("task_fit") + F.lit(0.35) * col("cost_fit") + F.lit(0.15) * col("context_fit") + F.lit(0.05) * col("latency_fit") + F.lit(0.1) * col("privacy_fit")
     sure = F.lit(0.55) * coding + F.lit(0.3) * reasoning + F.lit(0.15) * col("context_fit")
     risk = F.when((F.lit(need) <= 0) | col("fits"), 0.0).otherwise(F.least(F.lit(1.0), 1 - ratio))
-    quality = F.when(col("task_fit") >= 0.7, "high").when(col("task_fit") >= 0.5, "medium").otherwise("low")
+    quality = F.when(whole >= 0.7, "high").when(whole >= 0.5, "medium").otherwise("low")
     return scored.withColumns({"total": whole, "confidence": sure, "overflow_risk": risk, "expected_quality": quality, "preferred": col("id").isin(list(preferred))})
 
 

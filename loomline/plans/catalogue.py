@@ -311,7 +311,7 @@ _SCORED = MODELS + f""", s1 AS (SELECT *, {_cost(str(_NEED), '54000', str(_OUT))
 s2 AS (SELECT *, CASE WHEN ratio >= 2 THEN 1.0::DOUBLE WHEN ratio >= 1 THEN 0.8::DOUBLE WHEN ratio >= 0.75 THEN 0.5::DOUBLE ELSE ratio END AS context_fit, least(1.0::DOUBLE, 0.65::DOUBLE * coding + 0.25::DOUBLE * reasoning + CASE WHEN supports_tools THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) AS task_fit,
   CASE WHEN cost <= 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - cost / 0.05::DOUBLE) END AS cost_fit, coalesce(latency_score / 100, 0.5) AS latency_fit, CASE privacy_mode WHEN 'local' THEN 1.0::DOUBLE WHEN 'hybrid' THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS privacy_fit FROM s1),
 scored AS (SELECT *, 0.35::DOUBLE * task_fit + 0.35::DOUBLE * cost_fit + 0.15::DOUBLE * context_fit + 0.05::DOUBLE * latency_fit + 0.1::DOUBLE * privacy_fit AS total, 0.55::DOUBLE * coding + 0.3::DOUBLE * reasoning + 0.15::DOUBLE * context_fit AS confidence,
-  CASE WHEN fits THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, 1 - ratio) END AS overflow_risk, CASE WHEN task_fit >= 0.7::DOUBLE THEN 'high' WHEN task_fit >= 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS expected_quality FROM s2)"""
+  CASE WHEN fits THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, 1 - ratio) END AS overflow_risk, CASE WHEN total >= 0.7::DOUBLE THEN 'high' WHEN total >= 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS expected_quality FROM s2)"""
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
