@@ -209,6 +209,24 @@ def reasons(goal: str) -> Column:
     return F.array_compact(F.array(*told))
 
 
+def warnings() -> Column:
+    """What speaks against a scored model."""
+    overflow = F.when(~col("fits"), F.lit("Context window insufficient — overflow likely; consider repo-map-first strategy"))
+    return F.array_compact(F.array(overflow, F.when(col("coding_score") < 50, F.lit("Below-average coding benchmark scores"))))
+
+
+def suggestions(workspace_tokens: int) -> Column:
+    """What would make a scored model cheaper or fit."""
+    crowded = (F.lit(float(workspace_tokens)) > col("context_window") * 0.5) | ~col("fits")
+    told = [
+        F.when(crowded, F.lit("Use a repo map instead of full workspace to reduce context")),
+        F.when(F.lit(workspace_tokens > 200_000), F.lit("Exclude build artifacts, lockfiles, and generated files")),
+        F.when(F.lit(workspace_tokens > 500_000), F.lit("Use the agent optimizer to generate concise agent rules")),
+        F.lit("Enable prompt caching if supported by your provider"),
+    ]
+    return F.array_compact(F.array(*told))
+
+
 def advice(models: DataFrame, baseline: str, developers: float = 5, days: float = 22, runs: float = 15, input_tokens: float = 48_000, output_tokens: float = 2_000, cache: float = 0.5, least_context: int = 0) -> DataFrame:
     """Monthly plans of all candidates against a baseline model, unrounded savings beside rounded ones."""
     per_dev = float(runs) * float(days)

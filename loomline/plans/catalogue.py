@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import files as rules
 from loomline.functions import paths, tokens
-from loomline.operators import compaction, drift, git, repo_map, symbols, workspace
+from loomline.operators import compaction, drift, git, repo_map, reports, symbols, workspace
 from loomline.operators import models as catalog
 from loomline.plans import proxies
 from loomline.plans.proxies import BOTH, MODELS, SCAN, change, estimate, fixed
@@ -342,6 +342,12 @@ def recommend_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select("id", F.array_join(catalog.reasons("build-mvp"), "; ").alias("reasons"))
 
 
+@query(_SCORED + """ SELECT id, array_to_string(list_filter([CASE WHEN NOT fits THEN 'Context window insufficient — overflow likely; consider repo-map-first strategy' END, CASE WHEN coding_score < 50 THEN 'Below-average coding benchmark scores' END], lambda x: x IS NOT NULL), '; ') AS warnings,
+array_to_string(list_filter([CASE WHEN 150000 > context_window * 0.5::DOUBLE OR NOT fits THEN 'Use a repo map instead of full workspace to reduce context' END, 'Enable prompt caching if supported by your provider'], lambda x: x IS NOT NULL), '; ') AS suggestions FROM scored""")
+def recommend_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("id", F.array_join(catalog.warnings(), "; ").alias("warnings"), F.array_join(catalog.suggestions(150_000), "; ").alias("suggestions"))
+
+
 _PLANS = MODELS + f""", priced AS (SELECT *, (48000.0::DOUBLE - 24000.0::DOUBLE) / 1000000.0::DOUBLE * input_price + 24000.0::DOUBLE / 1000000.0::DOUBLE * {_CACHED} + 2000.0::DOUBLE / 1000000.0::DOUBLE * output_price AS run_cost FROM models),
 p2 AS (SELECT *, run_cost * 1650.0::DOUBLE AS spend FROM priced), base AS (SELECT run_cost AS base_run_cost, spend AS base_spend FROM p2 WHERE id = '17'),
 p3 AS (SELECT p2.*, base.*, base_spend - spend AS savings FROM p2, base WHERE id <> '17' AND context_window >= 150000),
@@ -427,6 +433,19 @@ def repo_map_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(text, left_out)], "text string, left_out int")
 
 
+@query()
+def workspace_report(spark: SparkSession, sf: str) -> DataFrame:
+    scan = proxies.scan(spark, sf)
+    told = reports.report(scan, _scored(spark, sf), 150_000, "build-mvp", scanned_at="2026-01-01T00:00:00Z")
+    return spark.createDataFrame([(reports.to_json(told), reports.to_markdown(told, scan))], "json string, markdown string")
+
+
+@query()
+def drift_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    base, now = proxies.changed(spark, sf)
+    return spark.createDataFrame([(reports.drift_markdown(base, now, "2026-01-01T00:00:00Z", max_percent=5.0, new_flags=True),)], "markdown string")
+
+
 # Symbols, imports, routes
 
 _IDS = "d AS (SELECT doc_id AS i, doc_id - doc_id % 16 + 2 AS j, ['src', 'src/lib', 'web'][doc_id % 3 + 1] || '/f' || doc_id || ['.py', '.js', '.go', '.rs', '.kt'][doc_id % 5 + 1] AS path, doc_id % 5 AS kind FROM documents)"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import time
+import uuid
 from collections.abc import Sequence
 from urllib.parse import urlsplit
 from urllib.request import urlopen
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CACHE_VERSION = 3
+REPORT_VERSION = "1.0.0"
 FEED_LIMIT, FEED_SECONDS = 1_000_000, 10
 MODEL = (
     "id string, display_name string, provider string, context_window long, max_output_tokens long, input_price double, output_price double, cached_price double, supports_tools boolean, supports_images boolean, "
@@ -94,7 +97,44 @@ def save_cache(scan: DataFrame, folder: str, tokenizer: str = "heuristic-v1") ->
 
 
 def list_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Saved reports, newest first."""
-    raw = spark.read.schema("version string, generatedAt string, summary struct<totalFiles:long,totalTokens:long>").option("multiLine", True).json(folder)
-    name = F.regexp_extract(F.input_file_name(), r"([\w-]+)\.json$", 1)
-    return raw.withColumn("id", name).where("id <> '' and generatedAt is not null").orderBy(F.desc("generatedAt"))
+    """Saved reports, newest first: id, title, generatedAt, goal, summary."""
+    counts = "totalFiles:long,includedFiles:long,excludedFiles:long,totalEstimatedTokens:long,includedTokens:long"
+    raw = spark.read.schema(f"title string, generatedAt string, goal string, summary struct<{counts}>").option("multiLine", True).json(folder)
+    name = F.regexp_extract(F.input_file_name(), r"/([\w-]+)\.json$", 1)
+    return raw.withColumn("id", name).where("id <> '' and generatedAt is not null").orderBy(F.desc("generatedAt"), "id").select("id", "title", "generatedAt", "goal", "summary")
+
+
+def check_report(report: object) -> None:
+    """Raises ValueError for what isn't a report of this version."""
+    names, lists = ("title", "generatedAt", "workspacePath"), ("topTokenConsumers", "topFolders", "languages", "warnings", "assumptions", "optimizationChecklist")
+    counts = ("totalFiles", "includedFiles", "excludedFiles", "totalEstimatedTokens", "includedTokens")
+    number = lambda x: isinstance(x, int | float) and not isinstance(x, bool) and 0 <= x < float("inf")
+    if not isinstance(report, dict) or report.get("schemaVersion") != REPORT_VERSION:
+        raise ValueError("not a report of this version")
+    wrong = [n for n in names if not isinstance(report.get(n), str)] + [n for n in lists if not isinstance(report.get(n), list)]
+    if not isinstance(report.get("goal"), str | None):
+        wrong.append("goal")
+    summary = report.get("summary")
+    wrong += [n for n in counts if not isinstance(summary, dict) or not number(summary.get(n))]
+    if not isinstance(report.get("recommendations", ""), dict | None):
+        wrong.append("recommendations")
+    if wrong:
+        raise ValueError("wrong fields in report: " + ", ".join(wrong))
+
+
+def save_report(report: dict, folder: str) -> str:
+    """Checks a report, writes it under a new id into a folder, and returns the id."""
+    check_report(report)
+    body = json.dumps(report, ensure_ascii=False)
+    if len(body.encode()) > FEED_LIMIT:
+        raise ValueError("report too large")
+    os.makedirs(folder, exist_ok=True)
+    name = f"{time.time_ns() // 1_000_000}-{uuid.uuid4().hex[:8]}"
+    write_text(body, os.path.join(folder, name + ".json"))
+    return name
+
+
+def write_text(text: str, path: str, force: bool = False) -> None:
+    """Writes a file that isn't there yet, or, if forced, any."""
+    with open(path, "w" if force else "x", encoding="utf-8") as f:
+        f.write(text)
