@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -85,8 +86,8 @@ def test_token_counts(spark, docs, real):
     path = vocabulary("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
     count = lambda t: len(own.encode(t or "", add_special_tokens=False).ids)
-    for sample in (0, 3, 100):
-        for r in token_count.count_tokens(docs.withColumn("n_tokens", F.lit("clash")), path, sample_rows=sample).collect():
+    for top in (0, 3, token_count.TOP):
+        for r in token_count.count_tokens(docs.withColumn("n_tokens", F.lit("clash")), path, top=top).collect():
             assert r.n_tokens == count(r.text), r.text
     texts = {d["doc_id"]: d["text"] for d in real}
     for r in queries.op6_token_counts(spark, SF).collect():
@@ -429,4 +430,20 @@ def test_token_counts_of_many_distinct_words(spark):
     text = " ".join(f"q{i * 7919 % 1000003}z{i}" for i in range(40000))
     count = len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
     df = spark.createDataFrame([(text, 1), (text + " end", 2)], "text string, n int").coalesce(1)
-    assert [r.n_tokens for r in token_count.count_tokens(df, path, sample_rows=0).orderBy("n").collect()] == [count, count + 1]
+    assert [r.n_tokens for r in token_count.count_tokens(df, path, top=0).orderBy("n").collect()] == [count, count + 1]
+
+
+def test_frequent_pre_tokens_of_all_rows(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    texts = [f" a b{i % 3} unusually-long-words-{i} {'x' * 20} déjà" if i else None for i in range(300)]
+    pre = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")).pre_tokenizer
+    want = Counter(t[a:b].encode() for t in texts if t for _, (a, b) in pre.pre_tokenize_str(t) if len(t[a:b].encode()) <= 15)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    spell = lambda r: r.low.to_bytes(8, "little", signed=True) + r.high.to_bytes(8, "little", signed=True)
+    got = {spell(r)[: spell(r)[15]]: r.n for r in token_count.frequent(df, "text").collect()}
+    assert got == want
+    monkeypatch.setattr(token_count, "KEPT", 2)
+    parts = [(np.array([5, 9, 5], np.uint64), np.array([1, 1, 1], np.uint64), np.array([1, 1, 1])), (np.array([9, 9], np.uint64), np.array([1, 2], np.uint64), np.array([2, 1]))]
+    assert [x.tolist() for x in token_count.summed(parts, 2)] == [[9, 5], [1, 1], [3, 2]]
+    assert token_count.frequent(df.limit(0), "text").count() == 0
