@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions.tokens import estimate_text
 from loomline.operators import drift, models, workspace
 from loomline.sources.catalog import REPORT_VERSION
 
@@ -173,3 +175,13 @@ def drift_markdown(base: DataFrame, now: DataFrame, at: str, **policy: object) -
     if folders:
         out += section("Directory Breakdown", table(["Directory", *head, "File Count Delta"], "llllll", [[code(r.folder), *cells(r), signed(r.net_files)] for r in folders]))
     return "\n".join(out)
+
+
+def finished_goal(goal: str, outcome: str, changed: Sequence[str] = (), decisions: Sequence[str] = (), next_steps: Sequence[str] = (), source_tokens: int | None = None) -> tuple[str, int, int | None]:
+    """What to remember of a finished goal, its estimated tokens, and how many it saves of those it came from."""
+    out = ["# Completed Goal Context", "", f"- **Goal:** {code(goal)}", f"- **Outcome:** {plain(outcome)}"]
+    for title, items, form in (("Changed Files", changed, code), ("Decisions", decisions, plain), ("Next Steps", next_steps, plain)):
+        out += ["", *section(title, [f"- {form(x)}" for x in items])] if items else []
+    text = "\n".join(out)
+    tokens = estimate_text(text)
+    return text, tokens, None if source_tokens is None else max(0, source_tokens - tokens)
