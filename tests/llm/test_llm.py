@@ -422,6 +422,20 @@ def test_pipeline_by_brute_force(spark, real):
     assert sorted(got) == sorted(want) and labels
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark, real):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(100)]
+    swapped = [f"x{i}" if i in (30, 70) else w for i, w in enumerate(base)]  # 86 of 106 shingles of five words, 92 of 104 of three
+    own = [" ".join(base), " ".join(swapped), " ".join(base + [f"y{i}" for i in range(20)]), " ".join(base + [f"z{i}" for i in range(40)]), None, None]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows(own), DOCS), SF).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3, 4, 5]
+    ids = np.array([d["doc_id"] for d in real])
+    root = partenum.linked(ids, list(shingle_sets([(d["text"] or "").encode() for d in real], 5)), 80)
+    kept = corpus_pipeline.drop_near_copies(spark, queries.documents(spark, SF), SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(ids[root == ids].tolist())
+
+
 def test_token_counts_of_many_distinct_words(spark):
     from tokenizers import Tokenizer
 
