@@ -1,10 +1,11 @@
 """Licence scans by a positional index of rare words, with DataFrame functions only.
 
-A template is a short licence notice. The index holds, of each template, its RARE words of highest IDF (over the
-templates) with their positions. A file's licence words are looked up in one pass; for each template the starts that the
-occurrences of its rare words imply are intersected, so only places remain where all of them stand at the right distance
-from each other. At such a start the template's mandatory key phrase must stand word for word; the score is the
-largest share of a template's words that do. Places of base phrases are counted besides.
+A template is a short licence notice. The index holds, of each template, the RARE words of highest IDF (over the
+templates) of its mandatory key phrase with their positions. A file's licence words are looked up in one pass; for each
+template the starts that the occurrences of its rare words imply are intersected, so only places remain where all of them
+stand at the right distance from each other. At such a start the key phrase must stand word for word. As all rare words
+are of the key phrase, each place of it is found, however the rest of the notice is worded; the score is the largest
+share of a template's words that stand there. Places of base phrases are counted besides.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, after lower-casing A to Z. A null text is empty:
 no words, null places, no labels, score 0. Rows don't meet, so repeated rows need no care; columns that have the name of
@@ -44,17 +45,16 @@ TEMPLATES = [
 
 
 def index(templates: list[tuple[str, str, str]] = TEMPLATES, rare: int = RARE) -> list[dict]:
-    """Templates with their rare words and the positions of these; IDF from the templates, ties to the earlier word."""
+    """Templates with the rare words of their key phrases and the positions of these; IDF from the templates, ties to the earlier word."""
     split = [notice.split() for _, notice, _ in templates]
     among = Counter(w for words in split for w in set(words))
     out = []
     for (label, _, phrase), words in zip(templates, split):
         idf = {w: math.log((1 + len(templates)) / among[w]) for w in words}
-        once = [w for w in dict.fromkeys(words) if words.count(w) == 1]
-        best = sorted(once, key=lambda w: (-idf[w], words.index(w)))[:rare]
         key = phrase.split()
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        out.append({"label": label, "words": words, "rare": [(w, words.index(w)) for w in best], "key": key, "at": at})
+        best = sorted(dict.fromkeys(key), key=lambda w: (-idf[w], key.index(w)))[:rare]
+        out.append({"label": label, "words": words, "rare": [(w, at + key.index(w)) for w in best], "key": key, "at": at})
     return out
 
 

@@ -390,6 +390,20 @@ def test_licenses(spark, real):
     assert {"mit", "apache-2.0"} <= {x for r in got for x in r.labels.split(",")}
 
 
+def test_licenses_worded_otherwise(spark):
+    own = {
+        "Licensed under the MIT License.": "mit", "MIT License": "mit", "Permission is hereby granted, free of charge.": "mit", "Licensed under the Mozilla Public License v. 2.0": "mpl-2.0",
+        "It is free and unencumbered software, all of it": "unlicense", "You may copy, modify, and/or distribute this software": "isc", "Apache License, Version 2.0": "apache-2.0", "CC BY-SA 4.0": "cc-by,cc-by-sa-4.0",
+        "Redistribution and use in source and binary forms is fine": "bsd-3-clause", "under GNU General Public License, version 3": "gpl,gpl-3.0", "released under the license of mit": "", "mozilla license": "",
+        "subject to the terms of the MIT\nLicense or the Mozilla Public License": "mit,mpl-2.0",
+    }
+    for label, _, phrase in licenses.TEMPLATES:
+        own |= {f"{phrase} {'x ' * n}": ",".join(sorted({label, *(b for p, b in licenses.BASE.items() if p in phrase)})) for n in (0, 30)}
+    got = licenses.scan(spark.createDataFrame([(t,) for t in own], "text string")).collect()
+    assert {r.text: r.labels for r in got} == own
+    assert next(r.score for r in got if r.text == "Licensed under the MIT License.") == 0.8
+
+
 def test_pipeline_by_brute_force(spark, real):
     import corpus_pipeline
 
