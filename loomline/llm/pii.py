@@ -46,6 +46,27 @@ PATTERNS = {
     "name": rf"(?<!\w)(?P<first>{_FIRST})(?P<gap> )(?P<last>[A-ZÀ-ÞА-Я][a-zà-ÿа-я]{{2,20}})(?!\w)",
 }
 FOUND = re.compile("|".join(f"(?P<{k}>{re.sub(r'P<(value|first|gap|last)>', rf'P<{k}_\1>', p)})" for k, p in PATTERNS.items()))
+#: Classes of network addresses: a surrogate is of the class of its address; all that no network names are public.
+NETWORKS = {
+    "unspecified": ["0.0.0.0/32"], "loopback": ["127.0.0.0/8"], "link-local": ["169.254.0.0/16"], "multicast": ["224.0.0.0/4"], "reserved": ["240.0.0.0/4"],
+    "private": ["0.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24"],
+}
+
+
+def ranges() -> dict[str, list[tuple[int, int]]]:
+    """Of each class the (first, past the last) address of its ranges, in order; the unspecified address is not private."""
+    named = sorted((max(int(n[0]), kind == "private"), int(n[-1]) + 1, kind) for kind, some in NETWORKS.items() for n in map(ipaddress.IPv4Network, some))
+    out: dict[str, list[tuple[int, int]]] = {"public": []}
+    at = 0
+    for first, past, kind in [*named, (1 << 32, 1 << 32, "public")]:
+        if at < first:
+            out["public"].append((at, first))
+        out.setdefault(kind, []).append((first, past))
+        at = past
+    return out
+
+
+RANGES = ranges()
 #: A text without any of these can't hold an entity.
 HINT = re.compile(rf"[@=:0-9]|(?<!\w)(?:{_FIRST})\s")
 
@@ -101,13 +122,22 @@ class Surrogates:
         return self.shaped(text, "assigned")
 
     def ip(self, text: str) -> str:
-        own = ipaddress.IPv4Address(text)
-        kind = lambda a: (a.is_private, a.is_multicast, a.is_reserved, a.is_loopback, a.is_link_local, a.is_unspecified)
-        value, canonical = int(own), str(own) == text
-        while True:
-            value = self.permute(value, 1 << 32, "ip")
-            if kind(ipaddress.IPv4Address(value)) == kind(own):
-                return str(ipaddress.IPv4Address(value)) if canonical else ".".join(x.zfill(3) for x in str(ipaddress.IPv4Address(value)).split("."))
+        octets = text.split(".")
+        value = int.from_bytes(bytes(map(int, octets)), "big")
+        kind, own = next((k, r) for k, r in RANGES.items() if any(first <= value < past for first, past in r))
+        at = 0
+        for first, past in own:
+            if first <= value < past:
+                at += value - first
+                break
+            at += past - first
+        at = self.permute(at, sum(past - first for first, past in own), f"ip {kind}")
+        for first, past in own:
+            if at < past - first:
+                break
+            at -= past - first
+        # an octet with leading zeros keeps its width
+        return ".".join(str(x).zfill(len(o) if o[0] == "0" else 1) for x, o in zip((first + at).to_bytes(4, "big"), octets))
 
     @staticmethod
     def check(digits: str) -> int:
@@ -180,9 +210,9 @@ def surrogates(df: DataFrame, key: bytes, text: str = "text", out: str = "text",
 
 
 def normal(kind: object, entity: object) -> object:
-    """One spelling for all of an entity's: e-mail addresses lower-cased, of numbers the digits, without the code 1."""
+    """One spelling for all of an entity's: e-mail addresses lower-cased, of numbers the digits, without the code 1, of network addresses the octets without leading zeros."""
     digits = F.regexp_replace(entity, r"\D", "")
-    return F.when(kind == "email", F.lower(entity)).when(kind == "phone", F.regexp_replace(digits, r"^1(?=\d{10}$)", "")).when(kind == "card", digits).otherwise(entity)
+    return F.when(kind == "email", F.lower(entity)).when(kind == "phone", F.regexp_replace(digits, r"^1(?=\d{10}$)", "")).when(kind == "card", digits).when(kind == "ip", F.regexp_replace(entity, r"(?<![0-9])0+(?=[0-9])", "")).otherwise(entity)
 
 
 def collisions(replaced: DataFrame, spans: str = "entities") -> DataFrame:

@@ -137,6 +137,23 @@ def test_pii_is_a_permutation():
     assert len({own.card(f"411111111111{i:04}") for i in range(2000)}) == 2000
 
 
+def test_pii_network_addresses(spark):
+    import ipaddress
+
+    own, kind = pii.Surrogates(b"key"), lambda a: (a.is_private, a.is_multicast, a.is_reserved, a.is_loopback, a.is_link_local, a.is_unspecified)
+    assert sum(past - first for r in pii.RANGES.values() for first, past in r) == 1 << 32
+    assert own.ip("0.0.0.0") == "0.0.0.0"
+    rng = random.Random(3)
+    some = ["169.254.0.1", "127.0.0.1", "10.1.2.3", "0.0.0.1", "192.168.0.9", "224.0.0.1", "255.255.255.255", "1.2.3.4", *(str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(200))]
+    for a in some:
+        assert kind(ipaddress.IPv4Address(own.ip(a))) == kind(ipaddress.IPv4Address(a)), a
+    assert len({own.ip(f"169.254.{i // 256}.{i % 256}") for i in range(2000)}) == 2000
+    assert [int(x) for x in own.ip("1.02.3.4").split(".")] == [int(x) for x in own.ip("1.2.3.4").split(".")]
+    found = pii.surrogates(spark.createDataFrame([("a 0.0.0.0 b 169.254.0.1 c 1.02.3.4 d 1.2.3.4",)], "text string"), b"key")
+    assert [e.entity for e in found.collect()[0].entities] == ["0.0.0.0", "169.254.0.1", "1.02.3.4", "1.2.3.4"]
+    assert pii.collisions(found).count() == 0
+
+
 def test_pii_whole_table(spark):
     docs = queries.documents(spark, SF)
     replaced = pii.surrogates(docs, queries.KEY)
