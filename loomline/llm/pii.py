@@ -39,7 +39,7 @@ _FIRST = "|".join(sorted(_KIND_OF, key=len, reverse=True))
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
-    "assigned": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?token)\b\s{0,4}[=:]\s{0,4}[\"']?)(?P<value>[A-Za-z0-9+/_-]{8,128})(?![A-Za-z0-9+/_-])",
+    "assigned": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?token)\b(?:\\?[\"'])?\s{0,4}[=:]\s{0,4}(?:\\?[\"'])?)(?P<value>[A-Za-z0-9+/_-]{8,})",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "card": r"(?<![\w.-])[3-6](?:[ -]?\d){12,18}(?![\w]|[.-]\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w]|[.-]\d)",
@@ -68,7 +68,9 @@ def ranges() -> dict[str, list[tuple[int, int]]]:
 
 RANGES = ranges()
 #: A text without any of these can't hold an entity.
-HINT = re.compile(rf"[@=:0-9]|(?<!\w)(?:{_FIRST})\s")
+HINT = re.compile(rf"[@=:0-9]|AKIA|gh[pousr]_|(?<!\w)(?:{_FIRST})\s")
+#: Texts of more letters and digits are permuted place by place, as the numbers that they stand for get too large.
+LONG = 64
 
 
 class Surrogates:
@@ -95,6 +97,8 @@ class Surrogates:
         kinds = [next((c for c in classes if x in c), None) for x in text]
         shape = "".join("." if c is None else "dlu"[classes.index(c)] if len(classes) == 3 else "h" for c in kinds)
         fixed = "".join(x for x, c in zip(text, kinds) if c is None)
+        if sum(c is not None for c in kinds) > LONG:
+            return self.long(text, kinds, f"{tweak}|{shape}|{fixed}")
         value, size = 0, 1
         for x, c in zip(text, kinds):
             if c is not None:
@@ -109,6 +113,22 @@ class Surrogates:
                 out.append(c[at])
         return "".join(reversed(out))
 
+    def long(self, text: str, kinds: list[str | None], tweak: str) -> str:
+        """The same for long texts, in time that grows with their length: each half in turn is shifted by what the other tells."""
+        at = [i for i, c in enumerate(kinds) if c is not None]
+        values = [kinds[i].index(text[i]) for i in at]
+        half = len(at) // 2
+        for turn in range(6):
+            (a, b), other = ((0, half), values[half:]) if turn % 2 == 0 else ((half, len(at)), values[:half])
+            seed = hmac.digest(self.key, f"{tweak}|{turn}|".encode() + bytes(other), hashlib.sha256)
+            told = hashlib.shake_256(seed).digest(4 * (b - a))
+            for n in range(a, b):
+                values[n] = (values[n] + int.from_bytes(told[4 * (n - a) : 4 * (n - a) + 4], "big")) % len(kinds[at[n]])
+        out = list(text)
+        for i, v in zip(at, values):
+            out[i] = kinds[i][v]
+        return "".join(out)
+
     def email(self, text: str) -> str:
         return self.shaped(text.lower().rpartition("@")[0], "email@" + text.lower().rpartition("@")[2]) + "@" + text.rpartition("@")[2]
 
