@@ -6,7 +6,7 @@ and the state of its check digit, a network address its class, a name its gender
 is a keyed permutation (a Feistel network over as many values as the format has, walked until it lands among them), so
 equal entities get equal surrogates in all documents (coreference, also across ways to write a phone number or the case
 of an e-mail address), and distinct ones of a format distinct surrogates, without any table that grows with the corpus.
-collisions() checks that over all distinct entities: it returns those whose surrogates meet, none if all is well.
+surrogates() checks both over all distinct entities before it returns, by verify(); collisions() and splits() list what fails.
 
 A null text is empty and stays null in the result; texts without entities stay as they are. Rows don't meet; columns of
 the input that have the name of a new one give way.
@@ -46,6 +46,7 @@ PATTERNS = {
     "name": rf"(?<!\w)(?P<first>{_FIRST})(?P<gap> )(?P<last>[A-ZÀ-ÞА-Я][a-zà-ÿа-я]{{2,20}})(?!\w)",
 }
 FOUND = re.compile("|".join(f"(?P<{k}>{re.sub(r'P<(value|first|gap|last)>', rf'P<{k}_\1>', p)})" for k, p in PATTERNS.items()))
+WHOLE = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: Classes of network addresses: a surrogate is of the class of its address; all that no network names are public.
 NETWORKS = {
     "unspecified": ["0.0.0.0/32"], "loopback": ["127.0.0.0/8"], "link-local": ["169.254.0.0/16"], "multicast": ["224.0.0.0/4"], "reserved": ["240.0.0.0/4"],
@@ -73,6 +74,14 @@ HINT = re.compile(rf"[@=:0-9]|AKIA|gh[pousr]_|(?<!\w)(?:{_FIRST})\s")
 LONG = 64
 
 
+def sort_of(value: str) -> str:
+    """By what permutation an assigned value is replaced, the same wherever it stands: that of a type, or of the hexadecimal or other ones."""
+    for kind in ("secret", "card", "phone"):
+        if WHOLE[kind].fullmatch(value):
+            return kind
+    return "hex" if set(value) <= set(HEX) else "other"
+
+
 class Surrogates:
     def __init__(self, key: bytes) -> None:
         self.key = key
@@ -137,9 +146,15 @@ class Surrogates:
         return text[:keep] + self.shaped(text[keep:], "secret")
 
     def assigned(self, text: str) -> str:
-        if set(text) <= set(HEX):
-            return self.shaped(text, "hex", (HEX,))
-        return self.shaped(text, "assigned")
+        """A value that is of another type by itself is replaced as that; the others' surrogates stay among their own sort."""
+        sort = sort_of(text)
+        if sort in PATTERNS:
+            return getattr(self, sort)(text)
+        new = text
+        while True:
+            new = self.shaped(new, "hex", (HEX,)) if sort == "hex" else self.shaped(new, "assigned")
+            if sort_of(new) == sort:
+                return new
 
     def ip(self, text: str) -> str:
         octets = text.split(".")
@@ -193,7 +208,8 @@ class Surrogates:
         """(type, start, end, entity, surrogate)."""
         kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m[k] is not None)
         if kind == "assigned":
-            return kind, m.start("assigned_value"), m.end("assigned_value"), m["assigned_value"], self.assigned(m["assigned_value"])
+            value, sort = m["assigned_value"], sort_of(m["assigned_value"])
+            return sort if sort in PATTERNS else kind, m.start("assigned_value"), m.end("assigned_value"), value, self.assigned(value)
         made = self.name(m["name_first"], m["name_last"]) if kind == "name" else getattr(self, kind)(m[kind])
         return kind, m.start(kind), m.end(kind), m[kind], made
 
@@ -216,7 +232,16 @@ _ARROW = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end
 
 
 def surrogates(df: DataFrame, key: bytes, text: str = "text", out: str = "text", spans: str = "entities") -> DataFrame:
-    """df with each text's personal data replaced, in column out, and what was found in column spans."""
+    """df with each text's personal data replaced, in column out, and what was found in column spans.
+
+    A pass over all texts comes first, in which verify() looks at all distinct entities.
+    """
+    verify(replacement(df.select(text), key, text, "_new", spans), spans)
+    return replacement(df, key, text, out, spans)
+
+
+def replacement(df: DataFrame, key: bytes, text: str, out: str, spans: str) -> DataFrame:
+    """What surrogates() returns, not verified."""
     kept = [c for c in df.columns if c not in (out, spans)]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.StringType()), T.StructField(spans, SPANS)])
 
@@ -235,7 +260,26 @@ def normal(kind: object, entity: object) -> object:
     return F.when(kind == "email", F.lower(entity)).when(kind == "phone", F.regexp_replace(digits, r"^1(?=\d{10}$)", "")).when(kind == "card", digits).when(kind == "ip", F.regexp_replace(entity, r"(?<![0-9])0+(?=[0-9])", "")).otherwise(entity)
 
 
+def entities(replaced: DataFrame, spans: str) -> DataFrame:
+    """Distinct (type, entity, surrogate), each in one spelling; assigned values and bare secrets are one type."""
+    each = replaced.select(F.explode(spans).alias("e")).select(F.when(F.col("e.type") == "secret", "assigned").otherwise(F.col("e.type")).alias("type"), normal(F.col("e.type"), F.col("e.entity")).alias("entity"), normal(F.col("e.type"), F.col("e.surrogate")).alias("surrogate"))
+    return each.distinct()
+
+
 def collisions(replaced: DataFrame, spans: str = "entities") -> DataFrame:
     """(type, surrogate, entities): surrogates that stand for more than one entity. Entities are made distinct map-side."""
-    each = replaced.select(F.explode(spans).alias("e")).select("e.type", normal(F.col("e.type"), F.col("e.entity")).alias("entity"), normal(F.col("e.type"), F.col("e.surrogate")).alias("surrogate"))
-    return each.distinct().groupBy("type", "surrogate").agg(F.count(F.lit(1)).alias("entities")).where("entities > 1")
+    return entities(replaced, spans).groupBy("type", "surrogate").agg(F.count(F.lit(1)).alias("entities")).where("entities > 1")
+
+
+def splits(replaced: DataFrame, spans: str = "entities") -> DataFrame:
+    """(type, entity, surrogates): entities that have more than one surrogate."""
+    return entities(replaced, spans).groupBy("type", "entity").agg(F.count(F.lit(1)).alias("surrogates")).where("surrogates > 1")
+
+
+def verify(replaced: DataFrame, spans: str = "entities") -> None:
+    """Raises an error if two entities share a surrogate, or one has two; nothing of an entity is told but its type."""
+    found = entities(replaced, spans)
+    sides = [found.groupBy("type", F.lit(side).alias("side"), F.col(side).alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1") for side in ("surrogate", "entity")]
+    bad = sides[0].unionByName(sides[1]).groupBy("type", "side").agg(F.count(F.lit(1)).alias("n")).collect()
+    if bad:
+        raise ValueError("surrogates: " + "; ".join(f"{r.n} of type {r.type} " + ("stand for several entities" if r.side == "surrogate" else "have several surrogates") for r in bad))
