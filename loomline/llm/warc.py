@@ -1,8 +1,8 @@
 """WARC archives as a Python data source, read and written.
 
 Reading plans a partition per file; predicates on record_type, record_id, target_uri and payload_digest are pushed down.
-A record's headers are parsed first: where they fail a predicate, or where the option payload is "false", the payload is
-passed over without being kept or decoded. Writing gives each task files of its own, rolled at ROLL bytes, every record
+A record's headers are parsed first: where they fail a predicate, the payload is passed over without being kept. Where the
+option payload is "false", the payloads of the other records are read all the same and given as null. Writing gives each task files of its own, rolled at ROLL bytes, every record
 a gzip member; a manifest names the files of the tasks that were committed, so what a lost executor left is not read.
 
 Null payloads are empty records; null ids, addresses and dates are left out of the headers and read back as null. Line
