@@ -6,24 +6,30 @@ one, and each of these into second-level ones; every choice of all but those few
 So similar sets share a signature, and sets that share none need no look. Signatures with too few elements are passed
 over: each set may do so in SPARE first-level partitions, for which there are twice as many more.
 
-Each batch sends a signature once and links its further sets to the one sent, so a signature that a third of all sets
-have is a row per batch. What shares signatures makes clusters; a cluster is verified by set intersection, in blocks of
-at most UNIT documents. In a larger one every block first meets the cluster's first block; documents that then are not
-in the cluster's largest component meet all blocks, and those in it are linked already. So no link between two texts is
-lost, no pairs are emitted, and the outcome is that of comparing all pairs.
+A batch sends one of its equal sets; the others are linked to it. Sets that share a signature form a group; equal groups
+of up to SAME sets are looked at once. Within a group sets meet as parity sketches: a bit per bucket of elements tells
+whether an odd number falls there, so sketches differ in no more bits than sets in elements, and the size bound and the
+sketch rule out what can't be similar without losing a link. What is left makes clusters, which hold next to nothing but
+near copies; these are verified by set intersection, in blocks of at most UNIT documents. Where a group has more than
+WIDE sets or a cluster more than UNIT, every block first meets the first block; documents that then are not in the
+largest component meet all blocks, and those in it are linked already. So no link between two texts is lost, no pairs
+are emitted, and the outcome is that of comparing all pairs. Only a group of more than WIDE sets that share a signature
+by a passage and aren't similar costs all pairs of its blocks.
 
 A text's set is its distinct shingles of k words, A to Z lower-cased; fewer words make one shingle. A null text, and one
 without words, has no set and no links. Rows with a null id are never linked and keep a null component. Rows that share an id are
-one document, linked as any of its texts is. Repeated rows are linked to each other. Extra columns play no part.
+one document, linked as any of its texts is. Repeated rows are linked to each other. Extra columns play no part. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +37,12 @@ from loomline.llm.common import cut
 from loomline.llm.components import connected
 from loomline.llm.shingles import mixed, shingle_sets
 
-UNIT = 512
-#: Bits of the broadcast map of documents that share a signature, as a power of 2: 131,072 rows of 64 at most.
-BITS = 23
+#: Documents that are verified at once; sketches that are compared at once; sets of a group that is looked at once however often it occurs.
+UNIT, WIDE, SAME = 512, 4096, 64
+#: Bits of a sketch, as powers of 2: about one for each element.
+LEAST_BITS, MOST_BITS = 6, 16
+#: Bits of the broadcast map of documents in clusters, as powers of 2: 8 MB at most.
+BITS, TOP_BITS = 16, 26
 #: First-level partitions that a set may pass over, and the least elements of a signature that is sent all the same.
 SPARE, FEW = 2, 4
 #: Elements whose signatures are made at once.
@@ -59,7 +68,7 @@ def choices(errors: int, parts: int) -> np.ndarray:
 
 def levels(num: int) -> tuple[int, int]:
     """(elements a first-level partition may differ in, second-level partitions), by how similar sets must be."""
-    return (1, 3) if num >= 85 else (2, 4)
+    return (1, 3) if num >= 75 else (2, 4)
 
 
 def signatures(flat: np.ndarray, size: np.ndarray, num: int, den: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -108,28 +117,40 @@ def signatures(flat: np.ndarray, size: np.ndarray, num: int, den: int = 100) ->
     return np.concatenate(out), filled[np.concatenate(of)]
 
 
+def sketches(flat: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Of each set the parities of how many elements fall into buckets, the next power of 2 above its size."""
+    bits = 1 << np.clip(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    base = np.cumsum(bits) - bits
+    row = np.repeat(np.arange(len(size)), size)
+    cell = base[row] + (mixed(flat ^ _SALT) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits(np.bincount(cell, minlength=int(bits.sum())).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return [packed[a // 8 : (a + b) // 8] for a, b in zip(base.tolist(), bits.tolist())]
+
+
 def local_rows(ids: np.ndarray, sets: list[np.ndarray], num: int) -> tuple[np.ndarray, ...]:
-    """(signature, id) once per signature, with the smallest id, and the distinct (id, smallest id) of the others."""
-    made, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    """(signature, id) of the first of equal sets, and the distinct (id, that set's id) of the others."""
     order = np.argsort(ids, kind="stable")
-    size = np.array([len(sets[i]) for i in order], np.int64)
+    first, own, a, b = {}, [], [], []
+    for i in order.tolist():
+        if len(sets[i]):
+            j = first.setdefault(xxhash.xxh3_128_digest(sets[i].tobytes()), i)
+            if j == i:
+                own.append(i)
+            elif ids[i] != ids[j]:
+                a.append(ids[i])
+                b.append(ids[j])
+    made, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    size = np.fromiter((len(sets[i]) for i in own), np.int64, len(own))
     step, at = np.searchsorted(np.cumsum(size), np.arange(AT_ONCE, int(size.sum()) + AT_ONCE, AT_ONCE)) + 1, 0
     for end in step.tolist():
-        some = order[at:end]
-        if len(some):
+        some = own[at:end]
+        if some:
             sig, doc = signatures(np.concatenate([sets[i] for i in some]), size[at:end], num)
             made.append(sig)
             of.append(ids[some][doc])
         at = end
-    sig, doc = np.concatenate(made), np.concatenate(of)
-    by = np.lexsort((doc, sig)) if len(sig) < 2 or not (doc[1:] >= doc[:-1]).all() else np.argsort(sig, kind="stable")
-    sig, doc = sig[by], doc[by]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    centre = doc[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(sig) else doc
-    other = doc != centre
-    pairs = np.unique(np.stack([doc[other], centre[other]], 1), axis=0)
-    return sig[new].view(np.int64), doc[new], pairs[:, 0], pairs[:, 1]
+    pairs = np.unique(np.array([a, b], np.int64).T.reshape(-1, 2), axis=0)
+    return np.concatenate(made).view(np.int64), np.concatenate(of), pairs[:, 0], pairs[:, 1]
 
 
 def payload(column: pa.Array) -> list[bytes]:
@@ -137,7 +158,7 @@ def payload(column: pa.Array) -> list[bytes]:
 
 
 def candidates(docs: DataFrame, k: int, num: int) -> DataFrame:
-    """(doc, n, other): a row per row of docs with its n shingles, and rows with other, a smaller id that shares a signature."""
+    """(doc, n, sketch, other, g): a row with n and sketch per row of docs, rows with other, whose set is equal, and rows with g, a group of sets that share a signature."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,22 +169,95 @@ def candidates(docs: DataFrame, k: int, num: int) -> DataFrame:
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             spread = mixed(np.arange(len(ids), dtype=np.uint64) + mixed(ids.astype(np.uint64))).view(np.int64)
             apart = mixed(a.astype(np.uint64) * _SALT + b.astype(np.uint64)).view(np.int64)
-            none = lambda n: pa.nulls(n, pa.int64())
+            drawn = sketches(np.concatenate(sets), size) if len(sets) else []
+            none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
             parts = [
-                (pa.array(sig), pa.array(doc), none(len(sig)), none(len(sig))),
-                (pa.array(apart), pa.array(a), pa.array(b), none(len(a))),
-                (pa.array(spread), batch.column("_id").cast(pa.int64()), none(len(ids)), pa.array(size)),
+                (pa.array(sig), pa.array(doc), none(len(sig)), none(len(sig)), none(len(sig), pa.binary())),
+                (pa.array(apart), pa.array(a), pa.array(b), none(len(a)), none(len(a), pa.binary())),
+                (pa.array(spread), batch.column("_id").cast(pa.int64()), none(len(ids)), pa.array(size), pa.array(drawn, pa.binary())),
             ]
-            for part in parts:
-                rows = pa.RecordBatch.from_arrays(list(part), names=["sig", "doc", "other", "n"])
-                for start in range(0, rows.num_rows, 1 << 17):
-                    yield rows.slice(start, 1 << 17)
+            for part, step in zip(parts, (1 << 17, 1 << 17, 1 << 12)):
+                rows = pa.RecordBatch.from_arrays(list(part), names=["sig", "doc", "other", "n", "sketch"])
+                for start in range(0, rows.num_rows, step):
+                    yield rows.slice(start, step)
+
+    sent = docs.mapInArrow(send, "sig long, doc long, other long, n long, sketch binary")
+    met = sent.selectExpr("*", "count(1) over (partition by sig) as m", "try_sum(shiftright(xxhash64(doc), 20)) over (partition by sig) as same")
+    group = F.expr(f"case when n is null and other is null and m > 1 then if(m <= {SAME}, same, sig) end")
+    return met.select("doc", "n", "sketch", "other", group.alias("g")).where("n is not null or other is not null or g is not null")
+
+
+def alike(ids: np.ndarray, size: np.ndarray, drawn: list[bytes], num: int, den: int = 100) -> np.ndarray:
+    """The number of the first set that each reaches by pairs that size and sketch don't rule out; rows with one id count as such a pair."""
+    n, wide = len(ids), min(map(len, drawn))
+    level = [np.frombuffer(x, np.uint64) for x in drawn]
+    for i, x in enumerate(level):
+        while x.nbytes > wide:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        level[i] = x
+    bits, first = np.stack(level), np.arange(n)
+    left = np.arange(1, n)
+    root, ask = 0, [0]
+    while len(left):
+        if not ask:
+            root, left = int(left[0]), left[1:]
+            ask = [root]
+            continue
+        p = ask.pop()
+        apart = np.bitwise_count(bits[left] ^ bits[p]).sum(1, dtype=np.int64)
+        near = (den + num) * apart <= (den - num) * (size[left] + size[p])
+        near &= den * np.minimum(size[left], size[p]) >= num * np.maximum(size[left], size[p])
+        near |= ids[left] == ids[p]
+        if near.any():
+            first[left[near]] = root
+            ask += left[near].tolist()
+            left = left[~near]
+    return first
+
+
+def by_unit(rows: DataFrame, columns: list[str], found: Callable[..., np.ndarray]) -> DataFrame:
+    """(doc, root) of rows (unit, doc, *columns), where found gives roots of a unit's ids and columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, out, ready = None, [], [], 0
+
+        def done() -> None:
+            nonlocal ready
+            ids = np.array([h[0] for h in held], np.int64)
+            out.append((ids, found(ids, *([h[i] for h in held] for i in range(1, len(columns) + 1)))))
+            ready += len(ids)
+
+        def told() -> pa.RecordBatch:
+            nonlocal ready
+            rows = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["doc", "root"])
+            out.clear()
+            ready = 0
+            return rows
+
+        for batch in batches:
+            for u, *row in zip(*(batch.column(c).to_pylist() for c in ["unit", "doc", *columns])):
+                if u != unit:
+                    if len(held) > 1:
+                        done()
+                    unit, held = u, []
+                    if ready > 1 << 14:
+                        yield told()
+                held.append(row)
+        if len(held) > 1:
+            done()
+        if out:
+            yield told()
+
+    return rows.repartition("unit").sortWithinPartitions("unit").select("unit", "doc", *columns).mapInArrow(run, "doc long, root long")
+
+
+def compare(rows: DataFrame, num: int) -> DataFrame:
+    """(doc, root) of rows (unit, doc, n, sketch): pairs that size and sketch don't rule out lead from doc to root."""
 
-    sent = docs.mapInArrow(send, "sig long, doc long, other long, n long")
-    # a signature has a row per batch at most, as batches have linked what shares it
-    met = sent.selectExpr("*", "min(doc) over (partition by sig order by doc rows between unbounded preceding and current row) as centre")
-    other = F.coalesce("other", F.when(F.col("n").isNull() & (F.col("centre") < F.col("doc")), F.col("centre")))
-    return met.select("doc", "n", other.alias("other")).where("n is not null or other is not null")
+    def found(ids: np.ndarray, size: list[int], drawn: list[bytes]) -> np.ndarray:
+        return ids[alike(ids, np.array(size, np.int64), drawn, num)]
+
+    return by_unit(rows, ["n", "sketch"], found)
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int = 100) -> np.ndarray:
@@ -201,73 +295,68 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int = 100) ->
 
 def verify(rows: DataFrame, k: int, num: int) -> DataFrame:
     """(doc, root) of rows (unit, doc, text): the smallest id of the unit that each document reaches by links."""
+    return by_unit(rows, ["text"], lambda ids, texts: linked(ids, list(shingle_sets([(t or "").encode() for t in texts], k)), num))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, ids, texts = None, [], []
 
-        def done() -> pa.RecordBatch:
-            own = np.array(ids, np.int64)
-            root = linked(own, list(shingle_sets(texts, k)), num)
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(root)], names=["doc", "root"])
+def among(own: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of own whose doc is a member, and few that aren't: by a broadcast bitmap of hashes, 16 bits a member but 1 << TOP_BITS at most."""
+    bits = min(TOP_BITS, max(BITS, (16 * members.count()).bit_length()))
+    slot = f"pmod(xxhash64(doc), {1 << bits})"
+    word, bit = F.expr(f"shiftright({slot}, 6)"), F.expr(f"shiftleft(1L, cast(pmod({slot}, 64) as int))")
+    bitmap = members.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    marked = own.withColumns({"_w": word, "_b": bit})
+    return marked.join(F.broadcast(bitmap), (F.col("_w") == F.col("_word")) & (F.col("_bits").bitwiseAND(F.col("_b")) != 0), "left_semi").drop("_w", "_b")
 
-        for batch in batches:
-            for u, i, t in zip(batch.column("unit").to_pylist(), batch.column("doc").to_pylist(), payload(batch.column("text"))):
-                if u != unit:
-                    if len(ids) > 1:
-                        yield done()
-                    unit, ids, texts = u, [], []
-                ids.append(i)
-                texts.append(t)
-        if len(ids) > 1:
-            yield done()
 
-    return rows.repartition("unit").sortWithinPartitions("unit").select("unit", "doc", "text").mapInArrow(run, "doc long, root long")
+def edges_of(met: DataFrame) -> DataFrame:
+    return met.where("root <> doc").select(F.col("doc").alias("a"), F.col("root").alias("b"))
 
 
-def among(own: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows of own whose doc is a member, and some that aren't: by a bitmap of hashes that is at most 1 << BITS bits, broadcast."""
-    slot = f"pmod(xxhash64(doc), {1 << BITS})"
-    word, bit = F.expr(f"shiftright({slot}, 6)"), F.expr(f"shiftleft(1L, cast(pmod({slot}, 64) as int))")
-    bits = members.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    marked = own.withColumns({"_w": word, "_b": bit})
-    return marked.join(F.broadcast(bits), (F.col("_w") == F.col("_word")) & (F.col("_bits").bitwiseAND(F.col("_b")) != 0), "left_semi").drop("_w", "_b")
+def dealt(members: DataFrame, most: int) -> DataFrame:
+    """members (root, doc) with blocks, in how many blocks of most or so a root's members are dealt, and block, a member's."""
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / most).cast("int"))
+    return members.join(sizes, "root").select("doc", "root", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
+
+
+def meet(members: DataFrame, content: DataFrame, most: int, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): what check(rows of content with unit) finds among the members of each root, in units of a few times most.
+
+    The blocks of a root meet its first; members that then aren't in its largest component meet all.
+    """
+    unit = lambda *c: F.concat_ws("/", F.col("root"), *c)
+    small = edges_of(check(content.join(members.where("blocks = 1").select("doc", unit().alias("unit")), "doc")))
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return small
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("meets")
+    deal = large.where("block > 0").select("doc", unit("block").alias("unit")).union(large.where("block = 0").select("doc", "root", every).select("doc", unit("meets").alias("unit")))
+    edges = cut(small.union(edges_of(check(content.join(deal, "doc")))), "met")
+    label = connected(edges)
+    told = large.join(label.select(F.col("node").alias("doc"), F.col("root").alias("label")), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    count = told.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    count = count.withColumn("rest", F.ceil((F.col("all") - F.col("most")) / most).cast("int"))
+    rest = cut(told.join(count.where("rest > 0").select("root", "main", "rest"), "root").withColumn("odd", F.pmod(F.xxhash64("doc", F.lit(1)), "rest").cast("int")), "rest")
+    if rest.isEmpty():
+        return edges
+    to_odd = F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("odd")
+    stay = rest.select("doc", "root", "block", to_odd).select("doc", unit("odd", "block").alias("unit"))
+    ask = rest.where("label <> main").select("doc", "root", "odd", every).select("doc", unit("odd", "meets").alias("unit"))
+    return edges.union(edges_of(check(content.join(stay.union(ask).distinct(), "doc"))))
 
 
 def components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 90) -> DataFrame:
     """(key, n_shingles, component_id), a row per row of df; sets link if 100 * intersection >= num * union."""
     docs = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     found = cut(candidates(docs, k, num), "candidates")
-    clusters = connected(found.where("other is not null").select(F.col("doc").alias("a"), F.col("other").alias("b")))
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / UNIT).cast("int"))
-    members = clusters.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = cut(members.select(F.col("node").alias("doc"), "root", "blocks", "block"), "members")
+    groups = cut(dealt(found.where("g is not null").select(F.col("g").alias("root"), "doc").distinct(), WIDE), "groups")
+    drawn = found.where("n > 0 and doc is not null").select("doc", "n", "sketch").distinct()
+    clusters = connected(meet(groups, drawn, WIDE, lambda rows: compare(rows, num)))
+    members = cut(dealt(clusters.select("root", F.col("node").alias("doc")), UNIT), "members")
     own = docs.where("_id is not null").select(F.col("_id").alias("doc"), F.col("_text").alias("text"))
     # texts travel once, and only those of members and of few others
-    texts = cut(among(own, members).join(members.hint("shuffle_merge"), "doc"), "texts")
-    small = verify(texts.where("blocks = 1").select(F.col("root").cast("string").alias("unit"), "doc", "text"), k, num)
-    known = small
-    large = members.where("blocks > 1")
-    if not large.isEmpty():
-        texts = texts.where("blocks > 1").select("doc", "text")
-        # each block of a large cluster meets the first
-        unit = lambda *c: F.concat_ws("/", F.col("root"), *c)
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("meets")
-        deal = large.where("block > 0").select("doc", unit("block").alias("unit")).union(large.where("block = 0").select("doc", "root", every).select("doc", unit("meets").alias("unit")))
-        edges = cut(verify(texts.join(deal, "doc"), k, num).where("root < doc").select(F.col("doc").alias("a"), F.col("root").alias("b")), "met")
-        label = connected(edges)
-        told = large.join(label.select(F.col("node").alias("doc"), F.col("root").alias("label")), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        count = told.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-        count = count.withColumn("rest", F.ceil((F.col("all") - F.col("most")) / UNIT).cast("int"))
-        left = cut(told.join(count.select("root", "main", "rest"), "root").withColumn("odd", F.pmod(F.xxhash64("doc", F.lit(1)), F.greatest("rest", F.lit(1))).cast("int")), "left")
-        rest = left.where("rest > 0")
-        if not rest.isEmpty():
-            to_odd = F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("odd")
-            stay = rest.where("label = main").select("doc", "root", "block", to_odd).select("doc", unit("odd", "block").alias("unit"))
-            ask = rest.where("label <> main").select("doc", "root", "odd", every).select("doc", unit("odd", "meets").alias("unit"))
-            both = rest.where("label <> main").select("doc", "root", "block", to_odd).select("doc", unit("odd", "block").alias("unit"))
-            again = verify(texts.join(stay.union(ask).union(both).distinct(), "doc"), k, num).where("root < doc").select(F.col("doc").alias("a"), F.col("root").alias("b"))
-            label = connected(cut(edges.union(again).distinct(), "met-again"))
-        known = known.unionByName(label.select(F.col("node").alias("doc"), "root"))
-    roots = known.groupBy("doc").agg(F.min("root").alias("root"))
-    out = found.where("n is not null").select("doc", "n").join(roots, "doc", "left")
+    texts = cut(among(own, members).join(members.select("doc").hint("shuffle_merge"), "doc"), "texts")
+    links = meet(members, texts, UNIT, lambda rows: verify(rows, k, num))
+    roots = connected(links.union(found.where("other is not null").select("doc", "other")))
+    rows = found.where("n is not null").select("doc", "n")
+    out = rows.where("doc is not null").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").unionByName(rows.where("doc is null").withColumn("root", F.lit(None).cast("long")))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))

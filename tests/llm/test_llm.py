@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from loomline.llm import bpe, components, exact_dedup, licenses, mixing, partenum, pii, quality, queries, token_count, topk, warc
 from loomline.llm.common import scratch_path, vocabulary
-from loomline.llm.shingles import shingle_sets
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -255,7 +254,7 @@ def brute_components(texts: dict[int, list[str]], k: int, num: int) -> dict[int,
 
     for n, (i, a) in enumerate(sets):
         for j, b in sets[:n]:
-            if a and b and 100 * len(a & b) >= num * len(a | b) and find(i) != find(j):
+            if a and b and find(i) != find(j) and 100 * len(a & b) >= num * len(a | b):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return {i: find(i) for i in texts}
 
@@ -277,9 +276,11 @@ def near_copies(seed=1):
     return texts
 
 
-@pytest.mark.parametrize(("unit", "k", "num"), [(512, 3, 90), (6, 3, 90), (512, 5, 80)])
-def test_ngram_join(spark, monkeypatch, unit, k, num):
+@pytest.mark.parametrize(("unit", "wide", "same", "k", "num"), [(512, 4096, 64, 3, 90), (6, 5, 2, 3, 90), (512, 4096, 64, 5, 80), (7, 3, 2, 5, 80), (512, 4096, 64, 2, 60)])
+def test_ngram_join(spark, monkeypatch, unit, wide, same, k, num):
     monkeypatch.setattr(partenum, "UNIT", unit)
+    monkeypatch.setattr(partenum, "WIDE", wide)
+    monkeypatch.setattr(partenum, "SAME", same)
     texts = near_copies(unit + num) + ["", " ", None, "one", "ONE", "one two", "one  two"]
     own = [(i, t) for i, t in enumerate(texts)] + [(3, texts[9]), (None, texts[9]), (4, texts[4])]
     df = spark.createDataFrame([(i, t, "n") for i, t in own], "doc_id long, text string, n string").repartition(3)
@@ -295,13 +296,31 @@ def test_ngram_join(spark, monkeypatch, unit, k, num):
     assert partenum.components(df.limit(0)).count() == 0
 
 
+def brute_sizes(real, k):
+    words = {d["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), d["text"] or "")) for d in real}
+    return {i: len({tuple(w[j : j + k]) for j in range(len(w) - k + 1)}) or min(len(w), 1) for i, w in words.items()}
+
+
 def test_op5_whole_table(spark, real):
-    ids = np.array([d["doc_id"] for d in real])
-    sets = list(shingle_sets([(d["text"] or "").encode() for d in real], 3))
-    want = dict(zip(ids.tolist(), partenum.linked(ids, sets, 90).tolist()))
     got = queries.op5_ngram_join(spark, SF).collect()
-    assert {r.doc_id: r.component_id for r in got} == want
-    assert {r.doc_id: r.n_shingles for r in got} == dict(zip(ids.tolist(), map(len, sets)))
+    assert {r.doc_id: r.component_id for r in got} == brute_components({d["doc_id"]: [d["text"] or ""] for d in real}, 3, 90)
+    assert {r.doc_id: r.n_shingles for r in got} == brute_sizes(real, 3)
+
+
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(8)
+    for num in (60, 80, 90):
+        for _ in range(200):
+            size = int(rng.integers(1, 900))
+            a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+            out = rng.random(len(a)) < rng.random() * (100 - num) / 50
+            b = np.unique(np.concatenate((a[~out], rng.integers(0, 1 << 63, int(rng.integers(0, size // 4 + 1)), np.uint64))))
+            if not len(b):
+                continue
+            drawn = partenum.sketches(np.concatenate((a, b)), np.array([len(a), len(b)]))
+            near = partenum.alike(np.array([1, 2]), np.array([len(a), len(b)]), drawn, num).tolist() == [0, 0]
+            common = len(np.intersect1d(a, b))
+            assert near or 100 * common < num * (len(a) + len(b) - common)
 
 
 @pytest.mark.parametrize("lot", [1 << 20, 7])
@@ -479,9 +498,8 @@ def test_pipeline_by_brute_force(spark, real):
         if (d["text"] or "") not in by_text or by_text[d["text"] or ""]["doc_id"] < d["doc_id"]:
             by_text[d["text"] or ""] = d
     left = list(by_text.values())
-    ids = np.array([d["doc_id"] for d in left])
-    root = partenum.linked(ids, list(shingle_sets([(d["text"] or "").encode() for d in left], 3)), 90)
-    left = [d for d, r in zip(left, root.tolist()) if r == d["doc_id"]]
+    root = brute_components({d["doc_id"]: [d["text"] or ""] for d in left}, 5, 80)
+    left = [d for d in left if root[d["doc_id"]] == d["doc_id"]]
     size = {d["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", d["text"] or "")) for d in left}
     per: dict[str, int] = {}
     for d in left:
@@ -505,10 +523,9 @@ def test_pipeline_drops_near_copies_of_five_words(spark, real):
     own = [" ".join(base), " ".join(swapped), " ".join(base + [f"y{i}" for i in range(20)]), " ".join(base + [f"z{i}" for i in range(40)]), None, None]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows(own), DOCS), SF).collect()
     assert sorted(r.doc_id for r in kept) == [0, 3, 4, 5]
-    ids = np.array([d["doc_id"] for d in real])
-    root = partenum.linked(ids, list(shingle_sets([(d["text"] or "").encode() for d in real], 5)), 80)
+    root = brute_components({d["doc_id"]: [d["text"] or ""] for d in real}, 5, 80)
     kept = corpus_pipeline.drop_near_copies(spark, queries.documents(spark, SF), SF).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(ids[root == ids].tolist())
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, r in root.items() if r == i)
 
 
 def test_token_counts_of_many_distinct_words(spark):
