@@ -50,7 +50,7 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
         data = np.frombuffer(b" ".join(some) + b" ", np.uint8)
         data = data + ((data >= 65) & (data <= 90)).view(np.uint8) * np.uint8(32)
         first, end = word_spans(data)
-        h = word_hashes(data, first, end)
+        h = mixed(word_hashes(data, first, end))  # else letters of neighbouring words could change places unseen
         ends = np.searchsorted(first, np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1))
         rolled = np.zeros(max(0, len(h) - k + 1), np.uint64)
         for j in range(k):

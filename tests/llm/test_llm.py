@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import bpe, components, exact_dedup, licenses, mixing, partenum, pii, quality, queries, token_count, topk, warc
 from loomline.llm.common import scratch_path, vocabulary
+from loomline.llm.shingles import shingle_sets
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -307,6 +308,11 @@ def test_op5_whole_table(spark, real):
     assert {r.doc_id: r.n_shingles for r in got} == brute_sizes(real, 3)
 
 
+def test_shingles_tell_swapped_letters_apart():
+    own = list(shingle_sets([b"de osdo de de esdo do", b"De  osdo\nDE de esdo do", b"one two", b"two one", b""], 3))
+    assert [len(s) for s in own] == [4, 4, 1, 1, 0] and own[0].tolist() == own[1].tolist() and own[2] != own[3]
+
+
 def test_sketches_rule_out_no_link():
     rng = np.random.default_rng(8)
     for num in (60, 80, 90):
