@@ -1,8 +1,10 @@
 """Byte-level BPE: encoding by cached pair merging over vectorised pre-tokens, and decoding.
 
 encode() and decode() are general operators; each text keeps its ids and, on request, the byte offset at which each id's
-bytes start in the text, so a range of ids maps back to a range of bytes without decoding the rest. A null text counts as
-empty and has no ids; repeated rows and ties need no care, as rows don't meet; further columns pass through.
+bytes start in the text; decoding puts each id's bytes at its offset, and a range of bytes is decoded from the ids that
+touch it alone. A null text counts as empty and has no ids; very long texts are encoded in pieces that end between
+pre-tokens; an empty table gives an empty one; repeated rows and ties need no care, as rows don't meet; further columns
+pass through.
 """
 
 from __future__ import annotations
@@ -137,7 +139,7 @@ class Slots:
         return value_out
 
     def put(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> None:
-        """Adds keys that aren't there; the few that find no slot stay out."""
+        """Adds keys that aren't there; the few that find no slot stay out, which a cache can do with: see of() for a table."""
         slot, last = self.home(low, high), (1 << self.bits) - 1
         left = np.arange(len(low))
         for _ in range(self.PROBES):
@@ -150,8 +152,19 @@ class Slots:
             placed[won] = True
             left = left[~placed[left]]
             if not len(left):
-                return
+                break
             slot[left] = (slot[left] + 1) & last
+        self.out = len(left)
+
+    @classmethod
+    def of(cls, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> Slots:
+        """A table of all these distinct keys, as large as it takes."""
+        for bits in range(max(8, (4 * len(low)).bit_length()), 31):
+            made = cls(bits)
+            made.put(low, high, value)
+            if not made.out:
+                return made
+        raise ValueError("keys repeat")
 
 
 class Merger:
@@ -161,15 +174,13 @@ class Merger:
 
     def __init__(self, ranks: dict[bytes, int], pairs: dict[int, int], whole: bool) -> None:
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.pairs = Slots(max(8, (4 * len(pairs)).bit_length()))
-        self.pairs.put(np.fromiter(pairs, np.uint64, len(pairs)), np.ones(len(pairs), np.uint64), np.fromiter(pairs.values(), np.int32, len(pairs)))
+        self.pairs = Slots.of(np.fromiter(pairs, np.uint64, len(pairs)), np.ones(len(pairs), np.uint64), np.fromiter(pairs.values(), np.int32, len(pairs)))
         self.tokens = None
         if whole:
             short = [t for t in ranks if len(t) <= SHORT]
             length = np.fromiter(map(len, short), np.int64, len(short))
             low, high = keys(b"".join(short), np.cumsum(length) - length, length)
-            self.tokens = Slots(max(8, (4 * len(short)).bit_length()))
-            self.tokens.put(low, high, np.fromiter((ranks[t] for t in short), np.int32, len(short)))
+            self.tokens = Slots.of(low, high, np.fromiter((ranks[t] for t in short), np.int32, len(short)))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         found = self.pairs.get(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64), np.ones(left.shape, np.uint64))
@@ -349,11 +360,17 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", packe
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes that ids stand for, as binary; null ids count as none, an id that isn't in the file has no bytes."""
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", offsets: str | None = None, span: tuple[int, int] | None = None) -> DataFrame:
+    """Adds the bytes that ids stand for, as binary; null ids count as none, an id that isn't in the file has no bytes.
+
+    offsets names the column of offsets that encode() has kept: each id's bytes are then put where its offset says, and
+    with span (first byte, past the last) only ids that touch these bytes are decoded, for those bytes of the text.
+    Without offsets ids follow each other.
+    """
     kept = [c for c in df.columns if c != out]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.BinaryType())])
-    packed = isinstance(df.schema[ids].dataType, T.BinaryType)
+    numbers = lambda c, row: np.frombuffer(row or b"", "<u4").astype(np.int64) if isinstance(c, T.BinaryType) else np.array(row or [], np.int64)
+    kind, at_kind = df.schema[ids].dataType, df.schema[offsets].dataType if offsets else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, first, count = token_bytes(path)
@@ -361,10 +378,28 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 made = []
-                for row in part.column(ids).to_pylist():
-                    own = np.frombuffer(row or b"", "<u4") if packed else np.array(row or [], np.int64)
-                    own = own[(own < len(count)) & (own >= 0)]
-                    made.append(gather(data, first[own], count[own]).tobytes())
+                rows = part.column(ids).to_pylist()
+                for row, at in zip(rows, part.column(offsets).to_pylist() if offsets else [None] * len(rows)):
+                    own = numbers(kind, row)
+                    ok = (own < len(count)) & (own >= 0)
+                    if offsets:
+                        made.append(put(data, first, count, own[ok], numbers(at_kind, at)[ok], span))
+                    else:
+                        made.append(gather(data, first[own[ok]], count[own[ok]]).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(made, pa.binary())], names=kept + [out])
 
     return df.mapInArrow(run, schema)
+
+
+def put(data: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndarray, at: np.ndarray, span: tuple[int, int] | None) -> bytes:
+    """The bytes of ids, each at its offset; of a span, if there is one."""
+    if span:
+        low, high = np.searchsorted(at + count[ids], span[0], "right"), np.searchsorted(at, span[1], "left")
+        ids, at = ids[low:high], at[low:high]
+    if not len(ids):
+        return b""
+    size, base = count[ids], int(at[0])
+    whole = np.zeros(int(at[-1] + size[-1]) - base, np.uint8)
+    ends = np.cumsum(size)
+    whole[np.arange(ends[-1]) + np.repeat(at - base - ends + size, size)] = gather(data, first[ids], size)
+    return whole[max(0, span[0] - base) : span[1] - base].tobytes() if span else whole.tobytes()

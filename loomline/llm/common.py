@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +20,33 @@ _scratch: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[set[str]]:
+    """Deletes the scratch paths made inside, at the end, but those added to the set that it gives."""
+    before, keep = set(_scratch), set()
+    yield keep
+    for path in set(_scratch) - before - keep:
+        drop_scratch(spark, path)
+
+
+def prefix(*columns: str) -> str:
+    """The start of names that no column of these has, whatever its case."""
+    found = "_"
+    while any(c.lower().startswith(found) for c in columns):
+        found += "_"
+    return found
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when this driver process ends."""
     path = f"{shared_dir(spark)}/loomline-{name}-{uuid.uuid4().hex}"
@@ -51,10 +72,10 @@ def _clean() -> None:
                 return
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back."""
+def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder, at path or a fresh one, and read it back."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,16 +87,35 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int)
     can be HOT_SHARE at most, go by broadcast; all others by a shuffled join whose partitions stay even.
     """
     floor = max(2, total // HOT_SHARE)
+    inner = prefix(*rows.columns, *keyed.columns)
     names = [c for c in keyed.columns if c != key]
-    hot = keyed.where(F.col(weight) >= floor).select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in names])
+    hot = keyed.where(F.col(weight) >= floor).select(key, F.lit(True).alias(f"{inner}hot"), *[F.col(c).alias(f"{inner}h_{c}") for c in names])
     first = rows.join(F.broadcast(hot), key, "left")
     cold = keyed.where(F.col(weight) < floor)
     back = [c for c in rows.columns if c != key]
-    done = first.where("_hot").select(key, *back, *[F.col(f"_h_{c}").alias(c) for c in names])
-    rest = first.where("_hot is null").select(key, *back).join(cold, key, "left").select(key, *back, *names)
+    done = first.where(F.col(f"{inner}hot")).select(key, *back, *[F.col(f"{inner}h_{c}").alias(c) for c in names])
+    rest = first.where(F.col(f"{inner}hot").isNull()).select(key, *back).join(cold, key, "left").select(key, *back, *names)
     return done.unionByName(rest)
 
 
+def bitmap(keys: DataFrame, column: str, bits: tuple[int, int] = (16, 26)) -> tuple[DataFrame, int]:
+    """(_word, _bits) of a bitmap of the hashes of a column, and its size as a power of 2: 16 bits a row, within these bounds (8 MB)."""
+    power = min(bits[1], max(bits[0], (16 * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << power))
+    bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    return keys.select(slot.alias("_slot")).groupBy(F.expr("shiftright(_slot, 6)").alias("_word")).agg(F.bit_or(bit).alias("_bits")), power
+
+
+def in_bitmap(df: DataFrame, column: str, found: tuple[DataFrame, int], how: str) -> DataFrame:
+    """Rows of df whose column may be among the keys (how left_semi), or can't (left_anti); the bitmap is broadcast."""
+    inner, (words, power) = prefix(*df.columns), found
+    words = words.select(F.col("_word").alias(f"{inner}word"), F.col("_bits").alias(f"{inner}bits"))
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << power))
+    hit = F.col(f"{inner}bits").bitwiseAND(F.col(f"{inner}bit")) != 0
+    marked = df.withColumns({f"{inner}at": F.shiftright(slot, 6), f"{inner}bit": F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))})
+    return marked.join(F.broadcast(words), (F.col(f"{inner}at") == F.col(f"{inner}word")) & hit, how).select(*df.columns)
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings; null counts as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

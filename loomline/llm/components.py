@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import HOT_SHARE, cut, lookup
+from loomline.llm.common import HOT_SHARE, cut, drop_scratch, lookup, scratch_path
 
 #: Edges whose forest is made at once, in a task.
 AT_ONCE = 1 << 20
@@ -74,7 +74,17 @@ def connected(edges: DataFrame) -> DataFrame:
     at most. So no task gathers a node's neighbours.
     """
     given = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    by_node = lambda rows: cut(forest(rows.repartition("a").sortWithinPartitions("a")), "edges")
+    spark, path = edges.sparkSession, None
+
+    def by_node(rows: DataFrame) -> DataFrame:
+        """The next round's edges; the last round's table is not needed any more."""
+        nonlocal path
+        old, path = path, scratch_path(spark, "edges")
+        done = cut(forest(rows.repartition("a").sortWithinPartitions("a")), "edges", path)
+        if old:
+            drop_scratch(spark, old)
+        return done
+
     now = by_node(forest(given))
     while True:
         both = now.select("a", "b", F.lit(1).alias("up")).union(now.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0)))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.llm.common import prefix
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, REPEAT = (5.0, 2.0, 1.0), 3
 
@@ -52,10 +54,11 @@ def fraction(key: Column, seed: str) -> Column:
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, repeat: int = REPEAT, seed: str = "mix") -> DataFrame:
     """df with size, source_size, target and copies: how often the mix takes each row. Columns of those names give way."""
     added = ["size", "source_size", "target", "copies"]
+    inner = prefix(*df.columns, *added)
     sized = df.select(*[c for c in df.columns if c not in added], words(F.col(text)).alias("size"))
-    goals = targets(df.select(F.col(source), words(F.col(text)).alias("size")), source, "size", weights, repeat)
+    goals = targets(df.select(F.col(source), words(F.col(text)).alias("size")), source, "size", weights, repeat).withColumnRenamed("_source", f"{inner}source")
     # sources are few whatever the rows: the join is left to the planner, which broadcasts by size
-    joined = sized.join(goals, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
+    joined = sized.join(goals, F.col(source).eqNullSafe(F.col(f"{inner}source")), "left").drop(f"{inner}source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(repeat)))).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(fraction(F.col(key), seed) < rate - F.floor(rate), 1).otherwise(0)
     return joined.withColumn("copies", copies.cast("long"))
@@ -63,5 +66,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
 def emit(df: DataFrame, **options: object) -> DataFrame:
     """The rows of df, each as often as the mix takes it."""
-    mixed = mix(df, **options)
-    return mixed.where("copies > 0").select(*df.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    inner = prefix(*df.columns)
+    aside = {c: f"{inner}{c}" for c in df.columns if c in ("size", "source_size", "target", "copies")}
+    mixed = mix(df.withColumnsRenamed(aside), **options).where("copies > 0")
+    copy = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias(f"{inner}copy")
+    return mixed.select(*[F.col(aside.get(c, c)).alias(c) for c in df.columns], copy).drop(f"{inner}copy")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut
+from loomline.llm.common import bitmap, cut, in_bitmap
 from loomline.llm.components import connected
 from loomline.llm.shingles import mixed, shingle_sets
 
@@ -41,8 +41,6 @@ from loomline.llm.shingles import mixed, shingle_sets
 UNIT, WIDE, SAME = 512, 4096, 64
 #: Bits of a sketch, as powers of 2: about one for each element.
 LEAST_BITS, MOST_BITS = 6, 16
-#: Bits of the broadcast map of documents in clusters, as powers of 2: 8 MB at most.
-BITS, TOP_BITS = 16, 26
 #: First-level partitions that a set may pass over, and the least elements of a signature that is sent all the same.
 SPARE, FEW = 2, 4
 #: Elements whose signatures are made at once.
@@ -298,16 +296,6 @@ def verify(rows: DataFrame, k: int, num: int) -> DataFrame:
     return by_unit(rows, ["text"], lambda ids, texts: linked(ids, list(shingle_sets([(t or "").encode() for t in texts], k)), num))
 
 
-def among(own: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows of own whose doc is a member, and few that aren't: by a broadcast bitmap of hashes, 16 bits a member but 1 << TOP_BITS at most."""
-    bits = min(TOP_BITS, max(BITS, (16 * members.count()).bit_length()))
-    slot = f"pmod(xxhash64(doc), {1 << bits})"
-    word, bit = F.expr(f"shiftright({slot}, 6)"), F.expr(f"shiftleft(1L, cast(pmod({slot}, 64) as int))")
-    bitmap = members.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    marked = own.withColumns({"_w": word, "_b": bit})
-    return marked.join(F.broadcast(bitmap), (F.col("_w") == F.col("_word")) & (F.col("_bits").bitwiseAND(F.col("_b")) != 0), "left_semi").drop("_w", "_b")
-
-
 def edges_of(met: DataFrame) -> DataFrame:
     return met.where("root <> doc").select(F.col("doc").alias("a"), F.col("root").alias("b"))
 
@@ -354,7 +342,7 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     members = cut(dealt(clusters.select("root", F.col("node").alias("doc")), UNIT), "members")
     own = docs.where("_id is not null").select(F.col("_id").alias("doc"), F.col("_text").alias("text"))
     # texts travel once, and only those of members and of few others
-    texts = cut(among(own, members).join(members.select("doc").hint("shuffle_merge"), "doc"), "texts")
+    texts = cut(in_bitmap(own, "doc", bitmap(members, "doc"), "left_semi").join(members.select("doc").hint("shuffle_merge"), "doc"), "texts")
     links = meet(members, texts, UNIT, lambda rows: verify(rows, k, num))
     roots = connected(links.union(found.where("other is not null").select("doc", "other")))
     rows = found.where("n is not null").select("doc", "n")

@@ -2,19 +2,24 @@
 
 A logistic model over text statistics minimises the non-negative unbiased risk: with class prior p, the loss of trusted
 positives as positives counts p; the loss of unlabelled texts as negatives, less p times that of positives as negatives,
-counts if it is above zero, and is otherwise pushed back up. The prior is estimated as the share of label 1 among
-labelled rows. Positives and unlabelled texts are bounded samples by a hash of the id: at most POSITIVES and UNLABELLED
-rows, whatever the corpus holds. Every whole text is then scored.
+counts if it is above zero, and is otherwise pushed back up. The prior is estimated from positives and unlabelled texts
+alone: a classifier of the two is fitted on one half of each, and of the other halves the least ratio of unlabelled to
+positive shares above a threshold, allowing for sampling error, is the share of positives among unlabelled texts (best
+bin estimation, Garg et al. 2021). Labels 0 play no part. Positives and unlabelled texts are bounded samples by a hash
+of the id: at most POSITIVES and UNLABELLED rows, whatever the corpus holds, collected by one job. Every whole text is
+then scored.
 
 Features come from the text alone: shares of its bytes, lengths, repeated and distinct words, words in capitals. A null
-text is empty; empty texts are scored from zeros like any other. Rows don't meet in scoring; new columns replace ones of
-the same name. Without positives the score is the prior for every row, 1 without labels.
+text is empty; empty texts are scored from zeros like any other, very long ones whole. Rows don't meet in scoring, so
+repeated rows share a score; new columns replace ones of the same name; an empty table gives an empty one. Rows with a
+null id are scored, not learnt from. Without trusted positives or without unlabelled texts every score is 1.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.llm.common import prefix
 from loomline.llm.shingles import word_hashes, word_spans
 
 POSITIVES, UNLABELLED = 6000, 12000
@@ -77,28 +83,61 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> dict[str, np.ndarray]:
-    """Weights that minimise the non-negative risk, by Adam over whole samples; the same for the same samples."""
+def scaled(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, ...]:
     both = np.concatenate((positive, unlabelled)).astype(np.float64)
     mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    p, u = np.clip(p, -8, 8), np.clip(u, -8, 8)
-    rng = np.random.default_rng(SEED)
-    w, b = rng.normal(0, 0.01, p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, STEPS + 1):
-        sp, su = sigmoid(p @ w + b), sigmoid(u @ w + b)
-        # logistic losses: -log s as positive, -log(1 - s) as negative
-        up, uu = -np.log1p(-np.minimum(sp, 1 - 1e-12)).mean(), -np.log1p(-np.minimum(su, 1 - 1e-12)).mean()
-        negative = uu - prior * up
-        grad = lambda x, d: np.append(x.T @ d, d.sum()) / len(x)
-        as_positive, as_negative = grad(p, sp - 1), grad(u, su) - prior * grad(p, sp)
-        g = prior * as_positive + as_negative if negative >= 0 else -as_negative
-        g[:-1] += DECAY * w
+    return mean, scale, np.clip((positive - mean) / scale, -8, 8), np.clip((unlabelled - mean) / scale, -8, 8)
+
+
+def descend(dim: int, gradient: Callable[[np.ndarray], np.ndarray], steps: int = STEPS) -> np.ndarray:
+    """Weights, the last one the bias, by Adam over whole samples; the same for the same samples."""
+    w = np.append(np.random.default_rng(SEED).normal(0, 0.01, dim), 0.0)
+    m, v = np.zeros(dim + 1), np.zeros(dim + 1)
+    for t in range(1, steps + 1):
+        g = gradient(w)
+        g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return {"mean": mean, "scale": scale, "w": w, "b": np.array(b)}
+        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def loss(x: np.ndarray, w: np.ndarray, positive: bool) -> tuple[float, np.ndarray]:
+    """The mean logistic loss of rows taken as positives or as negatives, and its gradient."""
+    z = x @ w[:-1] + w[-1]
+    d = sigmoid(z) - positive
+    return float(np.logaddexp(0, -z if positive else z).mean()), np.append(x.T @ d, d.sum()) / len(x)
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """The non-negative unbiased risk, and the direction to descend along: its gradient, or away from a negative part below zero."""
+    (as_positive, g_positive), (p_negative, gp), (u_negative, gu) = loss(positive, w, True), loss(positive, w, False), loss(unlabelled, w, False)
+    rest, g_rest = u_negative - prior * p_negative, gu - prior * gp
+    return prior * as_positive + max(0.0, rest), prior * g_positive + g_rest if rest >= 0 else -g_rest
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, sure: float = 0.05) -> float:
+    """The share of positives among unlabelled rows, by best bin estimation over held-out halves."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 1.0
+    mean, scale, p, u = scaled(positive, unlabelled)
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        return (loss(p[::2], w, True)[1] + loss(u[::2], w, False)[1]) / 2
+
+    w = descend(p.shape[1], gradient, STEPS // 2)
+    sp, su = (np.sort(x[1::2] @ w[:-1] + w[-1]) for x in (p, u))
+    above_p = 1 - np.arange(len(sp)) / len(sp)
+    above_u = 1 - np.searchsorted(su, sp, "left") / len(su)
+    error = math.sqrt(math.log(4 / sure) / 2 / len(su)) + math.sqrt(math.log(4 / sure) / 2 / len(sp))
+    best = int(np.argmin((above_u + 1.01 * error) / above_p))
+    return float(min(1.0, max(above_u[best] / above_p[best], 1 / len(su))))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> dict[str, np.ndarray]:
+    """Weights that minimise the non-negative risk."""
+    mean, scale, p, u = scaled(positive, unlabelled)
+    w = descend(p.shape[1], lambda w: risk(p, u, prior, w)[1])
+    return {"mean": mean, "scale": scale, "w": w[:-1], "b": np.array(w[-1])}
 
 
 def predict(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -116,22 +155,25 @@ def text_features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
-    """The model and prior, from labels (key, label) and the texts of df."""
+    """The model and prior, from labels (key, label) and the texts of df. An id with several rows brings all their texts."""
     rank = [F.xxhash64(F.col(key), F.lit(SEED)), F.col(key)]
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    row = known.agg(F.avg((F.col(label) == 1).cast("double"))).first()
-    prior = float(row[0]) if row[0] is not None else 1.0
-    trusted = known.where(F.col(label) == 1).select(key).distinct().orderBy(*rank).limit(positives).withColumn("_positive", F.lit(True))
-    rest = df.select(key).where(F.col(key).isNotNull()).orderBy(*rank).limit(unlabelled).distinct().withColumn("_positive", F.lit(False))
-    chosen = F.broadcast(trusted.unionByName(rest))  # at most positives + unlabelled ids
-    rows = text_features(df.select(key, text).join(chosen, key).select("_positive", text), text, ["_positive"])
-    p, u = [], []
-    for r in rows.toLocalIterator():
-        (p if r._positive else u).append(np.frombuffer(r._x, np.float32))
+    trusted = known.where(F.col(label) == 1).select(key).distinct().orderBy(*rank).limit(positives)
+    rest = df.select(key).where(F.col(key).isNotNull()).orderBy(*rank).limit(unlabelled).distinct()
+    inner = prefix(*df.columns)
+    kinds = [some.select(F.col(key).alias(f"{inner}id"), F.lit(kind).alias("_positive")) for some, kind in ((trusted, True), (rest, False))]
+    chosen = F.broadcast(kinds[0].unionByName(kinds[1]))  # at most positives + unlabelled ids
+    rows = text_features(df.select(F.col(key), F.col(text).alias("_text")).join(chosen, F.col(key) == F.col(f"{inner}id")).select("_positive", "_text"), "_text", ["_positive"])
+    got = rows.toArrow()  # one job; a row is a kilobyte whatever its text
+    side = np.asarray(got.column("_positive"), bool)
+    made = [np.frombuffer(x, np.float32) for x in got.column("_x").to_pylist()]
+    p, u = [x for x, own in zip(made, side) if own], [x for x, own in zip(made, side) if not own]
     if not p or not u:
-        return {"prior": prior}
+        return {"prior": 1.0}
     order = lambda some: np.array(sorted(some, key=lambda x: zlib.crc32(x.tobytes())))  # noqa: E731  sums don't depend on the order of rows
-    return fit(order(p), order(u), min(prior, 0.999)) | {"prior": prior}
+    p, u = order(p), order(u)
+    prior = class_prior(p, u)
+    return fit(p, u, min(prior, 0.999)) | {"prior": prior}
 
 
 def score(df: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:

@@ -24,8 +24,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, packed=True).select("doc_id", "ids")
-    back = bpe.decode(ids, path)
+    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, packed=True, offsets="at").select("doc_id", "ids", "at")
+    back = bpe.decode(ids, path, offsets="at")
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

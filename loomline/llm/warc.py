@@ -1,13 +1,17 @@
 """WARC archives as a Python data source, read and written.
 
 Reading plans a partition per file; predicates on record_type, record_id, target_uri and payload_digest are pushed down.
-A record's headers are parsed first: where they fail a predicate, the payload is passed over without being kept. Where the
-option payload is "false", the payloads of the other records are read all the same and given as null. Writing gives each task files of its own, rolled at ROLL bytes, every record
-a gzip member; a manifest names the files of the tasks that were committed, so what a lost executor left is not read.
-
-Null payloads are empty records; null ids, addresses and dates are left out of the headers and read back as null. Line
-ends in header values are percent-encoded. Repeated rows are records of their own. Columns of a table that the format
-has no place for are not written.
+A record's headers are parsed first: where they fail a predicate, the block is passed over, never kept, and no text of it
+decoded. Where the option payload is "false", only the HTTP header at the start of a block is kept, to tell the payload's
+length, and the rest is passed over too. Writing gives each task files of its own, rolled at ROLL bytes, every record a
+gzip member; each job adds a manifest that names the files of its committed tasks, so what a lost executor left is not
+read, appended jobs are all read, and overwriting takes the older manifests away once the new one stands. A folder
+without manifests, as other tools write it, is read by its files' names.
+
+Header names count in any case. payload_bytes is the length of the block behind its HTTP header, and of a revisit, which
+has none, the length that the HTTP header gives. Null payloads are empty records; null ids, addresses and dates are left
+out of the headers and read back as null. Line ends in header values are percent-encoded. Repeated rows are records of
+their own; an empty table makes an archive without records. Columns of a table that the format has no place for are not written.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 WRITTEN = ["record_id", "record_type", "target_uri", "date", "refers_to", "payload_digest", "payload_bytes", "payload"]
 #: Bytes of a file before the next is begun, and records handed on at once.
 ROLL, BATCH, BATCH_BYTES, STEP = 64 << 20, 1024, 16 << 20, 1 << 16
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEADER = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 
@@ -67,8 +71,8 @@ class Committed(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Committed:
         fs, root = open_fs(self.path)
@@ -93,8 +97,13 @@ class Writer(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
+        older = [i.path for i in manifests(fs, root)] if self.overwrite else []
+        name = f"{root}/{MANIFEST}{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{name}.tmp") as out:
             out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+        fs.move(f"{name}.tmp", f"{name}.json")
+        for path in older:
+            fs.delete_file(path)
 
     def abort(self, messages: list) -> None:
         """Nothing to undo: files that no manifest names are not read."""
@@ -105,8 +114,13 @@ class Part(InputPartition):
         self.files = files
 
 
+def manifests(fs: pafs.FileSystem, root: str) -> list[pafs.FileInfo]:
+    return [i for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if i.base_name.startswith(MANIFEST) and i.base_name.endswith(".json")]
+
+
 def members(fs: pafs.FileSystem, file: str, wanted) -> Iterator[tuple[dict, bytes | None]]:  # noqa: ANN001
-    """(headers, block) of each record; the block is None where wanted(headers) says no, and is then not kept."""
+    """(headers, block) of each record, header names in lower case. wanted(headers) tells how much of the block is kept:
+    all (True), nothing (False, the block is None) or what comes before the first empty line (None)."""
     with fs.open_input_stream(file, compression=None) as stream:
         raw = stream.read(STEP)
         packed = raw[:2] == b"\x1f\x8b"
@@ -139,12 +153,14 @@ def members(fs: pafs.FileSystem, file: str, wanted) -> Iterator[tuple[dict, byte
                 if held.strip():
                     raise ValueError(f"{file} holds a record without headers")
                 continue
-            headers = dict(line.split(": ", 1) for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-            left, keep = int(headers.get("Content-Length", 0)), wanted(headers)
-            body, parts = held[end + 4 :], []
+            headers = {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:]) if colon}
+            left, keep = int(headers.get("content-length", 0)), wanted(headers)
+            body, parts, seen = held[end + 4 :], [], b""
             while True:
                 if keep:
                     parts.append(body[:left])
+                elif keep is None and b"\r\n\r\n" not in seen:
+                    seen += body[:left]
                 over, left = body[left:], left - min(left, len(body))
                 if not left:
                     break
@@ -157,7 +173,7 @@ def members(fs: pafs.FileSystem, file: str, wanted) -> Iterator[tuple[dict, byte
                 raw = over.lstrip(b"\r\n") + raw
                 if not raw:
                     raw = stream.read(STEP)
-            yield headers, b"".join(parts) if keep else None
+            yield headers, b"".join(parts) if keep else seen.partition(b"\r\n\r\n")[0] if keep is None else None
 
 
 class Reader(DataSourceReader):
@@ -174,13 +190,14 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         fs, root = open_fs(self.path)
-        found = {i.base_name: i for i in fs.get_file_info(pafs.FileSelector(root))}
-        if MANIFEST in found:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as stream:
-                names = json.loads(stream.read())
+        names = []
+        if listed := manifests(fs, root):
+            for info in listed:
+                with fs.open_input_stream(info.path) as stream:
+                    names += json.loads(stream.read())
         else:
-            names = sorted(n for n in found if n.endswith((".warc", ".warc.gz")))
-        return [Part([f"{root}/{n}"]) for n in names] or [Part([])]
+            names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(root)) if i.base_name.endswith((".warc", ".warc.gz"))]
+        return [Part([f"{root}/{n}"]) for n in sorted(names)] or [Part([])]
 
     def passes(self, headers: dict) -> bool:
         for name, kind, value in self.tests:
@@ -192,13 +209,24 @@ class Reader(DataSourceReader):
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         fs, _ = open_fs(self.path)
         rows, size = [], 0
+
+        def wanted(headers: dict) -> bool | None:
+            if not self.passes(headers):
+                return False
+            return True if self.payload else None if is_http(headers) else False
+
         for file in partition.files:
-            for headers, block in members(fs, file, self.passes):
-                if block is None:
+            for headers, block in members(fs, file, wanted):
+                if block is None and not self.passes(headers):
                     continue
-                http, _, payload = block.partition(b"\r\n\r\n") if "application/http" in headers.get("Content-Type", "") else (b"", b"", block)
-                found = re.search(rb"(?im)^content-length: *(\d+)", http)
-                rows.append({n: plain(headers, n) for n in _HEADER} | {"payload_bytes": int(found[1]) if found else len(payload), "headers": list(headers.items()), "payload": payload if self.payload and headers.get("WARC-Type") != "revisit" else None})
+                total = int(headers.get("content-length", 0))
+                http, payload = b"", block or b""
+                if is_http(headers):
+                    http, _, payload = block.partition(b"\r\n\r\n") if self.payload else (block, b"", b"")
+                    total = max(0, total - len(http) - 4)
+                kind = plain(headers, "record_type")
+                told = re.search(rb"(?im)^content-length: *(\d+)", http) if kind == "revisit" else None
+                rows.append({n: plain(headers, n) for n in _HEADER} | {"payload_bytes": int(told[1]) if told else total, "headers": list(headers.items()), "payload": payload if self.payload and kind != "revisit" else None})
                 size += len(payload)
                 if len(rows) >= BATCH or size >= BATCH_BYTES:
                     yield table(rows)
@@ -207,8 +235,12 @@ class Reader(DataSourceReader):
             yield table(rows)
 
 
+def is_http(headers: dict) -> bool:
+    return "application/http" in headers.get("content-type", "").lower()
+
+
 def plain(headers: dict, name: str) -> str | None:
-    value = headers.get(_HEADER[name])
+    value = headers.get(_HEADER[name].lower())
     if value is None:
         return None
     return value.removeprefix("sha1:") if name == "payload_digest" else value.strip("<>") if name in ("record_id", "refers_to") else value
@@ -231,7 +263,7 @@ class WarcSource(DataSource):
         return Reader(self.options["path"], self.options.get("payload", "true").lower() != "false")
 
     def writer(self, schema: object, overwrite: bool) -> Writer:
-        return Writer(self.options["path"])
+        return Writer(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -247,7 +279,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 def with_revisits(pages: DataFrame, key: str, payload: str, least: int = 0) -> DataFrame:
     """pages with _refers: of rows whose payloads are equal and have least bytes, all but the largest key refer to it."""
-    marked = pages.withColumn("_sum", F.sha2(F.coalesce(F.col(payload), F.lit("")).cast("binary"), 256)).withColumn("_long", F.octet_length(F.coalesce(F.col(payload), F.lit(""))) >= least)
+    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+    marked = pages.withColumn("_sum", F.sha2(body, 256)).withColumn("_long", F.octet_length(body) >= least)
     total = pages.count()
     groups = marked.where("_long").groupBy("_sum").agg(F.max(key).alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     joined = lookup(marked, groups, "_sum", "_n", total)
@@ -260,19 +293,19 @@ def write_pages(pages: DataFrame, path: str, key: str = "page_id", url: str = "u
     The key is the record's id, urn:page:<key>; rows with a null key have a record without id.
     """
     register(pages.sparkSession)
-    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    own = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("body"))
+    rows = with_revisits(own, "key", "body", least).withColumn("_digest", F.sha1("body"))
     name = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
-    rows = with_revisits(pages.select(key, url, payload), key, payload, least).withColumns({"_body": body, "_digest": F.sha1(body)})
     hexed = F.unhex("_digest")
     rows.select(
-        name(F.col(key)).alias("record_id"),
+        name(F.col("key")).alias("record_id"),
         F.when(F.col("_refers").isNotNull(), "revisit").otherwise("response").alias("record_type"),
-        F.col(url).cast("string").alias("target_uri"),
+        F.col("url").alias("target_uri"),
         F.lit(date).alias("date"),
         name(F.col("_refers")).alias("refers_to"),
         base32(hexed).alias("payload_digest"),
-        F.octet_length("_body").cast("long").alias("payload_bytes"),
-        F.when(F.col("_refers").isNull(), F.col("_body")).alias("payload"),
+        F.octet_length("body").cast("long").alias("payload_bytes"),
+        F.when(F.col("_refers").isNull(), F.col("body")).alias("payload"),
     ).write.format("warc").mode("append").save(path)
 
 

@@ -394,7 +394,7 @@ def test_warc_round_trip(spark):
         else:
             assert r.record_type == "response" and bytes(r.payload) == body and r.refers_to is None
         if url == "http://d":
-            assert r.target_uri == url and dict(r.headers)["WARC-Type"] == "response"
+            assert r.target_uri == url and dict(r.headers)["warc-type"] == "response"
     few = warc.read_warc(spark, path, payload=False).where("record_type = 'revisit' and target_uri like 'http:%'")
     assert "PushedFilters" not in few._jdf.queryExecution().toString() or few.count() == 1
     assert few.count() == 1
@@ -545,17 +545,140 @@ def test_token_counts_of_many_distinct_words(spark):
     assert [r.n_tokens for r in token_count.count_tokens(df, path, top=0).orderBy("n").collect()] == [count, count + 1]
 
 
-def test_frequent_pre_tokens_of_all_rows(spark, monkeypatch):
+def test_frequent_pre_tokens(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     texts = [f" a b{i % 3} unusually-long-words-{i} {'x' * 20} déjà" if i else None for i in range(300)]
     pre = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")).pre_tokenizer
     want = Counter(t[a:b].encode() for t in texts if t for _, (a, b) in pre.pre_tokenize_str(t) if len(t[a:b].encode()) <= 15)
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
-    spell = lambda r: r.low.to_bytes(8, "little", signed=True) + r.high.to_bytes(8, "little", signed=True)
-    got = {spell(r)[: spell(r)[15]]: r.n for r in token_count.frequent(df, "text").collect()}
-    assert got == want
+    spell = lambda low, high: (x := int(low).to_bytes(8, "little") + int(high).to_bytes(8, "little"))[: x[15]]
+    got = [spell(a, b) for a, b in zip(*token_count.frequent(df, "text"))]
+    assert set(got) == set(want) and [want[x] for x in got] == sorted(want.values(), reverse=True)
+    assert [want[spell(a, b)] for a, b in zip(*token_count.frequent(df, "text", top=3))] == sorted(want.values(), reverse=True)[:3]
+    some = [spell(a, b) for a, b in zip(*token_count.frequent(df, "text", sample=100))]
+    assert 10 < len(some) < len(got) and set(some) < set(got)
     monkeypatch.setattr(token_count, "KEPT", 2)
     parts = [(np.array([5, 9, 5], np.uint64), np.array([1, 1, 1], np.uint64), np.array([1, 1, 1])), (np.array([9, 9], np.uint64), np.array([1, 2], np.uint64), np.array([2, 1]))]
     assert [x.tolist() for x in token_count.summed(parts, 2)] == [[9, 5], [1, 1], [3, 2]]
-    assert token_count.frequent(df.limit(0), "text").count() == 0
+    assert len(token_count.frequent(df.limit(0), "text")[0]) == 0
+    assert token_count.count_tokens(df.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
+
+
+def test_tables_of_keys_lose_none():
+    rng = np.random.default_rng(1)
+    low = np.unique(rng.integers(0, 1 << 40, 100000, np.uint64))
+    made = bpe.Slots.of(low, np.ones(len(low), np.uint64), np.arange(len(low), dtype=np.int32))
+    assert (made.get(low, np.ones(len(low), np.uint64)) == np.arange(len(low))).all()
+    ranks = bpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    pairs, e = bpe.pair_table(ranks), bpe.encoder(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    key = np.fromiter(pairs, np.uint64, len(pairs))
+    assert (e.many.rank(key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)) == np.fromiter(pairs.values(), np.int32, len(pairs))).all()
+
+
+def test_decoding_by_offsets(spark, docs):
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    for packed in (True, False):
+        made = bpe.encode(docs, path, packed=packed, offsets="at")
+        for span in (None, (0, 3), (2, 9), (5, 5000), (10**6, 10**6 + 1)):
+            for r in bpe.decode(made, path, offsets="at", span=span).collect():
+                body = (r.text or "").encode()
+                assert bytes(r.decoded) == (body if span is None else body[slice(*span)]), (r.text, span)
+    assert bpe.decode(bpe.encode(docs.limit(0), path, offsets="at"), path, offsets="at").count() == 0
+
+
+def test_risk_against_a_plain_version():
+    rng = np.random.default_rng(2)
+    p, u, w = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (60, 3)), rng.normal(0, 1, 4)
+    log = lambda z: float(np.log(1 / (1 + np.exp(-z))))
+
+    def plain(w, prior):
+        z = lambda x: sum(a * b for a, b in zip(x, w[:3])) + w[3]
+        mean = lambda rows, sign: sum(-log(sign * z(x)) for x in rows) / len(rows)
+        return prior * mean(p, 1), mean(u, -1) - prior * mean(p, -1)
+
+    for prior in (0.05, 0.5, 0.95):
+        for at in (w, 3 * w, -w):
+            first, rest = plain(at, prior)
+            got, move = quality.risk(p, u, prior, at)
+            assert got == pytest.approx(first + max(0, rest), rel=1e-9)
+            side = lambda x: sum(plain(x, prior)) if rest >= 0 else -plain(x, prior)[1]  # noqa: B023, E731
+            numeric = [(side(at + d) - side(at - d)) / 2e-6 for d in np.eye(4) * 1e-6]
+            assert move == pytest.approx(numeric, abs=1e-5)
+    assert any(plain(x * w, y)[1] < 0 for x in (1, 3, -1, -3) for y in (0.5, 0.95))
+
+
+def test_class_prior_of_a_known_mixture():
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.9):
+        positive = rng.normal(2, 1, (4000, 3))
+        is_positive = rng.random(8000) < share
+        unlabelled = np.where(is_positive[:, None], rng.normal(2, 1, (8000, 3)), rng.normal(-2, 1, (8000, 3)))
+        assert quality.class_prior(positive, unlabelled) == pytest.approx(share, abs=0.05)
+
+
+def test_quality_long_and_repeated_texts(spark, real):
+    labels = spark.createDataFrame([(d["doc_id"], 1) for d in real[:60]], "doc_id long, quality int")
+    texts = [real[0]["text"], real[0]["text"], "a " * 400000, None, ""]
+    df = spark.createDataFrame([*((d["doc_id"], d["text"], "x") for d in real[:200]), *((5000 + i, t, "x") for i, t in enumerate(texts)), (5000, texts[0], "x"), (None, "no id", "x")], "doc_id long, text string, _text string")
+    got = {}
+    for r in quality.score(df, quality.train(df, labels)).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    assert got[5000] == got[5001] * 2 and got[5003] == got[5004] and all(0 <= x <= 1 for s in got.values() for x in s)
+
+
+def test_warc_two_appends_and_an_overwrite(spark):
+    path, other = scratch_path(spark, "test-warc"), scratch_path(spark, "test-warc")
+    make = lambda i, html="x": spark.createDataFrame([(i, "u", html, "c", 1)], "page_id long, url string, html string, _sum string, body int")
+    warc.write_pages(make(1), path)
+    warc.write_pages(make(2), path)
+    warc.write_pages(make(3).limit(0), path)
+    assert sorted(r.record_id for r in warc.read_warc(spark, path).collect()) == ["urn:page:1", "urn:page:2"]
+    again = warc.read_warc(spark, path).where("record_id = 'urn:page:2'").select(*warc.WRITTEN)
+    again.write.format("warc").mode("append").save(other)
+    again.write.format("warc").mode("append").save(other)
+    assert warc.read_warc(spark, other).count() == 2
+    again.write.format("warc").mode("overwrite").save(other)
+    assert [bytes(r.payload) for r in warc.read_warc(spark, other).collect()] == [b"x"]
+    empty = scratch_path(spark, "test-warc")
+    warc.write_pages(make(1).limit(0), empty)
+    assert warc.read_warc(spark, empty).count() == 0
+
+
+def test_warc_leaves_files_of_lost_tasks(spark):
+    path = scratch_path(spark, "test-warc")
+    warc.write_pages(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), path)
+    fs, root = warc.open_fs(path)
+    with fs.open_output_stream(f"{root}/part-lost.warc.gz", compression=None) as out:
+        out.write(b"half a reco")
+    assert warc.read_warc(spark, path).count() == 1
+
+
+def test_warc_headers_in_any_case_and_long_payloads(spark, tmp_path):
+    row = {"record_id": "urn:x", "record_type": "response", "target_uri": "u", "date": "d", "refers_to": None, "payload_digest": "D", "payload_bytes": 7, "payload": b"b" * 700000}
+    raw = warc.record(row)
+    for name in (b"WARC-Type", b"WARC-Record-ID", b"Content-Length", b"Content-Type", b"WARC-Target-URI"):
+        raw = raw.replace(name + b": ", name.lower() + b":", 1)
+    (tmp_path / "a.warc").write_bytes(raw + warc.record(row | {"record_id": "urn:y", "payload": b"\r\n\r\n" * 9}))
+    for payload in (True, False):
+        got = {r.record_id: r for r in warc.read_warc(spark, f"file://{tmp_path}", payload=payload).where("record_type = 'response' and target_uri = 'u'").collect()}
+        assert {i: r.payload_bytes for i, r in got.items()} == {"urn:x": 700000, "urn:y": 36}  # of the block, whatever its header says
+        assert [r.payload is None for r in got.values()] == [not payload] * 2
+    kept = [len(block or b"") for _, block in warc.members(*warc.open_fs(f"file://{tmp_path}/a.warc")[:1], f"{tmp_path}/a.warc", lambda h: None)]
+    assert max(kept) < 200
+
+
+def test_mixing_of_clashing_columns(spark, docs):
+    more = docs.withColumns({"_source": F.lit("s"), "size": F.lit("mine"), "copies": F.lit("mine too")})
+    assert mixing.mix(more).count() == docs.count()
+    out = mixing.emit(more)
+    assert out.columns == more.columns and {(r.size, r.copies, r._source) for r in out.collect()} <= {("mine", "mine too", "s")}
+
+
+def test_drop_copies_keeps_other_columns(spark):
+    own = [(1, "a", "p"), (2, "a", "q"), (2, "a", "q2"), (3, "b", "r"), (None, "b", "s"), (None, "c", "t"), (None, "c", "t2"), (4, None, "u"), (5, "", "v")]
+    df = spark.createDataFrame(own, "doc_id long, text string, _sha string").repartition(3)
+    got = sorted(((r.doc_id, r.text or ""), r._sha) for r in exact_dedup.drop_copies(df).collect() if r.doc_id)
+    assert [x for x, _ in got] == [(2, "a"), (3, "b"), (5, "")] and got[0][1] in ("q", "q2") and got[1][1] == "r"
+    assert [(r.text, r._sha) for r in exact_dedup.drop_copies(df).where("doc_id is null").collect()] in ([("c", "t")], [("c", "t2")])
+    assert exact_dedup.drop_copies(df.limit(0)).count() == 0
