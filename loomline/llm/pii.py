@@ -1,15 +1,21 @@
 """Personal data replaced by keyed surrogates.
 
-E-mail and network addresses, phone and card numbers, secrets and names of people are found by patterns and replaced by
-values of the same type and format: a phone number keeps its punctuation and length, a card number its first digit
-and the state of its check digit, a network address its class, a name its gender, script and capitals. The replacement
-is a keyed permutation (a Feistel network over as many values as the format has, walked until it lands among them), so
-equal entities get equal surrogates in all documents (coreference, also across ways to write a phone number or the case
-of an e-mail address), and distinct ones of a format distinct surrogates, without any table that grows with the corpus.
-surrogates() checks both over all distinct entities before it returns, by verify(); collisions() and splits() list what fails.
-
-A null text is empty and stays null in the result; texts without entities stay as they are. Rows don't meet; columns of
-the input that have the name of a new one give way.
+E-mail and network addresses, phone, card and bank account numbers, social security numbers, secrets and names of people
+are found by patterns and replaced by values of the same type and format: a phone number keeps its country, punctuation
+and length, a card number its first digit and the state of its check digit, an account number its country, a network
+address its class, a name its gender, script and capitals; digits stay in their script. The replacement is a keyed
+permutation without fixed points (a secret rotation between a Feistel network and its inverse, over as many values as the
+format has, walked until it lands among them), so equal entities get equal surrogates in all documents (coreference, also
+across ways to write a phone number, the case of an e-mail address, and a surname with or without a first name), and
+distinct ones of a format distinct surrogates, without any table that grows with the corpus. A format with a single
+value, as 0.0.0.0 has, keeps it. surrogates() checks both over all distinct entities before it returns, by verify();
+collisions() and splits() list what fails.
+
+People are found by a first name of the lists before a surname, by a title before one, and by a surname alone where the
+same text has it with a first name or title. The lists are a parameter. No entity has a greatest length.
+
+A null text is empty and stays null in the result; texts without entities stay as they are. Rows don't meet, so repeated
+rows get the same; an empty table gives an empty one; columns of the input that have the name of a new one give way.
 """
 
 from __future__ import annotations
@@ -18,7 +24,10 @@ import hashlib
 import hmac
 import ipaddress
 import re
-from collections.abc import Iterator
+import unicodedata
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,23 +38,38 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 HEX = "0123456789abcdef"
 #: First names by gender and script; surrogates come from the same list.
 NAMES = {
-    "female": "Alice Amelia Anna Beatrice Camille Carla Chloe Clara Diana Elena Elise Emily Emma Eva Fiona Grace Greta Hannah Helen Ingrid Irene Isabel Jane Julia Karen Laura Linda Lucia Maria Marta Mary Nina Olivia Paula Rosa Sarah Sofia Susan Teresa Vera".split(),
-    "male": "Adam Albert Alexander Andrew Anton Bruno Carlos Charles Daniel David Edward Eric Felix Frank George Hans Henry Hugo Ivan Jack James Jean John Jorge Karl Louis Lucas Mark Martin Michael Oliver Oscar Paul Peter Pierre Robert Simon Stefan Thomas Victor".split(),
+    "female": "Aisha Alice Amelia Anna Beatrice Camille Carla Carmen Charlotte Chloe Clara Diana Elena Elise Elizabeth Emily Emma Eva Fatima Fiona Grace Greta Hannah Helen Ingrid Irene Isabel Jane Jennifer Jessica Julia Karen Laura Leila Linda Lucia Maria Marie Marta Mary Nina Olivia Patricia Paula Rosa Sarah Sofia Sophie Susan Teresa Ursula Vera".split(),
+    "male": "Adam Ahmed Albert Alexander Ali Andrew Anton Antonio Bruno Carlos Charles Christian Daniel David Edward Eric Felix Francisco Frank Fritz George Hans Henry Hugo Ibrahim Ivan Jack James Jean John Jorge José Juan Karl Klaus Louis Lucas Mark Martin Matthew Michael Miguel Muhammad Oliver Omar Oscar Paul Pedro Peter Pierre Richard Robert Simon Stefan Thomas Victor William".split(),
     "female Cyrillic": "Анна Вера Галина Дарья Елена Ирина Мария Наталья Ольга Светлана".split(),
     "male Cyrillic": "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Павел Сергей".split(),
 }
-_KIND_OF = {n: (k, i) for k, names in NAMES.items() for i, n in enumerate(names)}
-_FIRST = "|".join(sorted(_KIND_OF, key=len, reverse=True))
-PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
-    "assigned": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?token)\b(?:\\?[\"'])?\s{0,4}[=:]\s{0,4}(?:\\?[\"'])?)(?P<value>[A-Za-z0-9+/_-]{8,})",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "card": r"(?<![\w.-])[3-6](?:[ -]?\d){12,18}(?![\w]|[.-]\d)",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w]|[.-]\d)",
-    "name": rf"(?<!\w)(?P<first>{_FIRST})(?P<gap> )(?P<last>[A-ZÀ-ÞА-Я][a-zà-ÿа-я]{{2,20}})(?!\w)",
-}
-FOUND = re.compile("|".join(f"(?P<{k}>{re.sub(r'P<(value|first|gap|last)>', rf'P<{k}_\1>', p)})" for k, p in PATTERNS.items()))
+#: Titles before surnames.
+TITLES = "Mr Mrs Ms Dr Prof Professor Herr Frau Monsieur Madame Señor Señora".split()
+#: Prefixes that secrets keep.
+TOKENS = r"AKIA(?=[A-Z0-9]{16}(?![A-Za-z0-9]))|gh[pousr]_(?=[A-Za-z0-9]{36})|glpat-(?=[A-Za-z0-9_-]{20})|xox[abprs]-(?=[A-Za-z0-9-]{10})|AIza(?=[A-Za-z0-9_-]{35})|sk-(?=[A-Za-z0-9_-]{20})"
+#: Country calling codes of one and two digits; all others have three.
+CALLING = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_SURNAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ](?:[a-zß-öø-ÿа-яё]+|['’](?=[A-ZÀ-ÖØ-ÞА-ЯЁ]))(?:[-'’]?[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)*"
+
+
+def patterns(names: dict[str, list[str]]) -> dict[str, str]:
+    first = "|".join(sorted((re.escape(n) for some in names.values() for n in some), key=len, reverse=True)) or r"(?!)"
+    return {
+        "email": r"(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])",
+        "secret": rf"(?<![A-Za-z0-9])(?:{TOKENS})[A-Za-z0-9_-]*[A-Za-z0-9]",
+        "assigned": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?token)\b(?:\\?[\"'])?\s{0,4}[=:]\s{0,4}(?:\\?[\"'])?)(?P<value>[A-Za-z0-9+/_-]{8,}(?:\.[A-Za-z0-9+/_-]+)*)",
+        "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?![\w]|\.\d)",
+        "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|[.-]\d)",
+        "card": r"(?<![\w.-])(?!\d{3}[ -]\d{3}[ -]\d{4}\b)\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)",
+        "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w]|[.-]\d)|(?<![\w.])\+\d(?:[ .-]?\(?\d\)?){7,14}(?![\w]|[.-]\d)",
+        "name": rf"(?<!\w)(?P<first>{first})(?P<middle> (?:(?:{first}|[A-ZÀ-ÞА-Я]\.) )*)(?P<last>{_SURNAME})(?!\w)",
+        "titled": rf"(?<!\w)(?:{'|'.join(TITLES)})\.? (?P<lone>{_SURNAME})(?!\w)",
+    }
+
+
+PATTERNS = patterns(NAMES)
+_LONE = re.compile(rf"(?<!\w){_SURNAME}(?!\w)")
 WHOLE = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: Classes of network addresses: a surrogate is of the class of its address; all that no network names are public.
 NETWORKS = {
@@ -68,59 +92,96 @@ def ranges() -> dict[str, list[tuple[int, int]]]:
 
 
 RANGES = ranges()
-#: A text without any of these can't hold an entity.
-HINT = re.compile(rf"[@=:0-9]|AKIA|gh[pousr]_|(?<!\w)(?:{_FIRST})\s")
 #: Texts of more letters and digits are permuted place by place, as the numbers that they stand for get too large.
 LONG = 64
+#: What surnames are made of, by script: groups of consonants that go for each other, then single letters.
+SOUNDS = {
+    "Latin": ["sch str ndr rst nst", "ch ck sh st th ph tt ll nn rr ss mm ff pp nd nt rt rn rg ng nk lt ld lm br dr gr kr pr tr fr bl kl fl gl sp sk", "a e i o u", "b c d f g h j k l m n p q r s t v w x y z", "ä ö ü", "á é í ó ú", "à è ì ò ù", "â ê î ô û", "ç ñ"],
+    "Cyrillic": ["ст тр пр кр гр бр др нн", "а е и о у ы э ю я", "б в г д ж з й к л м н п р с т ф х ц ч ш щ", "ъ ь"],
+}
+_SOUND = {script: ([some.split() for some in groups], re.compile("|".join(x for some in groups for x in some.split()) + "|.", re.S)) for script, groups in SOUNDS.items()}
+
+
+def plain_digits(text: str) -> str:
+    """The decimal digits of a text, whatever their script, as ASCII."""
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
+
+
+def like(text: str, digits: str) -> str:
+    """text with its digits replaced in order, each in its own script."""
+    rest = iter(digits)
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(rest))) if c.isdecimal() else c for c in text)
 
 
 def sort_of(value: str) -> str:
     """By what permutation an assigned value is replaced, the same wherever it stands: that of a type, or of the hexadecimal or other ones."""
-    for kind in ("secret", "card", "phone"):
+    for kind in ("secret", "card", "ssn", "phone"):
         if WHOLE[kind].fullmatch(value):
             return kind
     return "hex" if set(value) <= set(HEX) else "other"
 
 
+def iban_check(text: str) -> int:
+    """97 if the check digits of a bank account number hold."""
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 or 97
+
+
 class Surrogates:
-    def __init__(self, key: bytes) -> None:
-        self.key = key
+    def __init__(self, key: bytes, names: dict[str, list[str]] | None = None) -> None:
+        self.key, self.names = key, names or NAMES
+        self.kind_of = {n: (k, i) for k, some in self.names.items() for i, n in enumerate(some)}
+        own = patterns(self.names)
+        self.found = re.compile("|".join(f"(?P<{k}>{re.sub(r'P<(value|first|middle|last|lone)>', rf'P<{k}_\1>', p)})" for k, p in own.items()))
+        self.first = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, self.kind_of), key=len, reverse=True)) + r")(?!\w)")
+        # a text without any of these can't hold an entity
+        self.hint = re.compile(rf"[@=:]|\d|{TOKENS}|(?<!\w)(?:{'|'.join(map(re.escape, [*self.kind_of, *TITLES]))})[. ]")
+        self.one = lru_cache(1 << 14)(self.make)
+
+    def rounds(self, left: int, right: int, half: int, tweak: str, back: bool) -> tuple[int, int]:
+        mask = (1 << half) - 1
+        told = lambda turn, x: int.from_bytes(hmac.digest(self.key, f"{tweak}|{turn}|{x}".encode(), hashlib.sha256), "big") & mask
+        for turn in (range(5, -1, -1) if back else range(6)):
+            left, right = (right ^ told(turn, left), left) if back else (right, left ^ told(turn, right))
+        return left, right
 
-    def permute(self, value: int, size: int, tweak: str) -> int:
-        """A permutation of range(size): a Feistel network over the next even number of bits, walked into the range."""
-        if size < 2:
-            return value
+    def feistel(self, value: int, size: int, tweak: str, back: bool = False) -> int:
+        """A permutation of range(size), or its inverse: a Feistel network over the next even number of bits, walked into the range."""
         half = max(1, ((size - 1).bit_length() + 1) // 2)
-        mask = (1 << half) - 1
         while True:
-            left, right = value >> half, value & mask
-            for turn in range(6):
-                told = hmac.digest(self.key, f"{tweak}|{size}|{turn}|{right}".encode(), hashlib.sha256)
-                left, right = right, left ^ (int.from_bytes(told, "big") & mask)
+            left, right = self.rounds(value >> half, value & ((1 << half) - 1), half, f"{tweak}|{size}", back)
             value = left << half | right
             if value < size:
                 return value
 
+    def permute(self, value: int, size: int, tweak: str) -> int:
+        """A permutation of range(size) that leaves nothing in its place, if size is over 1: there, a secret rotation, and back."""
+        if size < 2:
+            return value
+        step = 1 + int.from_bytes(hmac.digest(self.key, f"step|{tweak}|{size}".encode(), hashlib.sha256), "big") % (size - 1)
+        return self.feistel((self.feistel(value, size, tweak) + step) % size, size, tweak, back=True)
+
+    def places(self, at: list[int], sizes: list[int], tweak: str) -> list[int]:
+        """A number below its size for each place, permuted as a whole."""
+        value = size = 0
+        size = 1
+        for x, n in zip(at, sizes):
+            value, size = value * n + x, size * n
+        value, out = self.permute(value, size, tweak), []
+        for n in reversed(sizes):
+            value, x = divmod(value, n)
+            out.append(x)
+        return out[::-1]
+
     def shaped(self, text: str, tweak: str, classes: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> str:
         """Each letter and digit replaced by one of its class, the text as a whole permuted among those of its shape."""
         kinds = [next((c for c in classes if x in c), None) for x in text]
         shape = "".join("." if c is None else "dlu"[classes.index(c)] if len(classes) == 3 else "h" for c in kinds)
-        fixed = "".join(x for x, c in zip(text, kinds) if c is None)
+        tweak = f"{tweak}|{shape}|" + "".join(x for x, c in zip(text, kinds) if c is None)
         if sum(c is not None for c in kinds) > LONG:
-            return self.long(text, kinds, f"{tweak}|{shape}|{fixed}")
-        value, size = 0, 1
-        for x, c in zip(text, kinds):
-            if c is not None:
-                value, size = value * len(c) + c.index(x), size * len(c)
-        value = self.permute(value, size, f"{tweak}|{shape}|{fixed}")
-        out = []
-        for x, c in zip(reversed(text), reversed(kinds)):
-            if c is None:
-                out.append(x)
-            else:
-                value, at = divmod(value, len(c))
-                out.append(c[at])
-        return "".join(reversed(out))
+            return self.long(text, kinds, tweak)
+        own = [(x, c) for x, c in zip(text, kinds) if c is not None]
+        new = iter(self.places([c.index(x) for x, c in own], [len(c) for _, c in own], tweak))
+        return "".join(x if c is None else c[next(new)] for x, c in zip(text, kinds))
 
     def long(self, text: str, kinds: list[str | None], tweak: str) -> str:
         """The same for long texts, in time that grows with their length: each half in turn is shifted by what the other tells."""
@@ -139,11 +200,12 @@ class Surrogates:
         return "".join(out)
 
     def email(self, text: str) -> str:
-        return self.shaped(text.lower().rpartition("@")[0], "email@" + text.lower().rpartition("@")[2]) + "@" + text.rpartition("@")[2]
+        local, _, host = text.lower().rpartition("@")
+        return self.shaped(local, f"email@{host}") + "@" + text.rpartition("@")[2]
 
     def secret(self, text: str) -> str:
-        keep = 4
-        return text[:keep] + self.shaped(text[keep:], "secret")
+        keep = re.match(TOKENS, text).end()
+        return text[:keep] + self.shaped(text[keep:], f"secret|{text[:keep]}")
 
     def assigned(self, text: str) -> str:
         """A value that is of another type by itself is replaced as that; the others' surrogates stay among their own sort."""
@@ -171,8 +233,19 @@ class Surrogates:
             if at < past - first:
                 break
             at -= past - first
-        # an octet with leading zeros keeps its width
-        return ".".join(str(x).zfill(len(o) if o[0] == "0" else 1) for x, o in zip((first + at).to_bytes(4, "big"), octets))
+        # an octet with leading zeros keeps its width, all keep their script
+        made = [str(x).zfill(len(o) if unicodedata.decimal(o[0]) == 0 else 1) for x, o in zip((first + at).to_bytes(4, "big"), octets)]
+        return ".".join("".join(chr(ord(o[0]) - unicodedata.decimal(o[0]) + int(c)) for c in m) for m, o in zip(made, octets))
+
+    def iban(self, text: str) -> str:
+        bare = text.replace(" ", "")
+        body = self.shaped(bare[4:], f"iban {bare[:2]}")
+        # check digits run from 02 to 98
+        new = iter(f"{bare[:2]}{98 - int(''.join(str(int(c, 36)) for c in body + bare[:2] + '00')) % 97:02}{body}")
+        return "".join(c if c == " " else next(new) for c in text)
+
+    def ssn(self, text: str) -> str:
+        return like(text, self.shaped(plain_digits(text), "ssn"))
 
     @staticmethod
     def check(digits: str) -> int:
@@ -180,73 +253,108 @@ class Surrogates:
         return -(sum(x - 9 * (x > 9) for x in twice) + sum(map(int, digits[-2::-2]))) % 10
 
     def card(self, text: str) -> str:
-        digits = re.sub(r"\D", "", text)
+        digits = plain_digits(text)
         body = digits[0] + self.shaped(digits[1:-1], f"card{digits[0]}")
         off = (int(digits[-1]) - self.check(digits[:-1])) % 10
-        return self.like(text, body + str((self.check(body) + off) % 10))
+        return like(text, body + str((self.check(body) + off) % 10))
 
     def phone(self, text: str) -> str:
-        digits = re.sub(r"\D", "", text)
-        code, local = digits[:-10], digits[-10:]
-        # the country code stays; a number is the same with and without the code 1
-        return self.like(text, code + self.shaped(local, "phone" + code.removeprefix("1")))
-
-    @staticmethod
-    def like(text: str, digits: str) -> str:
-        rest = iter(digits)
-        return re.sub(r"\d", lambda _: next(rest), text)
-
-    def name(self, first: str, last: str) -> str:
-        kind, at = _KIND_OF[first]
-        new = NAMES[kind][self.permute(at, len(NAMES[kind]), kind)]
-        letters = ("абвгдезиклмнопрстуфхя", "АБВГДЕЗИКЛМНОПРСТУФХЯ") if "Cyrillic" in kind else (LOWER, UPPER)
-        vowels = "aeiouаеиоуя"
-        parts = tuple(c for case in letters for c in ("".join(x for x in case if x.lower() in vowels), "".join(x for x in case if x.lower() not in vowels)))
-        return f"{new} {self.shaped(last, kind, parts)}"
-
-    def replace(self, m: re.Match) -> tuple[str, int, int, str, str]:
-        """(type, start, end, entity, surrogate)."""
-        kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m[k] is not None)
+        """The country's code stays; a number is the same with and without the code 1."""
+        digits, code = plain_digits(text), ""
+        if text.startswith("+"):
+            code = next((digits[:n] for n in (1, 2) if digits[:n] in CALLING), digits[:3])
+        local = digits[len(code) :]
+        return like(text, code + self.shaped(local, "phone" + ("" if code == "1" and len(local) == 10 else "+" + code if code else "")))
+
+    def forename(self, text: str) -> str:
+        kind, at = self.kind_of[text]
+        return self.names[kind][self.permute(at, len(self.names[kind]), f"first {kind}")]
+
+    def surname(self, text: str) -> str:
+        """Groups of consonants and single letters go for others of their kind; capitals stay where they are."""
+        groups, sounds = _SOUND["Cyrillic" if any("Ѐ" <= c <= "ӿ" for c in text) else "Latin"]
+        kind_of = {x: (i, g.index(x)) for i, g in enumerate(groups) for x in g}
+        lower, new = text.lower(), text.lower()
+        if len(lower) != len(text):
+            lower = new = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+        shape = lambda s: [kind_of.get(x, (x,))[0] for x in sounds.findall(s)]
+        own = shape(lower)
+        if not any(isinstance(k, int) for k in own):
+            return text
+        while True:
+            parts = sounds.findall(new)
+            at = [kind_of[x][1] for x in parts if x in kind_of]
+            made = iter(self.places(at, [len(groups[k]) for k in own if isinstance(k, int)], f"surname {own}"))
+            new = "".join(groups[k][next(made)] if isinstance(k, int) else k for k in own)
+            if shape(new) == own:  # else letters have made a group by chance: walk on
+                return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for n, o in zip(new, text))
+
+    def make(self, kind: str, entity: str) -> str:
+        return getattr(self, kind)(entity)
+
+    def replace(self, m: re.Match) -> Iterator[tuple[str, int, int, str, str]]:
+        """(type, start, end, entity, surrogate) of what a match holds."""
+        kind = next(k for k in PATTERNS if m[k] is not None)
         if kind == "assigned":
             value, sort = m["assigned_value"], sort_of(m["assigned_value"])
-            return sort if sort in PATTERNS else kind, m.start("assigned_value"), m.end("assigned_value"), value, self.assigned(value)
-        made = self.name(m["name_first"], m["name_last"]) if kind == "name" else getattr(self, kind)(m[kind])
-        return kind, m.start(kind), m.end(kind), m[kind], made
+            yield sort if sort in PATTERNS else kind, m.start("assigned_value"), m.end("assigned_value"), value, self.one("assigned", value)
+        elif kind == "name":
+            first, middle, last = m["name_first"], m["name_middle"], m["name_last"]
+            new = self.one("forename", first) + self.first.sub(lambda x: self.one("forename", x[0]), middle) + self.one("surname", last)
+            yield kind, m.start(kind), m.end(kind), m[kind], new
+        elif kind == "titled":
+            yield "name", m.start("titled_lone"), m.end("titled_lone"), m["titled_lone"], self.one("surname", m["titled_lone"])
+        elif kind != "iban" or iban_check(m[kind].replace(" ", "")) == 1:
+            yield kind, m.start(kind), m.end(kind), m[kind], self.one(kind, m[kind])
+
+    def entities(self, text: str) -> list[tuple[str, int, int, str, str]]:
+        if not self.hint.search(text):
+            return []
+        found, last = [], set()
+        for m in self.found.finditer(text):
+            found += self.replace(m)
+            last |= {m[g] for g in ("name_last", "titled_lone") if m[g]}
+        if last:  # the same people by their surnames alone
+            taken = [(s, e) for _, s, e, _, _ in found]
+            starts = [s for s, _ in taken]
+            for m in _LONE.finditer(text):
+                if m[0] in last and ((i := bisect_right(starts, m.start())) == 0 or taken[i - 1][1] <= m.start()):
+                    found.append(("name", m.start(), m.end(), m[0], self.one("surname", m[0])))
+            found.sort(key=lambda x: x[1])
+        return found
 
 
 def replace_text(text: str, key: Surrogates) -> tuple[str, list[dict]]:
     """The text with surrogates, and the entities with their places in the original, by code point."""
-    if not HINT.search(text):
-        return text, []
-    parts, found, at = [], [], 0
-    for m in FOUND.finditer(text):
-        kind, start, end, entity, new = key.replace(m)
+    parts, told, at = [], [], 0
+    for kind, start, end, entity, new in key.entities(text):
         parts += [text[at:start], new]
-        found.append({"type": kind, "start": start, "end": end, "entity": entity, "surrogate": new})
+        told.append({"type": kind, "start": start, "end": end, "entity": entity, "surrogate": new})
         at = end
-    return ("".join(parts) + text[at:], found) if found else (text, [])
+    return ("".join(parts) + text[at:], told) if told else (text, [])
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("entity", T.StringType()), T.StructField("surrogate", T.StringType())]))
 _ARROW = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("entity", pa.string()), ("surrogate", pa.string())]))
 
 
-def surrogates(df: DataFrame, key: bytes, text: str = "text", out: str = "text", spans: str = "entities") -> DataFrame:
+def surrogates(df: DataFrame, key: bytes, text: str = "text", out: str = "text", spans: str = "entities", names: dict[str, list[str]] | None = None) -> DataFrame:
     """df with each text's personal data replaced, in column out, and what was found in column spans.
 
-    A pass over all texts comes first, in which verify() looks at all distinct entities.
+    names are lists of first names by gender and script, in place of NAMES. A pass over all texts comes first, in which
+    verify() looks at all distinct entities.
     """
-    verify(replacement(df.select(text), key, text, "_new", spans), spans)
-    return replacement(df, key, text, out, spans)
+    verify(replacement(df.select(F.col(text).alias("text")), key, "text", "text", "entities", names))
+    return replacement(df, key, text, out, spans, names)
 
 
-def replacement(df: DataFrame, key: bytes, text: str, out: str, spans: str) -> DataFrame:
+def replacement(df: DataFrame, key: bytes, text: str, out: str, spans: str, names: dict[str, list[str]] | None = None) -> DataFrame:
     """What surrogates() returns, not verified."""
     kept = [c for c in df.columns if c not in (out, spans)]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.StringType()), T.StructField(spans, SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Surrogates(key)
+        own = Surrogates(key, names)
         for batch in batches:
             made = [replace_text(t, own) if t is not None else (None, []) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array([t for t, _ in made], pa.string()), pa.array([s for _, s in made], _ARROW)], names=[*kept, out, spans])
@@ -254,16 +362,31 @@ def replacement(df: DataFrame, key: bytes, text: str, out: str, spans: str) -> D
     return df.mapInArrow(run, schema)
 
 
-def normal(kind: object, entity: object) -> object:
-    """One spelling for all of an entity's: e-mail addresses lower-cased, of numbers the digits, without the code 1, of network addresses the octets without leading zeros."""
-    digits = F.regexp_replace(entity, r"\D", "")
-    return F.when(kind == "email", F.lower(entity)).when(kind == "phone", F.regexp_replace(digits, r"^1(?=\d{10}$)", "")).when(kind == "card", digits).when(kind == "ip", F.regexp_replace(entity, r"(?<![0-9])0+(?=[0-9])", "")).otherwise(entity)
+def normal(kind: str, entity: str, surrogate: str) -> Iterator[tuple[str, str, str]]:
+    """(type, entity, surrogate) in one spelling: addresses in lower case, of numbers the digits, without the code 1, of people each part by itself."""
+    if kind == "name":
+        old, new = entity.split(" "), surrogate.split(" ")
+        yield "surname", old[-1].lower(), new[-1].lower()
+        yield from (("forename", a, b) for a, b in zip(old[:-1], new[:-1]) if not a.endswith("."))
+        return
+    spell: Callable[[str], str] = {
+        "email": str.lower, "iban": lambda x: x.replace(" ", ""), "ssn": plain_digits, "card": plain_digits,
+        "phone": lambda x: re.sub(r"^1(?=\d{10}$)", "", plain_digits(x)), "ip": lambda x: ".".join(str(int(o)) for o in x.split(".")),
+    }.get(kind, str)
+    a, b = spell(entity), spell(surrogate)
+    if not (kind == "ip" and a == b == "0.0.0.0"):
+        yield "assigned" if kind == "secret" else kind, a, b
 
 
-def entities(replaced: DataFrame, spans: str) -> DataFrame:
+def entities(replaced: DataFrame, spans: str = "entities") -> DataFrame:
     """Distinct (type, entity, surrogate), each in one spelling; assigned values and bare secrets are one type."""
-    each = replaced.select(F.explode(spans).alias("e")).select(F.when(F.col("e.type") == "secret", "assigned").otherwise(F.col("e.type")).alias("type"), normal(F.col("e.type"), F.col("e.entity")).alias("entity"), normal(F.col("e.type"), F.col("e.surrogate")).alias("surrogate"))
-    return each.distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {x for some in batch.column(0).to_pylist() for e in some or () for x in normal(e["type"], e["entity"], e["surrogate"])}
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in (zip(*sorted(rows)) if rows else ((), (), ()))], names=["type", "entity", "surrogate"])
+
+    return replaced.select(spans).mapInArrow(run, "type string, entity string, surrogate string").distinct()
 
 
 def collisions(replaced: DataFrame, spans: str = "entities") -> DataFrame:
@@ -277,9 +400,11 @@ def splits(replaced: DataFrame, spans: str = "entities") -> DataFrame:
 
 
 def verify(replaced: DataFrame, spans: str = "entities") -> None:
-    """Raises an error if two entities share a surrogate, or one has two; nothing of an entity is told but its type."""
+    """Raises an error if two entities share a surrogate, one has two, or one is its own; nothing of an entity is told but its type."""
     found = entities(replaced, spans)
     sides = [found.groupBy("type", F.lit(side).alias("side"), F.col(side).alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1") for side in ("surrogate", "entity")]
-    bad = sides[0].unionByName(sides[1]).groupBy("type", "side").agg(F.count(F.lit(1)).alias("n")).collect()
+    same = found.where("entity = surrogate").select("type", F.lit("same").alias("side"), F.col("entity").alias("value"), F.lit(1).cast("long").alias("n"))
+    bad = sides[0].unionByName(sides[1]).unionByName(same).groupBy("type", "side").agg(F.count(F.lit(1)).alias("n")).collect()
     if bad:
-        raise ValueError("surrogates: " + "; ".join(f"{r.n} of type {r.type} " + ("stand for several entities" if r.side == "surrogate" else "have several surrogates") for r in bad))
+        told = {"surrogate": "stand for several entities", "entity": "have several surrogates", "same": "stay as they are"}
+        raise ValueError("surrogates: " + "; ".join(f"{r.n} of type {r.type} {told[r.side]}" for r in bad))

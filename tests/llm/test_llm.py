@@ -198,14 +198,87 @@ def fake(spark, pairs):
     return spark.createDataFrame([([("assigned", 0, 1, a, b)],) for a, b in pairs], "entities array<struct<type string, start int, end int, entity string, surrogate string>>")
 
 
-def test_pii_whole_table(spark):
-    docs = queries.documents(spark, SF)
-    replaced = pii.surrogates(docs, queries.KEY)
-    assert pii.collisions(replaced).count() == 0
-    found = replaced.selectExpr("explode(entities) e").select("e.*").collect()
-    assert len(found) > 50 and all(r.entity != r.surrogate for r in found)
-    clean = [r for r in replaced.join(docs.select("doc_id", F.col("text").alias("old")), "doc_id").collect() if not r.entities]
-    assert clean and all(r.text == r.old for r in clean)
+def test_pii_whole_table(spark, real):
+    """A plain version: patterns written anew, and a table of what stands for what."""
+    plain = {
+        "email": r"[A-Za-z0-9._]+@[a-z0-9.]+\.com", "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", "card": r"(?<!\d)4\d{15}(?!\d)|\b(?:\d{4} ){3}\d{4}\b",
+        "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "secret": r"\bAKIA[A-Z0-9]{16}\b", "assigned": r"(?<=password=)[0-9a-f]+|(?<=token=)[0-9a-f]+|(?<=api_key=)[0-9a-f]+",
+    }
+    new = {r.doc_id: r for r in pii.surrogates(queries.documents(spark, SF), queries.KEY).collect()}
+    stands, total = {}, 0
+    for d in real:
+        r, text = new[d["doc_id"]], d["text"]
+        at, parts = 0, []
+        for e in r.entities or ():
+            assert text[e.start : e.end] == e.entity
+            parts += [text[at : e.start], e.surrogate]
+            at = e.end
+        assert (None if text is None else "".join([*parts, text[at:]])) == r.text
+        spans = {(e.start, e.end): e for e in r.entities or ()}
+        for kind, pattern in plain.items():
+            for m in re.finditer(pattern, text or ""):
+                if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                    continue
+                e = spans[m.start(), m.end()]
+                assert e.type == kind and re.fullmatch(pattern, e.surrogate) or kind == "assigned"
+                assert stands.setdefault(e.entity, e.surrogate) == e.surrogate != e.entity
+                total += 1
+    assert total > 50 and len(set(stands.values())) == len(stands)
+    got = queries.op3_surrogates(spark, SF).collect()
+    assert {r.doc_id: (r.n_entities, r.text) for r in got} == {i: (len(r.entities), r.text) for i, r in new.items()}
+
+
+def test_pii_no_value_stays(spark):
+    own = pii.Surrogates(b"key")
+    for size in (2, 3, 10, 97, 1000):
+        made = [own.permute(i, size, "t") for i in range(size)]
+        assert sorted(made) == list(range(size)) and all(i != x for i, x in enumerate(made))
+    values = ["Li", "Schmidt", "O'Neil", "Müller-Lüdenscheidt", "Петров", "D'Angelo", "Ñandú", "Straße", "W" + "o" * 30]
+    assert all(own.surname(v) != v and len(own.surname(v)) == len(v) for v in values)
+    many = {own.surname(a + b + c) for a in "BCDFGHSTR" for b in "aeiou" for c in ("chmidt", "rst", "st", "nn", "r", "x")}
+    assert len(many) == 9 * 5 * 6
+
+
+def test_pii_scripts_numbers_and_lengths():
+    own = pii.Surrogates(b"key")
+    for text, kind, old in [
+        ("call ٥٥٥-١٢٣-٤٥٦٧ now", "phone", "٥٥٥-١٢٣-٤٥٦٧"), ("card 4111 ١١١١ 1111 1111", "card", "4111 ١١١١ 1111 1111"), ("at ١٢.٣.٤.٥ ", "ip", "١٢.٣.٤.٥"),
+        ("+49 30 1234567 ", "phone", "+49 30 1234567"), ("GB82 WEST 1234 5698 7654 32", "iban", "GB82 WEST 1234 5698 7654 32"), ("ssn 078-05-1120", "ssn", "078-05-1120"),
+        (f"{'l' * 300}@{'h' * 200}.example.com", "email", f"{'l' * 300}@{'h' * 200}.example.com"),
+    ]:
+        new, found = pii.replace_text(text, own)
+        assert [(e["type"], e["entity"]) for e in found] == [(kind, old)], text
+        made = found[0]["surrogate"]
+        assert len(made) == len(old) or kind == "ip"
+        assert [c.isdecimal() and ord(c) > 127 for c in made] == [c.isdecimal() and ord(c) > 127 for c in old] or kind == "ip"
+        if kind == "iban":
+            assert pii.iban_check(made.replace(" ", "")) == 1
+        if kind == "card":
+            assert own.check(pii.plain_digits(made)[:-1]) == int(made[-1])
+    assert pii.replace_text("GB83 WEST 1234 5698 7654 32 AB12 CDEF GHIJ", own)[1] == []
+    assert own.phone("+49 30 1234567").replace(" ", "") == own.phone("+4930 1234567").replace(" ", "")
+
+
+def test_pii_people(spark):
+    texts = ["Anna Schmidt met Paul Schmidt. Schmidt left; Schmidts stayed.", "Dr. Smith and Mrs Smith, later Smith", "Anna Maria B. O'Neil-Smith", "Schmidt alone", "Muhammad Ali", "Grace period"]
+    df = spark.createDataFrame([(t, "clash") for t in texts] + [(None, "x"), ("", "y")], "text string, entities string")
+    got = [r for r in pii.surrogates(df, b"k").collect()]
+    assert [[e.entity for e in r.entities] for r in got] == [["Anna Schmidt", "Paul Schmidt", "Schmidt"], ["Smith"] * 3, ["Anna Maria B. O'Neil-Smith"], [], ["Muhammad Ali"], [], [], []]
+    a, b, c = (e.surrogate for e in got[0].entities)
+    assert a.split()[1] == b.split()[1] == c != "Schmidt" and a.split()[0] in pii.NAMES["female"]
+    assert got[0].text.endswith("; Schmidts stayed.") and " B. " in got[2].text and got[6].text is None and got[7].text == ""
+    assert pii.surrogates(df.limit(0), b"k").count() == 0
+    more = pii.surrogates(spark.createDataFrame([("Zaphod Beeblebrox met Anna Schmidt", 1)], "text string, n int"), b"k", names={"male": ["Zaphod", "Ford", "Arthur"]}).collect()
+    assert [e.entity for e in more[0].entities] == ["Zaphod Beeblebrox"]
+
+
+def test_pii_long_texts_take_linear_time():
+    import time
+
+    own, began = pii.Surrogates(b"k"), time.perf_counter()
+    for text in ("a" * 10**6, "a@" * 200000, "1" * 10**6, "1 " * 200000, "Anna " * 50000, "Dr. A" * 50000, "token=" * 50000, "+" * 10**5, "a." * 200000 + "@", "4-" * 10**5, "Anna Schmidt " * 20000):
+        own.entities(text)
+    assert time.perf_counter() - began < 60
 
 
 def water(size, weight, repeat):
