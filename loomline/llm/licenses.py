@@ -1,26 +1,30 @@
 """Licence scans by a positional index of rare words, with DataFrame functions only.
 
 A template is a short licence notice. The index holds, of each template, the RARE words of highest IDF (over the
-templates) of its mandatory key phrase with their positions. A file's licence words are looked up in one pass; for each
-template the starts that the occurrences of its rare words imply are intersected, so only places remain where all of them
-stand at the right distance from each other. At such a start the key phrase must stand word for word. As all rare words
-are of the key phrase, each place of it is found, however the rest of the notice is worded; the score is the largest
-share of a template's words that stand there. Places of base phrases are counted besides.
+templates) of its mandatory key phrase, and posts each word to (template, position), a list for the first rare words and
+one for the second; the posts are literal maps, so neither plan nor work on a word grows with the templates that lack it.
+A file's words are looked up in the posts once, each post implies a start of its template, and the starts of the two
+lists are intersected: only places remain where a template's rare words stand at the right distance. There the key
+phrase must stand word for word. As all rare words are of the key phrase, each place of it is found, however the rest of
+the notice is worded; the score is the largest share of a template's words that stand there. Places of base phrases are
+found the same way, as templates of their own. Texts that lack the rarest word of every phrase are not cut into words.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, after lower-casing A to Z. A null text is empty:
-no words, null places, no labels, score 0. Rows don't meet, so repeated rows need no care; columns that have the name of
-a new one give way. Work on a file grows with its words times the templates whose rare words it has.
+no words, null places, no labels, score 0. Very long texts are scanned whole; an empty table gives an empty one. Rows
+don't meet, so repeated rows need no care; columns that have the name of a new one give way. Work on a file grows with
+its words and the posts of those that it has.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.common import prefix
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RARE = 2
@@ -40,6 +44,13 @@ TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
     ("mit", "released under the mit license", "mit license"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
+    ("artistic-2.0", "released under the artistic license 2 0", "artistic license 2 0"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    ("cc0-1.0", "released under the creative commons zero v1 0 universal license", "creative commons zero"),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("wtfpl", "do what the fuck you want to public license", "do what the fuck you want to"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "in no event will the authors be held liable"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
 
@@ -58,63 +69,66 @@ def index(templates: list[tuple[str, str, str]] = TEMPLATES, rare: int = RARE) -
     return out
 
 
-def phrase_at(words: Column, off: int, phrase: list[str]) -> Callable[[Column], Column]:
-    """Whether phrase stands word for word, off words after a start."""
-
-    def stands(start: Column) -> Column:
-        found = F.lit(True)
-        for i, w in enumerate(phrase):
-            found = found & F.coalesce(F.get(words, start + (off + i)) == w, F.lit(False))
-        return found
-
-    return stands
+def postings(own: list[dict], nth: int) -> Column:
+    """A literal map from each template's nth rare word (the last, if it has fewer) to its posts (template, position)."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    for t, template in enumerate(own):
+        word, at = template["rare"][min(nth, len(template["rare"]) - 1)]
+        found.setdefault(word, []).append((t, at))
+    post = lambda t, at: F.struct(F.lit(t).alias("t"), F.lit(at).alias("at"))
+    return F.create_map(*[x for word, posts in found.items() for x in (F.lit(word), F.array(*[post(*p) for p in posts]))])
 
 
 def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str, str]] = TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
     """df with n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    own = index(templates)
-    phrases = {label: phrase.split() for phrase, label in base.items()}
-    sought = sorted({w for t in own for w, _ in t["rare"]} | {p[0] for p in phrases.values()})
+    own = index([(label, phrase, phrase) for phrase, label in base.items()] + templates)
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kept = [F.col(c) for c in df.columns if c not in new]
+    p = prefix(*df.columns, *new)
     lower = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    split = df.select(*kept, F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("_words"))
-    words = F.col("_words")
-    placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(sought))
-    hits = split.select("*", placed.alias("_hits"))
-    at = lambda word, off: F.transform(F.filter(F.col("_hits"), lambda x: x["w"] == word), lambda x: x["i"] - F.lit(off))
-    none = F.array().cast("array<int>")
-    any_hit = F.size("_hits") > 0
-    places = {f"_b{n}": F.when(any_hit, F.filter(at(p[0], 0), phrase_at(words, 0, p))).otherwise(none) for n, p in enumerate(phrases.values())}
-    for n, t in enumerate(own):
-        starts = at(*t["rare"][0])
-        for w, q in t["rare"][1:]:
-            starts = F.array_intersect(starts, at(w, q))
-        places[f"_t{n}"] = F.when(any_hit, F.filter(starts, phrase_at(words, t["at"], t["key"]))).otherwise(none)
-    found = hits.select("*", *[c.alias(k) for k, c in places.items()])
-    every = F.concat(*[F.col(f"_b{n}") for n in range(len(phrases))])
-
-    def share(t: dict) -> Callable[[Column], Column]:
-        def of(s: Column) -> Column:
-            total = F.lit(0)
-            for i, w in enumerate(t["words"]):
-                total = total + F.when(F.get(words, s + i) == w, 1).otherwise(0)
-            return total / F.lit(float(len(t["words"])))
-
-        return of
-
-    scores = [F.coalesce(F.array_max(F.transform(f"_t{n}", share(t))), F.lit(0.0)) for n, t in enumerate(own)]
-    named = lambda some: F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, label in some]))
-    base_names = named([(f"_b{n}", label) for n, label in enumerate(phrases)])
-    more = named([(f"_t{n}", t["label"]) for n, t in enumerate(own)])
-    joined = lambda names: F.array_join(F.array_sort(F.array_distinct(names)), ",")
-    return found.select(
+    phrases = {}  # the rarest word and the other of each key phrase: a text without both has no place of it
+    for t in own:
+        phrases.setdefault(t["rare"][0][0], set()).add(t["rare"][-1][0])
+    low = df.select(*kept, lower.alias(f"{p}low"))
+    hint = F.lit(False)
+    for word, others in phrases.items():
+        also = F.lit(False)
+        for w in sorted(others):
+            also = also | F.contains(F.col(f"{p}low"), F.lit(w))
+        hint = hint | (F.contains(F.col(f"{p}low"), F.lit(word)) & also)
+    none = F.array().cast("array<string>")
+    split = low.select(*kept, F.regexp_count(f"{p}low", F.lit(WORD)).alias(f"{p}n"), F.when(hint, F.regexp_extract_all(f"{p}low", F.lit(WORD), F.lit(0))).otherwise(none).alias(f"{p}words"))
+    words = F.col(f"{p}words")
+    sought = sorted({w for t in own for w, _ in t["rare"]})
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(sought))
+
+    def starts(nth: int) -> Column:
+        posts = postings(own, nth)
+        each = lambda x: F.transform(F.coalesce(F.element_at(posts, x["w"]), F.array().cast("array<struct<t:int,at:int>>")), lambda y: F.struct(y["t"].alias("t"), (x["i"] - y["at"]).alias("s")))
+        return F.flatten(F.transform(F.col(f"{p}hits"), each))
+
+    key = F.array(*[F.array(*map(F.lit, t["key"])) for t in own])
+    notice = F.array(*[F.array(*map(F.lit, t["words"])) for t in own])
+    at = F.array(*[F.lit(t["at"]) for t in own])
+    of = lambda table, x: F.get(table, x["t"])
+    first = lambda x: x["s"] + of(at, x)
+    stands = lambda x: (first(x) >= 0) & (F.slice(words, F.greatest(first(x), F.lit(0)) + 1, F.size(of(key, x))) == of(key, x))
+    both = starts(0)
+    for nth in range(1, RARE):
+        both = F.array_intersect(both, starts(nth))
+    placed = split.withColumn(f"{p}hits", hits).withColumn(f"{p}at", F.filter(both, stands))
+    n = len(base)
+    every = F.transform(F.filter(f"{p}at", lambda x: x["t"] < n), lambda x: x["s"])
+    share = lambda x: F.size(F.filter(F.transform(of(notice, x), lambda w, i: w.eqNullSafe(F.get(words, x["s"] + i))), lambda y: y)) / F.size(of(notice, x))
+    names = F.array(*[F.lit(t["label"]) for t in own])
+    labels = lambda some: F.array_join(F.array_sort(F.array_distinct(F.transform(some, lambda x: of(names, x)))), ",")
+    return placed.select(
         *kept,
-        F.size("_words").cast("long").alias("n_words"),
+        F.col(f"{p}n").cast("long").alias("n_words"),
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
-        joined(base_names).alias("base_labels"),
-        joined(F.concat(base_names, more)).alias("labels"),
-        F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.greatest(*scores)).alias("score"),
+        labels(F.filter(f"{p}at", lambda x: x["t"] < n)).alias("base_labels"),
+        labels(F.col(f"{p}at")).alias("labels"),
+        F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(f"{p}at", share)), F.lit(0.0))).alias("score"),
     )

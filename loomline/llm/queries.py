@@ -103,6 +103,56 @@ t AS (SELECT source, source_size, least(cap, coalesce((SELECT min_by(level, rati
 j AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM j""",
+    "op5_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 90 * (a.n + b.n - m)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top, sha1(body) AS hex FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, ((i // 8) * 10 + 1)::INTEGER, 10))::BIGINT >> (35 - 5 * (i % 8))::INTEGER) & 31) + 1)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM t""",
+    "op10_licenses": r"""
+WITH t(label, base, notice, phrase) AS (VALUES
+  ('cc-by', true, 'cc by', 'cc by'),
+  ('gpl', true, 'general public license', 'general public license'),
+  ('reserved', true, 'all rights reserved', 'all rights reserved'),
+  ('apache-2.0', false, 'licensed under the apache license version 2 0', 'apache license version 2 0'),
+  ('bsd-3-clause', false, 'redistribution and use in source and binary forms with or without modification are permitted', 'redistribution and use in source and binary forms'),
+  ('cc-by-4.0', false, 'licensed under cc by 4 0', 'cc by 4 0'),
+  ('cc-by-nc-4.0', false, 'licensed under cc by nc 4 0', 'cc by nc 4 0'),
+  ('cc-by-sa-4.0', false, 'licensed under cc by sa 4 0', 'cc by sa 4 0'),
+  ('gpl-2.0', false, 'licensed under the gnu general public license version 2', 'gnu general public license version 2'),
+  ('gpl-3.0', false, 'licensed under the gnu general public license version 3', 'gnu general public license version 3'),
+  ('isc', false, 'permission to use copy modify and or distribute this software for any purpose', 'copy modify and or distribute this software'),
+  ('lgpl-2.1', false, 'licensed under the gnu lesser general public license version 2 1', 'gnu lesser general public license version 2 1'),
+  ('mit', false, 'permission is hereby granted free of charge to any person obtaining a copy of this software', 'permission is hereby granted free of charge'),
+  ('mit', false, 'released under the mit license', 'mit license'),
+  ('mpl-2.0', false, 'subject to the terms of the mozilla public license v 2 0', 'mozilla public license'),
+  ('agpl-3.0', false, 'licensed under the gnu affero general public license version 3', 'gnu affero general public license'),
+  ('artistic-2.0', false, 'released under the artistic license 2 0', 'artistic license 2 0'),
+  ('bsl-1.0', false, 'distributed under the boost software license version 1 0', 'boost software license'),
+  ('cc0-1.0', false, 'released under the creative commons zero v1 0 universal license', 'creative commons zero'),
+  ('epl-2.0', false, 'made available under the terms of the eclipse public license 2 0', 'eclipse public license'),
+  ('wtfpl', false, 'do what the fuck you want to public license', 'do what the fuck you want to'),
+  ('zlib', false, 'this software is provided as is without any express or implied warranty in no event will the authors be held liable', 'in no event will the authors be held liable'),
+  ('unlicense', false, 'this is free and unencumbered software released into the public domain', 'free and unencumbered software')),
+k AS (SELECT *, string_split(notice, ' ') AS nw, string_split(phrase, ' ') AS pw, len(string_split(split_part(' ' || notice || ' ', ' ' || phrase || ' ', 1), ' ')) - 1 AS off FROM t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+m AS (SELECT d.doc_id, d.w, k.*, unnest(list_filter(range(1, len(w) - len(pw) + 2), lambda i: w[i] = pw[1] AND w[i:i + len(pw) - 1] = pw)) AS place FROM d CROSS JOIN k),
+h AS (SELECT *, list_sum(list_transform(range(1, len(nw) + 1), lambda i: CASE WHEN place - off - 1 + i BETWEEN 1 AND len(w) AND w[place - off - 1 + i] = nw[i] THEN 1 ELSE 0 END)) / len(nw)::DOUBLE AS share FROM m),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(place - 1) FILTER (base) AS first_word, max(place - 1) FILTER (base) AS last_word, array_to_string(list_sort(list_distinct(coalesce(list(label) FILTER (base), []))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, CASE WHEN count(*) FILTER (base) > 0 THEN 1.0::DOUBLE ELSE max(share) END AS score FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN g USING (doc_id)""",
     "op7_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 c AS (SELECT vec_id, unnest(e) AS w, generate_subscripts(e, 1) AS term FROM v),
