@@ -69,6 +69,8 @@ def patterns(names: dict[str, list[str]]) -> dict[str, str]:
 
 
 PATTERNS = patterns(NAMES)
+#: What any number and any account number that is looked for holds.
+_NUMBER, _ACCOUNT = re.compile(r"\d[\d .()-]{5,}\d"), re.compile(r"[A-Z]{2}[0-9]{2}[ A-Z0-9]{8}")
 _LONE = re.compile(rf"(?<!\w){_SURNAME}(?!\w)")
 WHOLE = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: Classes of network addresses: a surrogate is of the class of its address; all that no network names are public.
@@ -130,11 +132,8 @@ class Surrogates:
     def __init__(self, key: bytes, names: dict[str, list[str]] | None = None) -> None:
         self.key, self.names = key, names or NAMES
         self.kind_of = {n: (k, i) for k, some in self.names.items() for i, n in enumerate(some)}
-        own = patterns(self.names)
-        self.found = re.compile("|".join(f"(?P<{k}>{re.sub(r'P<(value|first|middle|last|lone)>', rf'P<{k}_\1>', p)})" for k, p in own.items()))
+        self.own, self.compiled = {k: re.sub(r"P<(value|first|middle|last|lone)>", rf"P<{k}_\1>", p) for k, p in patterns(self.names).items()}, {}
         self.first = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, self.kind_of), key=len, reverse=True)) + r")(?!\w)")
-        # a text without any of these can't hold an entity
-        self.hint = re.compile(rf"[@=:]|\d|{TOKENS}|(?<!\w)(?:{'|'.join(map(re.escape, [*self.kind_of, *TITLES]))})[. ]")
         self.one = lru_cache(1 << 14)(self.make)
 
     def rounds(self, left: int, right: int, half: int, tweak: str, back: bool) -> tuple[int, int]:
@@ -294,7 +293,8 @@ class Surrogates:
 
     def replace(self, m: re.Match) -> Iterator[tuple[str, int, int, str, str]]:
         """(type, start, end, entity, surrogate) of what a match holds."""
-        kind = next(k for k in PATTERNS if m[k] is not None)
+        held = m.groupdict()
+        kind = next(k for k in PATTERNS if held.get(k) is not None)
         if kind == "assigned":
             value, sort = m["assigned_value"], sort_of(m["assigned_value"])
             yield sort if sort in PATTERNS else kind, m.start("assigned_value"), m.end("assigned_value"), value, self.one("assigned", value)
@@ -307,13 +307,29 @@ class Surrogates:
         elif kind != "iban" or iban_check(m[kind].replace(" ", "")) == 1:
             yield kind, m.start(kind), m.end(kind), m[kind], self.one(kind, m[kind])
 
+    def kinds(self, text: str) -> tuple[str, ...]:
+        """What a text may hold, by signs that are cheap to look for."""
+        has = lambda some: any(x in text for x in some)
+        found = ["email"] * ("@" in text) + ["secret"] * has(("AKIA", "gh", "glpat-", "xox", "AIza", "sk-"))
+        if "=" in text or ":" in text:
+            low = text.lower()
+            found += ["assigned"] * any(x in low for x in ("passw", "secret", "token", "key"))
+        if _NUMBER.search(text):
+            found += ["ip", "iban", "ssn", "card", "phone"]
+        elif _ACCOUNT.search(text):
+            found.append("iban")
+        return (*found, *["name"] * has(self.kind_of), *["titled"] * has(TITLES))
+
     def entities(self, text: str) -> list[tuple[str, int, int, str, str]]:
-        if not self.hint.search(text):
+        kinds = self.kinds(text)
+        if not kinds:
             return []
+        if kinds not in self.compiled:
+            self.compiled[kinds] = re.compile("|".join(f"(?P<{k}>{self.own[k]})" for k in PATTERNS if k in kinds))
         found, last = [], set()
-        for m in self.found.finditer(text):
+        for m in self.compiled[kinds].finditer(text):
             found += self.replace(m)
-            last |= {m[g] for g in ("name_last", "titled_lone") if m[g]}
+            last |= {x for g in ("name_last", "titled_lone") if (x := m.groupdict().get(g))}
         if last:  # the same people by their surnames alone
             taken = [(s, e) for _, s, e, _, _ in found]
             starts = [s for s, _ in taken]
@@ -401,10 +417,9 @@ def splits(replaced: DataFrame, spans: str = "entities") -> DataFrame:
 
 def verify(replaced: DataFrame, spans: str = "entities") -> None:
     """Raises an error if two entities share a surrogate, one has two, or one is its own; nothing of an entity is told but its type."""
-    found = entities(replaced, spans)
-    sides = [found.groupBy("type", F.lit(side).alias("side"), F.col(side).alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1") for side in ("surrogate", "entity")]
-    same = found.where("entity = surrogate").select("type", F.lit("same").alias("side"), F.col("entity").alias("value"), F.lit(1).cast("long").alias("n"))
-    bad = sides[0].unionByName(sides[1]).unionByName(same).groupBy("type", "side").agg(F.count(F.lit(1)).alias("n")).collect()
+    sides = F.array_compact(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("value")) for side in ("surrogate", "entity")], F.when(F.col("entity") == F.col("surrogate"), F.struct(F.lit("same").alias("side"), F.col("entity").alias("value")))))
+    each = entities(replaced, spans).select("type", F.explode(sides).alias("s")).groupBy("type", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or s.side = 'same'")
+    bad = each.groupBy("type", "s.side").agg(F.count(F.lit(1)).alias("n")).collect()
     if bad:
         told = {"surrogate": "stand for several entities", "entity": "have several surrogates", "same": "stay as they are"}
         raise ValueError("surrogates: " + "; ".join(f"{r.n} of type {r.type} {told[r.side]}" for r in bad))
