@@ -71,6 +71,8 @@ def patterns(names: dict[str, list[str]]) -> dict[str, str]:
 PATTERNS = patterns(NAMES)
 #: What any number and any account number that is looked for holds.
 _NUMBER, _ACCOUNT = re.compile(r"\d[\d .()-]{5,}\d"), re.compile(r"[A-Z]{2}[0-9]{2}[ A-Z0-9]{8}")
+#: First names and titles begin so.
+_CAPITAL = re.compile(r"[A-ZÀ-ÞА-ЯЁ]\w+")
 _LONE = re.compile(rf"(?<!\w){_SURNAME}(?!\w)")
 WHOLE = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: Classes of network addresses: a surrogate is of the class of its address; all that no network names are public.
@@ -134,6 +136,7 @@ class Surrogates:
         self.kind_of = {n: (k, i) for k, some in self.names.items() for i, n in enumerate(some)}
         self.own, self.compiled = {k: re.sub(r"P<(value|first|middle|last|lone)>", rf"P<{k}_\1>", p) for k, p in patterns(self.names).items()}, {}
         self.first = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, self.kind_of), key=len, reverse=True)) + r")(?!\w)")
+        self.odd = not all(map(_CAPITAL.fullmatch, self.kind_of))
         self.one = lru_cache(1 << 14)(self.make)
 
     def rounds(self, left: int, right: int, half: int, tweak: str, back: bool) -> tuple[int, int]:
@@ -318,7 +321,8 @@ class Surrogates:
             found += ["ip", "iban", "ssn", "card", "phone"]
         elif _ACCOUNT.search(text):
             found.append("iban")
-        return (*found, *["name"] * has(self.kind_of), *["titled"] * has(TITLES))
+        capital = set(_CAPITAL.findall(text))
+        return (*found, *["name"] * (self.odd or not capital.isdisjoint(self.kind_of)), *["titled"] * (not capital.isdisjoint(TITLES)))
 
     def entities(self, text: str) -> list[tuple[str, int, int, str, str]]:
         kinds = self.kinds(text)
