@@ -38,6 +38,8 @@ SECRET_TEXT = [
     r"""(?i:(?:password|passwd|pwd)\s*[:=]\s*['"][^'"]{8,}['"])""",
     r"""(?i:(?:secret)\s*[:=]\s*['"][A-Za-z0-9_\-]{16,}['"])""",
 ]
+#: What a match of SECRET_TEXT holds, in lower case or as it is.
+ANCHORS, EXACT_ANCHORS = ["api_key", "api-key", "apikey", "access_token", "access-token", "accesstoken", "password", "passwd", "pwd", "secret"], ["ghp_", "ghs_", "sk-", "AIza", "PRIVATE KEY-----"]
 BUILD_FOLDERS = ["dist", "build", "out", ".next", ".nuxt", "coverage"]
 #: Patterns of paths by which repository maps rank files, first match first.
 SKIPPED = r"^(node_modules|dist|build|out|coverage|\.git|\.next)/"
@@ -76,7 +78,12 @@ def secret_name(path: Column) -> Column:
 
 
 def secret_text(text: Column) -> Column:
-    return F.coalesce(text.rlike("|".join(SECRET_TEXT)), F.lit(False))
+    """Patterns run only over texts that have a word without which none of them matches."""
+    low, may = F.lower(text), F.lit(False)
+    for c, some in ((low, ANCHORS), (text, EXACT_ANCHORS)):
+        for anchor in some:
+            may = may | F.contains(c, F.lit(anchor))
+    return F.coalesce(F.when(may, text.rlike("|".join(SECRET_TEXT))), F.lit(False))
 
 
 def is_generated(path: Column) -> Column:

@@ -20,8 +20,9 @@ def round_half_up(x: Column) -> Column:
 
 
 def utf16_length(text: Column) -> Column:
-    """Code units: characters beyond the basic plane count two."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
+    """Code units: characters beyond the basic plane count two. Only texts that aren't ASCII are encoded to tell."""
+    points = F.length(text)
+    return F.when(F.octet_length(text) == points, points).otherwise(F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 
 
 def percent_change(base: Column, now: Column) -> Column:

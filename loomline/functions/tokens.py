@@ -32,6 +32,17 @@ def estimate_text(text: str) -> int:
     return max(1, math.ceil(len(text.encode("utf-16-le")) / 8), math.ceil(words * 1.3)) if text else 0
 
 
+def heuristic(text: Column, extension: Column | None = None) -> Column:
+    """A struct of tokens, how sure they are, and what an extension's factor changed, null if nothing."""
+    whole, sure = estimate(text), F.lit("heuristic").alias("confidence")
+    if extension is None:
+        return F.struct(whole.alias("tokens"), sure, F.lit(None).cast("string").alias("details"))
+    by, told = factor(extension), F.lit(None).cast("string")
+    for name, value in FACTORS.items():
+        told = F.when(extension == name, F.lit(f"adjusted by {value:g}x for {name[1:]}")).otherwise(told)
+    return F.struct(round_half_up(whole * by).alias("tokens"), sure, told.alias("details"))
+
+
 def factor(extension: Column) -> Column:
     found = F.lit(1.0)
     for name, value in FACTORS.items():
@@ -73,13 +84,22 @@ def with_provider(text: Column, provider: Callable[[str], int | None]) -> Column
 def with_density(df: DataFrame, text: str = "text", out: str = "density", ratio: float = 3.8, least: float = 0.65, most: float = 2.2) -> DataFrame:
     """Adds a struct of counts, ratios to four places, the multiplier to three, tokens and class.
 
-    Each step is a projection of its own, so every pattern runs once over a text.
+    One pattern cuts a text to its words, which gives words and letters; signs are what remains of the length, so that no
+    pattern is tried for every character. Each step is a projection of its own.
     """
     t, kept = F.coalesce(F.col(text), F.lit("")), df.columns
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    steps = df.withColumns({
-        "_n": utf16_length(t), "_points": F.length(t), "_blank": count(r"[ \t\r\n]"), "_marks": count(r"[!-/:-@\[-`{-~]"), "_foreign": count(r"[^\x00-\x7F]"), "_words": count(r"[A-Za-z0-9_]+"),
-        "_letters": count(r"[A-Za-z0-9_]"), "_lines": count("\n"),
+    without = lambda x, *some: without(F.replace(x, F.lit(some[0]), F.lit("")), *some[1:]) if some else x
+    count = lambda pattern: F.when(t.rlike(pattern), F.regexp_count(t, F.lit(pattern))).otherwise(0)
+    steps = df.withColumns({"_n": utf16_length(t), "_points": F.length(t), "_cut": F.regexp_replace(t, "[^A-Za-z0-9_]+", " ")})
+    steps = steps.withColumns({
+        "_blank": F.col("_points") - F.length(without(t, " ", "\t", "\r", "\n")), "_lines": F.col("_points") - F.length(without(t, "\n")), "_under": F.col("_points") - F.length(without(t, "_")),
+        "_letters": F.length(without(F.col("_cut"), " ")), "_foreign": F.when(F.octet_length(t) == F.col("_points"), 0).otherwise(F.regexp_count(t, F.lit(r"[^\x00-\x7F]"))),
+        "_control": count(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"),
+    })
+    ends = F.when(F.col("_cut").startswith(" "), 1).otherwise(0) + F.when(F.col("_cut").endswith(" "), 1).otherwise(0)
+    steps = steps.withColumns({
+        "_words": F.when(F.col("_letters") == 0, 0).otherwise(F.length("_cut") - F.col("_letters") + 1 - ends),
+        "_marks": F.col("_points") - F.col("_blank") - F.col("_foreign") - F.col("_control") - F.col("_letters") + F.col("_under"),
     })
     n = F.col("_n")
     part = lambda x, of: F.when(n == 0, F.lit(0.0)).otherwise(F.col(x) / F.greatest(of, F.lit(1)))

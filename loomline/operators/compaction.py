@@ -14,7 +14,7 @@ from loomline.functions.numbers import to_fixed, utf16_length
 
 #: Starts of lines that an outline keeps, and words that open no signature.
 OUTLINE = ["import ", "export ", "interface ", "type ", "declare ", "enum ", "from ", "export default"]
-CONTROL = {"if", "for", "while", "switch", "catch", "else", "return", "do", "try", "with", "throw", "new", "await", "typeof"}
+CONTROL = {"if", "for", "while", "switch", "catch", "with"}
 
 
 def strip_comments(text: Column, python: Column) -> Column:
@@ -39,6 +39,7 @@ def outline(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), keep), "\n")
 
 
+#: What a line that opens a body looks like, and the first word of a line.
 _DECLARED = re.compile(r"^(export\s+)?(async\s+)?function\s|^constructor")
 _ARROW = re.compile(r"^(const|let|var)\s+[A-Za-z0-9_$]+\s*=\s*(async\s*)?\([^)]*\)\s*(=>)?\s*\{?$")
 _CALLED = re.compile(r"\b[A-Za-z0-9_$]+\s*\([^)]*\)\s*(?::\s*[^;{]+)?\s*\{?$")
@@ -84,12 +85,14 @@ def compact_tokens(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.greatest(F.lit(1), F.ceil(utf16_length(text) / F.lit(3.8)))).cast("long")
 
 
-def progressive(df: DataFrame, target: int, python: Column) -> DataFrame:
-    """(path, stage, text, tokens, reduction): the lowest of four stages that meets a target, else the last."""
+def progressive(df: DataFrame, target: int | None, python: Column, fixed: int | None = None) -> DataFrame:
+    """(path, stage, text, tokens, reduction): the lowest of four stages that meets a target, else the last; or a fixed stage."""
     staged = df.withColumn("_1", strip_comments(F.col("text"), python)).withColumn("_2", collapse_bodies("_1")).withColumn("_3", outline(F.col("_1")))
     texts = [F.col("text"), F.col("_1"), F.col("_2"), F.col("_3")]
-    stage = F.lit(3)
-    for n in (2, 1, 0):
+    if (fixed is None) == (target is None) or fixed not in (None, 0, 1, 2, 3):
+        raise ValueError("a target or a stage from 0 to 3")
+    stage = F.lit(3 if fixed is None else fixed)
+    for n in (2, 1, 0) if fixed is None else ():
         stage = F.when(compact_tokens(texts[n]) <= target, n).otherwise(stage)
     chosen = staged.withColumn("stage", stage).withColumn("_out", F.get(F.array(*texts), F.col("stage")))
     before, after = compact_tokens(F.col("text")), compact_tokens(F.col("_out"))

@@ -7,6 +7,7 @@ reasoning_score, latency_score, updated_at, and ord, the place in the catalogue,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.numbers import round_half_up, to_fixed
 
+#: Fixed values, here and in reasons(), warnings(), suggestions(), assumptions(), roles(), tradeoff() and RATIONALE: weights and sentences.
 #: Tokens a goal writes, and how hard it is.
 OUTPUT_TOKENS = {"build-mvp": 8000, "add-feature": 4000, "debug": 4000, "refactor": 8000, "migration": 12000, "security-review": 10000, "test-generation": 4000, "documentation": 2000, "architecture-planning": 10000, "cleanup": 4000}
 DIFFICULTY = {"build-mvp": 3, "add-feature": 2, "debug": 1, "refactor": 3, "migration": 3, "security-review": 4, "test-generation": 2, "documentation": 1, "architecture-planning": 3, "cleanup": 1}
@@ -68,6 +70,39 @@ def page(models: DataFrame, sort: str = "composite", descending: bool = True, of
     return ranked.orderBy(key.desc() if descending else key.asc(), "ord").offset(offset).limit(limit)
 
 
+def query(models: DataFrame, offset: int = 0, limit: int = 50, sort: str = "composite", descending: bool = True, **predicates: object) -> dict:
+    """One call: a page of the models that pass, what was found in all, and whether more follow."""
+    found = select(models, **predicates)
+    told = aggregates(found).first().asDict()
+    per = provider_counts(found).orderBy("first").select("provider", "models").collect()
+    return {"models": page(found, sort, descending, offset, limit), "total": told["models"], "offset": offset, "limit": limit, "hasMore": offset + limit < told["models"], "aggregates": told, "providers": {r.provider: r.models for r in per}}
+
+
+def by_id(models: DataFrame, name: str) -> DataFrame:
+    """The first model of an id."""
+    return models.where(col("id") == name).orderBy("ord").limit(1)
+
+
+def by_provider(models: DataFrame, name: str) -> DataFrame:
+    return models.where(col("provider") == name)
+
+
+def matching(models: DataFrame, text: str) -> DataFrame:
+    """Models of which the id, name, provider or privacy has a text, in any case."""
+    return models.where(F.lower(F.concat_ws(" ", "id", "display_name", "provider", "privacy_mode")).contains(text.lower()))
+
+
+def unknown_providers(models: DataFrame, providers: DataFrame) -> DataFrame:
+    """Providers of a catalogue that a list (provider) lacks."""
+    return models.select("provider").distinct().join(providers, "provider", "left_anti")
+
+
+def freshness(updated_at: Column, now: Column, most: int = 90) -> Column:
+    """A struct of a catalogue date's age in days and a verdict: invalid, future, stale or fresh."""
+    age = age_in_days(updated_at, now)
+    return F.struct(age.alias("days"), F.when(age.isNull(), "invalid").when(age < 0, "future").when(age > most, "stale").otherwise("fresh").alias("verdict"))
+
+
 def aggregates(models: DataFrame) -> DataFrame:
     is_local = col("supports_local") | (col("privacy_mode") == "local")
     mean = lambda c, n: F.coalesce(to_fixed(F.avg(c), n), F.lit(0.0))
@@ -112,7 +147,8 @@ def errors(models: DataFrame) -> DataFrame:
 
 def age_in_days(updated_at: Column, now: Column) -> Column:
     """Whole days since midnight UTC of a date; null if it isn't one."""
-    return F.floor((F.unix_millis(now) - F.unix_millis(F.to_timestamp(F.try_to_timestamp(updated_at, F.lit("yyyy-MM-dd"))))) / 86_400_000)
+    day = F.when(updated_at.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(updated_at, "yyyy-MM-dd"))
+    return F.floor((F.unix_millis(now) - F.unix_date(day).cast("long") * 86_400_000) / 86_400_000)
 
 
 def call_cost(input_tokens: Column, output_tokens: Column, cached_tokens: Column) -> dict[str, Column]:
@@ -164,9 +200,12 @@ def score(models: DataFrame, workspace_tokens: int, goal: str, budget: int | Non
 def recommend(scored: DataFrame) -> DataFrame:
     """Three tiers (cheapest, balanced, confidence), each a model that no tier before has, unless none is left.
 
-    Models that don't fit count only if none does. Each tier is a minimum over the models under its order, so no model list is sorted or gathered.
+    Models that don't fit count only if none does; without any model it is an error. Each tier is a minimum over the models under its order, so no model list is sorted or gathered.
     """
-    pool = scored.withColumn("_any", F.max("fits").over(Window.partitionBy())).where("fits or not _any")
+    some = scored.agg(F.max("fits")).first()[0]  # null without models
+    if some is None:
+        raise ValueError("no models are eligible")
+    pool = scored.where("fits") if some else scored
     name = F.collate(F.col("id").cast("string"), "UNICODE")
     late = ~col("preferred")
     orders = {
@@ -179,7 +218,6 @@ def recommend(scored: DataFrame) -> DataFrame:
     for n, (tier, order) in enumerate(orders.items()):
         three = pool.orderBy(*order).limit(3).withColumns({"tier": F.lit(tier), "n": F.lit(n), "rank": F.row_number().over(Window.partitionBy(F.lit(n)).orderBy(*order))})
         best = three if best is None else best.unionByName(three)
-    best = best.drop("_any")
     picks, taken = None, None
     for n in range(3):
         own = best.where(col("n") == n)
@@ -193,6 +231,46 @@ def recommend(scored: DataFrame) -> DataFrame:
     return picks.drop("n", "rank")
 
 
+def ranked(scored: DataFrame) -> DataFrame:
+    """All scored models, the best first."""
+    return scored.orderBy(F.desc("total"), "ord")
+
+
+def fitting_first(scored: DataFrame) -> DataFrame:
+    """Models that fit, then those that don't, each in the order of the catalogue."""
+    return scored.orderBy(F.desc("fits"), "ord")
+
+
+def context_fits(scored: DataFrame) -> DataFrame:
+    return scored.agg(F.count_if(col("overflow_risk") == 0).alias("fitting"), F.count(F.lit(1)).alias("models"))
+
+
+def others(scored: DataFrame, picks: DataFrame) -> DataFrame:
+    """Scored models that no tier names."""
+    return scored.join(F.broadcast(picks.select("id").distinct()), "id", "left_anti")  # three ids
+
+
+def compared(scored: DataFrame, models: DataFrame, workspace_tokens: int, goal: str) -> DataFrame:
+    """Of each scored model what a prompt and ten turns cost, and its first two reasons; a dash for what the catalogue lacks."""
+    priced = session_costs(models, workspace_tokens)
+    first = priced.groupBy("id").agg(F.min_by(F.struct("display_name", "provider", "prompt_cost", "run_cost"), "ord").alias("m"))
+    told = scored.withColumn("reasons", F.slice(reasons(goal), 1, 2)).select("id", "total", "reasons", "ord")
+    name = lambda c: F.coalesce(F.col(f"m.{c}"), F.lit("—")).alias(c)
+    return told.join(first, "id", "left").select("id", name("display_name"), name("provider"), "total", F.col("m.prompt_cost").alias("prompt_cost"), F.col("m.run_cost").alias("run_cost"), "reasons", "ord")
+
+
+def assumptions(workspace_tokens: int, goal: str, budget: int | None = None, privacy: str = "cloud-ok", any_fits: bool = True) -> list[str]:
+    """What a recommendation takes for granted."""
+    need = int((min(workspace_tokens, budget) if budget is not None else workspace_tokens) * 1.2 + 0.5)
+    told = [
+        f'Output tokens estimated for "{goal}" goal: {OUTPUT_TOKENS[goal]}',
+        f"20% safety margin added to context ({need} tokens required)",
+        f"Using full workspace tokens ({workspace_tokens}) as context" if budget is None else f"Context limited to user-specified budget of {budget} tokens",
+        "Local-first privacy mode only considers models with verified local execution support" if privacy == "local-first" else "Cloud-capable models may be considered",
+    ]
+    return told + ["No model fits the required context; recommend using repo-map-first strategy to reduce context"] * (not any_fits)
+
+
 def rejected(scored: DataFrame) -> DataFrame:
     return scored.where(~col("fits")).select("id", "ord")
 
@@ -230,11 +308,7 @@ def suggestions(workspace_tokens: int) -> Column:
 def advice(models: DataFrame, baseline: str, developers: float = 5, days: float = 22, runs: float = 15, input_tokens: float = 48_000, output_tokens: float = 2_000, cache: float = 0.5, least_context: int = 0) -> DataFrame:
     """Monthly plans of all candidates against a baseline model, unrounded savings beside rounded ones."""
     per_dev = float(runs) * float(days)
-    team = per_dev * float(developers)
-    million = F.lit(1_000_000.0)
-    held = F.lit(float(input_tokens) * float(cache))
-    run = (F.lit(float(input_tokens)) - held) / million * col("input_price") + held / million * cached() + F.lit(float(output_tokens)) / million * col("output_price")
-    priced = models.withColumn("run_cost", run).withColumn("spend", col("run_cost") * F.lit(team))
+    priced = priced_runs(models, developers, days, runs, input_tokens, output_tokens, cache)
     base = priced.where(col("id") == baseline).orderBy("ord").limit(1).select(col("run_cost").alias("base_run_cost"), col("spend").alias("base_spend"))
     ratio = col("context_window") / F.lit(float(max(least_context, 1)))
     fit = F.lit(1.0) if least_context <= 0 else F.when(ratio >= 1, 1.0).otherwise(F.greatest(F.lit(0.1), to_fixed(ratio, 2)))
@@ -266,16 +340,84 @@ def recommended_plan(plans: DataFrame) -> DataFrame:
     return first.unionByName(cheapest).orderBy("_n").limit(1).drop("_n")
 
 
-def hybrid(plans: DataFrame, team_runs: int) -> DataFrame:
-    """Runs dealt to a fast, a balanced and the baseline's tier, with their monthly costs; no rows if nothing saves."""
+def usd(amount: Column) -> Column:
+    """A month's money as text."""
+    cents = to_fixed(amount, 2)
+    return F.when(cents == 0, "less than $0.01").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", cents)))
+
+
+def tradeoff(base_is_free: bool = False, runs: bool = True) -> Column:
+    """A sentence on what a plan of advice() costs more or less than the baseline."""
+    diff, name, base = col("spend") - col("base_spend"), col("display_name"), col("base_spend")
+    percent = round_half_up(F.abs(diff) / F.nullif(base, F.lit(0.0)) * 100)
+    same = F.concat(F.lit("Cost-neutral alternative to "), name, F.lit(" with identical economic footprint.")) if runs else F.concat(F.lit("No runs are projected for this workload, so switching to "), name, F.lit(" has no cost impact."))
+    label = "zero-cost baseline" if base_is_free else "baseline's zero projected spend"
+    little = lambda way: F.concat(F.lit(f"Costs less than 1% {way} than the baseline for "), name, F.lit("."))
+    return (
+        F.when(diff == 0, same).when(base <= 0, F.concat(F.lit("Adds "), usd(diff), F.lit(f"/mo over the {label} to adopt "), name, F.lit(" (percentage uplift undefined).")))
+        .when((percent == 0) & (diff < 0), little("less")).when(percent == 0, little("more"))
+        .when(diff < 0, F.concat(F.lit("Delivers "), percent.cast("string"), F.lit("% cost reduction. Ideal for offloading standard repetitive development prompts.")))
+        .otherwise(F.concat(F.lit("Invests "), percent.cast("string"), F.lit("% higher spend for superior frontier reasoning capability on complex edge-cases.")))
+    )
+
+
+RATIONALE = {
+    "fast_triage": "Route file exploration, lint fixes, commit messages, and token scans to high-throughput tier.",
+    "balanced_editing": "Route standard feature implementation, unit test generation, and pull request changesets.",
+    "complex_reasoning": "Reserve top-tier model for large architectural redesigns, debugging elusive race conditions.",
+}
+
+
+def dealt_runs(team_runs: int) -> tuple[int, int, int]:
+    """Runs of a fast, a balanced and the baseline's tier."""
     triage = int(team_runs * 0.6 + 0.5)
     editing = min(int(team_runs * 0.3 + 0.5), team_runs - triage)
+    return triage, editing, team_runs - triage - editing
+
+
+def hybrid(plans: DataFrame, team_runs: int, models: DataFrame | None = None, baseline: str = "baseline") -> DataFrame:
+    """Runs dealt to a fast, a balanced and the baseline's tier, with their monthly costs unrounded and rounded.
+
+    If no plan saves, the baseline of models takes all in one row; without models there are no rows then.
+    """
+    triage, editing, reasoning = dealt_runs(team_runs)
     saving = plans.where("savings > 0")
     pick = lambda some, n: some.limit(1).withColumn("_n", F.lit(n))
     by_savings = [F.desc("savings"), F.col("ord")]
     fast = pick(saving.where("savings_percent > 40").orderBy(*by_savings), 0).unionByName(pick(saving.orderBy("spend", *by_savings), 1)).orderBy("_n").limit(1)
     steady = pick(saving.where("savings_percent between 10 and 40").orderBy(*by_savings), 0).unionByName(pick(saving.orderBy(*by_savings), 1)).orderBy("_n").limit(1)
-    cost = lambda c, n: to_fixed(F.col(c) * F.lit(float(n)), 2).alias("monthly_cost")
-    rows = fast.select(F.lit("fast_triage").alias("tier"), F.lit(60).alias("traffic"), F.col("id").cast("string").alias("id"), cost("run_cost", triage))
-    rows = rows.union(steady.select(F.lit("balanced_editing"), F.lit(30), F.col("id").cast("string"), cost("run_cost", editing)))
-    return rows.union(fast.select(F.lit("complex_reasoning"), F.lit(10), F.lit("baseline"), cost("base_run_cost", team_runs - triage - editing)))
+
+    def row(some: DataFrame, tier: str, traffic: int, name: Column, run: str, n: int) -> DataFrame:
+        cost = F.col(run) * F.lit(float(n))
+        return some.select(F.lit(tier).alias("tier"), F.lit(traffic).alias("traffic"), name.cast("string").alias("id"), to_fixed(cost, 2).alias("monthly_cost"), cost.alias("cost"), F.lit(RATIONALE[tier]).alias("rationale"))
+
+    rows = row(fast, "fast_triage", 60, col("id"), "run_cost", triage).union(row(steady, "balanced_editing", 30, col("id"), "run_cost", editing)).union(row(fast, "complex_reasoning", 10, F.lit(baseline), "base_run_cost", reasoning))
+    if models is None:
+        return rows
+    told = plans.agg(F.count(F.lit(1)).alias("_all"), F.count_if(col("savings") > 0).alias("_saving"))
+    why = F.when(col("_all") == 0, "All traffic routed to baseline model (no suitable multi-tier alternatives provided).").otherwise("All traffic routed to baseline model (no candidate model costs less than the baseline).")
+    alone = by_id(models, baseline).crossJoin(told).where("_saving = 0")  # a row each
+    return rows.union(alone.select(F.lit("balanced_editing"), F.lit(100), col("id").cast("string"), to_fixed(col("spend"), 2), col("spend"), why))
+
+
+def hybrid_summary(rules: DataFrame, base_spend: float, baseline_name: str, plans: int) -> DataFrame:
+    """(blended_cost, savings, savings_percent, summary) of the rules of hybrid(), given the baseline's spend and how many plans there were."""
+    total = rules.agg(F.count(F.lit(1)).alias("_n"), F.sum("cost").alias("_cost"))
+    saved = F.when(col("_n") == 3, F.lit(float(base_spend)) - col("_cost")).otherwise(F.lit(0.0))
+    percent = to_fixed(saved / F.lit(float(base_spend)) * 100, 1) if base_spend > 0 else F.lit(0.0)
+    shown = F.regexp_replace(F.format_string("%.1f", percent), r"\.0$", "")
+    told = F.concat(F.lit("Tiered dispatching delivers "), usd(saved), F.lit("/mo ("), shown, F.lit("%) savings while preserving top-tier model precision for high-complexity prompts."))
+    none = f"No alternative models were available, so all traffic stays on {baseline_name} and tiered dispatching adds no savings." if plans == 0 else f"No candidate model costs less than {baseline_name}, so all traffic stays on the baseline and tiered dispatching adds no savings."
+    return total.select(to_fixed(col("_cost"), 2).alias("blended_cost"), to_fixed(saved, 2).alias("savings"), percent.alias("savings_percent"), F.when(col("_n") == 3, told).otherwise(F.lit(none)).alias("summary"))
+
+
+def priced_runs(models: DataFrame, developers: float = 5, days: float = 22, runs: float = 15, input_tokens: float = 48_000, output_tokens: float = 2_000, cache: float = 0.5) -> DataFrame:
+    """models with what a run costs, and a team's month. Numbers must be finite and not below zero, a share of 1 at most."""
+    for value in (developers, days, runs, input_tokens, output_tokens, cache):
+        if not math.isfinite(value) or value < 0:
+            raise ValueError("workload out of range")
+    if cache > 1 or not math.isfinite(float(runs) * float(days) * float(developers)):
+        raise ValueError("workload out of range")
+    million, held = F.lit(1_000_000.0), F.lit(float(input_tokens) * float(cache))
+    run = (F.lit(float(input_tokens)) - held) / million * col("input_price") + held / million * cached() + F.lit(float(output_tokens)) / million * col("output_price")
+    return models.withColumn("run_cost", run).withColumn("spend", col("run_cost") * F.lit(float(runs) * float(days) * float(developers)))

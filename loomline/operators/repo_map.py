@@ -1,14 +1,24 @@
-"""Which files a repository map names, and what fits its budget."""
+"""Which files a repository map names, the map itself, and what fits its budget.
+
+Lists, their order and what a budget may take are DataFrames. A map's Markdown is one text of a workspace, so its rows come
+to the driver when it is made: the files that a list names, and as many symbols as asked.
+"""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from dataclasses import dataclass, field, replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import files, paths
 from loomline.functions.once import with_once
 from loomline.functions.tokens import estimate_text
-from loomline.operators.workspace import folders
+from loomline.operators import symbols as symbols_
+from loomline.operators.text import code, plain
+from loomline.operators.workspace import folders, languages
 
 BUCKETS = ["entry", "config", "docs", "test", "source", "other", "excluded"]
 
@@ -68,36 +78,205 @@ def budget_prefix(mapped: DataFrame, budget: int) -> DataFrame:
     return total.withColumn("running", F.col("_start") + F.col("_own")).where(F.col("running") <= budget).select("path", "bucket", "estimated_tokens", "running")
 
 
-def render(mapped: DataFrame, symbols: DataFrame | None = None, title: str = "Repository map", budget: int | None = None) -> tuple[str, int]:
-    """Markdown of a map, and how many of its entries were left out to stay within a budget of tokens.
+#: Lists of a map in the order in which a budget takes files from them; files of the last three lists stay.
+TAKEN, KEPT = ["large", "generated", "risky", "excluded", "test", "important"], ["entry", "config", "docs"]
+#: How many rows a map shows.
+CAPS = {"include": 15, "exclude": 10, "symbols": 30, "imports": 15, "edges": 30, "entry hints": 5}
+
+
+def listed(mapped: DataFrame) -> DataFrame:
+    """mapped with lists, the names of the lists of a map that a file is in."""
+    tests = {
+        "large": F.col("large"), "generated": F.col("generated"), "risky": F.col("risky"), "excluded": F.col("bucket") == "excluded", "test": F.col("bucket") == "test",
+        "important": F.col("priority") >= 60, "entry": F.col("bucket") == "entry", "config": F.col("bucket") == "config", "docs": F.col("bucket") == "docs",
+    }
+    return mapped.withColumn("lists", F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()])))
+
+
+def trim_order(mapped: DataFrame) -> DataFrame:
+    """Files that a budget may take, with n, the first list that has them: all that stand in a list but those in KEPT."""
+    own = listed(mapped)
+    keep = own.where(F.arrays_overlap("lists", F.array(*map(F.lit, KEPT)))).select("path").distinct()
+    first = F.array_min(F.transform("lists", lambda x: F.array_position(F.array(*map(F.lit, TAKEN)), x)))
+    return own.where(F.size("lists") > 0).join(keep, "path", "left_anti").withColumn("n", first.cast("int")).where("n > 0")
+
+
+def counts(scan: DataFrame, mapped: DataFrame) -> DataFrame:
+    """One row of what a map's summary tells."""
+    has = lambda name: F.count_if(F.array_contains("lists", name))
+    told = listed(mapped).agg(
+        has("important").alias("important"), has("entry").alias("entry"), has("test").alias("test"), has("config").alias("config"), has("docs").alias("docs"), has("large").alias("large"), has("risky").alias("risky"),
+        has("generated").alias("generated"), has("excluded").alias("excluded"), F.coalesce(F.sum(F.when(F.array_contains("lists", "important"), F.col("estimated_tokens"))), F.lit(0)).alias("important_tokens"),
+    )
+    return told.crossJoin(scan.agg(F.count_if("included").alias("included_files"), F.count_if(~F.col("included")).alias("excluded_files"), F.count(F.lit(1)).alias("total_files"), F.coalesce(F.sum("estimated_tokens"), F.lit(0)).alias("total_tokens")))  # a row each
+
+
+@dataclass
+class RepoMap:
+    """A map's lists and facts: bounded by a workspace's listed files, as the Markdown that it makes is one text."""
+
+    root: str
+    generated_at: str
+    budget: int
+    summary: list[str]
+    instructions: list[str]
+    workspace_tokens: int
+    folders: list[tuple]
+    languages: list[tuple]
+    files: list[dict]
+    include: list[dict]
+    exclude: list[dict]
+    symbols: list[dict] = field(default_factory=list)
+    imports: list[dict] = field(default_factory=list)
+    routes: list[dict] = field(default_factory=list)
+    notes: list[str] = field(default_factory=list)
+    estimated_tokens: int = 0
+
+    def of(self, name: str) -> list[dict]:
+        return [f for f in self.files if name in f["lists"]]
+
+    def without(self, gone: set[str]) -> RepoMap:
+        """The map without some files, wherever they are named."""
+        stay = lambda rows: [r for r in rows if r["path"] not in gone]
+        return replace(self, files=stay(self.files), include=stay(self.include), exclude=stay(self.exclude), symbols=stay(self.symbols), imports=stay(self.imports), routes=stay(self.routes))
 
-    Only rows that the display caps allow come to the driver: 15 files to read, 10 to leave out, 30 symbols. While the text
-    is over budget, entries go from the end: those to leave out first, then symbols, then files that are neither entry
-    points, configuration nor documents.
+    def symbol_summary(self) -> list[str]:
+        n = lambda *kinds: sum(s["kind"] in kinds for s in self.symbols)
+        if not self.symbols:
+            return []
+        files, out = len({s["path"] for s in self.symbols}), sum(bool(s["exported"]) for s in self.symbols)
+        return [f"{len(self.symbols)} symbols extracted from {files} files", f"Exports: {out}", f"Functions: {n('function', 'component')}", f"Classes: {n('class')}", f"Interfaces/Types: {n('interface', 'type')}", f"Routes: {len(self.routes)}"]
+
+    def compact(self) -> dict:
+        """What a tool's client gets of a map."""
+        rows = lambda some, name: [{name: a, "tokens": t, "files": n} for a, n, t in some]
+        return {
+            "rootPath": self.root, "generatedAt": self.generated_at, "estimatedTokens": self.estimated_tokens, "workspaceTotalTokens": self.workspace_tokens, "summary": "\n".join(self.summary),
+            "topLevelFolders": rows(self.folders, "path"), "languageBreakdown": rows(self.languages, "language"), "importantFileCount": len(self.of("important")), "entryPointCount": len(self.of("entry")),
+            "riskyFileCount": len(self.of("risky")), "largeFileCount": len(self.of("large")), "symbolCount": len(self.symbols),
+        }
+
+
+def create(
+    scan: DataFrame, budget: int, root: str = ".", generated_at: str = "", goal: str | None = None, files: DataFrame | None = None, manifests: DataFrame | None = None, max_symbols: int = 100, parse_limit: int = symbols_.PARSE_LIMIT
+) -> RepoMap:
+    """The map of a scan within a budget of tokens; files (path, text) are parsed for symbols, imports and routes if given."""
+    mapped = entries(scan)
+    c = counts(scan, mapped).first()
+    part = f"{c.included_files / c.total_files * 100:.1f}" if c.total_files else "0.0"
+    summary = [
+        f"Files: {c.included_files} included / {c.excluded_files} excluded ({part}% of {c.total_files} total)", f"Important files identified: {c.important}", f"Entry points: {c.entry}", f"Tests: {c.test}", f"Config files: {c.config}",
+        f"Documentation files: {c.docs}", f"Large files: {c.large}", f"Risky files: {c.risky}", f"Tokens in important files: ~{c.important_tokens:,}", f"Workspace total: ~{c.total_tokens:,} tokens",
+    ]
+    rows = lambda df, *names: [r.asDict() for r in df.select("path", "estimated_tokens", "priority", "reason", "map_language", "lists", *names).collect()]
+    kept = listed(mapped)
+    own = rows(kept.where(F.size("lists") > 0).orderBy("ord"), "ord")
+    first = [f["path"] for f in own if "entry" in f["lists"]][: CAPS["entry hints"]]
+    told = ["Start by reading this repo map to understand the workspace structure.", "Do not read the full contents of large files unless specifically needed."]
+    told += [f"Key entry points to read first: {', '.join(first)}"] * bool(first)
+    told += [f"There are {c.large} large file(s). Ask before reading them."] * bool(c.large) + [f"There are {c.risky} potentially sensitive file(s). Ask before reading."] * bool(c.risky)
+    told += [f"There are {c.generated} generated file(s). Avoid editing them."] * bool(c.generated) + [f"The current workspace goal is: {goal}"] * bool(goal)
+    told += ["Prefer reading targeted files over scanning entire directories.", "Use patch-only output when making code changes."]
+    per = languages(scan).orderBy(F.desc("total_tokens"), "ord").select("language", "file_count", "total_tokens").collect()
+    made = RepoMap(
+        root, generated_at, budget, summary, told, c.total_tokens, [tuple(r) for r in map_folders(scan).select("folder", "included_files", "total_tokens").collect()], [tuple(r) for r in per], own,
+        rows(recommended_include(kept)), rows(recommended_exclude(kept).orderBy("list_no", "ord")),
+    )
+    if files is not None:
+        important = mapped.where("priority >= 60")
+        texts = files.join(symbols_.eligible(scan, important, parse_limit).select("path"), "path", "left_semi")
+        made.symbols = [r.asDict() for r in symbols_.rank_symbols(symbols_.all_symbols(texts), goal or "build-mvp", max_symbols).collect()]
+        made.imports = [r.asDict() for r in symbols_.resolve(symbols_.all_imports(texts), scan).select("path", "source", "kind", "resolved").orderBy("path", "source").collect()]
+        routes = symbols_.call_routes(files.join(important.select("path"), "path", "left_semi")).select("path", "route", "framework", "reason")
+        if manifests is not None:
+            placed = symbols_.file_routes(important.select("path"), manifests)
+            routes = placed.select("path", "route", F.lit("nextjs").alias("framework"), F.concat(F.lit("Next.js "), "router", F.lit(" route")).alias("reason")).unionByName(routes)
+        made.routes = [r.asDict() for r in routes.orderBy("path", "route").collect()]
+    return within_budget(made, [r.path for r in trim_order(mapped).orderBy("n", "ord").select("path").collect()])
+
+
+def settled(made: RepoMap) -> RepoMap:
+    """The map with the tokens of its Markdown, which names them."""
+    for _ in range(2):
+        made = replace(made, estimated_tokens=estimate_text(markdown(made)))
+    return made
+
+
+def within_budget(made: RepoMap, order: list[str]) -> RepoMap:
+    """The map without the fewest files, in that order, that bring it under its budget, and notes on it.
+
+    Markdown gets shorter as files go, but for a few words where a list runs empty, so the number of files is found by
+    halving, and the numbers right below it are tried too.
     """
-    if budget is not None and budget <= 0:
-        raise ValueError("budget out of range")
-    total = mapped.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("included"), F.col("estimated_tokens"))), F.lit(0)).alias("t")).first()
-    read = recommended_include(mapped, 15).select("path", "estimated_tokens", "reason", "bucket").collect()
-    leave = recommended_exclude(mapped).orderBy("list_no", "ord").select("path", "estimated_tokens").limit(10).collect()
-    named = symbols.select("kind", "name", "path").limit(30).collect() if symbols is not None else []
-    left_out = 0
-    while True:
-        out = [f"# {title}", "", f"- Files: {total.n:,}", f"- Included tokens: {total.t:,}", "", "## Read first", ""]
-        out += [f"- `{r.path}` ({r.estimated_tokens:,} tokens): {r.reason}" for r in read] + ["", "## Leave out", ""]
-        out += [f"- `{r.path}` ({r.estimated_tokens:,} tokens)" for r in leave]
-        out += ["", "## Symbols", ""] * bool(named) + [f"- {r.kind} `{r.name}` in `{r.path}`" for r in named]
-        out += ["", f"{left_out} entries left out for the budget"] * bool(left_out)
-        text = "\n".join(out) + "\n"
-        if budget is None or estimate_text(text) <= budget:
-            return text, left_out
-        spare = [i for i, r in enumerate(read) if r.bucket not in ("entry", "config", "docs")]
-        if leave:
-            leave.pop()
-        elif named:
-            named.pop()
-        elif spare:
-            read.pop(spare[-1])
-        else:
-            return text, left_out
-        left_out += 1
+    if not math.isfinite(made.budget) or made.budget <= 0:
+        raise ValueError(f"token budget must be a finite number > 0 (got {made.budget})")
+    whole = settled(made)
+    if whole.estimated_tokens <= made.budget:
+        return whole
+    noted = replace(made, notes=[*made.notes, f"Budget of {made.budget:,} tokens exceeded; lower-priority sections were trimmed."])
+    size = lambda n: settled(noted.without(set(order[:n]))).estimated_tokens
+    low, high = 1, len(order)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if size(mid) <= made.budget else (mid + 1, high)
+    gone = min(low, len(order))
+    gone = next((n for n in range(max(1, gone - 16), gone) if size(n) <= made.budget), gone)
+    out = noted.without(set(order[:gone]))
+    if gone:
+        out = replace(out, notes=[*out.notes, f"Trimmed {gone} lower-priority file(s); entry points, config, and documentation were preserved."])
+    out = settled(out)
+    if out.estimated_tokens > made.budget:
+        out = settled(replace(out, notes=[*out.notes, f"The required high-priority sections need {out.estimated_tokens:,} tokens and cannot fit the requested budget."]))
+    return out
+
+
+#: A section's heading, list, words for none, and words before the list.
+SECTIONS = [
+    ("Entry Points", "entry", "No entry points detected.", ""), ("Tests", "test", "No test files detected.", ""), ("Config & Tooling", "config", "No config files detected.", ""), ("Documentation", "docs", "No documentation files detected.", ""),
+    ("Large / Noisy Files", "large", "No large or noisy files detected.", "The following files exceed ~50K estimated tokens and should usually not be sent to an AI agent:"),
+    ("Risk / Sensitive Files", "risky", "No risk-flagged files detected.", "The following files may contain sensitive information. Contents are not exposed here:"),
+]
+#: What a map tells an agent.
+GUIDELINES = [
+    "Ask before reading files marked as risky or sensitive.", "Summarize large files instead of reading them fully.", "Use patch-only output for code changes to minimize token usage.",
+    "Prefer reading targeted files over scanning entire directories.",
+]
+PREFIX = "> You are working in this repository. Start by reading this repo map. Do not read large files unless needed. Prefer targeted file reads. Use patch-only output for code changes. Ask before reading risky or generated files."
+
+
+def markdown(m: RepoMap) -> str:
+    """The map as Markdown."""
+    sized = lambda f: f"{code(f['path'])} — ~{f['estimated_tokens']:,} tokens"
+    grid = lambda head, rules, rows: [f"| {' | '.join(head)} |", "| " + " | ".join("---:" if r == "r" else "---" for r in rules).replace(" ---:", "---:") + " |", *("| " + " | ".join(map(str, r)) + " |" for r in rows), ""]
+    out = ["# Repo Map", "", "## Summary", ""]
+    facts = {"Workspace Root": code(m.root), "Generated": m.generated_at, "Token Budget": f"{m.budget:,}", "Estimated Repo Map Tokens": f"{m.estimated_tokens:,}", "Workspace Total Tokens": f"{m.workspace_tokens:,}", "Included Files": len(m.of("important")), "Excluded Files": len(m.of("excluded"))}
+    out += [f"- **{k}:** {v}" for k, v in facts.items()] + ["", plain("\n".join(m.summary)), "", "## Project Shape", ""]
+    for title, head, rows, shown in (("Top-Level Folders", "Folder", m.folders, code), ("Language Breakdown", "Language", m.languages, plain)):
+        if rows:
+            out += [f"### {title}", "", *grid([head, "Files", "Estimated Tokens"], "lrr", [[shown(a), n, f"{t:,}"] for a, n, t in rows])]
+    important = sorted(m.of("important"), key=lambda f: -f["priority"])
+    out += ["## Important Files", ""] + (grid(["Path", "Reason", "Tokens", "Priority"], "llrr", [[code(f["path"]), plain(f["reason"]), f"{f['estimated_tokens']:,}", f["priority"]] for f in important]) if important else ["No important files identified.", ""])
+    for title, name, none, lead in SECTIONS:
+        rows = m.of(name)
+        lang = lambda f: plain(f" ({f['map_language']})") if name == "entry" and f["map_language"] else ""  # noqa: B023, E731
+        out += [f"## {title}", ""] + ([lead, ""] * bool(lead) + [f"- {code(f['path'])}{lang(f)} — ~{f['estimated_tokens']:,} tokens" for f in rows] if rows else [none]) + [""]
+    if m.symbols:
+        shown = [[code(s["name"]), plain(s["kind"]), code(s["path"]), "yes" if s["exported"] else "", s["priority"]] for s in m.symbols[: CAPS["symbols"]]]
+        rows = grid(["Symbol", "Kind", "File", "Exported", "Priority"], "llllr", shown)
+        more = len(m.symbols) - len(shown)
+        out += ["## Key Symbols", "", *rows[:-1], *[f"| *... and {more} more* | | | |"] * (more > 0), ""]
+    if m.routes:
+        out += ["## Routes / Entry Handlers", "", *grid(["File", "Route / Framework", "Reason"], "lll", [[code(r["path"]), plain(r["route"] or r["framework"] or "unknown"), plain(r["reason"])] for r in m.routes])]
+    if m.imports:
+        often = Counter(i["source"] for i in m.imports).most_common(CAPS["imports"])
+        out += ["## Import / Dependency Hints", "", *grid(["Module", "Files Importing"], "lr", [[code(a), n] for a, n in often])]
+        if edges := [[code(i["path"]), code(i["resolved"])] for i in m.imports if i["resolved"]][: CAPS["edges"]]:
+            out += ["### Resolved Dependency Edges", "", *grid(["From", "To"], "ll", edges)]
+    out += ["## Recommended Agent Context", ""]
+    if m.include:
+        out += ["### Files to Read First", "", *[f"- {code(f['path'])} — {plain(f['reason'])}" for f in m.include[: CAPS["include"]]], ""]
+    if m.exclude:
+        out += ["### Files to Avoid", "", *[f"- {sized(f)}" for f in m.exclude[: CAPS["exclude"]]], ""]
+    out += ["### Guidelines", "", *[f"- {g}" for g in GUIDELINES], "", "## Suggested Prompt Prefix", "", PREFIX, "", "## Overflow Notes", ""]
+    out += [f"- {plain(n)}" for n in m.notes] or ["No budget trimming applied. All files fit within the requested budget."]
+    return "\n".join([*out, ""])

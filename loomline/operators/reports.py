@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.tokens import estimate_text
 from loomline.operators import drift, models, workspace
+from loomline.operators.text import code, plain
 from loomline.sources.catalog import REPORT_VERSION
 
 RISKY = 1000
@@ -24,18 +25,6 @@ TIERS = {"cheapest": ("cheapestSufficient", "cheapest-sufficient", "Cheapest Suf
 LARGE, WIDE = 50_000, 1_000_000
 
 
-def plain(text: object) -> str:
-    """Text in which Markdown's signs mean nothing, on one line."""
-    return re.sub(r"([\\`*_\[\]<>#|])", r"\\\1", re.sub(r"\r\n|\r|\n", " ", str(text)))
-
-
-def code(text: object) -> str:
-    flat = re.sub(r"\r\n|\r|\n", " ", str(text)).replace("|", "&#124;")
-    longest = max(map(len, re.findall("`+", flat)), default=0)
-    fence, pad = "`" * (longest + 1), " " * bool(longest)
-    return fence + pad + flat + pad + fence
-
-
 def percent(x: float) -> str:
     return f"{x * 100:.1f}%"
 

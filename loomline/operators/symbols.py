@@ -1,11 +1,15 @@
 """Symbols, imports and routes of source files, by patterns over their lines.
 
 Symbols of Python, JavaScript and of Java, Kotlin, Go and Rust files follow line patterns exactly. TypeScript declarations
-are found by patterns too, over text whose comments and strings are blanked, not by a compiler.
+and the methods of classes are found by a walk over brackets, with comments and strings blanked, not by a compiler.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,19 @@ JAVA = [
     r"^(?:public\s+|private\s+|protected\s+|internal\s+|static\s+|suspend\s+|final\s+)*[\w<>,?\[\].]+\s+(\w+)\s*\(",
 ]
 CONTROL = r"^(?:return|throw|new|if|else|for|while|switch|when|catch)\b"
+SCRIPT_IMPORTS = [
+    ("import", r"""(?m)^\s*import\s+(?:[\w*{}\s,$]+?\s+from\s+)?['"]([^'"\n]+)['"]"""), ("export-from", r"""(?m)^\s*export\s+[\w*{}\s,$]+?\s+from\s+['"]([^'"\n]+)['"]"""),
+    ("dynamic-import", r"""\bimport\s*\(\s*['"]([^'"\n]+)['"]\s*\)"""), ("require", r"""\brequire\s*\(\s*['"]([^'"\n]+)['"]\s*\)"""),
+]
+CALL_ROUTES = [
+    ("express", [".ts", ".tsx", ".js", ".jsx"], r"""(?:app|router)\.(get|post|put|delete|patch|use)\s*\(\s*['"`]([^'"`]+)['"`]""", 2, 1),
+    ("fastapi", [".py"], r"""@(?:app|router)\.(get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"]""", 2, None),
+    ("flask", [".py"], r"""@app\.route\s*\(\s*['"]([^'"]+)['"]""", 1, None),
+    ("spring", [".java", ".kt"], r"""@(?:Get|Post|Put|Delete|Patch|Request)Mapping\s*\(\s*(?:value\s*=\s*)?['"]([^'"]+)['"]""", 1, None),
+]
+TYPESCRIPT, JAVASCRIPT, C_LIKE = [".ts", ".tsx", ".mts", ".cts"], [".js", ".jsx", ".mjs", ".cjs"], [".java", ".kt", ".go", ".rs"]
+#: Flags of files that aren't parsed, and the largest that are.
+UNPARSED, PARSE_LIMIT = ["generated", "binary", "secret", "lockfile"], 256_000
 EXTENSIONS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".java", ".kt", ".go", ".rs"]
 
 
@@ -74,17 +91,98 @@ def blanked(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"(?m)(^|[^:\\])//.*$", "$1")
 
 
+_BLANK = re.compile(r"/\*.*?\*/|//[^\n]*|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S)
+_DECLARES = re.compile(r"(?P<out>export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?P<later>async\s+)?(?P<word>function\s*\*?|class|interface|type|const\s+enum|enum|const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)")
+_METHOD = re.compile(r"(?P<words>(?:(?:public|private|protected|static|async|override|abstract|get|set)\s+)*)\*?\s*(?P<name>#?[A-Za-z_$][\w$]*|\[[^\]]*\])\s*\??\s*(?:<[^>(]*>)?\s*\(")
+_NEXT = re.compile(r"\s*([A-Za-z_$][\w$]*)")
+
+
+def typescript_declarations(text: str, tsx: bool) -> list[tuple]:
+    """(name, kind, line, exported, async, priority) of a file's top-level declarations and of the methods of its classes.
+
+    One pass over brackets tells at what depth a statement or a member starts.
+    """
+    code = _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    found, stack, fresh, inside, listing, line, counted = [], [], True, None, None, 1, 0
+
+    def add(at: int, name: str, kind: str, out: bool, later: bool) -> None:
+        nonlocal line, counted
+        line += code.count("\n", counted, at)
+        counted = at
+        found.append((name, kind, line, out, later, 7 if out else 5 if kind in ("class", "interface") else 3))
+
+    at = 0
+    while at < len(code):
+        c = code[at]
+        if c in "{([":
+            stack.append(c)
+            fresh = c == "{" and len(stack) == 1 and inside is not None
+        elif c in "})]":
+            if stack:
+                stack.pop()
+            if not stack and c == "}":
+                inside = None
+            fresh = c == "}" and len(stack) <= (inside is not None)
+        elif c == ";":
+            fresh, listing = len(stack) <= (inside is not None), None if not stack else listing
+        elif c == "," and listing and not stack and (m := _NEXT.match(code, at + 1)):
+            add(m.start(1), m[1], "component" if tsx and m[1][0].isupper() else "variable", listing == "out", False)
+        elif c == "\n":
+            fresh = fresh or len(stack) <= (inside is not None)
+        elif not c.isspace():
+            if fresh and not stack and (m := _DECLARES.match(code, at)):
+                word, out = m["word"].split()[0].rstrip("*"), bool(m["out"])
+                word = "enum" if m["word"].endswith("enum") else word
+                variable = word in ("const", "let", "var")
+                kind = "component" if tsx and m["name"][0].isupper() and (variable or word == "function") else "variable" if variable else word
+                add(m.start("name") if variable else at, m["name"], kind, out, bool(m["later"]))
+                inside, listing = (m["name"], out) if word == "class" else None, ("out" if out else "in") if variable else None
+                at = m.end()
+                fresh = False
+                continue
+            if fresh and inside and stack == ["{"] and (m := _METHOD.match(code, at)) and m["name"] != "constructor" and not {"get", "set"} & set(m["words"].split()):
+                add(at, f"{inside[0]}.{m['name']}", "method", inside[1], "async" in m["words"].split())
+                at = m.end() - 1
+                fresh = False
+                continue
+            fresh = False
+            if c.isalnum():  # to the end of the word
+                at = _NEXT.match(code, at).end() if not c.isdigit() and _NEXT.match(code, at) else at + 1
+                continue
+        at += 1
+    return found
+
+
 def typescript_symbols(df: DataFrame) -> DataFrame:
-    """Top-level declarations of TypeScript files by patterns; methods of classes are left out."""
-    found = lines(df.where(paths.extension(F.col("path")).isin(".ts", ".tsx")).select("path", blanked(F.col("text")).alias("text")))
-    pattern = r"^(export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(async\s+)?(function|class|interface|type|enum|const|let|var)\s+(\w+)"
-    part = lambda n: F.regexp_extract("line", pattern, n)
-    word = part(3)
-    out = part(1) != ""
-    component = (paths.extension(F.col("path")) == ".tsx") & part(4).rlike("^[A-Z]") & word.isin("function", "const", "let", "var")
-    kind = F.when(component, "component").when(word.isin("const", "let", "var"), "variable").otherwise(word)
-    rank = F.when(out, 7).when(word.isin("class", "interface"), 5).otherwise(3)
-    return found.where(F.col("line").rlike(pattern)).select("path", part(4).alias("name"), kind.alias("kind"), "line_start", out.alias("exported"), (part(2) != "").alias("is_async"), rank.alias("priority"))
+    """Top-level declarations of TypeScript files and the methods of their classes."""
+
+    @F.pandas_udf("array<struct<name:string,kind:string,line_start:int,exported:boolean,is_async:boolean,priority:int>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, tsx in batches:
+            yield pd.Series([typescript_declarations(t or "", x) for t, x in zip(texts, tsx)])
+
+    ext = paths.extension(F.col("path"))
+    own = df.where(ext.isin(TYPESCRIPT)).select("path", F.explode(run("text", ext == ".tsx")).alias("s"))
+    return own.select("path", "s.*")
+
+
+def eligible(scan: DataFrame, important: DataFrame, most: int = PARSE_LIMIT) -> DataFrame:
+    """Files of a scan that are parsed: important ones that aren't excluded, flagged, of another language or over most bytes."""
+    kept = scan.where(F.col("excluded_reason").isNull() & ~F.arrays_overlap("risk_flags", F.array(*map(F.lit, UNPARSED))) & paths.extension(F.col("path")).isin([*TYPESCRIPT, *JAVASCRIPT, ".py", *C_LIKE]) & (F.col("bytes") <= most))
+    return kept.join(important.select("path").distinct(), "path", "left_semi")
+
+
+def all_symbols(files: DataFrame) -> DataFrame:
+    """Symbols of files of all languages, each by its own way; null where a language can't tell."""
+    missing = {"exported": "boolean", "is_async": "boolean"}
+    each = [f(files) for f in (typescript_symbols, javascript_symbols, python_symbols, c_like_symbols)]
+    each = [x.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in x.columns}).select("path", "name", "kind", "line_start", "exported", "is_async", "priority") for x in each]
+    return each[0].unionAll(each[1]).unionAll(each[2]).unionAll(each[3])
+
+
+def all_imports(files: DataFrame) -> DataFrame:
+    """(path, source, kind) of script and Python files; the others have none."""
+    return script_imports(files).unionByName(python_imports(files).withColumn("kind", F.lit("import")))
 
 
 def python_imports(df: DataFrame) -> DataFrame:
@@ -97,12 +195,8 @@ def python_imports(df: DataFrame) -> DataFrame:
 
 def script_imports(df: DataFrame) -> DataFrame:
     """(path, source, kind) of JavaScript and TypeScript files: imports, re-exports, dynamic imports and require calls."""
-    own = df.where(paths.extension(F.col("path")).isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")).select("path", blanked(F.col("text")).alias("text"))
-    kinds = [
-        ("import", r"""(?m)^\s*import\s+(?:[\w*{}\s,$]+?\s+from\s+)?['"]([^'"\n]+)['"]"""), ("export-from", r"""(?m)^\s*export\s+[\w*{}\s,$]+?\s+from\s+['"]([^'"\n]+)['"]"""),
-        ("dynamic-import", r"""\bimport\s*\(\s*['"]([^'"\n]+)['"]\s*\)"""), ("require", r"""\brequire\s*\(\s*['"]([^'"\n]+)['"]\s*\)"""),
-    ]
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda_struct(kind)) for kind, p in kinds]
+    own = df.where(paths.extension(F.col("path")).isin([*TYPESCRIPT, *JAVASCRIPT])).select("path", blanked(F.col("text")).alias("text"))
+    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda_struct(kind)) for kind, p in SCRIPT_IMPORTS]
     return own.select("path", F.explode(F.concat(*found)).alias("i")).select("path", "i.source", "i.kind")
 
 
@@ -126,18 +220,19 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
 
     Candidates become rows and meet the files by equality; the lowest place wins.
     """
-    numbered = imports.withColumn("_id", F.monotonically_increasing_id())
-    source, folder = F.col("source"), paths.dirname(F.col("path"))
+    source, folder = F.col("source"), paths.dirname(paths.normal(F.col("path")))
     dots = F.length(F.regexp_extract(source, r"^(\.+)", 1))
-    climb = F.concat_ws("/", F.array_repeat(F.lit(".."), F.greatest(dots - 1, F.lit(0))), F.regexp_replace(F.regexp_replace(source, r"^\.+", ""), r"\.", "/"))
-    python = joined(folder, climb)
+    parts = F.filter(F.split(folder, "/"), lambda p: ~p.isin("", "."))
+    above = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - F.greatest(dots - 1, F.lit(0)), F.lit(0))), "/")  # the root is above itself
+    python = joined(above, F.translate(F.regexp_replace(source, r"^\.+", ""), ".", "/"))
+    python = F.when(python == "", ".").otherwise(python)
     script = joined(folder, source)
-    probe = F.when(F.col("path").endswith(".py"), F.when(python.startswith(".."), F.array().cast("array<string>")).otherwise(F.array(F.concat(python, F.lit(".py")), F.concat(python, F.lit("/__init__.py")))))
+    probe = F.when(F.col("path").endswith(".py"), F.array(F.concat(python, F.lit(".py")), F.concat(python, F.lit("/__init__.py"))))
     probe = probe.otherwise(F.array(*[F.concat(script, F.lit(x)) for e in EXTENSIONS for x in (e, f"/index{e}")]))
-    tried = numbered.where(source.startswith(".")).select("_id", F.posexplode(probe).alias("_at", "candidate"))
+    tried = imports.where(source.startswith(".")).select("path", "source").distinct().select("path", "source", F.posexplode(probe).alias("_at", "candidate"))
     known = files.select(paths.normal(F.col("path")).alias("candidate")).distinct()
-    found = tried.join(known, "candidate").groupBy("_id").agg(F.min_by("candidate", "_at").alias("resolved"))
-    return numbered.join(found, "_id", "left").drop("_id")
+    found = tried.join(known, "candidate").groupBy("path", "source").agg(F.min_by("candidate", "_at").alias("resolved"))
+    return imports.join(found, ["path", "source"], "left")
 
 
 def popularity(imports: DataFrame, n: int = 15) -> DataFrame:
@@ -147,14 +242,8 @@ def popularity(imports: DataFrame, n: int = 15) -> DataFrame:
 def call_routes(df: DataFrame) -> DataFrame:
     """(path, route, framework, reason) of Express, FastAPI, Flask and Spring declarations."""
     ext = paths.extension(F.col("path"))
-    rules = [
-        ("express", [".ts", ".tsx", ".js", ".jsx"], r"""(?:app|router)\.(get|post|put|delete|patch|use)\s*\(\s*['"`]([^'"`]+)['"`]""", 2, 1),
-        ("fastapi", [".py"], r"""@(?:app|router)\.(get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"]""", 2, None),
-        ("flask", [".py"], r"""@app\.route\s*\(\s*['"]([^'"]+)['"]""", 1, None),
-        ("spring", [".java", ".kt"], r"""@(?:Get|Post|Put|Delete|Patch|Request)Mapping\s*\(\s*(?:value\s*=\s*)?['"]([^'"]+)['"]""", 1, None),
-    ]
     out = None
-    for framework, kinds, pattern, at, verb in rules:
+    for framework, kinds, pattern, at, verb in CALL_ROUTES:
         all_of = lambda n, p=pattern: F.regexp_extract_all(F.col("text"), F.lit(p), F.lit(n))
         both = F.arrays_zip(all_of(at).alias("route"), (all_of(verb) if verb else all_of(at)).alias("verb"))
         rows = df.where(ext.isin(kinds)).select("path", F.explode(both).alias("r")).select("path", F.col("r.route").alias("route"), F.col("r.verb").alias("verb"))
@@ -193,9 +282,11 @@ def file_routes(df: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def rank_symbols(symbols: DataFrame, goal: str = "build-mvp", limit: int = 100) -> DataFrame:
-    test_first = [F.desc(F.lower("path").contains("test"))] if goal in ("debug", "test-generation") else []
+    test_first = [F.desc(F.col("path").contains("test"))] if goal in ("debug", "test-generation") else []
     return symbols.orderBy(F.desc(F.coalesce("exported", F.lit(False))), F.desc("priority"), *test_first, F.collate("name", "UNICODE"), "path", "line_start").limit(limit)
 
 
 def symbol_summary(symbols: DataFrame) -> DataFrame:
-    return symbols.agg(F.count(F.lit(1)).alias("symbols"), F.count_distinct("path").alias("files"), F.count_if(F.coalesce("exported", F.lit(False))).alias("exported"), *[F.count_if(F.col("kind") == k).alias(f"{k}s".replace("classs", "classes")) for k in ("function", "class", "variable")])
+    """Counts of symbols, files, and kinds; components count as functions."""
+    kinds = {"functions": ["function", "component"], "classes": ["class"], "types": ["interface", "type"], "variables": ["variable"]}
+    return symbols.agg(F.count(F.lit(1)).alias("symbols"), F.count_distinct("path").alias("files"), F.count_if(F.coalesce("exported", F.lit(False))).alias("exported"), *[F.count_if(F.col("kind").isin(k)).alias(n) for n, k in kinds.items()])

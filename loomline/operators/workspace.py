@@ -59,17 +59,59 @@ def top_folders(scan: DataFrame, n: int = 10) -> DataFrame:
     return direct.join(recursive_folders(scan), "folder").orderBy(F.desc("tokens"), "ord").limit(n)
 
 
+def top_direct_folders(scan: DataFrame, n: int = 10) -> DataFrame:
+    """Folders by the tokens of the files right in them, whether or not any is included."""
+    return folders(scan).orderBy(F.desc("total_tokens"), "ord").limit(n)
+
+
+def ordered(scan: DataFrame) -> DataFrame:
+    """Files in the order of their paths as people sort them."""
+    return scan.orderBy(F.collate(F.col("path"), "UNICODE"), "path")
+
+
+def count_tokens(scan: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals, files, languages) of a scan: all that counting a workspace's tokens tells."""
+    return stats(scan).select("total_tokens", "included_tokens", (F.col("total_tokens") - F.col("included_tokens")).alias("excluded_tokens"), "total_files"), scan.select("path", "language", "estimated_tokens", "included"), languages(scan)
+
+
+def compact(scan: DataFrame) -> DataFrame:
+    """(part, name, tokens, extra): the ten largest files, the ten folders with most tokens right in them, and languages with their shares."""
+    files_ = top_files(scan).select(F.lit("file").alias("part"), F.col("path").alias("name"), F.col("estimated_tokens").alias("tokens"), F.col("language").alias("extra"))
+    folders_ = top_direct_folders(scan).select(F.lit("folder"), "folder", "total_tokens", F.col("included_files").cast("string"))
+    return files_.union(folders_).union(languages(scan).select(F.lit("language"), "language", "total_tokens", F.format_string("%.4f", "percentage")))
+
+
 def flag_counts(scan: DataFrame) -> DataFrame:
     return scan.select(F.explode("risk_flags").alias("flag"), "estimated_tokens").groupBy("flag").agg(F.count(F.lit(1)).alias("files"), F.sum("estimated_tokens").alias("tokens"))
 
 
+def escapes(path: Column) -> Column:
+    """Whether a path leads out of the root."""
+    depth = F.aggregate(F.split(paths.normal(path), "/"), F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")), lambda d, p: F.struct(
+        (d["at"] + F.when(p.isin("", "."), 0).when(p == "..", -1).otherwise(1)).alias("at"), F.least(d["least"], d["at"] + F.when(p == "..", -1).otherwise(0)).alias("least")))
+    return paths.normal(path).startswith("/") | paths.normal(path).rlike("^[A-Za-z]:") | (depth["least"] < 0)
+
+
+def batch(scan: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A row per wanted path: whether it is there, its size and tokens, and what is wrong else. One path out of the root fails all."""
+    out = wanted.where(escapes(F.col("path"))).limit(1).collect()
+    if out:
+        raise ValueError(f"path outside the root: {out[0].path}")
+    found = wanted.join(scan.select("path", "estimated_tokens", "bytes", F.lit(True).alias("_there")), "path", "left")
+    there = F.coalesce("_there", F.lit(False))
+    return found.select("path", there.alias("exists"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("estimated_tokens", F.lit(0)).cast("long").alias("estimated_tokens"), F.when(~there, "file not found").alias("error"))
+
+
 def batch_fit(scan: DataFrame, wanted: DataFrame, budget: int) -> DataFrame:
     """Totals of the wanted paths that can be read, and how far they fill a budget."""
-    found = wanted.join(scan.select("path", "estimated_tokens", "bytes"), "path", "left")
-    total = found.agg(F.count(F.lit(1)).alias("requested"), F.count("bytes").alias("readable"), F.coalesce(F.sum("estimated_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    total = batch(scan, wanted).agg(F.count(F.lit(1)).alias("requested"), F.count_if("exists").alias("readable"), F.coalesce(F.sum("estimated_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
     return total.withColumn("fits", F.col("tokens") <= budget).withColumn("utilisation", to_fixed(F.col("tokens") / F.lit(float(budget)) * 100, 2))
 
 
+def cache_counts(marked: DataFrame) -> DataFrame:
+    return marked.agg(F.count_if("cache_hit").alias("cache_hits"), F.count_if(~F.col("cache_hit")).alias("cache_misses"))
+
+
 def with_cache(scan: DataFrame, cache: DataFrame) -> DataFrame:
     """Marks files whose path, size and time a cache has; what isn't there was missed."""
     known = cache.select("path", F.col("bytes").alias("_bytes"), F.col("mtime").alias("_mtime"), F.col("estimated_tokens").alias("_tokens"))

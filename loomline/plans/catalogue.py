@@ -51,20 +51,20 @@ def token_from_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return proxies.documents(spark, sf).select("doc_id", tokens.estimate_bytes(F.coalesce(F.octet_length("text"), F.lit(0))).alias("tokens"))
 
 
-_COUNT = lambda p: f"len(regexp_extract_all(text, '{p}'))"
+_COUNT = lambda p: f"len(regexp_extract_all(coalesce(text, ''), '{p}'))"
 _DENSITY = f"""
-WITH a AS (SELECT doc_id, length(text) AS n, text, {_COUNT('[ \\t\\r\\n]')} AS blank, {_COUNT('[!-/:-@\\[-`{-~]')} AS marks, {_COUNT('[^\\x00-\\x7F]')} AS foreign_, {_COUNT('[A-Za-z0-9_]+')} AS words, {_COUNT('[A-Za-z0-9_]')} AS letters, {_COUNT('\\n')} + 1 AS lines FROM documents WHERE text <> ''),
-b AS (SELECT *, {fixed('marks / greatest(1, n - blank)::DOUBLE', 4)} AS p, {fixed('blank / n::DOUBLE', 4)} AS w, {fixed('foreign_ / n::DOUBLE', 4)} AS o, CASE WHEN words > 0 THEN {fixed('letters / greatest(words, 1)::DOUBLE', 2)} ELSE 0.0::DOUBLE END AS l, greatest(1, ceil(n / 3.8::DOUBLE)) AS raw FROM a),
+WITH a AS (SELECT doc_id, coalesce(length(text), 0) AS n, {_COUNT('[ \\t\\r\\n]')} AS blank, {_COUNT('[!-/:-@\\[-`{-~]')} AS marks, {_COUNT('[^\\x00-\\x7F]')} AS foreign_, {_COUNT('[A-Za-z0-9_]+')} AS words, {_COUNT('[A-Za-z0-9_]')} AS letters, CASE WHEN n = 0 THEN 0 ELSE {_COUNT('\\n')} + 1 END AS lines FROM documents),
+b AS (SELECT *, {fixed('marks / greatest(1, n - blank)::DOUBLE', 4)} AS p, {fixed('blank / greatest(1, n)::DOUBLE', 4)} AS w, {fixed('foreign_ / greatest(1, n)::DOUBLE', 4)} AS o, CASE WHEN words > 0 THEN {fixed('letters / greatest(words, 1)::DOUBLE', 2)} ELSE 0.0::DOUBLE END AS l, CASE WHEN n = 0 THEN 0 ELSE greatest(1, ceil(n / 3.8::DOUBLE)) END AS raw FROM a),
 c AS (SELECT *, 1.0::DOUBLE + (CASE WHEN p > 0.28::DOUBLE THEN 0.35::DOUBLE WHEN p > 0.18::DOUBLE THEN 0.18::DOUBLE WHEN p < 0.08::DOUBLE THEN -0.1::DOUBLE ELSE 0.0::DOUBLE END)
   + (CASE WHEN o > 0.15::DOUBLE THEN 0.65::DOUBLE WHEN o > 0.03::DOUBLE THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) + (CASE WHEN w > 0.45::DOUBLE THEN -0.25::DOUBLE WHEN w > 0.32::DOUBLE THEN -0.12::DOUBLE WHEN w < 0.12::DOUBLE THEN 0.22::DOUBLE ELSE 0.0::DOUBLE END)
   + (CASE WHEN l > 0 AND l < 2.5::DOUBLE THEN 0.25::DOUBLE WHEN l > 8 THEN -0.08::DOUBLE ELSE 0.0::DOUBLE END) AS m0 FROM b),
-d AS (SELECT *, {fixed('greatest(0.65::DOUBLE, least(2.2::DOUBLE, m0))', 3)} AS multiplier FROM c)
+d AS (SELECT *, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE {fixed('greatest(0.65::DOUBLE, least(2.2::DOUBLE, m0))', 3)} END AS multiplier FROM c)
 """
 
 
-@query(_DENSITY + "SELECT doc_id, n AS chars, lines, words, p AS punctuation_ratio, w AS whitespace_ratio, o AS non_ascii_ratio, l AS average_word, multiplier, raw::BIGINT AS raw_tokens, greatest(1, floor(raw * multiplier + 0.5::DOUBLE))::BIGINT AS tokens, CASE WHEN multiplier >= 1.25::DOUBLE THEN 'dense' WHEN multiplier <= 0.85::DOUBLE THEN 'sparse' ELSE 'balanced' END AS density FROM d")
+@query(_DENSITY + "SELECT doc_id, n AS chars, lines, words, p AS punctuation_ratio, w AS whitespace_ratio, o AS non_ascii_ratio, l AS average_word, multiplier, raw::BIGINT AS raw_tokens, (CASE WHEN n = 0 THEN 0 ELSE greatest(1, floor(raw * multiplier + 0.5::DOUBLE)) END)::BIGINT AS tokens, CASE WHEN multiplier >= 1.25::DOUBLE THEN 'dense' WHEN multiplier <= 0.85::DOUBLE THEN 'sparse' ELSE 'balanced' END AS density FROM d")
 def token_density(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.with_density(proxies.documents(spark, sf).where("text <> ''").select("doc_id", "text"), out="d").select("doc_id", "d.*")
+    return tokens.with_density(proxies.documents(spark, sf).select("doc_id", "text"), out="d").select("doc_id", "d.*")
 
 
 @query(_DENSITY + "SELECT CASE WHEN multiplier >= 1.25::DOUBLE THEN 'dense' WHEN multiplier <= 0.85::DOUBLE THEN 'sparse' ELSE 'balanced' END AS density, count(*) AS texts FROM d GROUP BY 1")
@@ -77,9 +77,10 @@ def conversation_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/conversations.parquet").groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.sum(tokens.estimate(F.col("text"))).alias("tokens"))
 
 
-@query()
+@query(f"SELECT doc_id, (CASE WHEN coalesce(strlen(text), 0) % 7 = 3 THEN {estimate('text')} ELSE coalesce(strlen(text), 0) END)::BIGINT AS tokens FROM documents")
 def provider_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return proxies.documents(spark, sf).select("doc_id", tokens.with_provider(F.col("text"), lambda t: len(t.split())).alias("tokens"))
+    own = lambda t: -1 if len(t.encode()) % 7 == 3 else len(t.encode())  # noqa: E731  a provider that fails at times
+    return proxies.documents(spark, sf).select("doc_id", tokens.with_provider(F.col("text"), own).alias("tokens"))
 
 
 # Files
@@ -177,10 +178,10 @@ def top10_folders(spark: SparkSession, sf: str) -> DataFrame:
     return workspace.top_folders(proxies.scan(spark, sf)).select("folder", "tokens")
 
 
-@query(SCAN + " SELECT count(*) AS requested, count(s.bytes) AS readable, coalesce(sum(s.estimated_tokens), 0)::BIGINT AS tokens, coalesce(sum(s.bytes), 0)::BIGINT AS bytes, coalesce(sum(s.estimated_tokens), 0) <= 100000 AS fits, " + fixed("coalesce(sum(s.estimated_tokens), 0) / 100000.0::DOUBLE * 100", 2) + " AS utilisation FROM (SELECT path FROM scan WHERE ord % 13 = 0 UNION ALL SELECT 'missing') w LEFT JOIN scan s USING (path)")
+@query(SCAN + " SELECT count(*) AS requested, count(s.bytes) AS readable, coalesce(sum(s.estimated_tokens), 0)::BIGINT AS tokens, coalesce(sum(s.bytes), 0)::BIGINT AS bytes, coalesce(sum(s.estimated_tokens), 0) <= 100000 AS fits, " + fixed("coalesce(sum(s.estimated_tokens), 0) / 100000.0::DOUBLE * 100", 2) + " AS utilisation FROM (SELECT path FROM scan UNION ALL SELECT 'missing') w LEFT JOIN scan s USING (path)")
 def batch_budget_fit(spark: SparkSession, sf: str) -> DataFrame:
     scan = proxies.scan(spark, sf)
-    wanted = scan.where("ord % 13 = 0").select("path").union(spark.createDataFrame([("missing",)], "path string"))
+    wanted = scan.select("path").union(spark.createDataFrame([("missing",)], "path string"))
     return workspace.batch_fit(scan, wanted, 100_000)
 
 
@@ -191,7 +192,7 @@ def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     return workspace.with_cache(scan, cache).select("path", "cache_hit", "estimated_tokens")
 
 
-@query()
+@query(SCAN + r" SELECT path, (regexp_matches(path, '\.log$') AND base <> 'keep.log') OR regexp_matches(path, '(^|/)dist/') OR regexp_matches(path, '^docs/(.*/)?[^/]*\.md$') OR regexp_matches(path, '^packages/(.*/)?src7/') AS ignored FROM scan")
 def gitignore_match(spark: SparkSession, sf: str) -> DataFrame:
     own = Rules([("", "*.log"), ("", "dist/"), ("", "!keep.log"), ("", "/docs/**/*.md"), ("packages", "src7/")])
     return proxies.files(spark, sf).select("path", ignored(F.col("path"), own).alias("ignored"))
@@ -372,7 +373,7 @@ def recommended_plan(spark: SparkSession, sf: str) -> DataFrame:
 @query(_PLANS + f""", fast AS (SELECT * FROM plans WHERE savings > 0 AND savings_percent > 40 ORDER BY savings DESC, ord LIMIT 1), steady AS (SELECT * FROM plans WHERE savings > 0 AND savings_percent BETWEEN 10 AND 40 ORDER BY savings DESC, ord LIMIT 1)
 SELECT 'fast_triage' AS tier, 60 AS traffic, id, {fixed('run_cost * 990.0::DOUBLE', 2)} AS monthly_cost FROM fast UNION ALL SELECT 'balanced_editing', 30, id, {fixed('run_cost * 495.0::DOUBLE', 2)} FROM steady UNION ALL SELECT 'complex_reasoning', 10, 'baseline', {fixed('base_run_cost * 165.0::DOUBLE', 2)} FROM fast""")
 def hybrid_dispatch(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.hybrid(_plans(spark, sf), 1650)
+    return catalog.hybrid(_plans(spark, sf), 1650).select("tier", "traffic", "id", "monthly_cost")
 
 
 @query(_PLANS + """ SELECT id, array_to_string(list_concat(CASE WHEN input_price = 0 AND output_price = 0 THEN ['Local / Offline Development', 'Free CI Automated Linting & Triage'] WHEN input_price <= 0.5 THEN ['High-Frequency Quick Edits', 'Pre-Commit Code Reviews', 'Token-Dense Workspace Summaries']
@@ -429,8 +430,8 @@ def category_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def repo_map_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    text, left_out = repo_map.render(_mapped(spark, sf), budget=600)
-    return spark.createDataFrame([(text, left_out)], "text string, left_out int")
+    made = repo_map.create(proxies.scan(spark, sf), 20_000, generated_at="2026-01-01T00:00:00Z", goal="build-mvp", files=proxies.files(spark, sf).select("path", "text"))
+    return spark.createDataFrame([(repo_map.markdown(made), made.estimated_tokens, made.notes)], "markdown string, estimated_tokens long, notes array<string>")
 
 
 @query()
@@ -498,20 +499,29 @@ def next_routes(spark: SparkSession, sf: str) -> DataFrame:
     return symbols.file_routes(proxies.documents(spark, sf).select(path.alias("path")), spark.createDataFrame([("web",)], "root string"))
 
 
-@query(f"WITH {_IDS} SELECT count(*) AS symbols, count(DISTINCT path) AS files, count_if(n IN (2, 5)) AS exported, count_if(n = 2) AS functions, count_if(n = 3) AS classes, count_if(n > 3) AS variables FROM d, unnest([2, 3, 4, 5]) AS u(n) WHERE kind = 1")
+@query(f"WITH {_IDS} SELECT count(*) AS symbols, count(DISTINCT path) AS files, count_if(n IN (2, 5)) AS exported, count_if(n = 2) AS functions, count_if(n = 3) AS classes, 0::BIGINT AS types, count_if(n > 3) AS variables FROM d, unnest([2, 3, 4, 5]) AS u(n) WHERE kind = 1")
 def symbol_summary(spark: SparkSession, sf: str) -> DataFrame:
     return symbols.symbol_summary(symbols.javascript_symbols(proxies.code(spark, sf)))
 
 
-@query()
+_TS = "d AS (SELECT doc_id AS i, 'lib/t' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.tsx' END AS path, doc_id % 2 = 1 AS tsx FROM documents)"
+_TS_ROWS = """r(name, kind, line_start, exported, is_async, priority) AS (VALUES ('load#', 'function', 4, true, true, 7), ('Store#', 'class', 5, true, false, 7), ('Store#.get', 'method', 7, true, true, 7), ('Store#.of', 'method', 8, true, false, 7),
+  ('Shape#', 'interface', 11, false, false, 5), ('Id#', 'type', 12, true, false, 7), ('Kind#', 'enum', 13, false, false, 3), ('Box#', 'variable', 14, true, false, 7), ('low#', 'variable', 14, true, false, 7))"""
+
+
+@query(f"WITH {_TS}, {_TS_ROWS} SELECT path, replace(name, '#', i::VARCHAR) AS name, CASE WHEN tsx AND name = 'Box#' THEN 'component' ELSE kind END AS kind, line_start::INTEGER AS line_start, exported, is_async, priority::INTEGER AS priority FROM d, r")
 def ts_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    code = proxies.code(spark, sf).withColumn("path", F.regexp_replace("path", r"\.js$", ".ts"))
-    return symbols.rank_symbols(symbols.typescript_symbols(code))
+    return symbols.typescript_symbols(proxies.typescript(spark, sf))
+
+
+@query(f"WITH {_TS}, k(source, kind) AS (VALUES ('./a#', 'import'), ('side#', 'import'), ('./b#', 'export-from'), ('./c#', 'dynamic-import'), ('./d#', 'require')) SELECT path, replace(source, '#', i::VARCHAR) AS source, kind FROM d, k")
+def ts_imports(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols.script_imports(proxies.typescript(spark, sf))
 
 
 # Git
 
-_GIT = SCAN + """, g AS (SELECT path, ord, ['M ', ' M', '??', 'A ', 'D ', ' D', 'UU', 'AA', 'R ', 'MM'][ord % 10 + 1] AS code FROM scan WHERE ord % 3 = 0),
+_GIT = SCAN + """, g AS (SELECT path, ord, ['M ', ' M', '??', 'A ', 'D ', ' D', 'UU', 'AA', 'R ', 'MM'][ord % 10 + 1] AS code FROM scan),
 st AS (SELECT path, code[1] AS index_status, code[2] AS worktree_status, CASE WHEN code = 'R ' THEN 'old ' || ord END AS original_path, code = '??' AS untracked, code IN ('UU', 'AA') AS conflicted, code NOT IN ('??', 'UU', 'AA') AND code[1] <> ' ' AS staged, code NOT IN ('??', 'UU', 'AA') AND code[2] <> ' ' AS unstaged, contains(code, 'D') AS deleted FROM g)"""
 
 
@@ -548,10 +558,21 @@ def markdown_escape(spark: SparkSession, sf: str) -> DataFrame:
     return proxies.documents(spark, sf).select("doc_id", compaction.escape_markdown(F.col("text")).alias("escaped"))
 
 
-@query()
+_QUOTES = {3: "repeat(chr(39), 3)", 4: "repeat(chr(34), 3)"}  # three of a kind
+_HASH = "regexp_replace(t, '(?m)(^|[^\\\\])#.*$', '\\1', 'g')"
+for _q in _QUOTES.values():
+    _HASH = f"regexp_replace({_HASH}, '(?s)' || {_q} || '.*?' || {_q}, {_q} || '...' || {_q}, 'g')"
+_SLASH = "regexp_replace(regexp_replace(t, '(?s)/\\*.*?\\*/', '', 'g'), '(?m)(^|[^\\\\])//.*$', '\\1', 'g')"
+
+
+@query(f"""WITH s AS (SELECT doc_id, array_to_string(['/* head', ' of */ a //x  ', '', '', '# y', {_QUOTES[3]} || 'doc', {_QUOTES[3]} || ' b', {_QUOTES[4]} || 'c' || {_QUOTES[4]}, coalesce(text, '')], chr(10)) AS t FROM documents),
+l AS (SELECT doc_id, list_transform(string_split(CASE WHEN doc_id % 2 = 0 THEN {_HASH} ELSE {_SLASH} END, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')) AS lines FROM s)
+SELECT doc_id, array_to_string(list_filter(lines, lambda x, i: x <> '' OR (i > 1 AND lines[i - 1] <> '')), chr(10)) AS text FROM l""")
 def strip_comments(spark: SparkSession, sf: str) -> DataFrame:
-    code = proxies.code(spark, sf)
-    return code.select("path", compaction.strip_comments(F.col("text"), F.col("path").endswith(".py")).alias("text"))
+    """Whole texts, behind a head that has every kind of comment."""
+    head = F.lit("/* head\n of */ a //x  \n\n\n# y\n'''doc\n''' b\n\"\"\"c\"\"\"\n")
+    docs = proxies.documents(spark, sf).select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("t"))
+    return docs.select("doc_id", compaction.strip_comments(F.col("t"), F.col("doc_id") % 2 == 0).alias("text"))
 
 
 @query()

@@ -60,11 +60,34 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).withColumn("_e", kinds).select(path.alias("path"), text.alias("text"), F.col("doc_id").alias("ord"))
 
 
+TYPESCRIPT = """import x, { y } from './a#'; // class No {}
+import 'side#';
+export * from './b#';
+export async function load#(a: number): Promise<void> { const z = 'class Hidden {}'; await import('./c#'); }
+export class Store# extends Base {
+  constructor(private a: string) { super(); }
+  async get(id: string) { if (id) { return require('./d#'); } }
+  static of<K>(k: K) { return 1; }
+  get size() { return 1; }
+}
+interface Shape# { area(): number }
+export type Id# = string | number;
+const enum Kind# { A, B }
+export const Box# = { c: 1, d: [1, 2] }, low# = f(1, 2);
+"""
+
+
+def typescript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A TypeScript file per document with every kind of declaration and import."""
+    i = F.col("doc_id").cast("string")
+    return documents(spark, sf_dir).select(F.concat(F.lit("lib/t"), i, F.when(F.col("doc_id") % 2 == 0, ".ts").otherwise(".tsx")).alias("path"), F.replace(F.lit(TYPESCRIPT), F.lit("#"), i).alias("text"), F.col("doc_id").alias("ord"))
+
+
 def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = ["M ", " M", "??", "A ", "D ", " D", "UU", "AA", "R ", "MM"]
     doc = F.col("ord")
     code_of = F.get(F.array(*[F.lit(c) for c in codes]), (doc % 10).cast("int"))
-    return files(spark, sf_dir).where("ord % 3 = 0").select("ord", F.concat(code_of, F.lit(" "), F.when(doc % 10 == 8, F.concat(F.lit('"old '), doc.cast("string"), F.lit('" -> '))).otherwise(""), "path").alias("line"))
+    return files(spark, sf_dir).select("ord", F.concat(code_of, F.lit(" "), F.when(doc % 10 == 8, F.concat(F.lit('"old '), doc.cast("string"), F.lit('" -> '))).otherwise(""), "path").alias("line"))
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:

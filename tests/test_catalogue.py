@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from loomline.plans import catalogue
+from loomline.plans import catalogue, more  # noqa: F401  more adds to the catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
