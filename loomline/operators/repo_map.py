@@ -206,7 +206,8 @@ def within_budget(made: RepoMap, order: list[str]) -> RepoMap:
     """The map without the fewest files, in that order, that bring it under its budget, and notes on it.
 
     Markdown gets shorter as files go, but for a few words where a list runs empty, so the number of files is found by
-    halving, and the numbers right below it are tried too.
+    halving, and the numbers right below it are tried too. The notes on it come last and may lead over the budget again,
+    which the last note then says.
     """
     if not math.isfinite(made.budget) or made.budget <= 0:
         raise ValueError(f"token budget must be a finite number > 0 (got {made.budget})")
@@ -247,7 +248,7 @@ PREFIX = "> You are working in this repository. Start by reading this repo map.
 def markdown(m: RepoMap) -> str:
     """The map as Markdown."""
     sized = lambda f: f"{code(f['path'])} — ~{f['estimated_tokens']:,} tokens"
-    grid = lambda head, rules, rows: [f"| {' | '.join(head)} |", "| " + " | ".join("---:" if r == "r" else "---" for r in rules).replace(" ---:", "---:") + " |", *("| " + " | ".join(map(str, r)) + " |" for r in rows), ""]
+    grid = lambda head, rules, rows: [f"| {' | '.join(head)} |", "|" + "".join(" ---:|" if r == "r" else " --- |" for r in rules), *("| " + " | ".join(map(str, r)) + " |" for r in rows), ""]
     out = ["# Repo Map", "", "## Summary", ""]
     facts = {"Workspace Root": code(m.root), "Generated": m.generated_at, "Token Budget": f"{m.budget:,}", "Estimated Repo Map Tokens": f"{m.estimated_tokens:,}", "Workspace Total Tokens": f"{m.workspace_tokens:,}", "Included Files": len(m.of("important")), "Excluded Files": len(m.of("excluded"))}
     out += [f"- **{k}:** {v}" for k, v in facts.items()] + ["", plain("\n".join(m.summary)), "", "## Project Shape", ""]

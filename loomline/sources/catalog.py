@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import time
 import uuid
 from collections.abc import Sequence
@@ -27,7 +28,7 @@ _NUMBERS = {3, 4, 5, 6, 7, 12, 13, 14}
 
 def parse_models(spark: SparkSession, value: object) -> DataFrame:
     """A bare list of models, or an object that has one; values of a wrong type become null, for validation to find."""
-    models = value if isinstance(value, list) else (value or {}).get("models", [])
+    models = parse_catalogue(value)["models"]
 
     def clean(n: int, x: object) -> object:
         if n in _NUMBERS:
@@ -39,6 +40,13 @@ def parse_models(spark: SparkSession, value: object) -> DataFrame:
     return spark.createDataFrame(rows, MODEL)
 
 
+def parse_catalogue(value: object) -> dict:
+    """version, updatedAt and models of a catalogue file; a bare list has the defaults, as has what an object leaves out."""
+    own = {"models": value} if isinstance(value, list) else value if isinstance(value, dict) else {}
+    text = lambda f, default: own[f] if isinstance(own.get(f), str) else default
+    return {"version": text("version", "1.0"), "updatedAt": text("updatedAt", time.strftime("%Y-%m-%d", time.gmtime())), "models": own["models"] if isinstance(own.get("models"), list) else []}
+
+
 def load_models(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """A catalogue file, or models.json in a folder; empty if there is none, unless strict."""
     place = os.path.join(path, "models.json") if os.path.isdir(path) else path
@@ -80,20 +88,25 @@ def cache_path(folder: str, tokenizer: str) -> str:
 def load_cache(spark: SparkSession, folder: str, tokenizer: str = "heuristic-v1") -> DataFrame:
     """A scan cache of this version and tokenizer; empty if there is none."""
     schema = "path string, bytes long, mtime timestamp, estimated_tokens long, risk_flags array<string>"
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache_path(folder, tokenizer))
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path.toString())
+    to = cache_path(folder, tokenizer)
+    for place in (to, to + ".old"):  # the older one is there alone only if a save was cut short
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.schema(schema).parquet(place)
+    return spark.createDataFrame([], schema)
 
 
 def save_cache(scan: DataFrame, folder: str, tokenizer: str = "heuristic-v1") -> None:
-    """Replaces a cache as a whole: written beside it, then moved into its place."""
+    """Replaces a cache as a whole: written beside it, the old one put aside, the new one moved into its place. A crash leaves one of them."""
     spark, to = scan.sparkSession, cache_path(folder, tokenizer)
     scan.select("path", "bytes", "mtime", "estimated_tokens", "risk_flags").write.mode("overwrite").parquet(to + ".new")
-    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (to + ".new", to))
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    new, now, old = (spark._jvm.org.apache.hadoop.fs.Path(to + end) for end in (".new", "", ".old"))
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(now):
+        fs.delete(old, True)
+        fs.rename(now, old)
+    fs.rename(new, now)
     fs.delete(old, True)
-    fs.rename(new, old)
 
 
 def list_reports(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,3 +151,16 @@ def write_text(text: str, path: str, force: bool = False) -> None:
     """Writes a file that isn't there yet, or, if forced, any."""
     with open(path, "w" if force else "x", encoding="utf-8") as f:
         f.write(text)
+
+
+def write_with_backup(text: str, path: str) -> str | None:
+    """Replaces a file in one step; the path of the copy that is kept of what was there, if anything was."""
+    kept = None
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    if os.path.exists(path):
+        kept = path + ".bak"
+        shutil.copy2(path, kept)
+    new = f"{path}.{uuid.uuid4().hex}.tmp"
+    write_text(text, new)
+    os.replace(new, path)
+    return kept

@@ -9,14 +9,16 @@ import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.files import SCAN_LIMIT
 from loomline.functions.paths import ancestors
+from loomline.operators import workspace
+from loomline.sources import catalog
 
 SKIPPED = {".git", ".svn", ".hg"}
-IGNORE_FILES = [".gitignore", ".cursorignore", ".aiderignore", ".continueignore", ".tcalcignore"]
+IGNORE_FILES = [".gitignore", ".cursorignore", ".aiderignore", ".continueignore"]  # further names are walk()'s parameter
 
 
 def compile_rule(line: str, folder: str = "") -> tuple[re.Pattern, bool, bool] | None:
@@ -144,15 +146,42 @@ def walk(root: str, extra: list[str] | None = None, exclude: list[str] | None =
     return sorted(found), sorted(warnings), Rules(lines + own)
 
 
+#: Paths that are named to the reader one by one; beyond, it lists the folder and the others are joined away.
+NAMED = 20_000
+
+
 def read_folder(spark: SparkSession, root: str, exclude: list[str] | None = None) -> tuple[DataFrame, Rules, list[str]]:
-    """(ord, path, text, mtime, _ignored) of a local folder's files; bodies over the limit or that rules ignore are not read."""
+    """(ord, path, bytes, mtime, text, _ignored) of a local folder's files, in the order in which people sort paths.
+
+    Only bodies up to the limit that no rule ignores are read: their paths are named to the reader, and larger files
+    don't pass its filter.
+    """
     found, warnings, rules = walk(root, exclude=exclude)
-    listed = spark.createDataFrame([(n, p) for n, (p, _) in enumerate(found)], "ord long, path string")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = os.path.realpath(root).rstrip("/") + "/"
-    bodies = raw.select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(prefix), "").alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), F.when(F.col("length") <= SCAN_LIMIT, F.col("content")).alias("_c"))
-    scan = listed.join(bodies, "path", "left").withColumn("text", F.expr("decode(_c, 'UTF-8')"))
-    return scan.withColumn("_ignored", ignore_reason(F.col("path"), F.col("bytes"), rules)).drop("_c"), rules, warnings
+    rows = [(p, os.path.realpath(full), os.stat(full).st_size, os.stat(full).st_mtime) for p, full in found]
+    listed = spark.createDataFrame(rows, "path string, _full string, bytes long, _time double")
+    listed = listed.withColumn("_ignored", ignore_reason(F.col("path"), F.col("bytes"), rules)).select("path", "_full", "bytes", F.timestamp_seconds("_time").alias("mtime"), "_ignored")
+    order = Window.orderBy(F.collate("path", "UNICODE"), "path")  # the listing of a folder is the driver's anyway
+    listed = listed.withColumn("ord", (F.row_number().over(order) - 1).cast("long"))
+    wanted = [full for p, full, size, _ in rows if size <= SCAN_LIMIT and not rules.ignored(p)]
+    if not wanted:
+        return listed.select("ord", "path", "bytes", "mtime", F.lit(None).cast("string").alias("text"), "_ignored"), rules, warnings
+    reader = spark.read.format("binaryFile")
+    plain = lambda p: "file://" + re.sub(r"([\\*?\[\]{}^])", r"\\\1", p)  # noqa: E731  a path is no pattern
+    raw = reader.load([plain(p) for p in wanted]) if len(wanted) <= NAMED else reader.option("recursiveFileLookup", "true").load(plain(os.path.realpath(root)))
+    bodies = raw.where(F.col("length") <= SCAN_LIMIT).select(F.regexp_replace("path", "^file:/*", "/").alias("_full"), F.decode("content", "UTF-8").alias("text"))
+    scan = listed.join(bodies, "_full", "left")
+    return scan.select("ord", "path", "bytes", "mtime", "text", "_ignored"), rules, warnings
+
+
+def scan_folder(spark: SparkSession, root: str, exclude: list[str] | None = None, cache: str | None = None, tokenizer: str = "heuristic-v1") -> tuple[DataFrame, list[str]]:
+    """The classified scan of a local folder with its texts and times, and warnings. With a cache folder, what it knows is taken from it and it is saved anew."""
+    raw, _, warnings = read_folder(spark, root, exclude)
+    scan = workspace.classify(raw, F.col("_ignored")).drop("bytes").join(raw.select("path", "bytes", "mtime"), "path")
+    if cache:
+        place = os.path.join(os.path.realpath(root), cache)
+        scan = workspace.with_cache(scan, catalog.load_cache(spark, place, tokenizer)).persist()
+        catalog.save_cache(scan, place, tokenizer)
+    return scan, warnings
 
 
 def prune(df: DataFrame, folders: list[str]) -> DataFrame:

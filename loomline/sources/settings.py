@@ -121,3 +121,11 @@ def project_stack(files: DataFrame) -> DataFrame:
     own = F.element_at(F.create_map(*[x for n, p in STACK_EXCLUDES.items() for x in (F.lit(n), F.array(*map(F.lit, p)).cast("array<string>"))]), F.col("primary_language"))
     told = marks.withColumns({"primary_language": language, "_deps": deps}).withColumns({"frameworks": F.array_compact(found), "excludes": F.array_distinct(F.concat(F.array(*map(F.lit, DEFAULTS["exclude"])), own))})
     return told.select("primary_language", "is_monorepo", "frameworks", "excludes", F.when(F.col("is_monorepo"), 200_000).otherwise(128_000).alias("budget"))
+
+
+def first_settings(files: DataFrame, goal: str | None = None, privacy: str | None = None) -> tuple[dict, object]:
+    """The settings to begin with in a project of these files, and the row of project_stack() that they follow."""
+    stack = project_stack(files).first()
+    private = privacy or ("local-first" if stack.primary_language == "rust" else DEFAULTS["privacyMode"])
+    budget = {"defaultContextBudget": stack.budget, "maxFullWorkspaceScan": 2 * stack.budget, "warnAt": int(stack.budget * 0.8 + 0.5)}
+    return {"defaultGoal": goal or DEFAULTS["defaultGoal"], "privacyMode": private, "exclude": list(stack.excludes), "tokenBudget": budget}, stack
