@@ -7,7 +7,7 @@ scores; a partition then selects each query's best, and the blocks' selections m
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows with a null id. A missing
 component counts as 0. Rows that share a query's id are its own and no candidates; otherwise repeated rows count one by one, ties go to
-the smaller id. Without queries or rows the result is empty.
+the smaller id. Without queries or rows the result is empty. Scores that 64 bits might not hold are an error, not wrong.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, QUERIES, TILE = 8192, 512, (64, 4096)
+ROWS, QUERIES, TILE = 8192, 2048, (64, 4096)
 
 
 def valid(vector: Column) -> Column:
@@ -40,7 +40,7 @@ def pack(df: DataFrame, blocks: int, name: str) -> DataFrame:
         rows = part.column("_v").to_pylist()
         wide = max(map(len, rows))
         matrix = np.array([r + [0] * (wide - len(r)) for r in rows], np.int64).reshape(len(rows), wide)[order]
-        narrow = matrix.astype(np.int32) if np.abs(matrix).max(initial=0) < 1 << 31 else matrix
+        narrow = matrix.astype(np.int32) if matrix.max(initial=0) < 1 << 31 and matrix.min(initial=0) >= -(1 << 31) else matrix
         return pa.table({f"{name}_block": pa.array([key[0].as_py()], pa.int32()), f"{name}_ids": pa.array([ids[order].astype(np.int64).tobytes()], pa.binary()), f"{name}_matrix": pa.array([narrow.tobytes()], pa.binary()), f"{name}_wide": pa.array([wide], pa.int32())})
 
     dealt = df.withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(name)), F.lit(blocks)).cast("int"))
@@ -56,7 +56,10 @@ def unpack(ids: bytes, matrix: bytes, wide: int) -> tuple[np.ndarray, np.ndarray
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
     """Scores of tiles of queries and rows, whole numbers held exactly by the narrowest kind that can."""
     terms = min(queries.shape[1], rows.shape[1])
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(terms, 1)
+    size = lambda x: np.abs(x[:, :terms].astype(np.float64))
+    most = (size(queries) @ size(rows).max(0, initial=0)).max(initial=0) * 1.001 if terms else 0
+    if most >= 1 << 63:
+        raise OverflowError("scores may need more than 64 bits")
     kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
     weights = np.ascontiguousarray(queries.T.astype(kind))
     columns = np.ascontiguousarray(rows.T.astype(kind))

@@ -445,6 +445,14 @@ def test_top_k_kinds_of_numbers():
             assert (s.astype(np.int64) == q[a] @ r[b].T).all()
 
 
+def test_top_k_refuses_scores_beyond_64_bits():
+    big = np.array([[1 << 40, 1]])
+    with pytest.raises(OverflowError):
+        list(topk.accumulate(big, big))
+    fine = np.array([[1 << 30, 1]])
+    assert [s.astype(np.int64).tolist() for _, _, s in topk.accumulate(fine, fine)] == [[[(1 << 60) + 1]]]
+
+
 def test_invalid_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, None]), (2, [float("nan")]), (3, [float("-inf")]), (4, None), (5, [-0.01, 0.5]), (6, [])], "vec_id long, e array<float>")
     got = {r.vec_id: r.v for r in df.where(topk.valid(F.col("e"))).select("vec_id", topk.quantise(F.col("e")).alias("v")).collect()}
