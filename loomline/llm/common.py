@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +123,16 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have most bytes together, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def vocabulary(name: str) -> str:
     """Where a public tokenizer file lies; the folder can be set by PUBLIC_TOKENIZERS."""
     if folder := os.environ.get("PUBLIC_TOKENIZERS"):

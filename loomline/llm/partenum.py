@@ -6,7 +6,7 @@ one, and each of these into second-level ones; every choice of all but those few
 So similar sets share a signature, and sets that share none need no look. Signatures with too few elements are passed
 over: each set may do so in SPARE first-level partitions, for which there are twice as many more.
 
-A batch sends one of its equal sets; the others are linked to it. Sets that share a signature form a group; equal groups
+A task sends one of the equal sets that it remembers; the others are linked to it. Sets that share a signature form a group; equal groups
 of up to SAME sets are looked at once. Within a group sets meet as parity sketches: a bit per bucket of elements tells
 whether an odd number falls there, so sketches differ in no more bits than sets in elements, and the size bound and the
 sketch rule out what can't be similar without losing a link. What is left makes clusters, which hold next to nothing but
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bitmap, cut, in_bitmap
+from loomline.llm.common import bitmap, cut, in_bitmap, slices
 from loomline.llm.components import connected
 from loomline.llm.shingles import mixed, shingle_sets
 
@@ -43,8 +43,8 @@ UNIT, WIDE, SAME = 512, 4096, 64
 LEAST_BITS, MOST_BITS = 6, 16
 #: First-level partitions that a set may pass over, and the least elements of a signature that is sent all the same.
 SPARE, FEW = 2, 4
-#: Elements whose signatures are made at once.
-AT_ONCE = 1 << 18
+#: Elements whose signatures are made at once, bytes of texts whose sets are, and sets that a task remembers.
+AT_ONCE, TEXTS_AT_ONCE, SEEN = 1 << 18, 1 << 22, 1 << 16
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -125,30 +125,32 @@ def sketches(flat: np.ndarray, size: np.ndarray) -> list[bytes]:
     return [packed[a // 8 : (a + b) // 8] for a, b in zip(base.tolist(), bits.tolist())]
 
 
-def local_rows(ids: np.ndarray, sets: list[np.ndarray], num: int) -> tuple[np.ndarray, ...]:
-    """(signature, id) of the first of equal sets, and the distinct (id, that set's id) of the others."""
-    order = np.argsort(ids, kind="stable")
-    first, own, a, b = {}, [], [], []
-    for i in order.tolist():
-        if len(sets[i]):
-            j = first.setdefault(xxhash.xxh3_128_digest(sets[i].tobytes()), i)
-            if j == i:
+def unseen(ids: np.ndarray, sets: list[np.ndarray], seen: dict[bytes, int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """Which sets have no equal among those seen, and (id, id of the equal set) of the others. seen is kept up."""
+    own, pairs = [], []
+    for i, (name, s) in enumerate(zip(ids.tolist(), sets)):
+        if len(s):
+            key = xxhash.xxh3_128_digest(s.tobytes())
+            if (other := seen.get(key)) is None:
+                seen[key] = name
                 own.append(i)
-            elif ids[i] != ids[j]:
-                a.append(ids[i])
-                b.append(ids[j])
-    made, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    size = np.fromiter((len(sets[i]) for i in own), np.int64, len(own))
-    step, at = np.searchsorted(np.cumsum(size), np.arange(AT_ONCE, int(size.sum()) + AT_ONCE, AT_ONCE)) + 1, 0
-    for end in step.tolist():
-        some = own[at:end]
-        if some:
-            sig, doc = signatures(np.concatenate([sets[i] for i in some]), size[at:end], num)
-            made.append(sig)
-            of.append(ids[some][doc])
-        at = end
-    pairs = np.unique(np.array([a, b], np.int64).T.reshape(-1, 2), axis=0)
-    return np.concatenate(made).view(np.int64), np.concatenate(of), pairs[:, 0], pairs[:, 1]
+            elif other != name:
+                pairs.append((name, other))
+    if len(seen) > SEEN:
+        seen.clear()
+    return own, pairs
+
+
+def lots(sets: list[np.ndarray], most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of sets with most elements together, or one set."""
+    start = size = 0
+    for i, s in enumerate(sets):
+        if size and size + len(s) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(s)
+    if start < len(sets):
+        yield start, len(sets)
 
 
 def payload(column: pa.Array) -> list[bytes]:
@@ -158,26 +160,30 @@ def payload(column: pa.Array) -> list[bytes]:
 def candidates(docs: DataFrame, k: int, num: int) -> DataFrame:
     """(doc, n, sketch, other, g): a row with n and sketch per row of docs, rows with other, whose set is equal, and rows with g, a group of sets that share a signature."""
 
+    def rows(sig: np.ndarray, doc: pa.Array, **more: pa.Array) -> pa.RecordBatch:
+        n, kinds = len(sig), {"other": pa.int64(), "n": pa.int64(), "sketch": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), doc, *[more.get(c, pa.nulls(n, kind)) for c, kind in kinds.items()]], names=["sig", "doc", *kinds])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: dict[bytes, int] = {}
+        for batch in (part for whole in batches for part in slices(whole, "_text", TEXTS_AT_ONCE)):
             sets = list(shingle_sets(payload(batch.column("_text")), k))
-            known = np.asarray(batch.column("_id").is_valid())
-            ids = np.asarray(batch.column("_id").fill_null(0)).astype(np.int64)
-            sig, doc, a, b = local_rows(ids[known], [s for s, ok in zip(sets, known) if ok], num)
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            spread = mixed(np.arange(len(ids), dtype=np.uint64) + mixed(ids.astype(np.uint64))).view(np.int64)
-            apart = mixed(a.astype(np.uint64) * _SALT + b.astype(np.uint64)).view(np.int64)
-            drawn = sketches(np.concatenate(sets), size) if len(sets) else []
-            none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
-            parts = [
-                (pa.array(sig), pa.array(doc), none(len(sig)), none(len(sig)), none(len(sig), pa.binary())),
-                (pa.array(apart), pa.array(a), pa.array(b), none(len(a)), none(len(a), pa.binary())),
-                (pa.array(spread), batch.column("_id").cast(pa.int64()), none(len(ids)), pa.array(size), pa.array(drawn, pa.binary())),
-            ]
-            for part, step in zip(parts, (1 << 17, 1 << 17, 1 << 12)):
-                rows = pa.RecordBatch.from_arrays(list(part), names=["sig", "doc", "other", "n", "sketch"])
-                for start in range(0, rows.num_rows, step):
-                    yield rows.slice(start, step)
+            known = np.flatnonzero(np.asarray(batch.column("_id").is_valid()))
+            ids = np.asarray(batch.column("_id").fill_null(0)).astype(np.int64)
+            own, pairs = unseen(ids[known], [sets[i] for i in known], seen)
+            own = known[own] if own else known[:0]
+            some = [sets[i] for i in own]
+            for start, end in lots(some, AT_ONCE):
+                sig, doc = signatures(np.concatenate(some[start:end]), size[own[start:end]], num)
+                yield rows(sig, pa.array(ids[own[start:end]][doc]))
+            if pairs:
+                a, b = np.array(pairs, np.int64).T
+                yield rows(mixed(a.astype(np.uint64) * _SALT + b.astype(np.uint64)), pa.array(a), other=pa.array(b))
+            spread = mixed(np.arange(len(ids), dtype=np.uint64) + mixed(ids.astype(np.uint64)))
+            for start, end in lots(sets, AT_ONCE):
+                drawn = sketches(np.concatenate(sets[start:end]), size[start:end])
+                yield rows(spread[start:end], batch.column("_id").cast(pa.int64()).slice(start, end - start), n=pa.array(size[start:end]), sketch=pa.array(drawn, pa.binary()))
 
     sent = docs.mapInArrow(send, "sig long, doc long, other long, n long, sketch binary")
     met = sent.selectExpr("*", "count(1) over (partition by sig) as m", "try_sum(shiftright(xxhash64(doc), 20)) over (partition by sig) as same")
