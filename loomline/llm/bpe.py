@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomline.llm import pretok
-from loomline.llm.common import strings
+from loomline.llm.common import in_lots, strings
 
 #: Distinct pre-tokens a worker keeps before it starts afresh; bounds its memory.
 CACHE = 500_000
@@ -337,7 +337,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", packe
     table = pretok.classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_lots(batches, text):
             texts, parts = strings(batch, text), {}
             done = 0
             for i, ids in encode_texts(path, table, texts):

@@ -133,6 +133,15 @@ def slices(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBat
         at = end
 
 
+#: Bytes of texts that a worker holds as Python values at once.
+LOT = 4 << 20
+
+
+def in_lots(batches: Iterator[pa.RecordBatch], name: str, most: int = LOT) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, name, most)
+
+
 def vocabulary(name: str) -> str:
     """Where a public tokenizer file lies; the folder can be set by PUBLIC_TOKENIZERS."""
     if folder := os.environ.get("PUBLIC_TOKENIZERS"):

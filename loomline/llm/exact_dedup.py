@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bitmap, cut, in_bitmap, lookup, prefix
+from loomline.llm.common import bitmap, cut, in_bitmap, in_lots, lookup, prefix
 
 #: Bytes of a chunk: at least, about, at most; and bytes hashed at once.
 LEAST, USUAL, MOST, BLOCK = 256, 2048, 16384, 1 << 20
@@ -88,7 +88,7 @@ def recipes(docs: DataFrame, digest: Callable[[bytes], bytes] = digest16) -> Dat
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, size = {}, 0
-        for batch in batches:
+        for batch in in_lots(batches, "_text"):
             texts, made, ids, contents = payload(batch), [], [], []
             for own in chunks(texts):
                 recipe = []

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bitmap, cut, in_bitmap, slices
+from loomline.llm.common import bitmap, cut, in_bitmap, in_lots
 from loomline.llm.components import connected
 from loomline.llm.shingles import mixed, shingle_sets
 
@@ -43,8 +43,8 @@ UNIT, WIDE, SAME = 512, 4096, 64
 LEAST_BITS, MOST_BITS = 6, 16
 #: First-level partitions that a set may pass over, and the least elements of a signature that is sent all the same.
 SPARE, FEW = 2, 4
-#: Elements whose signatures are made at once, bytes of texts whose sets are, and sets that a task remembers.
-AT_ONCE, TEXTS_AT_ONCE, SEEN = 1 << 18, 1 << 22, 1 << 16
+#: Elements whose signatures are made at once, and sets that a task remembers.
+AT_ONCE, SEEN = 1 << 18, 1 << 16
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -166,7 +166,7 @@ def candidates(docs: DataFrame, k: int, num: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        for batch in (part for whole in batches for part in slices(whole, "_text", TEXTS_AT_ONCE)):
+        for batch in in_lots(batches, "_text"):
             sets = list(shingle_sets(payload(batch.column("_text")), k))
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             known = np.flatnonzero(np.asarray(batch.column("_id").is_valid()))

@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.llm.common import in_lots
+
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
 #: First names by gender and script; surrogates come from the same list.
@@ -375,7 +377,7 @@ def replacement(df: DataFrame, key: bytes, text: str, out: str, spans: str, name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Surrogates(key, names)
-        for batch in batches:
+        for batch in in_lots(batches, text):
             made = [replace_text(t, own) if t is not None else (None, []) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array([t for t, _ in made], pa.string()), pa.array([s for _, s in made], _ARROW)], names=[*kept, out, spans])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import prefix
+from loomline.llm.common import in_lots, prefix
 from loomline.llm.shingles import word_hashes, word_spans
 
 POSITIVES, UNLABELLED = 6000, 12000
@@ -146,7 +146,7 @@ def predict(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 def text_features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_lots(batches, text):
             made = features([x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array([x.tobytes() for x in made], pa.binary())], names=[*keep, "_x"])
 
@@ -182,7 +182,7 @@ def score(df: DataFrame, model: dict, text: str = "text", out: str = "score") ->
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_lots(batches, text):
             texts = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
             made = predict(model, features(texts).astype(np.float64)) if "w" in model else np.full(len(texts), model["prior"])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(made, pa.float64())], names=kept + [out])
