@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +142,15 @@ LOT = 4 << 20
 def in_lots(batches: Iterator[pa.RecordBatch], name: str, most: int = LOT) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from slices(batch, name, most)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that a task has freed to the system, as its worker may wait long for the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def vocabulary(name: str) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import HOT_SHARE, cut, drop_scratch, lookup, scratch_path
+from loomline.llm.common import HOT_SHARE, cut, drop_scratch, give_back, lookup, scratch_path
 
 #: Edges whose forest is made at once, in a task.
 AT_ONCE = 1 << 20
@@ -61,6 +61,8 @@ def forest(edges: DataFrame) -> DataFrame:
                 size = 0
         if lots:
             yield from done(False)
+        lots.clear()
+        give_back()
 
     return edges.mapInArrow(run, "a long, b long")
 

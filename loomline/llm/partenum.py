@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bitmap, cut, in_bitmap, in_lots
+from loomline.llm.common import bitmap, cut, give_back, in_bitmap, in_lots
 from loomline.llm.components import connected
 from loomline.llm.shingles import mixed, shingle_sets
 
@@ -249,8 +249,10 @@ def by_unit(rows: DataFrame, columns: list[str], found: Callable[..., np.ndarray
                 held.append(row)
         if len(held) > 1:
             done()
+        held = []
         if out:
             yield told()
+        give_back()
 
     return rows.repartition("unit").sortWithinPartitions("unit").select("unit", "doc", *columns).mapInArrow(run, "doc long, root long")
 
@@ -318,7 +320,8 @@ def meet(members: DataFrame, content: DataFrame, most: int, check: Callable[[Dat
     The blocks of a root meet its first; members that then aren't in its largest component meet all.
     """
     unit = lambda *c: F.concat_ws("/", F.col("root"), *c)
-    small = edges_of(check(content.join(members.where("blocks = 1").select("doc", unit().alias("unit")), "doc")))
+    # a table, so that what follows doesn't run beside this in workers of its own
+    small = cut(edges_of(check(content.join(members.where("blocks = 1").select("doc", unit().alias("unit")), "doc"))), "pairs")
     large = members.where("blocks > 1")
     if large.isEmpty():
         return small
