@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from loomline.llm.common import prefix
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RARE = 2
 #: Phrase and label.
@@ -85,11 +87,12 @@ def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str, str]
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kept = [F.col(c) for c in df.columns if c not in new]
     p = prefix(*df.columns, *new)
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
+    whole = F.coalesce(F.col(text), F.lit(""))
     phrases = {}  # the rarest word and the other of each key phrase: a text without both has no place of it
     for t in own:
         phrases.setdefault(t["rare"][0][0], set()).add(t["rare"][-1][0])
-    low = df.select(*kept, lower.alias(f"{p}low"))
+    # lower-casing all letters may only add to what a text holds, and is cheap; A to Z alone are lowered where words are cut
+    low = df.select(*kept, whole.alias(f"{p}text"), F.lower(whole).alias(f"{p}low"))
     hint = F.lit(False)
     for word, others in phrases.items():
         also = F.lit(False)
@@ -97,7 +100,8 @@ def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str, str]
             also = also | F.contains(F.col(f"{p}low"), F.lit(w))
         hint = hint | (F.contains(F.col(f"{p}low"), F.lit(word)) & also)
     none = F.array().cast("array<string>")
-    split = low.select(*kept, F.regexp_count(f"{p}low", F.lit(WORD)).alias(f"{p}n"), F.when(hint, F.regexp_extract_all(f"{p}low", F.lit(WORD), F.lit(0))).otherwise(none).alias(f"{p}words"))
+    cut = F.regexp_extract_all(F.translate(f"{p}text", UPPER, LOWER), F.lit(WORD), F.lit(0))
+    split = low.select(*kept, F.regexp_count(f"{p}text", F.lit(ANY_CASE)).alias(f"{p}n"), F.when(hint, cut).otherwise(none).alias(f"{p}words"))
     words = F.col(f"{p}words")
     sought = sorted({w for t in own for w, _ in t["rare"]})
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(sought))
