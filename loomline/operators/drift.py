@@ -10,21 +10,21 @@ from loomline.functions.numbers import percent_change
 
 
 def last_of_each(scan: DataFrame) -> DataFrame:
-    """One row per path, the last by ord."""
+    """One row per path, the last by ord, with the tokens of all rows of the path."""
     named = scan.withColumn("path", paths.normal(F.col("path")))
-    return named.groupBy("path").agg(F.max_by(F.struct("estimated_tokens", "risk_flags"), "ord").alias("x")).select("path", "x.*")
+    return named.groupBy("path").agg(F.max_by(F.struct("estimated_tokens", "risk_flags"), "ord").alias("x"), F.sum("estimated_tokens").alias("all_tokens")).select("path", "x.*", "all_tokens")
 
 
 def file_drift(base: DataFrame, now: DataFrame) -> DataFrame:
-    a = last_of_each(base).select("path", F.col("estimated_tokens").alias("base_tokens"), F.col("risk_flags").alias("base_flags"))
-    b = last_of_each(now).select("path", F.col("estimated_tokens").alias("current_tokens"), F.col("risk_flags").alias("current_flags"))
+    a = last_of_each(base).select("path", F.col("estimated_tokens").alias("base_tokens"), F.col("risk_flags").alias("base_flags"), F.col("all_tokens").alias("base_all"))
+    b = last_of_each(now).select("path", F.col("estimated_tokens").alias("current_tokens"), F.col("risk_flags").alias("current_flags"), F.col("all_tokens").alias("current_all"))
     both = a.join(b, "path", "full_outer")
     old, new = F.coalesce("base_tokens", F.lit(0)), F.coalesce("current_tokens", F.lit(0))
     was, has = F.coalesce("base_flags", F.array().cast("array<string>")), F.coalesce("current_flags", F.array().cast("array<string>"))
     added, removed = F.filter(has, lambda f: ~F.array_contains(was, f)), F.filter(was, lambda f: ~F.array_contains(has, f))
     changed = (old != new) | (F.size(added) > 0) | (F.size(removed) > 0)
     status = F.when(F.col("base_tokens").isNull(), "added").when(F.col("current_tokens").isNull(), "removed").when(changed, "modified").otherwise("unchanged")
-    return both.select("path", status.alias("status"), old.alias("base_tokens"), new.alias("current_tokens"), (new - old).alias("delta"), percent_change(old, new).alias("percent"), added.alias("added_flags"), removed.alias("removed_flags"))
+    return both.select("path", status.alias("status"), old.alias("base_tokens"), new.alias("current_tokens"), (new - old).alias("delta"), percent_change(old, new).alias("percent"), added.alias("added_flags"), removed.alias("removed_flags"), F.coalesce("base_all", F.lit(0)).alias("base_all"), F.coalesce("current_all", F.lit(0)).alias("current_all"))
 
 
 def folder_drift(changes: DataFrame) -> DataFrame:
@@ -35,11 +35,11 @@ def folder_drift(changes: DataFrame) -> DataFrame:
     return per.withColumn("delta", F.col("current_tokens") - F.col("base_tokens")).withColumn("percent", percent_change(F.col("base_tokens"), F.col("current_tokens")))
 
 
-def summary(changes: DataFrame, base: DataFrame, now: DataFrame) -> DataFrame:
-    """Counts by status; net drift from the scans' own totals."""
-    total = lambda s, n: s.agg(F.coalesce(F.sum("estimated_tokens"), F.lit(0)).alias(n))
-    counts = changes.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "modified", "unchanged")], F.coalesce(F.sum(F.size("added_flags")), F.lit(0)).alias("new_flags"))
-    one = counts.crossJoin(total(base, "base_tokens")).crossJoin(total(now, "current_tokens"))  # a row each
+def summary(changes: DataFrame) -> DataFrame:
+    """Counts by status; net drift from the scans' own totals, which repeated paths count in."""
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "modified", "unchanged")]
+    one = changes.agg(*counts, F.coalesce(F.sum(F.size("added_flags")), F.lit(0)).alias("new_flags"), total("base_all").alias("base_tokens"), total("current_all").alias("current_tokens"))
     return one.withColumn("net", F.col("current_tokens") - F.col("base_tokens")).withColumn("percent", percent_change(F.col("base_tokens"), F.col("current_tokens")))
 
 

@@ -143,7 +143,7 @@ def recommendation(title: str, p: dict) -> list[str]:
 def drift_markdown(base: DataFrame, now: DataFrame, at: str, **policy: object) -> str:
     """Markdown of the drift between two scans under drift.violations' policy."""
     changes = drift.file_drift(base, now)
-    summed = drift.summary(changes, base, now)
+    summed = drift.summary(changes)
     total = summed.first()
     broken = drift.violations(summed, **policy).collect() if any(v not in (None, False) for v in policy.values()) else []
     signed = lambda n: f"{n:+,}" if n else "0"

@@ -203,7 +203,7 @@ def gitignore_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(BOTH + " SELECT path, status, base_tokens, current_tokens, delta, percent, array_to_string(added_flags, ',') AS added_flags, array_to_string(removed_flags, ',') AS removed_flags FROM drift")
 def drift_files(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.file_drift(*proxies.changed(spark, sf)).withColumn("added_flags", joined("added_flags")).withColumn("removed_flags", joined("removed_flags"))
+    return drift.file_drift(*proxies.changed(spark, sf)).withColumn("added_flags", joined("added_flags")).withColumn("removed_flags", joined("removed_flags")).drop("base_all", "current_all")
 
 
 _FOLDERS = ", per AS (SELECT folder, sum(base_tokens)::BIGINT AS base_tokens, sum(current_tokens)::BIGINT AS current_tokens, sum(CASE status WHEN 'added' THEN 1 WHEN 'removed' THEN -1 ELSE 0 END)::BIGINT AS net_files FROM drift GROUP BY folder), dirs AS (SELECT *, current_tokens - base_tokens AS delta, " + change("base_tokens", "current_tokens") + " AS percent FROM per)"
@@ -224,8 +224,7 @@ _SUMMARY = ", counts AS (SELECT count_if(status = 'added') AS added, count_if(st
 
 @query(BOTH + _SUMMARY + " SELECT * FROM summ")
 def drift_summary(spark: SparkSession, sf: str) -> DataFrame:
-    base, now = proxies.changed(spark, sf)
-    return drift.summary(drift.file_drift(base, now), base, now)
+    return drift.summary(drift.file_drift(*proxies.changed(spark, sf)))
 
 
 @query(BOTH + " SELECT path, delta FROM drift WHERE delta > 0 ORDER BY delta DESC, path LIMIT 10")
