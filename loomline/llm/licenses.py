@@ -18,7 +18,9 @@ its words and the posts of those that it has.
 from __future__ import annotations
 
 import math
+import operator
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +73,17 @@ def index(templates: list[tuple[str, str, str]] = TEMPLATES, rare: int = RARE) -
     return out
 
 
+def cover(own: list[dict]) -> dict[str, set[tuple[str, ...]]]:
+    """Few words of which each key phrase has one, and the rare words of the phrases that each stands for: a text without all of a phrase's words has no place of it."""
+    left, out = list(own), {}
+    while left:
+        often = Counter(w for t in left for w in set(t["key"]))
+        word = max(often, key=lambda w: (often[w], len(w), w))
+        out[word] = {tuple(w for w, _ in t["rare"]) for t in left if word in t["key"]}
+        left = [t for t in left if word not in t["key"]]
+    return out
+
+
 def postings(own: list[dict], nth: int) -> Column:
     """A literal map from each template's nth rare word (the last, if it has fewer) to its posts (template, position)."""
     found: dict[str, list[tuple[int, int]]] = {}
@@ -88,17 +101,11 @@ def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str, str]
     kept = [F.col(c) for c in df.columns if c not in new]
     p = prefix(*df.columns, *new)
     whole = F.coalesce(F.col(text), F.lit(""))
-    phrases = {}  # the rarest word and the other of each key phrase: a text without both has no place of it
-    for t in own:
-        phrases.setdefault(t["rare"][0][0], set()).add(t["rare"][-1][0])
     # lower-casing all letters may only add to what a text holds, and is cheap; A to Z alone are lowered where words are cut
     low = df.select(*kept, whole.alias(f"{p}text"), F.lower(whole).alias(f"{p}low"))
-    hint = F.lit(False)
-    for word, others in phrases.items():
-        also = F.lit(False)
-        for w in sorted(others):
-            also = also | F.contains(F.col(f"{p}low"), F.lit(w))
-        hint = hint | (F.contains(F.col(f"{p}low"), F.lit(word)) & also)
+    has = lambda w: F.contains(F.col(f"{p}low"), F.lit(w))
+    any_of = lambda some: reduce(operator.or_, some)
+    hint = any_of([has(w) & any_of([has(rare[0]) & has(rare[-1]) for rare in sorted(pairs)]) for w, pairs in cover(own).items()])
     none = F.array().cast("array<string>")
     cut = F.regexp_extract_all(F.translate(f"{p}text", UPPER, LOWER), F.lit(WORD), F.lit(0))
     split = low.select(*kept, F.regexp_count(f"{p}text", F.lit(ANY_CASE)).alias(f"{p}n"), F.when(hint, cut).otherwise(none).alias(f"{p}words"))
