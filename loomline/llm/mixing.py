@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import prefix
+from loomline.llm.common import count_words, prefix
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, REPEAT = (5.0, 2.0, 1.0), 3
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(count_words(text, "\x20\t\n\x0b\x0c\r", WORD), F.lit(0)).cast("long")
 
 
 def targets(sized: DataFrame, source: str, size: str, weights: tuple[float, ...] = WEIGHTS, repeat: int = REPEAT) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, components, exact_dedup, licenses, mixing, partenum, pii, quality, queries, token_count, topk, warc
+from loomline.llm import bpe, common, components, exact_dedup, licenses, mixing, partenum, pii, quality, queries, token_count, topk, warc
 from loomline.llm.common import scratch_path, vocabulary
 from loomline.llm.shingles import shingle_sets
 
@@ -559,6 +559,16 @@ def test_sql_says_the_same(spark, name):
     assert sorted(map(str, map(tuple, queries.QUERIES[name](spark, SF).select(*columns).collect()))) == want
 
 
+def test_words_are_counted_as_the_pattern_says(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab é中  \t\n\x00.-_Z9   ", k=rng.randint(0, 60))) for _ in range(500)]
+    texts += [None, "", " ", " " * 15 + "a", " " * 16 + "a" + " " * 17 + "b", "." * 40, "a" + "\t" * 100 + "b c", "x", " x ", "中"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", mixing.words(F.col("t")).alias("m"), F.coalesce(common.count_words(F.col("t"), licenses.SEPARATORS, licenses.ANY_CASE), F.lit(0)).alias("l")).collect()
+    for r in got:
+        assert (r.m, r.l) == (len(re.findall(mixing.WORD, r.t or "")), len(re.findall(licenses.ANY_CASE, r.t or ""))), r.t
+
+
 def test_licenses(spark, real):
     notices = ["Licensed under CC BY-NC 4.0.", "All Rights Reserved all rights reserved", "cc cc by by", "Released under the MIT License.", "the MIT License", "Licensed under the Apache License, Version 2.0", "apache license version 2 0", "rights reserved", "all\nrights\treserved ünd ＣＣ by", "ſoftware cc\x00by K", "nothing"]
     notices += [" ".join(t["words"][i:]) for t in licenses.index() for i in (0, 1, 3)]
