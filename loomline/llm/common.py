@@ -103,7 +103,7 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int)
 
 
 def count_words(text: Column, separators: str, pattern: str) -> Column:
-    """How many runs of other characters than separators a text has: what regexp_count says of the pattern, at a fifth of its cost.
+    """How many runs of other characters than separators a text has: what regexp_count says of the pattern, cheaper if that has many ranges.
 
     Separators become blanks, and runs of up to 16 of these one; texts with longer runs are left to the pattern.
     """
