@@ -91,6 +91,10 @@ def handler(folder: str, token: str | None, public: bool, sessions: Sessions) ->
         def body(self) -> object:
             size = int(self.headers.get("Content-Length") or 0)
             if size > FEED_LIMIT:
+                left = min(size, 16 * FEED_LIMIT)  # what a client is still sending, so that it hears the answer
+                while left > 0 and (got := self.rfile.read1(min(left, 65536))):
+                    left -= len(got)
+                self.close_connection = True
                 raise OverflowError("Report is too large")
             return json.loads(self.rfile.read(size))
 
