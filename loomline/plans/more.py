@@ -41,14 +41,14 @@ def catalog_freshness(spark: SparkSession, sf: str) -> DataFrame:
     return proxies.models(spark, sf).select("id", catalog.freshness(dated, F.timestamp_seconds(F.lit(1777637045))).alias("f")).select("id", "f.*")  # 2026-05-01 12:04:05
 
 
-@query(_SCORED + " SELECT id, total FROM scored ORDER BY total DESC, ord LIMIT 25")
+@query(_SCORED + " SELECT id, total FROM scored ORDER BY total DESC, ord")
 def models_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.ranked(_scored(spark, sf)).select("id", "total").limit(25)
+    return catalog.ranked(_scored(spark, sf)).select("id", "total")
 
 
-@query(_SCORED + " SELECT id, fits FROM scored ORDER BY fits DESC, ord LIMIT 150")
+@query(_SCORED + " SELECT id, fits FROM scored ORDER BY fits DESC, ord")
 def models_fitting_first(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.fitting_first(_scored(spark, sf)).select("id", "fits").limit(150)
+    return catalog.fitting_first(_scored(spark, sf)).select("id", "fits")
 
 
 @query(_SCORED + " SELECT count_if(overflow_risk = 0) AS fitting, count(*) AS models FROM scored")
@@ -158,9 +158,9 @@ def top10_direct_folders(spark: SparkSession, sf: str) -> DataFrame:
     return workspace.top_direct_folders(proxies.scan(spark, sf)).select("folder", F.col("total_tokens").alias("tokens"))
 
 
-@query(SCAN + " SELECT path FROM scan ORDER BY translate(lower(path), '_-./', chr(1) || chr(2) || chr(3) || chr(4)), path LIMIT 60")
+@query(SCAN + " SELECT path FROM scan ORDER BY translate(lower(path), '_-./', chr(1) || chr(2) || chr(3) || chr(4)), path")
 def files_collated(spark: SparkSession, sf: str) -> DataFrame:
-    return workspace.ordered(proxies.files(spark, sf)).select("path").limit(60)
+    return workspace.ordered(proxies.files(spark, sf)).select("path")
 
 
 @query(SCAN + " SELECT path, true AS exists, bytes::BIGINT AS bytes, estimated_tokens, NULL::VARCHAR AS error FROM scan UNION ALL SELECT 'src/../missing.ts', false, 0, 0, 'file not found'")
@@ -196,9 +196,9 @@ def map_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return _mapped(spark, sf).select("path", "reason", "map_language")
 
 
-@query(_MAP + " SELECT path, priority FROM map WHERE priority >= 60 ORDER BY priority DESC, ord LIMIT 40")
+@query(_MAP + " SELECT path, priority FROM map WHERE priority >= 60 ORDER BY priority DESC, ord")
 def map_display_order(spark: SparkSession, sf: str) -> DataFrame:
-    return _mapped(spark, sf).where("priority >= 60").orderBy(F.desc("priority"), "ord").select("path", "priority").limit(40)
+    return _mapped(spark, sf).where("priority >= 60").orderBy(F.desc("priority"), "ord").select("path", "priority")
 
 
 @query(_MAP + """ SELECT path, CASE WHEN large THEN 1 WHEN generated THEN 2 WHEN risky THEN 3 WHEN bucket = 'excluded' THEN 4 WHEN bucket = 'test' THEN 5 ELSE 6 END::INTEGER AS n FROM map
