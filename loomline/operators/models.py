@@ -92,6 +92,13 @@ def matching(models: DataFrame, text: str) -> DataFrame:
     return models.where(F.lower(F.concat_ws(" ", "id", "display_name", "provider", "privacy_mode")).contains(text.lower()))
 
 
+def recommended_matching(recommended: DataFrame, models: DataFrame, text: str) -> DataFrame:
+    """Recommended rows (id, display_name) of which the name, id or provider has a text, trimmed and in any case; a model that the catalogue lacks has no provider."""
+    provider = models.groupBy("id").agg(F.min_by("provider", "ord").alias("_provider"))
+    row = F.lower(F.concat(F.col("display_name"), F.lit(" "), F.col("id"), F.lit(" "), F.coalesce("_provider", F.lit(""))))
+    return recommended.join(provider, "id", "left").where(row.contains(text.strip().lower())).drop("_provider")
+
+
 def unknown_providers(models: DataFrame, providers: DataFrame) -> DataFrame:
     """Providers of a catalogue that a list (provider) lacks."""
     return models.select("provider").distinct().join(providers, "provider", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.functions import paths, tokens
+from loomline.functions import display, paths, tokens
 from loomline.operators import compaction, repo_map, symbols, workspace
 from loomline.operators import models as catalog
 from loomline.plans import proxies
@@ -253,3 +253,34 @@ SELECT doc_id, repeat('`', n + 1) || ' ' || t || ' ' || repeat('`', n + 1) AS co
 def markdown_code(spark: SparkSession, sf: str) -> DataFrame:
     return proxies.documents(spark, sf).select("doc_id", compaction.markdown_code(F.concat(F.lit("a`b``"), F.coalesce("text", F.lit("")))).alias("code"))
 
+
+
+# Panels
+
+
+@query(r"""SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS plain, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS quoted FROM documents""")
+def html_escaped(spark: SparkSession, sf: str) -> DataFrame:
+    return proxies.documents(spark, sf).select("doc_id", display.escape_html(F.col("text")).alias("plain"), display.escape_html(F.col("text"), apostrophes=True).alias("quoted"))
+
+
+@query("""WITH n AS (SELECT l_orderkey AS k, l_linenumber AS l, l_partkey * l_partkey * l_suppkey * l_linenumber * (CASE WHEN l_linenumber = 3 THEN -1 ELSE 1 END) AS x FROM lineitem),
+t AS (SELECT *, abs(x) AS a, CASE WHEN abs(x) < 999950 THEN 1000 WHEN abs(x) < 999950000 THEN 1000000 WHEN abs(x) < 999950000000 THEN 1000000000 ELSE 1000000000000 END AS unit FROM n),
+r AS (SELECT *, (a + unit // 20) // (unit // 10) AS tenths FROM t)
+SELECT k, l, (CASE WHEN x < 0 THEN '-' ELSE '' END) || CASE WHEN a < 1000 THEN a::VARCHAR ELSE (tenths // 10)::VARCHAR || CASE WHEN tenths % 10 > 0 THEN '.' || (tenths % 10)::VARCHAR ELSE '' END || CASE unit WHEN 1000 THEN 'K' WHEN 1000000 THEN 'M' WHEN 1000000000 THEN 'B' ELSE 'T' END END AS short FROM r""")
+def compact_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    sign = F.when(F.col("l_linenumber") == 3, -1).otherwise(1)
+    number = F.col("l_partkey") * F.col("l_partkey") * F.col("l_suppkey") * F.col("l_linenumber") * sign
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), display.compact(number).alias("short"))
+
+
+@query("""WITH t AS (SELECT doc_id, doc_id * doc_id * 7 - 50 AS s FROM documents)
+SELECT doc_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60)::VARCHAR || 'm ago' WHEN s < 86400 THEN (s // 3600)::VARCHAR || 'h ago' ELSE (s // 86400)::VARCHAR || 'd ago' END AS age FROM t""")
+def relative_times(spark: SparkSession, sf: str) -> DataFrame:
+    now = 1_777_637_045
+    return proxies.documents(spark, sf).select("doc_id", display.age(F.timestamp_seconds(F.lit(now) - (F.col("doc_id") * F.col("doc_id") * 7 - 50)), F.timestamp_seconds(F.lit(now))).alias("age"))
+
+
+@query(_SCORED + " SELECT s.id, s.display_name FROM scored s WHERE contains(lower(s.display_name || ' ' || s.id || ' ' || CASE WHEN s.ord % 5 = 0 THEN '' ELSE s.provider END), 'brand#2')")
+def models_searched(spark: SparkSession, sf: str) -> DataFrame:
+    """Against a catalogue that lacks each fifth model."""
+    return catalog.recommended_matching(_scored(spark, sf), proxies.models(spark, sf).where("ord % 5 <> 0"), " Brand#2 ").select("id", "display_name")

@@ -7,7 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.functions import files, numbers, paths, tokens
+from loomline.functions import display, files, numbers, paths, tokens
 from loomline.operators import compaction, drift, git, models, symbols, workspace
 from loomline.sources import catalog
 from loomline.sources import files as folders
@@ -233,3 +233,14 @@ def test_cache_round_trip(spark, tmp_path):
 
 def test_languages_of_both_maps(spark):
     assert one(spark, files.language(F.lit("x/app.Dockerfile"))) == "Dockerfile" and one(spark, files.language(F.lit("a.H"))) == "C/C++ Header"
+
+
+def test_text_for_panels(spark):
+    told = {0: "0", 7: "7", 999: "999", 1000: "1K", 1049: "1K", 1050: "1.1K", 1250: "1.3K", 123_456: "123.5K", 999_949: "999.9K", 999_950: "1M", 1_500_000: "1.5M", 999_950_000: "1B", 2_000_000_000_000: "2T", 12_345_600_000_000_000: "12,345.6T", -1_260: "-1.3K", None: None}
+    rows = spark.createDataFrame([(x,) for x in told], "x long").select("x", display.compact(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in rows} == told
+    ages = {0: "just now", -5: "just now", 59: "just now", 60: "1m ago", 3599: "59m ago", 3600: "1h ago", 86_399: "23h ago", 86_400: "1d ago", None: "just now"}
+    rows = spark.createDataFrame([(x,) for x in ages], "x long").select("x", display.age(F.timestamp_seconds(1_000_000 - F.col("x")), F.timestamp_seconds(F.lit(1_000_000))).alias("y")).collect()
+    assert {r.x: r.y for r in rows} == ages
+    text = spark.createDataFrame([("<a href=\"x\">'&amp;'</a>",), (None,)], "t string")
+    assert [tuple(r) for r in text.select(display.escape_html(F.col("t")), display.escape_html(F.col("t"), apostrophes=True)).collect()] == [("&lt;a href=&quot;x&quot;&gt;'&amp;amp;'&lt;/a&gt;", "&lt;a href=&quot;x&quot;&gt;&#39;&amp;amp;&#39;&lt;/a&gt;"), (None, None)]
