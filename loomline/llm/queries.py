@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, exact_dedup, licenses, mixing, partenum, pii, quality, token_count, topk, warc
+from loomline.llm import bpe, exact_dedup, licenses, merkle, mixing, partenum, pii, quality, token_count, topk, warc
 from loomline.llm.common import scratch_path, vocabulary
 
 THRESHOLD = 0.3
@@ -86,9 +86,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = {"n_chars": F.when(hit, F.try_add(F.col("n_chars"), F.lit(1))).otherwise(F.col("n_chars"))}
+    return merkle.manifest(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], more)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_surrogates": op3_surrogates, "op4_mix": op4_mix, "op5_ngram_join": op5_ngram_join, "op6_token_counts": op6_token_counts,
     "op7_top_k": op7_top_k, "op8_warc": op8_warc, "op9_exact_dedup": op9_exact_dedup, "op10_licenses": op10_licenses,
+    "op12_merkle": op12_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -159,6 +166,24 @@ c AS (SELECT vec_id, unnest(e) AS w, generate_subscripts(e, 1) AS term FROM v),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.w * c.w)::BIGINT AS score FROM c q JOIN c ON q.term = c.term AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_merkle": """
+WITH RECURSIVE b AS (SELECT doc_id, lang, CASE WHEN xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 7 = 0 THEN 1 ELSE 0 END AS more,
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head, n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+d AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf, sha256(head || coalesce(strlen((n_chars + coalesce(more, 0))::VARCHAR) || ':' || (n_chars + coalesce(more, 0)), '-') || tail) AS other FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS nth FROM d),
+v AS (SELECT lang, 0 AS k, list(leaf ORDER BY nth) AS nodes FROM r GROUP BY lang UNION ALL
+  SELECT lang, k + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM v WHERE len(nodes) > 1),
+g AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS nth FROM v WHERE len(nodes) = 1),
+u AS (SELECT 0 AS k, list(subroot ORDER BY nth) AS nodes FROM g UNION ALL
+  SELECT k + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM u WHERE len(nodes) > 1),
+s AS (SELECT r.lang, r.nth, v.k, (r.nth >> v.k::BIGINT) AS i, v.nodes FROM r JOIN v ON r.lang IS NOT DISTINCT FROM v.lang WHERE len(v.nodes) > 1 UNION ALL
+  SELECT r.lang, r.nth, 1000 + u.k, (g.nth >> u.k::BIGINT), u.nodes FROM r JOIN g ON r.lang IS NOT DISTINCT FROM g.lang CROSS JOIN u WHERE len(u.nodes) > 1),
+p AS (SELECT lang, nth, list(CASE WHEN i % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(nodes[xor(i, 1) + 1], '') ORDER BY k) AS way FROM s GROUP BY lang, nth),
+f AS (SELECT r.doc_id, r.leaf, g.subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root, sha256(array_to_string(list_transform(coalesce(way, []), lambda x: x[2:]), '')) AS proof_sha256,
+  list_reduce([r.other] || coalesce(way, []), lambda a, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || a ELSE a || x[2:] END)) AS folded_root
+  FROM r JOIN g ON r.lang IS NOT DISTINCT FROM g.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM r.lang AND p.nth = r.nth)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f""",
     "op9_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
