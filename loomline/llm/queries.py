@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, exact_dedup, licenses, merkle, mixing, partenum, pii, quality, token_count, topk, warc
+from loomline.llm import bpe, collocations, exact_dedup, licenses, merkle, mixing, partenum, pii, quality, token_count, topk, warc
 from loomline.llm.common import scratch_path, vocabulary
 
 THRESHOLD = 0.3
@@ -86,6 +86,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir).select("text", "lang"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     more = {"n_chars": F.when(hit, F.try_add(F.col("n_chars"), F.lit(1))).otherwise(F.col("n_chars"))}
@@ -95,7 +99,7 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_surrogates": op3_surrogates, "op4_mix": op4_mix, "op5_ngram_join": op5_ngram_join, "op6_token_counts": op6_token_counts,
     "op7_top_k": op7_top_k, "op8_warc": op8_warc, "op9_exact_dedup": op9_exact_dedup, "op10_licenses": op10_licenses,
-    "op12_merkle": op12_merkle,
+    "op11_collocations": op11_collocations, "op12_merkle": op12_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -166,6 +170,20 @@ c AS (SELECT vec_id, unnest(e) AS w, generate_subscripts(e, 1) AS term FROM v),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.w * c.w)::BIGINT AS score FROM c q JOIN c ON q.term = c.term AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) v(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+o AS (SELECT DISTINCT a.lang, a.phrase FROM c a JOIN c b ON a.lang = b.lang AND b.k > a.k AND contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ') AND 100::HUGEINT * b.f >= 80::HUGEINT * a.f),
+s AS (SELECT *, string_split(phrase, ' ') AS w FROM c ANTI JOIN o USING (lang, phrase)),
+u AS (SELECT s.lang, s.phrase, s.f AS a, x.k, l.f AS l, r.f AS r, ((2000000::HUGEINT * s.f) // (l.f + r.f))::BIGINT AS score FROM s JOIN (VALUES (1), (2), (3)) x(k) ON x.k < s.k
+  JOIN f l ON l.lang = s.lang AND l.phrase = array_to_string(s.w[1:x.k], ' ') JOIN f r ON r.lang = s.lang AND r.phrase = array_to_string(s.w[x.k + 1:], ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000""",
     "op12_merkle": """
 WITH RECURSIVE b AS (SELECT doc_id, lang, CASE WHEN xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
     lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 7 = 0 THEN 1 ELSE 0 END AS more,
