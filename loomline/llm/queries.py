@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, collocations, exact_dedup, licenses, merkle, mixing, partenum, pii, quality, token_count, topk, warc
+from loomline.llm import bpe, collocations, exact_dedup, licenses, merkle, mixing, partenum, pii, quality, repeats, token_count, topk, warc
 from loomline.llm.common import scratch_path, vocabulary
 
 THRESHOLD = 0.3
@@ -96,10 +96,16 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], more)
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    told = {"n_removed": lost, "n_spans": F.size("spans").cast("long"), "kept_sha256": F.sha2("kept", 256)}
+    return repeats.repeats(documents(spark, sf_dir), columns=told)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_surrogates": op3_surrogates, "op4_mix": op4_mix, "op5_ngram_join": op5_ngram_join, "op6_token_counts": op6_token_counts,
     "op7_top_k": op7_top_k, "op8_warc": op8_warc, "op9_exact_dedup": op9_exact_dedup, "op10_licenses": op10_licenses,
-    "op11_collocations": op11_collocations, "op12_merkle": op12_merkle,
+    "op11_collocations": op11_collocations, "op12_merkle": op12_merkle, "op13_repeats": op13_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
