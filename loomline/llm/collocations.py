@@ -32,7 +32,7 @@ from loomline.llm.shingles import mixed, word_hashes
 
 DEPTH, LEAST, SUBSUMED, BEST = 4, 30, 80, 2000
 #: Bytes of text of a shard, and bits of the filter (8 MB).
-SHARD, FILTER = 16 << 20, 1 << 26
+SHARD, FILTER = 6 << 20, 1 << 26
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _KIND = np.zeros(256, np.uint8)
 _KIND[[32, 9]] = 1
