@@ -37,8 +37,8 @@ from loomline.llm.shingles import mixed
 LENGTH, GRAM = 50, 16
 #: Bytes of a lot while there are few lots and when there are many; lots up to which they are small; buckets at most.
 LOT, LARGE_LOT, FEW_LOTS, BUCKETS = 8 << 20, 128 << 20, 4096, 65_536
-#: Lots to a shard, and bytes of a shard's tuples in memory.
-PER_SHARD, MEMORY = 4, 192 << 20
+#: Bytes of a shard's tuples in memory.
+MEMORY = 192 << 20
 BLOCK = 1 << 19
 _GEAR = np.random.default_rng(13).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _C = 0x9E3779B97F4A7C15
@@ -325,7 +325,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     total, size = facts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     lots = max(1, -(-size // (lot or LOT)))
     lots = lots if lots <= FEW_LOTS or lot else max(FEW_LOTS, -(-size // LARGE_LOT))
-    buckets, shards = min(lots, BUCKETS), -(-lots // PER_SHARD)
+    buckets = shards = min(lots, BUCKETS)
     folder = scratch_path(spark, "tuples")
     name = "loomline_" + folder.rpartition("-")[2]
     texts = texts_in_lots(docs, facts, lots, name)
