@@ -10,15 +10,26 @@ from loomline.functions.numbers import share, to_fixed
 from loomline.functions.once import with_once
 
 
-def classify(df: DataFrame, ignored: Column | None = None) -> DataFrame:
-    """(ord, path, text) with extension, language, bytes, risk_flags, estimated_tokens, included, excluded_reason."""
-    path, text, size = F.col("path"), F.col("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    base = df.select("ord", "path", "text", paths.extension(path).alias("extension"), files.language(path).alias("language"), size.alias("bytes"), (F.lit(None).cast("string") if ignored is None else ignored).alias("_ignored"))
-    flagged = with_once(base, {"risk_flags": files.risk_flags(path, F.col("bytes"), text), "_estimate": tokens.estimate(text)})
-    read = F.when(F.col("bytes") > tokens.TEXT_LIMIT, tokens.estimate_bytes(F.col("bytes"))).otherwise(tokens.adjusted(F.col("_estimate"), F.col("extension")))
-    count = F.when(F.col("_ignored").isNotNull() | files.is_binary(path) | (F.col("bytes") == 0), F.lit(0)).otherwise(read).cast("long")
+def classify(df: DataFrame, ignored: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(ord, path, text) with extension, language, bytes, risk_flags, estimated_tokens, included, excluded_reason, and columns to keep.
+
+    A size comes from bytes where the table has it, else from the text. Files without a text, unread or unreadable, count by
+    their size. Columns _tokens and _flags are what is known of a file: tokens in place of the estimate, and flags beside those of path and text.
+    """
+    path, text = F.col("path"), F.col("text")
+    size = F.coalesce(*[F.col("bytes")] * ("bytes" in df.columns), F.octet_length("text"), F.lit(0)).cast("long")
+    known = {c: F.col(c) if c in df.columns else F.lit(None).cast(kind) for c, kind in (("_tokens", "long"), ("_flags", "array<string>"))}
+    base = df.select(
+        "ord", "path", "text", paths.extension(path).alias("extension"), files.language(path).alias("language"), size.alias("bytes"), *[c for c in keep or [] if c != "bytes"],
+        (F.lit(None).cast("string") if ignored is None else ignored).alias("_ignored"), *[c.alias(n) for n, c in known.items()],
+    )
+    flags = files.risk_flags(path, F.col("bytes"), text)
+    flagged = with_once(base, {"risk_flags": F.coalesce(F.array_union(flags, F.col("_flags")), flags) if "_flags" in df.columns else flags, "_estimate": tokens.estimate(text)})
+    read = F.when((F.col("bytes") > tokens.TEXT_LIMIT) | text.isNull(), tokens.estimate_bytes(F.col("bytes"))).otherwise(tokens.adjusted(F.col("_estimate"), F.col("extension")))
+    counted = F.coalesce(F.col("_tokens"), read) if "_tokens" in df.columns else read
+    count = F.when(F.col("_ignored").isNotNull() | files.is_binary(path) | (F.col("bytes") == 0), F.lit(0)).otherwise(counted).cast("long")
     why = files.excluded_reason(F.col("risk_flags"), path, F.col("_ignored"))
-    return with_once(flagged, {"estimated_tokens": count, "excluded_reason": why}).withColumn("included", F.col("excluded_reason").isNull()).drop("_ignored", "_estimate")
+    return with_once(flagged, {"estimated_tokens": count, "excluded_reason": why}).withColumn("included", F.col("excluded_reason").isNull()).drop("_ignored", "_estimate", "_tokens", "_flags")
 
 
 def stats(scan: DataFrame) -> DataFrame:
@@ -113,8 +124,12 @@ def cache_counts(marked: DataFrame) -> DataFrame:
 
 
 def with_cache(scan: DataFrame, cache: DataFrame) -> DataFrame:
-    """Marks files whose path, size and time a cache has; what isn't there was missed."""
-    known = cache.select("path", F.col("bytes").alias("_bytes"), F.col("mtime").alias("_mtime"), F.col("estimated_tokens").alias("_tokens"))
+    """Marks files whose path, size and time a cache has, with its tokens and, where the cache has flags, those too; what isn't there was missed."""
+    flags = [F.col("risk_flags").alias("_flags")] * ("risk_flags" in cache.columns)
+    known = cache.select("path", F.col("bytes").alias("_bytes"), F.col("mtime").alias("_mtime"), F.col("estimated_tokens").alias("_tokens"), *flags)
     both = scan.join(known, "path", "left")
     hit = F.coalesce((F.col("bytes") == F.col("_bytes")) & (F.col("mtime") == F.col("_mtime")), F.lit(False))
-    return both.withColumn("cache_hit", hit).withColumn("estimated_tokens", F.when(hit, F.col("_tokens")).otherwise(F.col("estimated_tokens"))).drop("_bytes", "_mtime", "_tokens")
+    told = {"cache_hit": hit, "estimated_tokens": F.when(hit, F.col("_tokens")).otherwise(F.col("estimated_tokens"))}
+    if flags:
+        told["risk_flags"] = F.when(hit & F.col("_flags").isNotNull(), F.array_union("risk_flags", "_flags")).otherwise(F.col("risk_flags"))
+    return both.withColumns(told).drop("_bytes", "_mtime", "_tokens", "_flags")

@@ -11,7 +11,7 @@ from loomline.operators import compaction, drift, git, repo_map, reports, symbol
 from loomline.operators import models as catalog
 from loomline.plans import proxies
 from loomline.plans.proxies import BOTH, MODELS, SCAN, change, estimate, fixed
-from loomline.sources.files import Rules, ignored
+from loomline.sources.rules import with_ignored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -194,8 +194,9 @@ def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SCAN + r" SELECT path, (regexp_matches(path, '\.log$') AND base <> 'keep.log') OR regexp_matches(path, '(^|/)dist/') OR regexp_matches(path, '^docs/(.*/)?[^/]*\.md$') OR regexp_matches(path, '^packages/(.*/)?src7/') AS ignored FROM scan")
 def gitignore_match(spark: SparkSession, sf: str) -> DataFrame:
-    own = Rules([("", "*.log"), ("", "dist/"), ("", "!keep.log"), ("", "/docs/**/*.md"), ("packages", "src7/")])
-    return proxies.files(spark, sf).select("path", ignored(F.col("path"), own).alias("ignored"))
+    files = proxies.files(spark, sf)
+    nested = files.sparkSession.createDataFrame([("packages", ["src7/"])], "folder string, lines array<string>")
+    return with_ignored(files.select("path"), ["*.log", "dist/", "!keep.log", "/docs/**/*.md"], nested)
 
 
 # Drift

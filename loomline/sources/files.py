@@ -1,187 +1,99 @@
-"""Folders of text files as DataFrames, under layered ignore rules."""
+"""Folders of files as scans: listed in the executors, read as far as needed, classified, with what a cache knows taken from it."""
 
 from __future__ import annotations
 
-import fnmatch
 import os
-import re
 import subprocess
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.functions import files, tokens
 from loomline.functions.files import SCAN_LIMIT
 from loomline.functions.paths import ancestors
 from loomline.operators import workspace
-from loomline.sources import catalog
-
-SKIPPED = {".git", ".svn", ".hg"}
-IGNORE_FILES = [".gitignore", ".cursorignore", ".aiderignore", ".continueignore"]  # further names are walk()'s parameter
-
-
-def compile_rule(line: str, folder: str = "") -> tuple[re.Pattern, bool, bool] | None:
-    """(pattern, only folders, negated) of one line of an ignore file that lies in a folder; null for blanks and comments."""
-    rule = line.rstrip("\r\n")
-    rule = rule if rule.endswith("\\ ") else rule.rstrip(" ")
-    if not rule or rule.startswith("#"):
-        return None
-    negated = rule.startswith("!")
-    rule = rule[negated:].removeprefix("\\") if rule[negated:][:2] in ("\\#", "\\!") else rule[negated:]
-    only_folders, rule = rule.endswith("/"), rule.rstrip("/")
-    anchored, rule = "/" in rule, rule.lstrip("/")
-    out, i = [], 0
-    while i < len(rule):
-        if rule.startswith("**/", i):
-            out.append("(?:.*/)?")
-            i += 3
-        elif rule.startswith("/**", i) and i + 3 == len(rule):
-            out.append("/.+")
-            i += 3
-        elif rule[i] == "*":
-            out.append("[^/]*")
-            i += 1 + rule.startswith("**", i)
-        elif rule[i] == "?":
-            out.append("[^/]")
-            i += 1
-        elif rule[i] == "[" and "]" in rule[i + 2 :]:
-            end = rule.index("]", i + 2)
-            out.append(fnmatch.translate(rule[i : end + 1]).replace(r"(?s:", "").removesuffix(r")\Z").removesuffix(r")\z"))
-            i = end + 1
-        else:
-            if rule[i] == "\\" and i + 1 < len(rule):
-                i += 1
-            out.append(re.escape(rule[i]))
-            i += 1
-    prefix = re.escape(folder + "/") if folder else ""
-    return re.compile(prefix + ("" if anchored else "(?:.*/)?") + "".join(out)), only_folders, negated
-
-
-class Rules:
-    """Ordered rules, of which the last that matches a path decides; what an ignored folder holds can't come back."""
-
-    def __init__(self, lines: list[tuple[str, str]]) -> None:
-        self.rules = [r for folder, line in lines if (r := compile_rule(line, folder))]
-
-    def decides(self, path: str, folder: bool) -> bool:
-        for pattern, only_folders, negated in reversed(self.rules):
-            if (folder or not only_folders) and pattern.fullmatch(path):
-                return not negated
-        return False
-
-    def ignored(self, path: str) -> bool:
-        parts = path.split("/")
-        return any(self.decides("/".join(parts[:n]), True) for n in range(1, len(parts))) or self.decides(path, False)
-
-
-def ignored(path: Column, rules: Rules) -> Column:
-    """Whether rules ignore a path, over Arrow batches."""
-
-    @F.pandas_udf("boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(rules.ignored)
-
-    return run(path)
-
-
-def ignore_reason(path: Column, size: Column, rules: Rules, limit: int = SCAN_LIMIT) -> Column:
+from loomline.sources import catalog, scratch
+from loomline.sources.bodies import Tokenizer, read_bodies
+from loomline.sources.walk import walk
+
+#: Warnings that come to the driver; the rest is told as a number, and all are in a table.
+TOLD = 1000
+
+
+def ignore_reason(size: Column, ignored: Column, limit: int = SCAN_LIMIT) -> Column:
     too_big = F.concat(F.lit("exceeds max file size ("), F.format_string("%.1f", size / 1_000_000), F.lit("MB)"))
-    return F.when(size > limit, too_big).when(ignored(path, rules), "matches ignore pattern")
+    return F.when(size > limit, too_big).when(ignored, "matches ignore pattern")
+
+
+def list_folder(spark: SparkSession, root: str, exclude: list[str] | None = None, ignore_files: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ord, path, full, bytes, mtime, _ignored) of a folder's files in the order in which people sort paths, and notes; both are tables."""
+    found, notes = walk(spark, root, ignore_files, exclude)
+    ordered = found.orderBy(F.collate("path", "UNICODE"), "path")
+    listed = ordered.select(F.monotonically_increasing_id().alias("ord"), "path", "full", "bytes", F.timestamp_seconds("time").alias("mtime"), ignore_reason(F.col("bytes"), F.col("ignored")).alias("_ignored"))
+    return scratch.table(listed, "files"), notes
+
+
+def wants_body() -> Column:
+    """Of a listed file, whether its body tells anything: not of ignored, binary, empty or large ones."""
+    return F.col("_ignored").isNull() & ~files.is_binary(F.col("path")) & (F.col("bytes") > 0) & (F.col("bytes") <= tokens.TEXT_LIMIT)
 
 
-def walk(root: str, extra: list[str] | None = None, exclude: list[str] | None = None) -> tuple[list[tuple[str, str]], list[str], Rules]:
-    """(path, absolute path) of a local folder's files in order, warnings, and the rules it names.
+def read_folder(spark: SparkSession, root: str, exclude: list[str] | None = None, ignore_files: list[str] | None = None, cache: DataFrame | None = None, tokenizer: Tokenizer | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ord, path, bytes, mtime, text, _ignored, error, and of a cache or tokenizer _tokens, _flags, failed, cache_hit) of a folder's files, and notes.
 
-    Version control folders and ignored folders are not entered; links out of the root, in a circle, or to ignored files are left out.
+    Only bodies that tell something and that the cache doesn't know, by path, size and time, are read.
     """
-    real, lines, warnings = os.path.realpath(root), [], []
-    for name in [*IGNORE_FILES, *(extra or [])]:
-        place = os.path.realpath(os.path.join(real, name))
-        if os.path.isabs(name) or not place.startswith(real + os.sep):
-            warnings.append(f"ignore file outside the root: {name}")
-        elif os.path.isfile(place):
-            with open(place, encoding="utf-8", errors="replace") as f:
-                lines += [("", x) for x in f.read().split("\n")]
-    own = [("", x) for x in exclude or []]
-    found, seen = [], set()
-
-    def enter(folder: str, relative: str, rules: list[tuple[str, str]]) -> None:
-        place = os.path.realpath(folder)
-        if place != real and not place.startswith(real + os.sep):
-            warnings.append(f"link out of the root: {relative}")
-            return
-        if place in seen:
-            warnings.append(f"folder met before: {relative}")
-            return
-        seen.add(place)
-        nested = os.path.join(folder, ".gitignore")
-        if relative and os.path.isfile(nested):
-            with open(nested, encoding="utf-8", errors="replace") as f:
-                rules = [*rules, *[(relative, x) for x in f.read().split("\n")]]
-            lines.extend((relative, x) for f, x in rules if f == relative)
-        now = Rules(rules + own)
-        try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError as error:
-            warnings.append(f"unreadable folder: {relative}: {error.strerror}")
-            return
-        for e in entries:
-            path = f"{relative}/{e.name}" if relative else e.name
-            if e.name in SKIPPED:
-                continue
-            if e.is_dir():
-                if not now.decides(path, True):
-                    enter(e.path, path, rules)
-            elif e.is_file():
-                if e.is_symlink() and (not os.path.realpath(e.path).startswith(real + os.sep) or now.ignored(path)):
-                    warnings.append(f"link left out: {path}")
-                else:
-                    found.append((path, e.path))
-
-    enter(real, "", lines)
-    if not found:
-        warnings.append("No files found in workspace")
-    return sorted(found), sorted(warnings), Rules(lines + own)
-
-
-#: Paths that are named to the reader one by one; beyond, it lists the folder and the others are joined away.
-NAMED = 20_000
-
-
-def read_folder(spark: SparkSession, root: str, exclude: list[str] | None = None) -> tuple[DataFrame, Rules, list[str]]:
-    """(ord, path, bytes, mtime, text, _ignored) of a local folder's files, in the order in which people sort paths.
-
-    Only bodies up to the limit that no rule ignores are read: their paths are named to the reader, and larger files
-    don't pass its filter.
+    listed, notes = list_folder(spark, root, exclude, ignore_files)
+    told = F.col("_ignored").isNull() & ~files.is_binary(F.col("path")) & (F.col("bytes") > 0)
+    if cache is None:
+        known = listed.withColumns({"cache_hit": F.lit(False), "_tokens": F.lit(None).cast("long"), "_flags": F.lit(None).cast("array<string>")})
+    else:
+        own = cache.select("path", F.col("bytes").alias("_bytes"), F.col("mtime").alias("_mtime"), F.col("estimated_tokens").alias("_tokens"), F.col("risk_flags").alias("_flags"))
+        hit = F.coalesce(told & (F.col("bytes") == F.col("_bytes")) & (F.col("mtime") == F.col("_mtime")), F.lit(False))
+        both = listed.join(own, "path", "left").withColumn("cache_hit", hit).drop("_bytes", "_mtime")
+        known = scratch.table(both.withColumns({c: F.when(F.col("cache_hit"), F.col(c)) for c in ("_tokens", "_flags")}), "known")
+    bodies = read_bodies(spark, known.where(wants_body() & ~F.col("cache_hit")), tokenizer)
+    scan = known.join(bodies, "path", "left").withColumn("_tokens", F.coalesce("_tokens", "tokens"))
+    return scan.select("ord", "path", "bytes", "mtime", "text", "_ignored", "error", "_tokens", "_flags", F.coalesce("failed", F.lit(False)).alias("failed"), "cache_hit"), notes
+
+
+@dataclass
+class Scanned:
+    """A scan's files, the warnings that came to the driver, and all of them as a table."""
+
+    files: DataFrame
+    warnings: list[str]
+    every: DataFrame
+
+    def __iter__(self) -> Iterator:
+        return iter((self.files, self.warnings))
+
+
+def scan_folder(spark: SparkSession, root: str, exclude: list[str] | None = None, cache: str | None = None, tokenizer: Tokenizer | None = None, ignore_files: list[str] | None = None) -> Scanned:
+    """The classified scan of a folder with its texts and times, and warnings.
+
+    With a cache folder, files that it knows aren't read: their tokens and flags are taken from it, their text is null, and it is saved anew.
+    A cache belongs to a tokenizer and its version. Files that can't be read count by their size and are warned of.
     """
-    found, warnings, rules = walk(root, exclude=exclude)
-    rows = [(p, os.path.realpath(full), os.stat(full).st_size, os.stat(full).st_mtime) for p, full in found]
-    listed = spark.createDataFrame(rows, "path string, _full string, bytes long, _time double")
-    listed = listed.withColumn("_ignored", ignore_reason(F.col("path"), F.col("bytes"), rules)).select("path", "_full", "bytes", F.timestamp_seconds("_time").alias("mtime"), "_ignored")
-    order = Window.orderBy(F.collate("path", "UNICODE"), "path")  # the listing of a folder is the driver's anyway
-    listed = listed.withColumn("ord", (F.row_number().over(order) - 1).cast("long"))
-    wanted = [full for p, full, size, _ in rows if size <= SCAN_LIMIT and not rules.ignored(p)]
-    if not wanted:
-        return listed.select("ord", "path", "bytes", "mtime", F.lit(None).cast("string").alias("text"), "_ignored"), rules, warnings
-    reader = spark.read.format("binaryFile")
-    plain = lambda p: "file://" + re.sub(r"([\\*?\[\]{}^])", r"\\\1", p)  # noqa: E731  a path is no pattern
-    raw = reader.load([plain(p) for p in wanted]) if len(wanted) <= NAMED else reader.option("recursiveFileLookup", "true").load(plain(os.path.realpath(root)))
-    bodies = raw.where(F.col("length") <= SCAN_LIMIT).select(F.regexp_replace("path", "^file:/*", "/").alias("_full"), F.decode("content", "UTF-8").alias("text"))
-    scan = listed.join(bodies, "_full", "left")
-    return scan.select("ord", "path", "bytes", "mtime", "text", "_ignored"), rules, warnings
-
-
-def scan_folder(spark: SparkSession, root: str, exclude: list[str] | None = None, cache: str | None = None, tokenizer: str = "heuristic-v1") -> tuple[DataFrame, list[str]]:
-    """The classified scan of a local folder with its texts and times, and warnings. With a cache folder, what it knows is taken from it and it is saved anew."""
-    raw, _, warnings = read_folder(spark, root, exclude)
-    scan = workspace.classify(raw, F.col("_ignored")).drop("bytes").join(raw.select("path", "bytes", "mtime"), "path")
-    if cache:
-        place = os.path.join(os.path.realpath(root), cache)
-        scan = workspace.with_cache(scan, catalog.load_cache(spark, place, tokenizer)).persist()
-        catalog.save_cache(scan, place, tokenizer)
-    return scan, warnings
+    key = tokenizer.key if tokenizer else "heuristic-v1"
+    place = os.path.join(os.path.realpath(root), cache) if cache else None
+    known = catalog.load_cache(spark, place, key) if place else None
+    raw, notes = read_folder(spark, root, [*(exclude or []), *([f"/{cache}"] if cache else [])], ignore_files, known, tokenizer)
+    scan = workspace.classify(raw, F.col("_ignored"), keep=["mtime", "error", "failed", "cache_hit"]).persist()
+    if place:
+        catalog.save_cache(scan, place, key)
+    else:
+        scan = scan.drop("cache_hit")
+    unread = scan.where("error is not null").select(F.concat(F.lit("unreadable file: "), "path", F.lit(": "), "error").alias("note"))
+    uncounted = scan.agg(F.count_if("failed").alias("n")).where("n > 0").select(F.concat(F.lit("tokenizer failed, estimate taken: "), F.col("n").cast("string"), F.lit(" files")).alias("note"))
+    none = scan.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("No files found in workspace").alias("note"))
+    every = notes.unionByName(unread).unionByName(uncounted).unionByName(none)
+    warnings = [r.note for r in every.orderBy("note").take(TOLD + 1)]
+    if len(warnings) > TOLD:
+        warnings = [*warnings[:TOLD], f"and {every.count() - TOLD} more warnings"]
+    return Scanned(scan, warnings, every)
 
 
 def prune(df: DataFrame, folders: list[str]) -> DataFrame:

@@ -39,10 +39,10 @@ def project(tmp_path):
 
 
 def test_read_folder_reads_what_it_lists(spark, project):
-    raw, _, warnings = read_folder(spark, str(project))
+    raw, warnings = read_folder(spark, str(project))
     got = {r.path: r for r in raw.collect()}
     assert "private/x.ts" not in got and got["notes.log"]._ignored == "matches ignore pattern" and got["notes.log"].text is None
-    assert got["src/[id].ts"].text == FILES["src/[id].ts"] and got["README.md"].bytes == len(FILES["README.md"]) and warnings == []
+    assert got["src/[id].ts"].text == FILES["src/[id].ts"] and got["README.md"].bytes == len(FILES["README.md"]) and warnings.isEmpty()
     order = [r.path for r in sorted(got.values(), key=lambda r: r.ord)]
     assert order.index("alpha.md") < order.index("README.md") < order.index("Zeta.md")  # not by code point
     assert read_folder(spark, str(project / "catalogs"), exclude=["*"])[0].where("text is not null").count() == 0
