@@ -32,7 +32,7 @@ from loomline.llm.shingles import mixed, word_hashes
 
 DEPTH, LEAST, SUBSUMED, BEST = 4, 30, 80, 2000
 #: Bytes of text of a shard, and bits of the filter (8 MB).
-SHARD, FILTER = 6 << 20, 1 << 26
+SHARD, FILTER = 3 << 20, 1 << 26
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _KIND = np.zeros(256, np.uint8)
 _KIND[[32, 9]] = 1
@@ -55,10 +55,10 @@ def named(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(key)
     s = key[order]
     new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
-    counts = np.diff(new, append=len(s))
-    name = np.empty(len(key), np.int64)
-    name[order] = np.repeat(np.arange(len(new)), counts)
-    return name, order[new], counts
+    counts = np.diff(new, append=len(s)).astype(np.int32)
+    name = np.empty(len(key), np.int32)
+    name[order] = np.repeat(np.arange(len(new), dtype=np.int32), counts)
+    return name, order[new].astype(np.int32), counts
 
 
 class Automaton:
@@ -68,19 +68,19 @@ class Automaton:
     def __init__(self, words: np.ndarray, inner: np.ndarray, depth: int, seed: int) -> None:
         word, some, count = named(words)
         own = words[some]
-        self.count, self.end, self.up, self.low, self.hash = [count], [some], [np.zeros(len(some), np.int64)], [np.ones(len(some), np.int64)], [mixed(own + np.uint64(seed))]
+        self.count, self.end, self.up, self.low, self.hash = [count], [some], [np.zeros(len(some), np.int32)], [np.ones(len(some), np.int32)], [mixed(own + np.uint64(seed))]
         at = word
         for d in range(2, depth + 1):
             ends = np.flatnonzero(inner >= d - 1)
             left = word[ends - d + 1]
-            name, some, count = named(at[ends] * len(own) + left)
+            name, some, count = named(at[ends].astype(np.int64) * len(own) + left)
             up, left = at[ends[some]], left[some]
-            at = np.full(len(words), -1)
+            at = np.full(len(words), -1, np.int32)
             at[ends] = name
-            self.low.append(np.where(count == self.count[-1][up], self.low[-1][up], d))
+            self.low.append(np.where(count == self.count[-1][up], self.low[-1][up], np.int32(d)))
             self.hash.append(mixed(self.hash[-1][up] * _C1 + own[left] * _C2))
             self.count.append(count)
-            self.end.append(ends[some])
+            self.end.append(ends[some].astype(np.int32))
             self.up.append(up)
 
     def states(self) -> Iterator[tuple[int, np.ndarray]]:
@@ -164,7 +164,7 @@ def frequent(docs: DataFrame, depth: int, least: int, buckets: int, bits: int) -
         order = np.argsort(hashes)
         hashes = hashes[order]
         new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-        often = hashes[new][np.add.reduceat(counts[order].astype(np.int64), new) >= least]
+        often = hashes[new][np.add.reduceat(counts[order], new, dtype=np.int64) >= least]
         flags = np.zeros(width, bool)
         flags[(often.astype(np.uint64) * np.uint64(width) >> np.uint64(32)).astype(np.int64)] = True
         return pa.table({"bucket": table.column("bucket")[:1], "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
