@@ -82,3 +82,175 @@ def test_manifest_of_little(spark):
     one = spark.createDataFrame([(None, None, None, None, None, None, None, None)], DOCS)
     (row,) = manifest(one, 2)
     assert row == (None, h("-----"), h("-----"), h("-----"), h(""), h("-----"), True)
+
+
+def plain_collocations(rows, least, best, subsumed=80, depth=4):
+    import re
+    from collections import Counter
+
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in range(1, depth + 1):
+                for i in range(len(words) - k + 1):
+                    f[lang, tuple(words[i : i + k])] += 1
+    cands = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    out = {}
+    for (lang, w), a in cands.items():
+        inside = lambda v: any(v[i : i + len(w)] == w for i in range(len(v) - len(w) + 1))  # noqa: B023, E731
+        if any(x == lang and len(v) > len(w) and 100 * b >= subsumed * a and inside(v) for (x, v), b in cands.items()):
+            continue
+        cuts = [(2_000_000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        out.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, own in out.items() for i, (s, a, p, left, right) in enumerate(sorted(own)[:best]))
+
+
+def collocation_rows(seed, count):
+    rng = random.Random(seed)
+    words = ["a", "B", "the", "é", "漢", "x-y", "of it"]
+    joints = [" ", " ", " ", "  ", "\t", ". ", ",", "\n", "!?", "\x0b"]
+    rows = [("".join(rng.choice(words) + rng.choice(joints) for _ in range(rng.randint(0, 60))), rng.choice([None, "en", "en", "de", ""])) for _ in range(count)]
+    return rows + [(None, "en"), ("", "fr"), (" .,", "fr"), ("solo", "es")] + [("The same Thing again", "en")] * 40 + [("run run run run run run", "de")] * 9
+
+
+@pytest.mark.parametrize(("seed", "bits"), [(1, 64), (2, 1 << 20)])
+def test_collocations(spark, monkeypatch, seed, bits):
+    from loomline.llm import collocations
+
+    monkeypatch.setattr(collocations, "FILTER", bits)
+    rows = collocation_rows(seed, 150)
+    df = spark.createDataFrame([(t, lang, "clash", 1) for t, lang in rows], "text string, lang string, phrase string, f int").repartition(3)
+    got = collocations.collocations(df, least=5, best=12)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == plain_collocations(rows, 5, 12)
+
+
+def test_collocations_of_little(spark):
+    from loomline.llm import collocations
+
+    assert collocations.collocations(spark.createDataFrame([], "text string, lang string")).count() == 0
+    assert collocations.collocations(spark.createDataFrame([(None, None), (" . ", "en")], "text string, lang string"), least=1).count() == 0
+
+
+def test_automaton():
+    """States, links and counts against the definition by places where substrings end."""
+    import numpy as np
+
+    from loomline.llm.collocations import Automaton
+
+    rng = random.Random(1)
+    for _ in range(40):
+        pieces = [[rng.randint(1, 3) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 6))]
+        words = [w for p in pieces for w in p]
+        inner = [i for p in pieces for i in range(len(p))]
+        own = Automaton(np.array(words, np.uint64), np.array(inner), 4, 7)
+        ends = {}
+        for i in range(len(words)):
+            for d in range(1, min(4, inner[i] + 1) + 1):
+                ends.setdefault(tuple(words[i - d + 1 : i + 1]), []).append(i)
+        met = {}
+        for d, numbers, counts in own.substrings():
+            for number, count in zip(numbers.tolist(), counts.tolist()):
+                stop = int(own.end[d - 1][number])
+                sub = tuple(words[stop - d + 1 : stop + 1])
+                assert sub not in met and len(ends[sub]) == count
+                met[sub] = count
+        assert set(met) == set(ends)
+        longest = {tuple(words[own.end[d - 1][k] - d + 1 : own.end[d - 1][k] + 1]) for d, numbers in own.states() for k in numbers.tolist()}
+        assert longest == {s for s in ends if not any(len(t) == len(s) + 1 and t[1:] == s and ends[t] == ends[s] for t in ends)}
+
+
+def plain_suffixes(string, most):
+    order = sorted(range(len(string)), key=lambda i: string[i:].tolist())
+    shared = [0]
+    for a, b in zip(order, order[1:]):
+        n = 0
+        while n < most and max(a, b) + n < len(string) and string[a + n] == string[b + n]:
+            n += 1
+        shared.append(n)
+    return order, shared
+
+
+def test_suffixes(monkeypatch, tmp_path):
+    """All levels of recursion, pages and files, however small, against sorting."""
+    import numpy as np
+
+    from loomline.llm import suffixes
+
+    rng, written = random.Random(1), 0
+    for trial in range(150):
+        for name, values in (("BASE", [1, 4, 1 << 21]), ("PAGE", [1, 3, 20, 1 << 16]), ("STEP", [1, 7, 1 << 20]), ("FEW", [0, 512])):
+            monkeypatch.setattr(suffixes, name, rng.choice(values))
+        symbols, n = rng.choice([2, 3, 5, 30, 200]), rng.randint(0, 110)
+        block = [rng.randint(1, symbols) for _ in range(rng.randint(1, 15))]
+        body = [x for _ in range(n) for x in (block if trial % 3 and rng.random() < 0.7 else [rng.randint(1, symbols)])][:n]
+        string, most = np.array([*body, 0], np.uint16), rng.choice([3, 50])
+        disk = suffixes.Disk(f"file://{tmp_path}/t", rng.choice([0, 500, 1 << 30]))
+        got = list(suffixes.suffixes(string, symbols + 1, disk, most))
+        assert (np.concatenate([g[0] for g in got]).tolist(), np.concatenate([g[1] for g in got]).tolist()) == plain_suffixes(string, most)
+        assert not disk.spools and disk.held == 0 and not list((tmp_path / "t").glob("*"))
+        written += disk.written
+    assert written > 0
+
+
+def plain_repeats(rows, length):
+    first, out, last = {}, [], 1 << 63
+    for key, text in rows:
+        body, order = (text or "").encode(), last if key is None else key
+        for i in range(len(body) - length + 1):
+            first[body[i : i + length]] = min(first.get(body[i : i + length], last), order)
+    for key, text in rows:
+        body, order = (text or "").encode(), last if key is None else key
+        gone = [False] * len(body)
+        for i in range(len(body) - length + 1):
+            if first[body[i : i + length]] < order:
+                gone[i : i + length] = [True] * length
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        out.append((key, len(body), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(body, gone) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def told():
+    return {"n_removed": F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"]), "n_spans": F.size("spans").cast("long"), "kept_sha256": F.sha2("kept", 256)}
+
+
+@pytest.mark.parametrize("lot", [600, 1 << 20])
+def test_repeats(spark, lot):
+    from loomline.llm import repeats
+
+    rng = random.Random(lot)
+    words = ["alpha", "beta", "gamma ", "é", "漢字", "x", "  ", "\x00", "delta", "😀"]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    passages = [some(n) for n in (12, 20, 60)] + ["a" * 49, "a" * 50, "a" * 400, "ab" * 60]
+    texts = ["".join(rng.choice(passages) if rng.random() < 0.4 else some(rng.randint(0, 12)) for _ in range(rng.randint(0, 6))) for _ in range(60)]
+    rows = [(i * 3 - 40, t) for i, t in enumerate(texts)] + [(None, texts[5]), (None, texts[6] + passages[2]), (None, None), (7, None), (8, ""), (9, "z" * 50), (9, "z" * 50), (9, "z" * 70), (11, "z" * 50)]
+    rows += [(1000 + i, passages[2]) for i in range(12)] + [(2000 + i, "y" * 49) for i in range(3)] + [(-(2**62), some(30)), (2**62, texts[7])]
+    df = spark.createDataFrame([(k, t, "q", 1) for k, t in rows], "doc_id long, text string, kept string, spans int")
+    got = repeats.repeats(df, columns=told(), lot=lot, memory=2000)
+    assert got.columns == ["doc_id", "n_bytes", *told()]
+    assert sorted(map(tuple, got.collect()), key=str) == plain_repeats(rows, 50)
+
+
+def test_repeats_as_texts(spark):
+    from loomline.llm import repeats
+
+    own = "The same passage of over fifty bytes stands in both of these."
+    df = spark.createDataFrame([(2, "new " + own + " end"), (1, own), (3, None)], "doc_id int, text string")
+    got = {r.doc_id: r for r in repeats.repeats(df).collect()}
+    assert bytes(got[2].kept) == b"new  end" and [tuple(s) for s in got[2].spans] == [(4, 4 + len(own))] and got[1].spans == [] and got[3].n_bytes == 0
+    assert repeats.repeats(df.limit(0)).count() == 0 and dict(repeats.repeats(df).dtypes)["doc_id"] == "int"
+
+
+def test_op13_whole_table(spark):
+    import pyarrow.parquet as pq
+
+    from loomline.llm import queries
+
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+    got = queries.op13_repeats(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str) == plain_repeats(rows, 50)
