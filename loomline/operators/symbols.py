@@ -1,12 +1,11 @@
 """Symbols, imports and routes of source files, by patterns over their lines.
 
-Symbols of Python, JavaScript and of Java, Kotlin, Go and Rust files follow line patterns exactly. TypeScript declarations
-and the methods of classes are found by a walk over brackets, with comments and strings blanked, not by a compiler.
+Symbols of Python, JavaScript and of Java, Kotlin, Go and Rust files follow line patterns exactly. Declarations of TypeScript and
+the imports of scripts come from a file's tokens (functions/script.py), so what stands in strings, comments, templates or markup is none.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import paths
+from loomline.functions.script import Script
 
 #: Patterns of declarations.
 PY = [(r"^async\s+def\s+(\w+)", "function", 6, True), (r"^def\s+(\w+)", "function", 5, False), (r"^class\s+(\w+)", "class", 7, False)]
@@ -25,10 +25,6 @@ JAVA = [
     r"^(?:public\s+|private\s+|protected\s+|internal\s+|static\s+|suspend\s+|final\s+)*[\w<>,?\[\].]+\s+(\w+)\s*\(",
 ]
 CONTROL = r"^(?:return|throw|new|if|else|for|while|switch|when|catch)\b"
-SCRIPT_IMPORTS = [
-    ("import", r"""(?m)^\s*import\s+(?:[\w*{}\s,$]+?\s+from\s+)?['"]([^'"\n]+)['"]"""), ("export-from", r"""(?m)^\s*export\s+[\w*{}\s,$]+?\s+from\s+['"]([^'"\n]+)['"]"""),
-    ("dynamic-import", r"""\bimport\s*\(\s*['"]([^'"\n]+)['"]\s*\)"""), ("require", r"""\brequire\s*\(\s*['"]([^'"\n]+)['"]\s*\)"""),
-]
 CALL_ROUTES = [
     ("express", [".ts", ".tsx", ".js", ".jsx"], r"""(?:app|router)\.(get|post|put|delete|patch|use)\s*\(\s*['"`]([^'"`]+)['"`]""", 2, 1),
     ("fastapi", [".py"], r"""@(?:app|router)\.(get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"]""", 2, None),
@@ -86,84 +82,35 @@ def c_like_symbols(df: DataFrame) -> DataFrame:
     return found.select("path", "name", kind.alias("kind"), "line_start", exported.alias("exported"), F.lit(5).alias("priority"))
 
 
-def blanked(text: Column) -> Column:
-    """Source text without comments; strings stay, as imports are in them."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"(?m)(^|[^:\\])//.*$", "$1")
+def parsed_scripts(df: DataFrame, extensions: list[str]) -> DataFrame:
+    """(path, symbols, imports, error) of script files: what their tokens tell, or why a file couldn't be read as a script."""
+    told = "struct<symbols:array<struct<name:string,kind:string,line_start:int,exported:boolean,is_async:boolean,priority:int>>,imports:array<struct<source:string,kind:string>>,error:string>"
 
+    @F.pandas_udf(told)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, ends in batches:
+            yield pd.DataFrame([parse(t or "", e) for t, e in zip(texts, ends)], columns=["symbols", "imports", "error"])
 
-_BLANK = re.compile(r"/\*.*?\*/|//[^\n]*|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S)
-_DECLARES = re.compile(r"(?P<out>export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?P<later>async\s+)?(?P<word>function\s*\*?|class|interface|type|const\s+enum|enum|const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)")
-_METHOD = re.compile(r"(?P<words>(?:(?:public|private|protected|static|async|override|abstract|get|set)\s+)*)\*?\s*(?P<name>#?[A-Za-z_$][\w$]*|\[[^\]]*\])\s*\??\s*(?:<[^>(]*>)?\s*\(")
-_NEXT = re.compile(r"\s*([A-Za-z_$][\w$]*)")
-
+    ext = paths.extension(F.col("path"))
+    return df.where(ext.isin(extensions)).select("path", run("text", ext).alias("_s")).select("path", "_s.*")
 
-def typescript_declarations(text: str, tsx: bool) -> list[tuple]:
-    """(name, kind, line, exported, async, priority) of a file's top-level declarations and of the methods of its classes.
 
-    One pass over brackets tells at what depth a statement or a member starts.
-    """
-    code = _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    found, stack, fresh, inside, listing, line, counted = [], [], True, None, None, 1, 0
-
-    def add(at: int, name: str, kind: str, out: bool, later: bool) -> None:
-        nonlocal line, counted
-        line += code.count("\n", counted, at)
-        counted = at
-        found.append((name, kind, line, out, later, 7 if out else 5 if kind in ("class", "interface") else 3))
-
-    at = 0
-    while at < len(code):
-        c = code[at]
-        if c in "{([":
-            stack.append(c)
-            fresh = c == "{" and len(stack) == 1 and inside is not None
-        elif c in "})]":
-            if stack:
-                stack.pop()
-            if not stack and c == "}":
-                inside = None
-            fresh = c == "}" and len(stack) <= (inside is not None)
-        elif c == ";":
-            fresh, listing = len(stack) <= (inside is not None), None if not stack else listing
-        elif c == "," and listing and not stack and (m := _NEXT.match(code, at + 1)):
-            add(m.start(1), m[1], "component" if tsx and m[1][0].isupper() else "variable", listing == "out", False)
-        elif c == "\n":
-            fresh = fresh or len(stack) <= (inside is not None)
-        elif not c.isspace():
-            if fresh and not stack and (m := _DECLARES.match(code, at)):
-                word, out = m["word"].split()[0].rstrip("*"), bool(m["out"])
-                word = "enum" if m["word"].endswith("enum") else word
-                variable = word in ("const", "let", "var")
-                kind = "component" if tsx and m["name"][0].isupper() and (variable or word == "function") else "variable" if variable else word
-                add(m.start("name") if variable else at, m["name"], kind, out, bool(m["later"]))
-                inside, listing = (m["name"], out) if word == "class" else None, ("out" if out else "in") if variable else None
-                at = m.end()
-                fresh = False
-                continue
-            if fresh and inside and stack == ["{"] and (m := _METHOD.match(code, at)) and m["name"] != "constructor" and not {"get", "set"} & set(m["words"].split()):
-                add(at, f"{inside[0]}.{m['name']}", "method", inside[1], "async" in m["words"].split())
-                at = m.end() - 1
-                fresh = False
-                continue
-            fresh = False
-            if c.isalnum():  # to the end of the word
-                at = _NEXT.match(code, at).end() if not c.isdigit() and _NEXT.match(code, at) else at + 1
-                continue
-        at += 1
-    return found
+def parse(text: str, extension: str) -> tuple[list[tuple] | None, list[tuple] | None, str | None]:
+    try:
+        own = Script(text, extension in (".tsx", ".jsx", ".js"))
+        return own.declarations(extension == ".tsx"), own.imports(), None
+    except Exception as wrong:  # noqa: BLE001 - one odd file mustn't end the job; it is reported
+        return None, None, f"{type(wrong).__name__}: {wrong}"
 
 
 def typescript_symbols(df: DataFrame) -> DataFrame:
     """Top-level declarations of TypeScript files and the methods of their classes."""
+    return parsed_scripts(df, TYPESCRIPT).select("path", F.explode("symbols").alias("s")).select("path", "s.*")
 
-    @F.pandas_udf("array<struct<name:string,kind:string,line_start:int,exported:boolean,is_async:boolean,priority:int>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, tsx in batches:
-            yield pd.Series([typescript_declarations(t or "", x) for t, x in zip(texts, tsx)])
 
-    ext = paths.extension(F.col("path"))
-    own = df.where(ext.isin(TYPESCRIPT)).select("path", F.explode(run("text", ext == ".tsx")).alias("s"))
-    return own.select("path", "s.*")
+def failures(df: DataFrame) -> DataFrame:
+    """(path, error) of script files that couldn't be read as scripts: they have neither symbols nor imports."""
+    return parsed_scripts(df, [*TYPESCRIPT, *JAVASCRIPT]).where("error is not null").select("path", "error")
 
 
 def eligible(scan: DataFrame, important: DataFrame, most: int = PARSE_LIMIT) -> DataFrame:
@@ -195,13 +142,7 @@ def python_imports(df: DataFrame) -> DataFrame:
 
 def script_imports(df: DataFrame) -> DataFrame:
     """(path, source, kind) of JavaScript and TypeScript files: imports, re-exports, dynamic imports and require calls."""
-    own = df.where(paths.extension(F.col("path")).isin([*TYPESCRIPT, *JAVASCRIPT])).select("path", blanked(F.col("text")).alias("text"))
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda_struct(kind)) for kind, p in SCRIPT_IMPORTS]
-    return own.select("path", F.explode(F.concat(*found)).alias("i")).select("path", "i.source", "i.kind")
-
-
-def lambda_struct(kind: str):  # noqa: ANN201
-    return lambda s: F.struct(s.alias("source"), F.lit(kind).alias("kind"))
+    return parsed_scripts(df, [*TYPESCRIPT, *JAVASCRIPT]).select("path", F.explode("imports").alias("i")).select("path", "i.source", "i.kind")
 
 
 def joined(folder: Column, relative: Column) -> Column:

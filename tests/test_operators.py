@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import display, files, numbers, paths, tokens
+from loomline.functions.script import Script
 from loomline.operators import compaction, drift, git, models, symbols, workspace
 from loomline.sources import catalog
 from loomline.sources import files as folders
@@ -213,7 +214,7 @@ def test_escapes(spark):
 
 def test_typescript_methods():
     src = "export class S {\n  private x = 1;\n  constructor(a) {}\n  async get(id) { if (a) { b(c); } }\n  get size() { return 1; }\n  handler = () => {};\n}\nconst a = 1, b = { c: 2, d: [1, 2] };\n/* class N {} */ let s = 'class M {}';\n"
-    assert [(x[0], x[1], x[2]) for x in symbols.typescript_declarations(src, False)] == [("S", "class", 1), ("S.get", "method", 4), ("a", "variable", 8), ("b", "variable", 8), ("s", "variable", 9)]
+    assert [(x[0], x[1], x[2]) for x in Script(src, False).declarations(False)] == [("S", "class", 1), ("S.get", "method", 4), ("a", "variable", 8), ("b", "variable", 8), ("s", "variable", 9)]
 
 
 def test_cache_round_trip(spark, tmp_path):
