@@ -4,9 +4,10 @@ A byte goes if a string of LENGTH bytes covers it that also starts in a document
 
 1. Equal texts are told by their digest: all but the smallest id's go whole and take no further part.
 2. Texts are dealt to lots by their digest, as a table bucketed by lot, which later steps join without moving it.
-3. Each string of LENGTH bytes has an anchor, the leftmost place of the least hash of GRAM bytes within it. Lots send the
-   prints of their anchors, packed by bucket, and hear which of them another lot has. What starts at others can't be repeated.
-4. The strings that share an anchor are a window of their text. Lots send each distinct window once, with the smallest and the
+3. Each string of LENGTH bytes has an anchor, the leftmost place of the least hash of GRAM bytes within it, and holds the 2 * GRAM
+   bytes from there, or those up to its end. Lots send the prints of these, packed by bucket, and hear which of them another lot
+   has. A string whose print is in no other text can't be repeated.
+4. The strings that share an anchor, and may be repeated, are a window of their text. Lots send each distinct window once, with the smallest and the
    largest id that has it, to the shard of its anchor: so all places of a string are in one shard, whatever text they are in.
 5. A shard's windows are one string, whose suffixes are sorted by external induced sorting (suffixes.py): suffixes that share
    LENGTH bytes are a group, which has a smallest id. Lots hear it for each window, mark what goes and hash what stays.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from contextlib import suppress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,25 +43,46 @@ LOT, LARGE_LOT, FEW_LOTS, BUCKETS = 8 << 20, 128 << 20, 4096, 65_536
 MEMORY = 192 << 20
 BLOCK = 1 << 19
 _GEAR = np.random.default_rng(13).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_C = 0x9E3779B97F4A7C15
+_C, _LEFT = 0x9E3779B97F4A7C15, np.uint64(0xA5A5A5A55A5A5A5A)
 _LAST = (1 << 63) - 1
 SPANS = "array<struct<first:long,end:long>>"
 
 
-def gram_hashes(data: np.ndarray, width: int = GRAM) -> np.ndarray:
-    """Hashes of width bytes from each place; width is a power of 2. The last places' are of fewer."""
+def gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of GRAM bytes, a power of 2, and of twice as many from each place. The last places' are of fewer."""
     h, span = _GEAR[data], 1
-    while span < width:
+    while span < GRAM:
         h[:-span] = h[:-span] * np.uint64(pow(_C, span, 1 << 64)) + h[span:]
         span *= 2
-    return h
+    twice = h.copy()
+    twice[:-span] = h[:-span] * np.uint64(pow(_C, span, 1 << 64)) + h[span:]
+    return h, twice
 
 
-def windows(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, print) of the runs of strings of length bytes that share an anchor; none passes a text's end."""
+class Windows(NamedTuple):
+    """Runs of strings that share an anchor: text, first and last start, place of the first start of the right part, and prints of the anchor, the right and the left part."""
+
+    text: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    middle: np.ndarray
+    anchor: np.ndarray
+    right: np.ndarray
+    left: np.ndarray
+
+    def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(prints by bucket, texts, runs) of the right parts that are there, then of the left ones."""
+        at = np.flatnonzero(self.last >= self.middle), np.flatnonzero(self.first < self.middle)
+        run = np.concatenate(at)
+        return placed(np.concatenate((self.right[at[0]], self.left[at[1]])), buckets), self.text[run], run
+
+
+def windows(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """What Windows has but for the text; none passes a text's end."""
+    empty = (*[np.empty(0, np.int64)] * 3, *[np.empty(0, np.uint64)] * 3)
     if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = gram_hashes(data)
+        return empty
+    h, twice = gram_hashes(data)
     least = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(data), dtype=np.uint64)
     wide, span = length - GRAM + 1, 1
     while span * 2 <= wide:
@@ -72,10 +95,13 @@ def windows(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
         whole[max(begin, end - length + 1) : end] = False
     at = np.flatnonzero(whole)
     if not len(at):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return empty
     anchor = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(anchor) != 0))))
-    return at[new], at[np.append(new[1:], len(at)) - 1], mixed(h[anchor[new]])
+    anchor = anchor[new]
+    # strings from here on hold the bytes right of the anchor, those before hold the bytes left of it
+    middle = anchor - (length - 2 * GRAM - 1)
+    return at[new], at[np.append(new[1:], len(at)) - 1], middle, mixed(h[anchor]), mixed(twice[anchor]), mixed(twice[np.maximum(anchor - GRAM, 0)] ^ _LEFT)
 
 
 class Lot:
@@ -90,16 +116,15 @@ class Lot:
         self.data = np.frombuffer(self.bytes, np.uint8)
         self.begins = np.concatenate(([0], self.ends[:-1]))
 
-    def windows(self, length: int) -> tuple[np.ndarray, ...]:
-        """(text, first start, last start, print), a few texts at a time."""
-        parts, low = [], 0
+    def windows(self, length: int) -> Windows:
+        parts, low = [], 0  # a few texts at a time
         while low < len(self.ends):
             start = self.begins[low]
             high = max(low + 1, int(np.searchsorted(self.ends, start + BLOCK)))
-            first, last, prints = windows(self.data[start : self.ends[high - 1]], self.ends[low:high] - start, length)
-            parts.append((np.searchsorted(self.ends, first + start, "right"), first + start, last + start, prints))
+            first, last, middle, *prints = windows(self.data[start : self.ends[high - 1]], self.ends[low:high] - start, length)
+            parts.append((np.searchsorted(self.ends, first + start, "right"), first + start, last + start, middle + start, *prints))
             low = high
-        return tuple(np.concatenate(c) for c in zip(*parts))
+        return Windows(*(np.concatenate(c) for c in zip(*parts)))
 
 
 def placed(prints: np.ndarray, buckets: int) -> np.ndarray:
@@ -137,7 +162,7 @@ def prints_of(texts: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         lot = table.column("lot")[0].as_py()
-        found = np.unique(placed(Lot(table).windows(length)[3], buckets))
+        found = np.unique(Lot(table).windows(length).keys(buckets)[0])
         ends = np.searchsorted(found >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
         own = found.astype(np.uint32)
         give_back()
@@ -170,18 +195,24 @@ def sent(texts: DataFrame, heard: DataFrame, length: int, buckets: int, shards:
         if not table.num_rows:
             return packed([], FIELDS)
         lot = Lot(table)
-        text, first, last, prints = lot.windows(length)
-        key = placed(prints, buckets)
+        found = lot.windows(length)
+        key, text, of_run = found.keys(buckets)
         known = [np.uint64(b) << np.uint64(32) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(notes.column("shard").to_pylist(), notes.column("a").to_pylist())]
         elsewhere = np.sort(np.concatenate(known)) if known else np.empty(0, np.uint64)
         order = np.argsort(key, kind="stable")
         k, t = key[order], text[order]
-        here = np.zeros(len(key), bool)  # in another text of the lot too
+        shared_ = np.zeros(len(key), bool)  # with another text of the lot
         if len(k):
             begins = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            here[order] = np.repeat(np.minimum.reduceat(t, begins) != np.maximum.reduceat(t, begins), np.diff(begins, append=len(k)))
-        there = elsewhere[np.minimum(np.searchsorted(elsewhere, key), len(elsewhere) - 1)] == key if len(elsewhere) else here
-        hit = np.flatnonzero(here | there)
+            shared_[order] = np.repeat(np.minimum.reduceat(t, begins) != np.maximum.reduceat(t, begins), np.diff(begins, append=len(k)))
+        if len(elsewhere):
+            shared_ |= elsewhere[np.minimum(np.searchsorted(elsewhere, key), len(elsewhere) - 1)] == key
+        parts = np.zeros((2, len(found.first)), bool)  # which of right and left may be repeated
+        rights = np.arange(len(key)) < np.count_nonzero(found.last >= found.middle)
+        parts[0, of_run[shared_ & rights]] = parts[1, of_run[shared_ & ~rights]] = True
+        first = np.where(parts[1], found.first, np.maximum(found.first, found.middle))
+        last = np.where(parts[0], found.last, np.minimum(found.last, found.middle - 1))
+        text, prints, hit = found.text, found.anchor, np.flatnonzero(parts.any(0))
         shard = ((prints[hit] >> np.uint64(7)) % np.uint64(shards)).astype(np.int64)
         hit = hit[np.argsort(shard, kind="stable")]
         shard = np.sort(shard)
@@ -317,6 +348,8 @@ def rest_of(texts: DataFrame, notes: DataFrame, length: int, columns: dict[str,
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, columns: dict[str, Column] | None = None, lot: int | None = None, memory: int = MEMORY) -> DataFrame:
     """Per row: key, n_bytes and columns, which are made of spans (what goes: first byte and end of each run, from 0) and kept (the bytes that stay)."""
+    if length <= 3 * GRAM:
+        raise ValueError(f"strings of more than {3 * GRAM} bytes are told by their prints")
     spark, kind = df.sparkSession, df.schema[key].dataType
     columns = columns or {"spans": F.col("spans"), "kept": F.col("kept")}
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
