@@ -159,7 +159,7 @@ class Seeds:
                 if part is None:
                     return
                 self.held = (self.symbols(part[0]), *part)
-            n = int(np.searchsorted(self.held[0], bound))
+            n = int(np.searchsorted(self.held[0], np.asarray(bound, self.held[0].dtype)))  # of its own kind, else all are converted
             if n:
                 yield tuple(c[:n] for c in self.held)
             if n < len(self.held[0]):
@@ -272,7 +272,7 @@ class Pass:
             first = min(c[0][0] for c in (held, own) if len(c[0]))
             ends = [c[0][wide] for c in (held, own) if len(c[0]) > wide]
             bound = max(first + 1, min([*ends, high]))
-            cuts, lead = (np.searchsorted(held[0], bound), np.searchsorted(own[0], bound)), None
+            cuts, lead = tuple(np.searchsorted(c[0], np.asarray(bound, c[0].dtype)) for c in (held, own)), None
             if bound > first + 1 and not self.most:
                 symbols = np.concatenate((held[0][: cuts[0]], own[0][: cuts[1]]))
                 order = stable(symbols, self.count)
