@@ -11,8 +11,10 @@ distinct ones of a format distinct surrogates, without any table that grows with
 value, as 0.0.0.0 has, keeps it. surrogates() checks both over all distinct entities before it returns, by verify();
 collisions() and splits() list what fails.
 
-People are found by a first name of the lists before a surname, by a title before one, and by a surname alone where the
-same text has it with a first name or title. The lists are a parameter. No entity has a greatest length.
+People are found by a first name of the lists before a surname (also both in capitals), by two capitalised words after a title or
+words that lead to a name, and by a surname alone where the same text has it otherwise. Surnames may have any Latin, Greek
+or Cyrillic letter. The lists are a parameter. Values are secrets behind a key word, also as part of a longer name. What looks like an
+account number and fails its check is looked at for other types, of card numbers those whose check digit holds. No entity has a greatest length.
 
 A null text is empty and stays null in the result; texts without entities stay as they are. Rows don't meet, so repeated
 rows get the same; an empty table gives an empty one; columns of the input that have the name of a new one give way.
@@ -34,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import in_lots
+from loomline.llm.common import cut, in_lots
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
 #: First names by gender and script; surrogates come from the same list.
 NAMES = {
-    "female": "Aisha Alice Amelia Anna Beatrice Camille Carla Carmen Charlotte Chloe Clara Diana Elena Elise Elizabeth Emily Emma Eva Fatima Fiona Grace Greta Hannah Helen Ingrid Irene Isabel Jane Jennifer Jessica Julia Karen Laura Leila Linda Lucia Maria Marie Marta Mary Nina Olivia Patricia Paula Rosa Sarah Sofia Sophie Susan Teresa Ursula Vera".split(),
-    "male": "Adam Ahmed Albert Alexander Ali Andrew Anton Antonio Bruno Carlos Charles Christian Daniel David Edward Eric Felix Francisco Frank Fritz George Hans Henry Hugo Ibrahim Ivan Jack James Jean John Jorge José Juan Karl Klaus Louis Lucas Mark Martin Matthew Michael Miguel Muhammad Oliver Omar Oscar Paul Pedro Peter Pierre Richard Robert Simon Stefan Thomas Victor William".split(),
+    "female": "Aisha Alice Amelia Anna Beatrice Camille Carla Carmen Charlotte Chloe Clara Diana Agnieszka Ana Claire Elena Elise Elizabeth Emily Emma Eva Ewa Fatima Fiona Grace Greta Hannah Helen Ingrid Irene Isabel Jane Jennifer Jessica Julia Karen Katarzyna Katherine Laura Leila Linda Lucia Mei Michelle Nadia Priya Yuki Zofia Maria Marie Marta Mary Nina Olivia Patricia Paula Rosa Sarah Sofia Sophie Susan Teresa Ursula Vera".split(),
+    "male": "Ben Christopher Fernando Giovanni Hiroshi Jan Joseph Kenji Krzysztof Luigi Łukasz Ming Piotr Raj Sergio Stephen Tom Wei Adam Ahmed Albert Alexander Ali Andrew Anton Antonio Bruno Carlos Charles Christian Daniel David Edward Eric Felix Francisco Frank Fritz George Hans Henry Hugo Ibrahim Ivan Jack James Jean John Jorge José Juan Karl Klaus Louis Lucas Mark Martin Matthew Michael Miguel Muhammad Oliver Omar Oscar Paul Pedro Peter Pierre Richard Robert Simon Stefan Thomas Victor William".split(),
     "female Cyrillic": "Анна Вера Галина Дарья Елена Ирина Мария Наталья Ольга Светлана".split(),
     "male Cyrillic": "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Павел Сергей".split(),
 }
@@ -49,32 +51,52 @@ NAMES = {
 TITLES = "Mr Mrs Ms Dr Prof Professor Herr Frau Monsieur Madame Señor Señora".split()
 #: Prefixes that secrets keep.
 TOKENS = r"AKIA(?=[A-Z0-9]{16}(?![A-Za-z0-9]))|gh[pousr]_(?=[A-Za-z0-9]{36})|glpat-(?=[A-Za-z0-9_-]{20})|xox[abprs]-(?=[A-Za-z0-9-]{10})|AIza(?=[A-Za-z0-9_-]{35})|sk-(?=[A-Za-z0-9_-]{20})"
+#: How a signed token begins, and words before the value of a secret, alone or as parts of a longer name.
+JWT = r"eyJ(?=[A-Za-z0-9_-]+\.)"
+ASSIGNED = r"(?i:(?:password|passwd|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key)(?:[_-][A-Za-z0-9]{1,20}){0,4})"
 #: Country calling codes of one and two digits; all others have three.
 CALLING = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
-_SURNAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ](?:[a-zß-öø-ÿа-яё]+|['’](?=[A-ZÀ-ÖØ-ÞА-ЯЁ]))(?:[-'’]?[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)*"
+#: Words before a name of two capitalised words, whatever they are.
+CUES = r"(?i:\b(?:dear|my name is|signed|sincerely|regards)\b,?|\b(?:name|author|contact|attn)[ \t]*[:=])[ \t]{1,3}"
+#: Letters that names are made of: those of Latin, Greek and Cyrillic writing with one capital each, and small ones without.
+_SCRIPTS = {"Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x17F)], "Greek": [(0x386, 0x3CE)], "Cyrillic": [(0x400, 0x45F)]}
+_LETTERS = {k: [c for a, b in some for c in map(chr, range(a, b + 1)) if c.isalpha()] for k, some in _SCRIPTS.items()}
+_CAPS = "".join(c for some in _LETTERS.values() for c in some if c.isupper() and len(c.lower()) == 1 and c.lower().upper() == c)
+_SMALL = "".join(c for some in _LETTERS.values() for c in some if c.islower())
+_SURNAME = rf"[{_CAPS}](?:[{_SMALL}]+|['’](?=[{_CAPS}]))(?:[-'’]?[{_CAPS}][{_SMALL}]+)*"
+_SHOUTED = rf"[{_CAPS}]{{2,}}(?:[-'’][{_CAPS}]{{2,}})*"
+#: Characters that stand between the digits of a number.
+_GAP = " .\u00a0-"
 
 
 def patterns(names: dict[str, list[str]]) -> dict[str, str]:
-    first = "|".join(sorted((re.escape(n) for some in names.values() for n in some), key=len, reverse=True)) or r"(?!)"
+    listed = sorted((n for some in names.values() for n in some), key=len, reverse=True)
+    first, loud = ("|".join(re.escape(f(n)) for n in listed) or r"(?!)" for f in (str, str.upper))
     return {
         "email": r"(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])",
-        "secret": rf"(?<![A-Za-z0-9])(?:{TOKENS})[A-Za-z0-9_-]*[A-Za-z0-9]",
-        "assigned": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?token)\b(?:\\?[\"'])?\s{0,4}[=:]\s{0,4}(?:\\?[\"'])?)(?P<value>[A-Za-z0-9+/_-]{8,}(?:\.[A-Za-z0-9+/_-]+)*)",
+        "secret": rf"(?<![A-Za-z0-9])(?:(?:{TOKENS})[A-Za-z0-9_-]*[A-Za-z0-9]|{JWT}[A-Za-z0-9_-]{{5,}}\.[A-Za-z0-9_-]{{5,}}(?:\.[A-Za-z0-9_-]+)?)",
+        "assigned": rf"(?:(?:(?<![A-Za-z0-9])|(?<=[a-z])(?=[A-Z])){ASSIGNED}(?:\\?[\"'])?\s{{0,4}}[=:]\s{{0,4}}(?:\\?[\"'])?|(?i:\bbearer\s{{1,4}})(?=[A-Za-z._~+/-]*\d)(?=[A-Za-z0-9._~+/-]{{16}}))(?P<value>[A-Za-z0-9+/_@!#$%^*~?-]{{8,}}(?:\.[A-Za-z0-9+/_@!#$%^*~?-]+)*)",
+        "ip6": r"(?<![\w:.])(?i:[23][0-9a-f]{3}|f[cdef][0-9a-f]{2})(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])",
         "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?![\w]|\.\d)",
         "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|[.-]\d)",
-        "card": r"(?<![\w.-])(?!\d{3}[ -]\d{3}[ -]\d{4}\b)\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)",
-        "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w]|[.-]\d)|(?<![\w.])\+\d(?:[ .-]?\(?\d\)?){7,14}(?![\w]|[.-]\d)",
-        "name": rf"(?<!\w)(?P<first>{first})(?P<middle> (?:(?:{first}|[A-ZÀ-ÞА-Я]\.) )*)(?P<last>{_SURNAME})(?!\w)",
-        "titled": rf"(?<!\w)(?:{'|'.join(TITLES)})\.? (?P<lone>{_SURNAME})(?!\w)",
+        "card": r"(?<![\w.-])(?!\d{3}[ \u00a0-]\d{3}[ \u00a0-]\d{4}\b)\d(?:[ \u00a0-]?\d){12,18}(?![\w]|[.-]\d)",
+        "phone": rf"(?<![\w.])(?:\+\d{{1,3}}[{_GAP}]?)?(?:\(\d{{3}}\)[{_GAP}]?|\d{{3}}[{_GAP}])\d{{3}}[{_GAP}]\d{{4}}(?![\w]|[.-]\d)|(?<![\w.])\+\d(?:[{_GAP}]?\(?\d\)?){{7,14}}(?![\w]|[.-]\d)",
+        "name": rf"(?<!\w)(?P<first>{first})(?P<middle> (?:(?:{first}|[{_CAPS}]\.) )*)(?P<last>{_SURNAME})(?!\w)",
+        "capitals": rf"(?<!\w)(?P<loud>{loud}) (?P<shouted>{_SHOUTED})(?!\w)",
+        "cued": rf"{CUES}(?P<given>{_SURNAME}) (?P<family>{_SURNAME})(?!\w)",
+        "titled": rf"(?<!\w)(?:{'|'.join(TITLES)})\.? (?P<before>(?:(?:{_SURNAME}|[{_CAPS}]\.) )?)(?P<lone>{_SURNAME})(?!\w)",
     }
 
 
+#: What is called a person's name.
+PEOPLE = ("name", "capitals", "cued", "titled")
 PATTERNS = patterns(NAMES)
 #: What any number and any account number that is looked for holds.
-_NUMBER, _ACCOUNT = re.compile(r"\d[\d .()-]{5,}\d"), re.compile(r"[A-Z]{2}[0-9]{2}[ A-Z0-9]{8}")
+_NUMBER, _ACCOUNT = re.compile(r"\d[\d .()\u00a0-]{5,}\d"), re.compile(r"[A-Z]{2}[0-9]{2}[ A-Z0-9]{8}")
 #: First names and titles begin so.
-_CAPITAL = re.compile(r"[A-ZÀ-ÞА-ЯЁ]\w+")
+_CAPITAL = re.compile(rf"[{_CAPS}]\w+")
+_CUE = re.compile(CUES)
 _LONE = re.compile(rf"(?<!\w){_SURNAME}(?!\w)")
 WHOLE = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: Classes of network addresses: a surrogate is of the class of its address; all that no network names are public.
@@ -103,9 +125,23 @@ LONG = 64
 #: What surnames are made of, by script: groups of consonants that go for each other, then single letters.
 SOUNDS = {
     "Latin": ["sch str ndr rst nst", "ch ck sh st th ph tt ll nn rr ss mm ff pp nd nt rt rn rg ng nk lt ld lm br dr gr kr pr tr fr bl kl fl gl sp sk", "a e i o u", "b c d f g h j k l m n p q r s t v w x y z", "ä ö ü", "á é í ó ú", "à è ì ò ù", "â ê î ô û", "ç ñ"],
+    "Greek": ["α ε η ι ο υ ω", "β γ δ ζ θ κ λ μ ν ξ π ρ σ τ φ χ ψ"],
     "Cyrillic": ["ст тр пр кр гр бр др нн", "а е и о у ы э ю я", "б в г д ж з й к л м н п р с т ф х ц ч ш щ", "ъ ь"],
 }
-_SOUND = {script: ([some.split() for some in groups], re.compile("|".join(x for some in groups for x in some.split()) + "|.", re.S)) for script, groups in SOUNDS.items()}
+
+
+def all_sounds() -> dict[str, list[list[str]]]:
+    """SOUNDS and, for every letter that names are made of and SOUNDS lacks, a group: of those with a capital, and of those without."""
+    out = {}
+    for script, groups in SOUNDS.items():
+        known = {x for some in groups for x in some.split()}
+        left = [c for c in _LETTERS[script] if c.islower() and c not in known]
+        own = [[c for c in left if (c.upper() in _CAPS) == capital] for capital in (True, False)]
+        out[script] = [some.split() for some in groups] + [g for g in own if g]
+    return out
+
+
+_SOUND = {script: (groups, re.compile("|".join(x for some in groups for x in some) + "|.", re.S)) for script, groups in all_sounds().items()}
 
 
 def plain_digits(text: str) -> str:
@@ -127,6 +163,17 @@ def sort_of(value: str) -> str:
     return "hex" if set(value) <= set(HEX) else "other"
 
 
+def text_of(m: re.Match, start: int, end: int) -> str:
+    return m.string[start:end]
+
+
+def is_ip6(text: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
 def iban_check(text: str) -> int:
     """97 if the check digits of a bank account number hold."""
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 or 97
@@ -136,8 +183,9 @@ class Surrogates:
     def __init__(self, key: bytes, names: dict[str, list[str]] | None = None) -> None:
         self.key, self.names = key, names or NAMES
         self.kind_of = {n: (k, i) for k, some in self.names.items() for i, n in enumerate(some)}
-        self.own, self.compiled = {k: re.sub(r"P<(value|first|middle|last|lone)>", rf"P<{k}_\1>", p) for k, p in patterns(self.names).items()}, {}
+        self.own, self.compiled = {k: re.sub(r"P<(value|first|middle|last|loud|shouted|given|family|before|lone)>", rf"P<{k}_\1>", p) for k, p in patterns(self.names).items()}, {}
         self.first = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, self.kind_of), key=len, reverse=True)) + r")(?!\w)")
+        self.loud = {n.upper() for n in self.kind_of}
         self.odd = not all(map(_CAPITAL.fullmatch, self.kind_of))
         self.one = lru_cache(1 << 14)(self.make)
 
@@ -208,7 +256,7 @@ class Surrogates:
         return self.shaped(local, f"email@{host}") + "@" + text.rpartition("@")[2]
 
     def secret(self, text: str) -> str:
-        keep = re.match(TOKENS, text).end()
+        keep = re.match(f"{TOKENS}|{JWT}", text).end()
         return text[:keep] + self.shaped(text[keep:], f"secret|{text[:keep]}")
 
     def assigned(self, text: str) -> str:
@@ -241,6 +289,12 @@ class Surrogates:
         made = [str(x).zfill(len(o) if unicodedata.decimal(o[0]) == 0 else 1) for x, o in zip((first + at).to_bytes(4, "big"), octets)]
         return ".".join("".join(chr(ord(o[0]) - unicodedata.decimal(o[0]) + int(c)) for c in m) for m, o in zip(made, octets))
 
+    def ip6(self, text: str) -> str:
+        """The first group stays; the rest is permuted as a number, so that all spellings of an address have one surrogate."""
+        value = int(ipaddress.IPv6Address(text))
+        new = str(ipaddress.IPv6Address(value >> 112 << 112 | self.permute(value & ((1 << 112) - 1), 1 << 112, f"ip6 {value >> 112}")))
+        return new.upper() if text.isupper() else new
+
     def iban(self, text: str) -> str:
         bare = text.replace(" ", "")
         body = self.shaped(bare[4:], f"iban {bare[:2]}")
@@ -270,13 +324,26 @@ class Surrogates:
         local = digits[len(code) :]
         return like(text, code + self.shaped(local, "phone" + ("" if code == "1" and len(local) == 10 else "+" + code if code else "")))
 
+    def given(self, text: str) -> str:
+        """A first name of the lists, in whatever capitals, goes for another, initials stay, and others are replaced as surnames are."""
+        if text.endswith("."):
+            return text
+        own = text if text in self.kind_of else text.capitalize()
+        if own not in self.kind_of:
+            new = self.one("surname", text)
+            while new.capitalize() in self.kind_of:  # those of the lists stand for each other
+                new = self.one("surname", new)
+            return new
+        new = self.one("forename", own)
+        return new.upper() if text.isupper() and len(text) > 1 else new
+
     def forename(self, text: str) -> str:
         kind, at = self.kind_of[text]
         return self.names[kind][self.permute(at, len(self.names[kind]), f"first {kind}")]
 
     def surname(self, text: str) -> str:
         """Groups of consonants and single letters go for others of their kind; capitals stay where they are."""
-        groups, sounds = _SOUND["Cyrillic" if any("Ѐ" <= c <= "ӿ" for c in text) else "Latin"]
+        groups, sounds = _SOUND[next((k for k in ("Cyrillic", "Greek") if any(c in _LETTERS[k] for c in text)), "Latin")]
         kind_of = {x: (i, g.index(x)) for i, g in enumerate(groups) for x in g}
         lower, new = text.lower(), text.lower()
         if len(lower) != len(text):
@@ -307,35 +374,55 @@ class Surrogates:
             first, middle, last = m["name_first"], m["name_middle"], m["name_last"]
             new = self.one("forename", first) + self.first.sub(lambda x: self.one("forename", x[0]), middle) + self.one("surname", last)
             yield kind, m.start(kind), m.end(kind), m[kind], new
-        elif kind == "titled":
-            yield "name", m.start("titled_lone"), m.end("titled_lone"), m["titled_lone"], self.one("surname", m["titled_lone"])
-        elif kind != "iban" or iban_check(m[kind].replace(" ", "")) == 1:
+        elif kind in PEOPLE:
+            before, last = {"titled": ("titled_before", "titled_lone"), "capitals": ("capitals_loud", "capitals_shouted"), "cued": ("cued_given", "cued_family")}[kind]
+            start = m.start(before) if m[before] else m.start(last)
+            words = text_of(m, start, m.end(last)).split(" ")
+            yield "name", start, m.end(last), " ".join(words), " ".join([*map(self.given, words[:-1]), self.one("surname", words[-1])])
+        elif kind == "ip6":
+            if is_ip6(m[kind]):
+                yield kind, m.start(kind), m.end(kind), m[kind], self.one(kind, m[kind])
+        else:
             yield kind, m.start(kind), m.end(kind), m[kind], self.one(kind, m[kind])
 
     def kinds(self, text: str) -> tuple[str, ...]:
         """What a text may hold, by signs that are cheap to look for."""
         has = lambda some: any(x in text for x in some)
-        found = ["email"] * ("@" in text) + ["secret"] * has(("AKIA", "gh", "glpat-", "xox", "AIza", "sk-"))
+        found = ["email"] * ("@" in text) + ["secret"] * has(("AKIA", "gh", "glpat-", "xox", "AIza", "sk-", "eyJ"))
         if "=" in text or ":" in text:
             low = text.lower()
-            found += ["assigned"] * any(x in low for x in ("passw", "secret", "token", "key"))
+            found += ["assigned"] * any(x in low for x in ("passw", "pwd", "secret", "token", "key", "credential"))
+        if "assigned" not in found and ("earer" in text or "EARER" in text):
+            found.append("assigned")
+        found += ["ip6"] * (text.count(":") > 1)
         if _NUMBER.search(text):
             found += ["ip", "iban", "ssn", "card", "phone"]
         elif _ACCOUNT.search(text):
             found.append("iban")
         capital = set(_CAPITAL.findall(text))
-        return (*found, *["name"] * (self.odd or not capital.isdisjoint(self.kind_of)), *["titled"] * (not capital.isdisjoint(TITLES)))
+        return (*found, *["name"] * (self.odd or not capital.isdisjoint(self.kind_of)), *["capitals"] * (not capital.isdisjoint(self.loud)), *["cued"] * (_CUE.search(text) is not None), *["titled"] * (not capital.isdisjoint(TITLES)))
+
+    def pattern(self, kinds: tuple[str, ...]) -> re.Pattern:
+        if kinds not in self.compiled:
+            self.compiled[kinds] = re.compile("|".join(f"(?P<{k}>{self.own[k]})" for k in PATTERNS if k in kinds) or r"(?!)")
+        return self.compiled[kinds]
 
     def entities(self, text: str) -> list[tuple[str, int, int, str, str]]:
         kinds = self.kinds(text)
         if not kinds:
             return []
-        if kinds not in self.compiled:
-            self.compiled[kinds] = re.compile("|".join(f"(?P<{k}>{self.own[k]})" for k in PATTERNS if k in kinds))
-        found, last = [], set()
-        for m in self.compiled[kinds].finditer(text):
+        found, last, at = [], set(), 0
+        while m := self.pattern(kinds).search(text, at):
+            if m.groupdict().get("iban") and iban_check(m["iban"].replace(" ", "")) != 1:  # no account: something else may be in it
+                other = self.pattern(tuple(k for k in kinds if k != "iban")).search(text, m.start())
+                digits = plain_digits(other[0]) if other and other.groupdict().get("card") else None
+                if other is None or other.start() >= m.end() or digits and self.check(digits[:-1]) != int(digits[-1]):
+                    at = m.end()
+                    continue
+                m = other
             found += self.replace(m)
-            last |= {x for g in ("name_last", "titled_lone") if (x := m.groupdict().get(g))}
+            at = m.end() if m.end() > m.start() else m.end() + 1
+            last |= {x for g in ("name_last", "cued_family", "titled_lone") if (x := m.groupdict().get(g))}
         if last:  # the same people by their surnames alone
             taken = [(s, e) for _, s, e, _, _ in found]
             starts = [s for s, _ in taken]
@@ -363,11 +450,12 @@ _ARROW = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end
 def surrogates(df: DataFrame, key: bytes, text: str = "text", out: str = "text", spans: str = "entities", names: dict[str, list[str]] | None = None) -> DataFrame:
     """df with each text's personal data replaced, in column out, and what was found in column spans.
 
-    names are lists of first names by gender and script, in place of NAMES. A pass over all texts comes first, in which
-    verify() looks at all distinct entities.
+    names are lists of first names by gender and script, in place of NAMES. The result is made once, as a table, whose
+    entities verify() looks at before it is returned.
     """
-    verify(replacement(df.select(F.col(text).alias("text")), key, "text", "text", "entities", names))
-    return replacement(df, key, text, out, spans, names)
+    made = cut(replacement(df, key, text, out, spans, names), "surrogates")
+    verify(made, spans)
+    return made
 
 
 def replacement(df: DataFrame, key: bytes, text: str, out: str, spans: str, names: dict[str, list[str]] | None = None) -> DataFrame:
@@ -389,11 +477,11 @@ def normal(kind: str, entity: str, surrogate: str) -> Iterator[tuple[str, str, s
     if kind == "name":
         old, new = entity.split(" "), surrogate.split(" ")
         yield "surname", old[-1].lower(), new[-1].lower()
-        yield from (("forename", a, b) for a, b in zip(old[:-1], new[:-1]) if not a.endswith("."))
+        yield from (("forename", a.lower(), b.lower()) for a, b in zip(old[:-1], new[:-1]) if not a.endswith("."))
         return
     spell: Callable[[str], str] = {
         "email": str.lower, "iban": lambda x: x.replace(" ", ""), "ssn": plain_digits, "card": plain_digits,
-        "phone": lambda x: re.sub(r"^1(?=\d{10}$)", "", plain_digits(x)), "ip": lambda x: ".".join(str(int(o)) for o in x.split(".")),
+        "phone": lambda x: re.sub(r"^1(?=\d{10}$)", "", plain_digits(x)), "ip": lambda x: ".".join(str(int(o)) for o in x.split(".")), "ip6": lambda x: str(ipaddress.IPv6Address(x)),
     }.get(kind, str)
     a, b = spell(entity), spell(surrogate)
     if not (kind == "ip" and a == b == "0.0.0.0"):
