@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import paths
 from loomline.functions.numbers import percent_change
+from loomline.sources import scratch
 
 
 def last_of_each(scan: DataFrame) -> DataFrame:
-    """One row per path, the last by ord, with the tokens of all rows of the path."""
-    named = scan.withColumn("path", paths.normal(F.col("path")))
-    return named.groupBy("path").agg(F.max_by(F.struct("estimated_tokens", "risk_flags"), "ord").alias("x"), F.sum("estimated_tokens").alias("all_tokens")).select("path", "x.*", "all_tokens")
+    """One row per path, the last by ord, with the tokens of all rows of the path. Of a saved scan, whose paths are normal, rows stay where they lie."""
+    named = scan if "all_tokens" in scan.columns else scan.withColumn("path", paths.normal(F.col("path"))).groupBy("path").agg(F.max_by(F.struct("estimated_tokens", "risk_flags"), "ord").alias("x"), F.sum("estimated_tokens").alias("all_tokens")).select("path", "x.*", "all_tokens")
+    return named.select("path", "estimated_tokens", "risk_flags", "all_tokens")
+
+
+def save(scan: DataFrame, folder: str, buckets: int | None = None) -> None:
+    """Keeps what drift needs of a scan: a row per path, bucketed and sorted by path, so that two saved scans meet without moving."""
+    spark, name = scan.sparkSession, f"loomline_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last_of_each(scan).repartition(n, "path").write.mode("overwrite").bucketBy(n, "path").sortBy("path").option("path", f"{folder.rstrip('/')}/buckets={n}").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """A scan that was saved; the newest, if it was saved with several numbers of buckets."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [s for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place) if s.getPath().getName().startswith("buckets=")]
+    newest = max(found, key=lambda s: s.getModificationTime()).getPath()
+    name = f"loomline_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (path STRING, estimated_tokens BIGINT, risk_flags ARRAY<STRING>, all_tokens BIGINT) USING parquet CLUSTERED BY (path) SORTED BY (path) INTO {newest.getName().split('=')[1]} BUCKETS LOCATION '{newest.toString()}'")
+    return spark.table(name)
 
 
 def file_drift(base: DataFrame, now: DataFrame) -> DataFrame:
@@ -69,3 +91,27 @@ def violations(total: DataFrame, max_increase: int | None = None, max_percent: f
 def largest_folders(per: DataFrame, n: int = 15) -> DataFrame:
     rank = F.row_number().over(Window.orderBy(F.desc(F.abs("delta")), "folder"))
     return per.orderBy(F.desc(F.abs("delta")), "folder").limit(n).withColumn("rank", rank)
+
+
+@dataclass
+class Drift:
+    """What changed between two scans: every file as a table, and what a report shows of it."""
+
+    files: DataFrame
+    summary: Row
+    violations: list[Row]
+    growing: list[Row]
+    shrinking: list[Row]
+    folders: list[Row]
+
+    @property
+    def passed(self) -> bool:
+        return not self.violations
+
+
+def analyze(base: DataFrame, now: DataFrame, **policy: object) -> Drift:
+    """All of a drift in one call, from two scans or saved scans, under violations()' policy; both are read once."""
+    changes = scratch.table(file_drift(base, now), "drift")
+    total = summary(changes)
+    broken = violations(total, **policy).collect() if any(v not in (None, False) for v in policy.values()) else []
+    return Drift(changes, total.first(), broken, top_growing(changes).collect(), top_shrinking(changes).collect(), largest_folders(folder_drift(changes)).orderBy("rank").collect())

@@ -17,8 +17,10 @@ from loomline.functions import files, paths
 from loomline.functions.once import with_once
 from loomline.functions.tokens import estimate_text
 from loomline.operators import symbols as symbols_
+from loomline.operators import workspace
 from loomline.operators.text import code, plain
-from loomline.operators.workspace import folders, languages
+from loomline.operators.workspace import folders
+from loomline.sources import scratch
 
 BUCKETS = ["entry", "config", "docs", "test", "source", "other", "excluded"]
 
@@ -67,7 +69,8 @@ def budget_prefix(mapped: DataFrame, budget: int) -> DataFrame:
 
     The sum runs over range partitions: each adds the totals of those before it, so no task sees all files.
     """
-    ordered = mapped.where("priority >= 60").select("path", "ord", "bucket", "estimated_tokens", (F.lit(1000) - F.col("priority")).alias("_rank"))
+    narrow = mapped.where("priority >= 60").select("path", "ord", "bucket", "estimated_tokens", (F.lit(1000) - F.col("priority")).alias("_rank"))
+    ordered = scratch.table(narrow, "ranked")  # the texts are read and classified once
     # files of a priority are dealt into stretches of their order, summed, and the stretches run on one another
     stretch = ordered.withColumn("_s", F.floor(F.col("ord") / 4096))
     sums = stretch.groupBy("_rank", "_s").agg(F.sum("estimated_tokens").alias("_t"))
@@ -95,20 +98,21 @@ def listed(mapped: DataFrame) -> DataFrame:
 
 def trim_order(mapped: DataFrame) -> DataFrame:
     """Files that a budget may take, with n, the first list that has them: all that stand in a list but those in KEPT."""
-    own = listed(mapped)
+    own = mapped if "lists" in mapped.columns else listed(mapped)
     keep = own.where(F.arrays_overlap("lists", F.array(*map(F.lit, KEPT)))).select("path").distinct()
     first = F.array_min(F.transform("lists", lambda x: F.array_position(F.array(*map(F.lit, TAKEN)), x)))
     return own.where(F.size("lists") > 0).join(keep, "path", "left_anti").withColumn("n", first.cast("int")).where("n > 0")
 
 
-def counts(scan: DataFrame, mapped: DataFrame) -> DataFrame:
-    """One row of what a map's summary tells."""
+def counts(mapped: DataFrame) -> DataFrame:
+    """One row of what a map's summary tells, in one pass."""
     has = lambda name: F.count_if(F.array_contains("lists", name))
-    told = listed(mapped).agg(
+    told = (mapped if "lists" in mapped.columns else listed(mapped)).agg(
         has("important").alias("important"), has("entry").alias("entry"), has("test").alias("test"), has("config").alias("config"), has("docs").alias("docs"), has("large").alias("large"), has("risky").alias("risky"),
         has("generated").alias("generated"), has("excluded").alias("excluded"), F.coalesce(F.sum(F.when(F.array_contains("lists", "important"), F.col("estimated_tokens"))), F.lit(0)).alias("important_tokens"),
+        F.count_if("included").alias("included_files"), F.count_if(~F.col("included")).alias("excluded_files"), F.count(F.lit(1)).alias("total_files"), F.coalesce(F.sum("estimated_tokens"), F.lit(0)).alias("total_tokens"),
     )
-    return told.crossJoin(scan.agg(F.count_if("included").alias("included_files"), F.count_if(~F.col("included")).alias("excluded_files"), F.count(F.lit(1)).alias("total_files"), F.coalesce(F.sum("estimated_tokens"), F.lit(0)).alias("total_tokens")))  # a row each
+    return told
 
 
 @dataclass
@@ -161,15 +165,17 @@ def create(
     scan: DataFrame, budget: int, root: str = ".", generated_at: str = "", goal: str | None = None, files: DataFrame | None = None, manifests: DataFrame | None = None, max_symbols: int = 100, parse_limit: int = symbols_.PARSE_LIMIT
 ) -> RepoMap:
     """The map of a scan within a budget of tokens; files (path, text) are parsed for symbols, imports and routes if given."""
-    mapped = entries(scan)
-    c = counts(scan, mapped).first()
+    narrow = [c for c in ("ord", "path", "extension", "language", "bytes", "estimated_tokens", "included", "excluded_reason", "risk_flags") if c in scan.columns]
+    mapped = scratch.table(listed(entries(scan.select(*narrow))), "mapped")  # without the texts, and classified once
+    summed = scratch.table(workspace.sums(mapped), "sums")
+    c = counts(mapped).first()
     part = f"{c.included_files / c.total_files * 100:.1f}" if c.total_files else "0.0"
     summary = [
         f"Files: {c.included_files} included / {c.excluded_files} excluded ({part}% of {c.total_files} total)", f"Important files identified: {c.important}", f"Entry points: {c.entry}", f"Tests: {c.test}", f"Config files: {c.config}",
         f"Documentation files: {c.docs}", f"Large files: {c.large}", f"Risky files: {c.risky}", f"Tokens in important files: ~{c.important_tokens:,}", f"Workspace total: ~{c.total_tokens:,} tokens",
     ]
     rows = lambda df, *names: [r.asDict() for r in df.select("path", "estimated_tokens", "priority", "reason", "map_language", "lists", *names).collect()]
-    kept = listed(mapped)
+    kept = mapped
     own = rows(kept.where(F.size("lists") > 0).orderBy("ord"), "ord")
     first = [f["path"] for f in own if "entry" in f["lists"]][: CAPS["entry hints"]]
     told = ["Start by reading this repo map to understand the workspace structure.", "Do not read the full contents of large files unless specifically needed."]
@@ -177,16 +183,17 @@ def create(
     told += [f"There are {c.large} large file(s). Ask before reading them."] * bool(c.large) + [f"There are {c.risky} potentially sensitive file(s). Ask before reading."] * bool(c.risky)
     told += [f"There are {c.generated} generated file(s). Avoid editing them."] * bool(c.generated) + [f"The current workspace goal is: {goal}"] * bool(goal)
     told += ["Prefer reading targeted files over scanning entire directories.", "Use patch-only output when making code changes."]
-    per = languages(scan).orderBy(F.desc("total_tokens"), "ord").select("language", "file_count", "total_tokens").collect()
+    per = workspace.view(summed, "language").select("name", "files", "tokens").collect()
+    shape = workspace.view(summed, "folder").where("name <> '.' and included > 0").limit(20)
     made = RepoMap(
-        root, generated_at, budget, summary, told, c.total_tokens, [tuple(r) for r in map_folders(scan).select("folder", "included_files", "total_tokens").collect()], [tuple(r) for r in per], own,
+        root, generated_at, budget, summary, told, c.total_tokens, [tuple(r) for r in shape.select("name", "included", "tokens").collect()], [tuple(r) for r in per], own,
         rows(recommended_include(kept)), rows(recommended_exclude(kept).orderBy("list_no", "ord")),
     )
     if files is not None:
         important = mapped.where("priority >= 60")
-        texts = files.join(symbols_.eligible(scan, important, parse_limit).select("path"), "path", "left_semi")
+        texts = files.join(symbols_.eligible(mapped, important, parse_limit).select("path"), "path", "left_semi")
         made.symbols = [r.asDict() for r in symbols_.rank_symbols(symbols_.all_symbols(texts), goal or "build-mvp", max_symbols).collect()]
-        made.imports = [r.asDict() for r in symbols_.resolve(symbols_.all_imports(texts), scan).select("path", "source", "kind", "resolved").orderBy("path", "source").collect()]
+        made.imports = [r.asDict() for r in symbols_.resolve(symbols_.all_imports(texts), mapped).select("path", "source", "kind", "resolved").orderBy("path", "source").collect()]
         routes = symbols_.call_routes(files.join(important.select("path"), "path", "left_semi")).select("path", "route", "framework", "reason")
         if manifests is not None:
             placed = symbols_.file_routes(important.select("path"), manifests)

@@ -1,8 +1,8 @@
 """Reports of a scan and of drift, as JSON and Markdown.
 
-What comes to the driver is bounded: one row of sums, ten files and folders, a row per language and tier, and at most
-RISKY flagged files, after which the Markdown names how many more there are. Reports read a scan several times, so a caller
-may cache it.
+A report's facts come to the driver, which are bounded: one row of sums, ten files and folders, a row per language and tier. Its
+Markdown is a table of lines by section and place, so that lists as long as the scan, of flagged files, are rows that executors
+make and write. A scan is read and classified once.
 """
 
 from __future__ import annotations
@@ -11,18 +11,19 @@ import json
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from loomline.functions.tokens import estimate_text
 from loomline.operators import drift, models, workspace
+from loomline.operators.compaction import escape_markdown, markdown_code
 from loomline.operators.text import code, plain
+from loomline.sources import scratch
 from loomline.sources.catalog import REPORT_VERSION
 
-RISKY = 1000
 #: A tier's field in a report, and its heading.
 TIERS = {"cheapest": ("cheapestSufficient", "cheapest-sufficient", "Cheapest Sufficient"), "balanced": ("balanced", "balanced", "Balanced"), "confidence": ("highConfidence", "high-confidence", "High Confidence")}
-LARGE, WIDE = 50_000, 1_000_000
+WIDE = 1_000_000
 
 
 def percent(x: float) -> str:
@@ -38,27 +39,28 @@ def table(head: list[str], rules: str, rows: list[list[object]]) -> list[str]:
 
 def report(scan: DataFrame, scored: DataFrame | None = None, workspace_tokens: int = 0, goal: str | None = None, root: str = ".", scanned_at: str = "", warnings: list[str] | None = None, assumptions: list[str] | None = None) -> dict:
     """The report as an object whose json.dumps is the JSON form; scored are a goal's models, None for no recommendation."""
-    flagged = F.size("risk_flags") > 0
-    total = workspace.stats(scan).crossJoin(scan.agg(F.count_if(F.col("included") & (F.col("estimated_tokens") > LARGE)).alias("large"), F.count_if(flagged).alias("risky"))).first()  # a row each
-    whole, all_tokens = total.included_tokens or 0, total.total_tokens or 0
+    own = workspace.facts(scan)
+    summed = scratch.table(workspace.sums(own), "sums")
+    total = workspace.view(summed, "total").first() or Row(files=0, included=0, tokens=0, included_tokens=0, large=0, flagged=0)
+    whole, all_tokens = total.included_tokens, total.tokens
     part = lambda n: n / whole if whole > 0 else 0
-    top = workspace.top_files(scan).select("path", "estimated_tokens").collect()
-    folders = workspace.top_folders(scan).select("folder", "tokens").collect()
-    per = workspace.languages(scan).orderBy(F.desc("total_tokens"), "ord").select("language", "file_count", "total_tokens", "percentage").collect()
+    top = workspace.top_files(own).select("path", "estimated_tokens").collect()
+    folders = workspace.largest_trees(summed).collect()
+    per = workspace.view(summed, "language").collect()
     picks = {} if scored is None else {r.tier: r for r in tiers(scored, workspace_tokens, goal).collect()}
     checklist = list(dict.fromkeys(s for t in TIERS if t in picks for s in picks[t].suggestions))
     if total.large:
         checklist.append(f"Review {total.large} file(s) exceeding 50k tokens for splitting or exclusion")
     if all_tokens > WIDE:
         checklist.append("Workspace exceeds 1M total tokens — consider narrowing scope or using a model with larger context")
-    if total.risky:
-        checklist.append(f"Address {total.risky} flagged risk file(s) before processing")
+    if total.flagged:
+        checklist.append(f"Address {total.flagged} flagged risk file(s) before processing")
     return {
         "schemaVersion": REPORT_VERSION, "title": "Workspace Model Report", "generatedAt": scanned_at, "workspacePath": root, "goal": goal if picks else None,
-        "summary": {"totalFiles": total.total_files, "includedFiles": total.included_files, "excludedFiles": total.excluded_files, "totalEstimatedTokens": all_tokens, "includedTokens": whole},
+        "summary": {"totalFiles": total.files, "includedFiles": total.included, "excludedFiles": total.files - total.included, "totalEstimatedTokens": all_tokens, "includedTokens": whole},
         "topTokenConsumers": [{"path": r.path, "tokens": r.estimated_tokens, "percentage": part(r.estimated_tokens)} for r in top],
-        "topFolders": [{"path": r.folder, "tokens": r.tokens, "percentage": part(r.tokens)} for r in folders],
-        "languages": [{"language": r.language, "fileCount": r.file_count, "tokens": r.total_tokens, "percentage": r.percentage} for r in per],
+        "topFolders": [{"path": r.name, "tokens": r.tokens, "percentage": part(r.tokens)} for r in folders],
+        "languages": [{"language": r.name, "fileCount": r.files, "tokens": r.tokens, "percentage": r.percentage} for r in per],
         "recommendations": {TIERS[t][0]: pick(picks[t], TIERS[t][1]) for t in TIERS if t in picks} or None,
         "warnings": warnings or [], "assumptions": (assumptions or []) if picks else [], "optimizationChecklist": checklist,
     }
@@ -93,8 +95,31 @@ def bullets(items: list[str], mark: str = "- ") -> list[str]:
     return [mark + plain(x) for x in items] + [""] * bool(items)
 
 
+def to_lines(told: dict, scan: DataFrame) -> DataFrame:
+    """(section, place, line) of a report's Markdown; the scan tells how many files lie in its folders and which are flagged."""
+    before, after = heads(told, scan)
+    spark, kinds = scan.sparkSession, "section int, place long, line string"
+    flagged = scan.where(F.size("risk_flags") > 0)
+    line = F.concat(F.lit("- "), markdown_code(F.col("path")), F.lit(" — "), escape_markdown(F.array_join("risk_flags", ", ")))
+    listed = flagged.select(F.lit(2).alias("section"), F.col("ord").cast("long").alias("place"), line.alias("line"))
+    around = [F.struct(F.lit(n).alias("section"), F.lit(i).cast("long").alias("place"), F.lit(x).alias("line")) for n, i, x in ((1, 0, "### Risk Flags"), (1, 1, ""), (3, 0, ""))]
+    some = flagged.limit(1).select(F.explode(F.array(*around)).alias("x")).select("x.*")
+    fixed = [(n, i, x) for n, some in ((0, before), (4, after)) for i, x in enumerate(some)]
+    return spark.createDataFrame(fixed, kinds).unionByName(listed).unionByName(some)
+
+
+def write_markdown(told: dict, scan: DataFrame, folder: str) -> None:
+    """A report's Markdown as a folder of text files, in the order of their names, written by the executors."""
+    to_lines(told, scan).orderBy("section", "place").select("line").write.mode("overwrite").text(folder)
+
+
 def to_markdown(told: dict, scan: DataFrame) -> str:
-    """Markdown of a report; the scan tells how many files lie in its folders and which are flagged."""
+    """A report's Markdown as one text, which is as long as its list of flagged files; those of a large scan are for write_markdown()."""
+    return "\n".join(r.line for r in to_lines(told, scan).orderBy("section", "place").toLocalIterator())
+
+
+def heads(told: dict, scan: DataFrame) -> tuple[list[str], list[str]]:
+    """The lines before and after a report's list of flagged files."""
     s = told["summary"]
     out = ["# Workspace Model Report", "", f"**Scan Date:** {told['generatedAt']}", "", f"**Workspace Root:** {code(told['workspacePath'])}", ""]
     names = {"Total Files": s["totalFiles"], "Included Files": s["includedFiles"], "Excluded Files": s["excludedFiles"], "Total Estimated Tokens": f"{s['totalEstimatedTokens']:,}", "Included Tokens": f"{s['includedTokens']:,}"}
@@ -109,11 +134,7 @@ def to_markdown(told: dict, scan: DataFrame) -> str:
     if told["languages"]:
         out += section("Language Breakdown", table(["Language", "Files", "Tokens", "%"], "lrrr", [[plain(r["language"]), r["fileCount"], f"{r['tokens']:,}", percent(r["percentage"])] for r in told["languages"]]))
     out += section("Warnings", bullets(told["warnings"]))
-    flagged = scan.where(F.size("risk_flags") > 0)
-    risky = [f"- {code(r.path)} — {plain(', '.join(r.risk_flags))}" for r in flagged.orderBy("ord").select("path", "risk_flags").limit(RISKY).collect()]
-    if len(risky) == RISKY and (more := flagged.count() - RISKY):
-        risky.append(f"- and {more:,} more")
-    out += section("Risk Flags", risky + [""] * bool(risky), 3)
+    first, out = out, []
     picks = told["recommendations"] or {}
     out += ["## Recommendations", ""]
     for field, _, title in TIERS.values():
@@ -126,7 +147,7 @@ def to_markdown(told: dict, scan: DataFrame) -> str:
     out += section("Estimated Costs", table(["Model", "Input Cost", "Output Cost", "Cached Input Cost", "Total Cost"], "lrrrr", money) if money else ["No cost estimates available.", ""])
     # without a recommendation the Markdown suggests nothing, though the JSON lists what the scan itself calls for
     todo = bullets(told["optimizationChecklist"], "- [ ] ") if picks else []
-    return "\n".join(out + section("Optimization Checklist", todo or ["No optimizations suggested.", ""]))
+    return first, out + section("Optimization Checklist", todo or ["No optimizations suggested.", ""])
 
 
 def recommendation(title: str, p: dict) -> list[str]:
@@ -142,10 +163,8 @@ def recommendation(title: str, p: dict) -> list[str]:
 
 def drift_markdown(base: DataFrame, now: DataFrame, at: str, **policy: object) -> str:
     """Markdown of the drift between two scans under drift.violations' policy."""
-    changes = drift.file_drift(base, now)
-    summed = drift.summary(changes)
-    total = summed.first()
-    broken = drift.violations(summed, **policy).collect() if any(v not in (None, False) for v in policy.values()) else []
+    found = drift.analyze(base, now, **policy)
+    total, broken = found.summary, found.violations
     signed = lambda n: f"{n:+,}" if n else "0"
     rate = lambda x: f"{'+' * (x > 0)}{x:g}%"
     out = ["# Workspace Token Drift Report", "", f"**Status**: {'❌ POLICY VIOLATION' if broken else '✅ PASSED'} | **Generated**: {at}", ""]
@@ -154,13 +173,12 @@ def drift_markdown(base: DataFrame, now: DataFrame, at: str, **policy: object) -
     out += section("Summary", table(["Metric", "Baseline", "Current", "Delta", "% Change"], "lllll", rows))
     out += section("Policy Violations", bullets([f"{r.rule}: {r.value:,g} exceeds {r.bound:,g}" for r in broken], "- ⚠️ "))
     head, cells = ["Baseline Tokens", "Current Tokens", "Token Delta", "% Change"], lambda r: [f"{r.base_tokens:,}", f"{r.current_tokens:,}", signed(r.delta), rate(r.percent)]
-    up, down = drift.top_growing(changes).collect(), drift.top_shrinking(changes).collect()
+    up, down, folders = found.growing, found.shrinking, found.folders
     if up:
         flags = lambda r: f"+({plain(', '.join(r.added_flags))})" if r.added_flags else "—"
         out += section("Top Growing Files", table(["File", *head, "Risk Flags"], "llllll", [[code(r.path), *cells(r), flags(r)] for r in up]))
     if down:
         out += section("Top Shrinking Files", table(["File", *head], "lllll", [[code(r.path), *cells(r)] for r in down]))
-    folders = drift.largest_folders(drift.folder_drift(changes)).orderBy("rank").collect()
     if folders:
         out += section("Directory Breakdown", table(["Directory", *head, "File Count Delta"], "llllll", [[code(r.folder), *cells(r), signed(r.net_files)] for r in folders]))
     return "\n".join(out)

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from loomline.functions import files, paths, tokens
 from loomline.functions.numbers import share, to_fixed
 from loomline.functions.once import with_once
+from loomline.sources import scratch
+
+#: What later steps need of a scan, without the texts.
+FACTS = ["ord", "path", "language", "bytes", "estimated_tokens", "included", "risk_flags"]
+LARGE = 50_000
 
 
 def classify(df: DataFrame, ignored: Column | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -65,9 +70,13 @@ def top_files(scan: DataFrame, n: int = 10) -> DataFrame:
 
 
 def top_folders(scan: DataFrame, n: int = 10) -> DataFrame:
-    """Folders with included files by their recursive tokens."""
-    direct = folders(scan).where("included_files > 0").select("folder", "ord")
-    return direct.join(recursive_folders(scan), "folder").orderBy(F.desc("tokens"), "ord").limit(n)
+    """Folders with included files by their recursive tokens, in one pass: an included file counts for all its ancestors, others tell only of the folder that holds them."""
+    holds = paths.dirname(F.col("path"))
+    each = scan.select("included", "estimated_tokens", "ord", holds.alias("_own"), F.explode(F.when(F.col("included"), paths.ancestors(F.col("path"))).otherwise(F.array(holds))).alias("folder"))
+    own = F.col("folder") == F.col("_own")
+    tokens = F.sum(F.when(F.col("included"), F.col("estimated_tokens"))).alias("tokens")
+    per = each.groupBy("folder").agg(tokens, F.count_if(F.col("included") & own).alias("_n"), F.min(F.when(own, F.col("ord"))).alias("ord"))
+    return per.where("_n > 0").select("folder", "ord", "tokens").orderBy(F.desc("tokens"), "ord").limit(n)
 
 
 def top_direct_folders(scan: DataFrame, n: int = 10) -> DataFrame:
@@ -85,11 +94,52 @@ def count_tokens(scan: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return stats(scan).select("total_tokens", "included_tokens", (F.col("total_tokens") - F.col("included_tokens")).alias("excluded_tokens"), "total_files"), scan.select("path", "language", "estimated_tokens", "included"), languages(scan)
 
 
+def facts(scan: DataFrame) -> DataFrame:
+    """What later steps need of a scan, as a narrow table, so that its texts are read and classified once."""
+    return scratch.table(scan.select(*FACTS), "facts")
+
+
+def sums(scan: DataFrame) -> DataFrame:
+    """(kind, name, files, included, bytes, included_bytes, tokens, included_tokens, large, flagged, ord) in one pass and one shuffle.
+
+    Kinds are total, folder (that holds a file), tree (all above an included file), language (of included files) and flag; each
+    view of a scan is some rows of this.
+    """
+    of = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    none = F.array().cast("array<struct<kind:string,name:string>>")
+    each = F.concat(
+        F.array(of("total", F.lit("")), of("folder", paths.dirname(F.col("path")))), F.transform("risk_flags", lambda f: of("flag", f)),
+        F.when(F.col("included"), F.concat(F.array(of("language", F.col("language"))), F.transform(paths.ancestors(F.col("path")), lambda a: of("tree", a)))).otherwise(none),
+    )
+    rows = scan.select("ord", "bytes", "estimated_tokens", "included", (F.size("risk_flags") > 0).alias("_flagged"), F.explode(each).alias("_k")).select("_k.*", "*").drop("_k")
+    kept = lambda c: F.sum(F.when(F.col("included"), F.col(c)).otherwise(0)).cast("long")
+    return rows.groupBy("kind", "name").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if("included").alias("included"), F.sum("bytes").alias("bytes"), kept("bytes").alias("included_bytes"), F.sum("estimated_tokens").alias("tokens"),
+        kept("estimated_tokens").alias("included_tokens"), F.count_if(F.col("included") & (F.col("estimated_tokens") > LARGE)).alias("large"), F.count_if("_flagged").alias("flagged"), F.min("ord").alias("ord"),
+    )
+
+
+def view(summed: DataFrame, kind: str) -> DataFrame:
+    """The rows of one kind, most tokens first; a language's share is that of all included tokens."""
+    own = summed.where(F.col("kind") == kind).drop("kind")
+    if kind == "language":
+        own = own.withColumn("percentage", share(F.col("included_tokens"), F.sum("included_tokens").over(Window.partitionBy())))
+    return own.orderBy(F.desc("tokens"), "ord")
+
+
+def largest_trees(summed: DataFrame, n: int = 10) -> DataFrame:
+    """(name, tokens, included) of folders that hold included files, by the tokens of all below them."""
+    both = summed.where(F.col("kind").isin("folder", "tree")).groupBy("name").agg(F.max(F.when(F.col("kind") == "tree", F.col("tokens"))).alias("tokens"), F.max(F.when(F.col("kind") == "folder", F.col("included"))).alias("included"), F.max(F.when(F.col("kind") == "folder", F.col("ord"))).alias("ord"))
+    return both.where("included > 0").orderBy(F.desc("tokens"), "ord").limit(n)
+
+
 def compact(scan: DataFrame) -> DataFrame:
     """(part, name, tokens, extra): the ten largest files, the ten folders with most tokens right in them, and languages with their shares."""
-    files_ = top_files(scan).select(F.lit("file").alias("part"), F.col("path").alias("name"), F.col("estimated_tokens").alias("tokens"), F.col("language").alias("extra"))
-    folders_ = top_direct_folders(scan).select(F.lit("folder"), "folder", "total_tokens", F.col("included_files").cast("string"))
-    return files_.union(folders_).union(languages(scan).select(F.lit("language"), "language", "total_tokens", F.format_string("%.4f", "percentage")))
+    own = facts(scan)
+    summed = scratch.table(sums(own), "sums")
+    files_ = top_files(own).select(F.lit("file").alias("part"), F.col("path").alias("name"), F.col("estimated_tokens").alias("tokens"), F.col("language").alias("extra"))
+    folders_ = view(summed, "folder").limit(10).select(F.lit("folder"), "name", "tokens", F.col("included").cast("string"))
+    return files_.union(folders_).union(view(summed, "language").select(F.lit("language"), "name", "tokens", F.format_string("%.4f", "percentage")))
 
 
 def flag_counts(scan: DataFrame) -> DataFrame:

@@ -211,7 +211,7 @@ def map_trim_order(spark: SparkSession, sf: str) -> DataFrame:
 count_if(bucket = 'excluded') AS excluded, coalesce(sum(estimated_tokens) FILTER (priority >= 60), 0)::BIGINT AS important_tokens, count_if(included) AS included_files, count_if(NOT included) AS excluded_files, count(*) AS total_files, sum(estimated_tokens)::BIGINT AS total_tokens FROM map""")
 def map_counts(spark: SparkSession, sf: str) -> DataFrame:
     scan = proxies.scan(spark, sf)
-    return repo_map.counts(scan, repo_map.entries(scan))
+    return repo_map.counts(repo_map.entries(scan))
 
 
 @query(_MAP + " SELECT path FROM map WHERE priority >= 60 AND excluded_reason IS NULL AND extension IN ('.ts', '.tsx', '.js', '.py', '.go', '.kt', '.rs') AND bytes <= 4000 AND NOT list_has_any(risk_flags, ['generated', 'binary', 'secret', 'lockfile'])")

@@ -6,7 +6,7 @@ import json
 
 import pytest
 
-from loomline.operators import models, reports
+from loomline.operators import drift, models, reports, workspace
 from loomline.sources import catalog
 
 SCAN = "ord long, path string, language string, bytes long, risk_flags array<string>, estimated_tokens long, included boolean"
@@ -77,3 +77,45 @@ def test_drift_report(spark, scan):
     assert "VIOLATION" in text and "percent: 10 exceeds 5" in text and "| `a/b&#124;c.ts` | 60,000 | 90,000 | +30,000 | +50% | — |" in text
     same = reports.drift_markdown(scan, scan, "t")
     assert "PASSED" in same and "Top Growing" not in same
+
+
+def test_drift_of_saved_scans(spark, scan, tmp_path):
+    now = spark.createDataFrame([(0, "a\\b|c.ts", "TypeScript", 1, ["secret"], 70_000, True), (1, "new.py", "Python", 1, [], 5, True), (2, ".env", "Unknown", 9, ["secret"], 3, False), (3, ".env", "Unknown", 9, [], 4, False)], SCAN)
+    drift.save(scan, f"file://{tmp_path}/base", 3)
+    drift.save(now, f"file://{tmp_path}/now", 3)
+    base, later = drift.load(spark, f"file://{tmp_path}/base"), drift.load(spark, f"file://{tmp_path}/now")
+    joined = drift.file_drift(base, later)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" in plan
+    key = lambda r: r.path
+    assert sorted(joined.collect(), key=key) == sorted(drift.file_drift(scan, now).collect(), key=key)
+    found = drift.analyze(base, later, max_increase=0, new_flags=True)
+    assert (found.summary.added, found.summary.removed, found.summary.modified, found.summary.unchanged) == (1, 2, 2, 0) and not found.passed
+    assert [r.rule for r in found.violations] == ["new-risk-flags"] and [r.path for r in found.growing] == ["a/b|c.ts", "new.py", ".env"] and {r.folder for r in found.folders} == {".", "a", "a/d"}
+    drift.save(now, f"file://{tmp_path}/base", 3)
+    assert drift.analyze(drift.load(spark, f"file://{tmp_path}/base"), later, max_increase=0).passed
+
+
+def test_report_written_by_executors(spark, tmp_path):
+    rows = [(i, f"d/f{i}.ts", "TypeScript", 10, ["log-file"] if i % 2 else [], i, not i % 2) for i in range(5000)]
+    scan = spark.createDataFrame(rows, SCAN).repartition(5)
+    told = reports.report(scan)
+    text = reports.to_markdown(told, scan)
+    listed = [x for x in text.split("\n") if x.startswith("- `d/f")]
+    assert listed == [f"- `d/f{i}.ts` — log-file" for i in range(1, 5000, 2)]
+    reports.write_markdown(told, scan, f"file://{tmp_path}/out")
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert "".join(p.read_text() for p in parts).rstrip("\n") == text.rstrip("\n")
+
+
+def test_sums_of_a_scan(scan):
+    summed = workspace.sums(scan)
+    views = {k: {r.name: r for r in workspace.view(summed, k).collect()} for k in ("total", "folder", "tree", "language", "flag")}
+    total = views["total"][""]
+    assert (total.files, total.included, total.tokens, total.included_tokens, total.large, total.flagged, total.included_bytes) == (4, 3, 100_003, 100_000, 1, 1, 400_120)
+    assert {n: (r.tokens, r.included) for n, r in views["folder"].items()} == {"a": (60_000, 1), "a/d": (20_000, 1), ".": (20_003, 1)}
+    assert {n: r.tokens for n, r in views["tree"].items()} == {".": 100_000, "a": 80_000, "a/d": 20_000}
+    assert {n: r.percentage for n, r in views["language"].items()} == {"TypeScript": 0.6, "Python": 0.2, "Markdown": 0.2} and views["flag"]["secret"].files == 1
+    trees = {r.name: r.tokens for r in workspace.largest_trees(summed).collect()}
+    assert trees == {r.folder: r.tokens for r in workspace.top_folders(scan).collect()} == {".": 100_000, "a": 80_000, "a/d": 20_000}
+    assert "Expand" not in summed._jdf.queryExecution().toString() and summed._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
