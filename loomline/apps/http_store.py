@@ -89,7 +89,11 @@ def handler(folder: str, token: str | None, public: bool, sessions: Sessions) ->
             return f"{COOKIE}={value}; Path=/; HttpOnly; SameSite=Strict; Max-Age={seconds}{secure}"
 
         def body(self) -> object:
-            size = int(self.headers.get("Content-Length") or 0)
+            told = self.headers.get("Content-Length") or "0"
+            if not (told.isascii() and told.isdigit()):
+                self.close_connection = True  # where the body ends isn't known
+                raise ValueError("Content-Length must be a whole number from 0")
+            size = int(told)
             if size > FEED_LIMIT:
                 left = min(size, 16 * FEED_LIMIT)  # what a client is still sending, so that it hears the answer
                 while left > 0 and (got := self.rfile.read1(min(left, 65536))):

@@ -33,6 +33,14 @@ RESOURCES = {"workspace://summary": ("Workspace Summary", "scan"), "model-catalo
 PROMPT = "optimize_coding_agent_for_workspace"
 
 
+class UnknownMethod(Exception):
+    """A method that the server hasn't got."""
+
+
+class Malformed(Exception):
+    """JSON that is no request."""
+
+
 class Tools:
     def __init__(self, service: Service) -> None:
         self.service = service
@@ -94,7 +102,7 @@ class Tools:
             a = p.get("arguments") or {}
             told = self.service.prompt(a.get("goal", "build-mvp"), int(a["tokenBudget"]) if a.get("tokenBudget") else None, a.get("privacyMode", "local-first")) if p.get("name") == PROMPT else "Unknown prompt"
             return {"messages": [{"role": "user", "content": {"type": "text", "text": told}}]}
-        raise LookupError(method)
+        raise UnknownMethod(method)
 
     def serve(self, lines: Iterable[str]) -> Iterator[str]:
         """A line of JSON for each request; notifications have no answer."""
@@ -104,16 +112,29 @@ class Tools:
             told: dict = {"jsonrpc": "2.0", "id": None}
             try:
                 asked = json.loads(line)
+                if not isinstance(asked, dict):
+                    raise Malformed("a request is an object")
                 if "id" not in asked:
                     continue
+                if not isinstance(asked["id"], str | int | float | None) or isinstance(asked["id"], bool):
+                    raise Malformed("an id is a string or a number")
                 told["id"] = asked["id"]
-                told["result"] = self.answer(asked.get("method", ""), asked.get("params") or {})
+                method, given = asked.get("method"), asked.get("params")
+                if not isinstance(method, str):
+                    raise Malformed("a method is a string")
+                if given is not None and not isinstance(given, dict) or isinstance(given, dict) and not isinstance(given.get("arguments") or {}, dict):
+                    raise ValueError("params and arguments are objects")
+                told["result"] = self.answer(method, given or {})
             except json.JSONDecodeError:
                 told["error"] = {"code": -32700, "message": "not JSON"}
-            except LookupError as error:
+            except Malformed as error:
+                told["error"] = {"code": -32600, "message": str(error)}
+            except UnknownMethod as error:
                 told["error"] = {"code": -32601, "message": f"unknown method: {error}"}
-            except ValueError as error:
+            except (ValueError, TypeError, AttributeError) as error:
                 told["error"] = {"code": -32602, "message": str(error)}
+            except Exception as error:  # noqa: BLE001 - one failed request mustn't end the server
+                told["error"] = {"code": -32603, "message": f"{type(error).__name__}: {error}"[:2000]}
             yield json.dumps(told, ensure_ascii=False)
 
 
