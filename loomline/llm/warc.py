@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from loomline.llm.common import lookup
+from loomline.llm.common import bitmap, cut, in_bitmap, lookup, prefix
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
 WRITTEN = ["record_id", "record_type", "target_uri", "date", "refers_to", "payload_digest", "payload_bytes", "payload"]
@@ -278,13 +278,22 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 
 def with_revisits(pages: DataFrame, key: str, payload: str, least: int = 0) -> DataFrame:
-    """pages with _refers: of rows whose payloads are equal and have least bytes, all but the largest key refer to it."""
+    """pages with _refers: of rows whose payloads are equal and have least bytes, all but the largest key refer to it.
+
+    Keys and digests alone tell which payloads stand more than once; a broadcast bitmap of their digests tells which rows may
+    be such, and only those move.
+    """
+    inner = prefix(*pages.columns, "_refers")
+    own, long, top, n = (f"{inner}{x}" for x in ("sum", "long", "top", "n"))
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    marked = pages.withColumn("_sum", F.sha2(body, 256)).withColumn("_long", F.octet_length(body) >= least)
-    total = pages.count()
-    groups = marked.where("_long").groupBy("_sum").agg(F.max(key).alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    joined = lookup(marked, groups, "_sum", "_n", total)
-    return joined.withColumn("_refers", F.when(F.col("_long") & ~F.col("_top").eqNullSafe(F.col(key)), F.col("_top"))).drop("_sum", "_long", "_top", "_n")
+    marked = pages.withColumn(own, F.unhex(F.sha2(body, 256))).withColumn(long, F.octet_length(body) >= least)
+    several = marked.where(F.col(long)).groupBy(own).agg(F.max(key).alias(top), F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+    groups = cut(several, "equal")
+    found, total = bitmap(groups, own), groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    alone = in_bitmap(marked, own, found, "left_anti").withColumn(top, F.lit(None).cast(pages.schema[key].dataType))
+    joined = lookup(in_bitmap(marked, own, found, "left_semi"), groups, own, n, total).drop(n)
+    refers = F.when(F.col(long) & ~F.col(top).eqNullSafe(F.col(key)), F.col(top)).alias("_refers")
+    return alone.unionByName(joined).select(*[c for c in pages.columns if c != "_refers"], refers)
 
 
 def write_pages(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
