@@ -292,3 +292,18 @@ def test_no_surname_ends_the_job(spark):
     df = spark.createDataFrame([(f"Mr {n} came",) for n in names], "text string")
     made = pii.surrogates(df, b"k").select("entities").collect()
     assert len({r.entities[0].surrogate for r in made}) == len(names)
+
+
+def test_stages_keep_the_columns_they_are_given(spark):
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score string, _stay int, _sum string, size long"
+    words = "one two three four five six seven eight nine ten"
+    rows = [(i, f"{words} {i} " + words * 3 if i % 5 else words, "en", f"s{i % 3}" if i % 4 else None, i, "mine", 1, "x", 2) for i in range(30)] + [(None, None, None, None, None, None, None, None, None), (3, words, "en", "s0", 1, "mine", 1, "x", 2)]
+    docs = spark.createDataFrame(rows, columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for given in (docs, docs.limit(0)):
+            got = stage(spark, given, "/root/testdata/sf0.001")
+            assert got.columns == docs.columns, name
+            assert {r.score for r in got.collect()} <= {"mine", None}, name
+    assert corpus_pipeline.encode(spark, docs.limit(0), "").count() == 0
