@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe, exact_dedup, mixing, partenum
-from loomline.llm.common import cut, drop_scratch, scratch_path, scratch_scope, vocabulary
+from loomline.llm.common import cut, drop_scratch, prefix, scratch_path, scratch_scope, vocabulary
 from loomline.llm.queries import THRESHOLD, documents, quality_scores
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. A null text is scored as an empty one; repeated rows share their score and fate; without labels all stay."""
-    return quality_scores(spark, docs, sf_dir, docs.columns).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    aside = {c: prefix(*docs.columns) + c for c in docs.columns if c.lower() == "score"}  # a score of the caller's own
+    scored = quality_scores(spark, docs.withColumnsRenamed(aside), sf_dir, [aside.get(c, c) for c in docs.columns])
+    return scored.where(F.col("score") >= THRESHOLD).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +32,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links by five words and 0.8 connect the one with the smallest id; three words and 0.9 are op5's alone. Documents without words, and those with a null id, link with nothing and stay; rows that share an id stay or go together."""
-    stay = partenum.components(docs, k=5, num=80).where("component_id <=> doc_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").select(*docs.columns)
+    own = prefix(*docs.columns) + "stay"
+    stay = partenum.components(docs, k=5, num=80).where("component_id <=> doc_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
