@@ -38,7 +38,7 @@ from loomline.llm.shingles import mixed
 
 LENGTH, GRAM = 50, 16
 #: Bytes of a lot while there are few lots and when there are many; lots up to which they are small; buckets at most.
-LOT, LARGE_LOT, FEW_LOTS, BUCKETS = 8 << 20, 128 << 20, 4096, 65_536
+LOT, LARGE_LOT, FEW_LOTS, BUCKETS = 6 << 20, 128 << 20, 4096, 65_536
 #: Bytes of a shard's tuples in memory.
 MEMORY = 192 << 20
 BLOCK = 1 << 19
