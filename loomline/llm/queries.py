@@ -208,6 +208,19 @@ f AS (SELECT r.doc_id, r.leaf, g.subroot, (SELECT nodes[1] FROM u WHERE len(node
   list_reduce([r.other] || coalesce(way, []), lambda a, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || a ELSE a || x[2:] END)) AS folded_root
   FROM r JOIN g ON r.lang IS NOT DISTINCT FROM g.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM r.lang AND p.nth = r.nth)
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f""",
+    "op13_repeats": """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS own, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT row, own, unnest(range(0, len(h) // 2 - 49, 500)) AS q, h FROM d),
+e AS (SELECT row, own, q, substr(h, 2 * q + 1, 1098) AS h FROM c),
+w AS (SELECT row, own, q + unnest(range(0, least(500, len(h) // 2 - 49))) AS p, unnest(list_transform(range(0, least(500, len(h) // 2 - 49)), lambda i: substr(h, 2 * i + 1, 100))) AS x FROM e),
+m AS (SELECT x, min(own) AS least FROM w GROUP BY x),
+g AS (SELECT row, p, least < own AS gone FROM w JOIN m USING (x)),
+i AS (SELECT row, p, CASE WHEN p <= lag(p) OVER o + 50 THEN 0 ELSE 1 END AS new FROM g WHERE gone WINDOW o AS (PARTITION BY row ORDER BY p)),
+r AS (SELECT row, p, sum(new) OVER (PARTITION BY row ORDER BY p) AS run FROM i),
+s AS (SELECT row, min(p) AS first, max(p) + 50 AS past FROM r GROUP BY row, run),
+k AS (SELECT row, first, past, coalesce(lag(past) OVER o, 0) AS before FROM s WINDOW o AS (PARTITION BY row ORDER BY first)),
+t AS (SELECT row, sum(past - first)::BIGINT AS n_removed, count(*) AS n_spans, max(past) AS past, string_agg(substr(h, 2 * before + 1, 2 * (first - before)), '' ORDER BY first) AS kept FROM k JOIN d USING (row) GROUP BY row)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(past, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (row)""",
     "op9_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
