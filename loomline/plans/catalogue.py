@@ -279,8 +279,8 @@ def catalog_provider_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(MODELS + " SELECT id, ord, (row_number() OVER (PARTITION BY ord, id ORDER BY k) - 1)::INTEGER AS n, message FROM (SELECT id, ord, 2 AS k, 'duplicate id' AS message FROM (SELECT id, ord + 1000000 AS ord FROM models WHERE ord % 40 = 0) UNION ALL SELECT id, ord, 17, 'invalid updated_at' FROM models WHERE bad_date UNION ALL SELECT id, ord + 1000000, 17, 'invalid updated_at' FROM models WHERE bad_date AND ord % 40 = 0 UNION ALL SELECT id, ord, 3, 'missing display_name' FROM models WHERE ord % 33 = 0)")
 def catalog_validate(spark: SparkSession, sf: str) -> DataFrame:
     own = proxies.models(spark, sf)
-    own = own.unionByName(own.where("ord % 40 = 0").withColumn("ord", F.col("ord") + 1_000_000)).withColumn("display_name", F.when((F.col("ord") % 33 == 0) & (F.col("ord") < 1_000_000), " ").otherwise(F.col("display_name")))
-    return catalog.errors(own)
+    again = own.where("ord % 40 = 0").withColumn("ord", F.col("ord") + 1_000_000)
+    return catalog.errors(own.withColumn("display_name", F.when(F.col("ord") % 33 == 0, " ").otherwise(F.col("display_name"))).unionByName(again))
 
 
 @query(MODELS + " SELECT id, provider IN ('Brand#11', 'Brand#22') AND id IN ('3', '15') AS preferred FROM models WHERE provider IN ('Brand#11', 'Brand#22')")
