@@ -270,7 +270,7 @@ SELECT k, l, (CASE WHEN x < 0 THEN '-' ELSE '' END) || CASE WHEN a < 1000 THEN a
 def compact_numbers(spark: SparkSession, sf: str) -> DataFrame:
     sign = F.when(F.col("l_linenumber") == 3, -1).otherwise(1)
     number = F.col("l_partkey") * F.col("l_partkey") * F.col("l_suppkey") * F.col("l_linenumber") * sign
-    return spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), display.compact(number).alias("short"))
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), display.compact(number, grouped=False).alias("short"))
 
 
 @query("""WITH t AS (SELECT doc_id, doc_id * doc_id * 7 - 50 AS s FROM documents)

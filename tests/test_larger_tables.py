@@ -24,3 +24,8 @@ def differs(spark, folder, name, **tables):
 def test_models_with_keys_beyond_a_million(spark, tmp_path):
     part = "SELECT k::BIGINT AS p_partkey, 'hot bolt' AS p_name, 'Brand#' || (k % 30) AS p_brand, 'SMALL' AS p_type, (k % 50 + 1)::INTEGER AS p_size, 900.0::DOUBLE AS p_retailprice FROM range(999000, 1003000) r(k)"
     assert differs(spark, tmp_path, "catalog_validate", part=part) == (set(), 0)
+
+
+def test_numbers_beyond_ten_thousand_trillions(spark, tmp_path):
+    lineitem = "SELECT k::BIGINT AS l_orderkey, (k * 40)::BIGINT AS l_partkey, (k * 2)::BIGINT AS l_suppkey, (k % 7 + 1)::INTEGER AS l_linenumber FROM range(1, 30000, 7) r(k)"
+    assert differs(spark, tmp_path, "compact_numbers", lineitem=lineitem) == (set(), 0)
