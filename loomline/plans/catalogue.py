@@ -436,7 +436,7 @@ def repo_map_markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def workspace_report(spark: SparkSession, sf: str) -> DataFrame:
-    scan = proxies.scan(spark, sf)
+    scan = workspace.facts(proxies.scan(spark, sf))  # its texts are read and classified once
     told = reports.report(scan, _scored(spark, sf), 150_000, "build-mvp", scanned_at="2026-01-01T00:00:00Z")
     return spark.createDataFrame([(reports.to_json(told), reports.to_markdown(told, scan))], "json string, markdown string")
 
