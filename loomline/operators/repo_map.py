@@ -101,7 +101,13 @@ def trim_order(mapped: DataFrame) -> DataFrame:
     own = mapped if "lists" in mapped.columns else listed(mapped)
     keep = own.where(F.arrays_overlap("lists", F.array(*map(F.lit, KEPT)))).select("path").distinct()
     first = F.array_min(F.transform("lists", lambda x: F.array_position(F.array(*map(F.lit, TAKEN)), x)))
-    return own.where(F.size("lists") > 0).join(keep, "path", "left_anti").withColumn("n", first.cast("int")).where("n > 0")
+    return own.where(F.size("lists") > 0).withColumn("_kept", kept).where("not _kept").drop("_kept").withColumn("n", first.cast("int")).where("n > 0")
+
+
+def display_order(mapped: DataFrame) -> DataFrame:
+    """(path, priority) of important files in the order in which a map shows them. A sort reads its rows twice, so they are written first, without the texts."""
+    own = scratch.table(mapped.where("priority >= 60").select("path", "priority", "ord"), "ranked")
+    return own.orderBy(F.desc("priority"), "ord").select("path", "priority")
 
 
 def counts(mapped: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def map_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_MAP + " SELECT path, priority FROM map WHERE priority >= 60 ORDER BY priority DESC, ord")
 def map_display_order(spark: SparkSession, sf: str) -> DataFrame:
-    return _mapped(spark, sf).where("priority >= 60").orderBy(F.desc("priority"), "ord").select("path", "priority")
+    return repo_map.display_order(_mapped(spark, sf))
 
 
 @query(_MAP + """ SELECT path, CASE WHEN large THEN 1 WHEN generated THEN 2 WHEN risky THEN 3 WHEN bucket = 'excluded' THEN 4 WHEN bucket = 'test' THEN 5 ELSE 6 END::INTEGER AS n FROM map
