@@ -181,7 +181,7 @@ def top10_folders(spark: SparkSession, sf: str) -> DataFrame:
 @query(SCAN + " SELECT count(*) AS requested, count(s.bytes) AS readable, coalesce(sum(s.estimated_tokens), 0)::BIGINT AS tokens, coalesce(sum(s.bytes), 0)::BIGINT AS bytes, coalesce(sum(s.estimated_tokens), 0) <= 100000 AS fits, " + fixed("coalesce(sum(s.estimated_tokens), 0) / 100000.0::DOUBLE * 100", 2) + " AS utilisation FROM (SELECT path FROM scan UNION ALL SELECT 'missing') w LEFT JOIN scan s USING (path)")
 def batch_budget_fit(spark: SparkSession, sf: str) -> DataFrame:
     scan = proxies.scan(spark, sf)
-    wanted = scan.select("path").union(spark.createDataFrame([("missing",)], "path string"))
+    wanted = proxies.files(spark, sf).select("path").union(spark.createDataFrame([("missing",)], "path string"))
     return workspace.batch_fit(scan, wanted, 100_000)
 
 
