@@ -165,8 +165,8 @@ def files_collated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SCAN + " SELECT path, true AS exists, bytes::BIGINT AS bytes, estimated_tokens, NULL::VARCHAR AS error FROM scan UNION ALL SELECT 'src/../missing.ts', false, 0, 0, 'file not found'")
 def batch_files(spark: SparkSession, sf: str) -> DataFrame:
-    scan = proxies.scan(spark, sf)
-    return workspace.batch(scan, scan.select("path").union(spark.createDataFrame([("src/../missing.ts",)], "path string")))
+    scan, paths_ = proxies.scan(spark, sf), proxies.files(spark, sf).select("path")  # a file's path needs no text read and classified
+    return workspace.batch(scan, paths_.union(spark.createDataFrame([("src/../missing.ts",)], "path string")))
 
 
 @query("SELECT count_if(doc_id % 3 = 0 AND doc_id % 2 = 0) AS cache_hits, count_if(NOT (doc_id % 3 = 0 AND doc_id % 2 = 0)) AS cache_misses FROM documents")
