@@ -188,7 +188,8 @@ def batch_budget_fit(spark: SparkSession, sf: str) -> DataFrame:
 @query(SCAN + " SELECT path, ord % 4 <> 1 AND ord % 2 = 0 AS cache_hit, CASE WHEN ord % 4 <> 1 AND ord % 2 = 0 THEN 7 ELSE estimated_tokens END::BIGINT AS estimated_tokens FROM scan")
 def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     scan = proxies.scan(spark, sf).withColumn("mtime", F.col("ord") * 1000)
-    cache = scan.where("ord % 2 = 0").select("path", "bytes", (F.col("ord") * 1000 + F.when(F.col("ord") % 4 == 1, 1).otherwise(0)).alias("mtime"), F.lit(7).cast("long").alias("estimated_tokens"))
+    known = proxies.files(spark, sf).where("ord % 2 = 0").withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))  # a cache has its own tokens, so its files aren't classified
+    cache = known.select("path", "bytes", (F.col("ord") * 1000 + F.when(F.col("ord") % 4 == 1, 1).otherwise(0)).alias("mtime"), F.lit(7).cast("long").alias("estimated_tokens"))
     return workspace.with_cache(scan, cache).select("path", "cache_hit", "estimated_tokens")
 
 

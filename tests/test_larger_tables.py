@@ -29,3 +29,34 @@ def test_models_with_keys_beyond_a_million(spark, tmp_path):
 def test_numbers_beyond_ten_thousand_trillions(spark, tmp_path):
     lineitem = "SELECT k::BIGINT AS l_orderkey, (k * 40)::BIGINT AS l_partkey, (k * 2)::BIGINT AS l_suppkey, (k % 7 + 1)::INTEGER AS l_linenumber FROM range(1, 30000, 7) r(k)"
     assert differs(spark, tmp_path, "compact_numbers", lineitem=lineitem) == (set(), 0)
+
+
+def classifications(df, once=None):
+    """How often a plan counts the words of texts, which each classification of a scan does as often."""
+    n = df._jdf.queryExecution().optimizedPlan().toString().count("array_remove")
+    return n if once is None else n / once
+
+
+def test_words_without_a_match_for_each(spark):
+    """By cutting at blanks: a pattern's matches cost most of a scan."""
+    from pyspark.sql import functions as F
+
+    from loomline.functions import tokens
+
+    blanks = " \t\n\x0b\x0c\r\xa0       　﻿"
+    texts = ["", " ", "\n", "a", " a", "a ", " a  b\n\nc ", "a\tb", "é ü", "漢字　漢字", "a​b", "“a” – b—c", "x" * 5000, None] + [f"a{b}b {b}{b}c{b}" for b in blanks] + [f"é{b}b" for b in blanks]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("t", tokens.estimate(F.col("t")).alias("n"))
+    assert [r.n for r in df.collect()] == [tokens.estimate_text(t or "") for t in texts]
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scans_are_classified_once(spark, monkeypatch):
+    from loomline.operators import reports
+
+    made = {q: catalogue.QUERIES[q](spark, "/root/testdata/sf0.001") for q in ("language_breakdown", "batch_files", "batch_budget_fit", "cache_hits", "map_trim_order", "map_display_order")}
+    once = classifications(made["language_breakdown"])
+    assert once and {q: classifications(df, once) for q, df in made.items()} == dict.fromkeys(made, 1) | {"map_display_order": 0}  # a table when it is sorted
+    given = []
+    monkeypatch.setattr(reports, "to_markdown", lambda told, scan: given.append(scan) or "")
+    catalogue.QUERIES["workspace_report"](spark, "/root/testdata/sf0.001")
+    assert classifications(given[0]) == 0
