@@ -99,7 +99,7 @@ def listed(mapped: DataFrame) -> DataFrame:
 def trim_order(mapped: DataFrame) -> DataFrame:
     """Files that a budget may take, with n, the first list that has them: all that stand in a list but those in KEPT."""
     own = mapped if "lists" in mapped.columns else listed(mapped)
-    keep = own.where(F.arrays_overlap("lists", F.array(*map(F.lit, KEPT)))).select("path").distinct()
+    kept = F.max(F.arrays_overlap("lists", F.array(*map(F.lit, KEPT)))).over(Window.partitionBy("path"))  # rows of a path stay together; a scan is read once
     first = F.array_min(F.transform("lists", lambda x: F.array_position(F.array(*map(F.lit, TAKEN)), x)))
     return own.where(F.size("lists") > 0).withColumn("_kept", kept).where("not _kept").drop("_kept").withColumn("n", first.cast("int")).where("n > 0")
 
