@@ -8,10 +8,11 @@ import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions.batches import slices
 from loomline.functions.numbers import round_half_up, to_fixed, utf16_length
 
 #: Tokens of a file by its extension, as a factor.
@@ -86,10 +87,11 @@ def with_provider(text: Column, provider: Callable[[str], int | None]) -> Column
             return None
         return n if isinstance(n, int) and not isinstance(n, bool) and 0 <= n < 1 << 53 else None
 
-    @F.pandas_udf("long")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([safe(x) for x in batch], dtype="Int64")
+            parts = [pa.array([safe(x) for x in part], pa.int64()) for part in slices(batch)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.int64())
 
     return F.coalesce(run(text), estimate(text))
 

@@ -43,8 +43,8 @@ def test_words_without_a_match_for_each(spark):
 
     from loomline.functions import tokens
 
-    blanks = " \t\n\x0b\x0c\r\xa0       　﻿"
-    texts = ["", " ", "\n", "a", " a", "a ", " a  b\n\nc ", "a\tb", "é ü", "漢字　漢字", "a​b", "“a” – b—c", "x" * 5000, None] + [f"a{b}b {b}{b}c{b}" for b in blanks] + [f"é{b}b" for b in blanks]
+    blanks = " \t\n\x0b\x0c\r\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    texts = ["", " ", "\n", "a", " a", "a ", " a  b\n\nc ", "a\tb", "\xe9 \xfc", "\u6f22\u5b57\u3000\u6f22", "a\u200bb", "\u201ca\u201d \u2013 b\u2014c", "x" * 5000, None] + [f"a{b}b {b}{b}c{b}" for b in blanks] + [f"é{b}b" for b in blanks]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("t", tokens.estimate(F.col("t")).alias("n"))
     assert [r.n for r in df.collect()] == [tokens.estimate_text(t or "") for t in texts]
     assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
@@ -60,3 +60,19 @@ def test_scans_are_classified_once(spark, monkeypatch):
     monkeypatch.setattr(reports, "to_markdown", lambda told, scan: given.append(scan) or "")
     catalogue.QUERIES["workspace_report"](spark, "/root/testdata/sf0.001")
     assert classifications(given[0]) == 0
+
+
+def test_python_sees_few_rows_at_once(spark, monkeypatch):
+    """Of a batch of thousands, so that a worker's memory doesn't follow the batch."""
+    import pyarrow as pa
+
+    from loomline.functions.batches import ROWS, slices
+
+    parts = list(slices(pa.array(["a", None] * 1000)))
+    assert max(map(len, parts)) == ROWS and sum(parts, []) == ["a", None] * 1000
+    from loomline.operators import symbols
+
+    odd = [("a.ts", "class A { m() {} }\nimport './b'"), ("b.ts", None), ("c.ts", "")] * 400
+    got = symbols.parsed_scripts(spark.createDataFrame(odd, "path string, text string").coalesce(1), [".ts"]).collect()
+    assert [r.path for r in got] == [p for p, _ in odd]
+    assert [(s.name, s.kind, s.line_start) for s in got[0].symbols] == [("A", "class", 1), ("A.m", "method", 1)] and [i.source for i in got[-3].imports] == ["./b"] and got[1].symbols == [] and got[1].error is None
