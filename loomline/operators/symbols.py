@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import paths
+from loomline.functions.batches import slices
 from loomline.functions.script import Script
 
 #: Patterns of declarations.
@@ -86,10 +87,19 @@ def parsed_scripts(df: DataFrame, extensions: list[str]) -> DataFrame:
     """(path, symbols, imports, error) of script files: what their tokens tell, or why a file couldn't be read as a script."""
     told = "struct<symbols:array<struct<name:string,kind:string,line_start:int,exported:boolean,is_async:boolean,priority:int>>,imports:array<struct<source:string,kind:string>>,error:string>"
 
-    @F.pandas_udf(told)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    symbol = pa.struct([("name", pa.string()), ("kind", pa.string()), ("line_start", pa.int32()), ("exported", pa.bool_()), ("is_async", pa.bool_()), ("priority", pa.int32())])
+    made = pa.struct([("symbols", pa.list_(symbol)), ("imports", pa.list_(pa.struct([("source", pa.string()), ("kind", pa.string())]))), ("error", pa.string())])
+    named = lambda kind, rows: None if rows is None else [dict(zip(kind.value_type.names, r)) for r in rows]
+
+    @F.arrow_udf(told)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        lists = [made.field(i).type for i in (0, 1)]
         for texts, ends in batches:
-            yield pd.DataFrame([parse(t or "", e) for t, e in zip(texts, ends)], columns=["symbols", "imports", "error"])
+            parts = []
+            for some, kinds in zip(slices(texts), slices(ends)):
+                rows = [parse(t or "", e) for t, e in zip(some, kinds)]
+                parts.append(pa.array([{"symbols": named(lists[0], s), "imports": named(lists[1], i), "error": e} for s, i, e in rows], made))
+            yield pa.concat_arrays(parts) if parts else pa.array([], made)
 
     ext = paths.extension(F.col("path"))
     return df.where(ext.isin(extensions)).select("path", run("text", ext).alias("_s")).select("path", "_s.*")
