@@ -40,10 +40,15 @@ def estimate(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), by_length, by_words)).cast("long")
 
 
+def weight(text: str) -> tuple[int, int]:
+    """(code units, words) of one text on the driver."""
+    return len(text.encode("utf-16-le")) // 2, len(re.findall(r"[^\s\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+", text))
+
+
 def estimate_text(text: str) -> int:
     """estimate() of one text on the driver."""
-    found = len(re.findall(r"[^\s\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+", text))
-    return max(1, math.ceil(len(text.encode("utf-16-le")) / 8), math.ceil(found * 1.3)) if text else 0
+    units, found = weight(text)
+    return max(1, math.ceil(units / 4), math.ceil(found * 1.3)) if text else 0
 
 
 def heuristic(text: Column, extension: Column | None = None) -> Column:

@@ -7,15 +7,18 @@ to the driver when it is made: the files that a list names, and as many symbols
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import files, paths
 from loomline.functions.once import with_once
-from loomline.functions.tokens import estimate_text
+from loomline.functions.tokens import weight
 from loomline.operators import symbols as symbols_
 from loomline.operators import workspace
 from loomline.operators.text import code, plain
@@ -210,9 +213,54 @@ def create(
 
 def settled(made: RepoMap) -> RepoMap:
     """The map with the tokens of its Markdown, which names them."""
+    return replace(made, estimated_tokens=repeated(*weight(markdown(replace(made, estimated_tokens=0))), made.estimated_tokens))
+
+
+def repeated(units: int, words: int, first: int) -> int:
+    """The tokens of a Markdown that names none yet, once it names its own: from those that it named first, twice."""
     for _ in range(2):
-        made = replace(made, estimated_tokens=estimate_text(markdown(made)))
-    return made
+        first = max(1, math.ceil((units + len(f"{first:,}") - 1) / 4), math.ceil(words * 1.3))
+    return first
+
+
+class Sizes:
+    """The tokens of a map without the first n files of an order, for any n, without its Markdown being made again.
+
+    Each file's lines are weighed once and summed along the order; what else a map has is made for each n, without those lines.
+    """
+
+    def __init__(self, made: RepoMap, order: list[str]) -> None:
+        self.made, self.at = made, {}
+        for n, path in enumerate(order):
+            self.at.setdefault(path, n)
+        found = {}
+        for f in made.files:
+            place = self.at.get(f["path"], math.inf)
+            for name in f["lists"]:
+                found.setdefault(name, []).append((place, *(weight(line(name, f)) if name in LINES else (0, 0))))
+        self.lists = {}
+        for name, own in found.items():
+            own.sort()
+            sums = [(0, 0)]
+            for _, units, words in own:
+                sums.append((sums[-1][0] + units, sums[-1][1] + words))
+            self.lists[name] = ([place for place, _, _ in own], sums)
+
+    def left(self, name: str, n: int) -> tuple[int, int, int]:
+        """(files, code units, words) of a list when n files are gone."""
+        places, sums = self.lists.get(name, ([], [(0, 0)]))
+        gone = bisect_left(places, n)
+        return len(places) - gone, sums[-1][0] - sums[gone][0], sums[-1][1] - sums[gone][1]
+
+    def __call__(self, n: int) -> int:
+        stay = lambda rows: (r for r in rows if self.at.get(r["path"], math.inf) >= n)
+        m = self.made
+        rest = replace(m, files=[], estimated_tokens=0, include=list(islice(stay(m.include), CAPS["include"])), exclude=list(islice(stay(m.exclude), CAPS["exclude"])), symbols=list(stay(m.symbols)), imports=list(stay(m.imports)), routes=list(stay(m.routes)))
+        units, words = weight(markdown(rest, lambda name: self.left(name, n)[0]))
+        for name in LINES:
+            count, more, of_them = self.left(name, n)
+            units, words = units + more + count, words + of_them  # a line feed for each line
+        return repeated(units, words, m.estimated_tokens)
 
 
 def within_budget(made: RepoMap, order: list[str]) -> RepoMap:
@@ -228,7 +276,7 @@ def within_budget(made: RepoMap, order: list[str]) -> RepoMap:
     if whole.estimated_tokens <= made.budget:
         return whole
     noted = replace(made, notes=[*made.notes, f"Budget of {made.budget:,} tokens exceeded; lower-priority sections were trimmed."])
-    size = lambda n: settled(noted.without(set(order[:n]))).estimated_tokens
+    size = Sizes(noted, order)
     low, high = 1, len(order)
     while low < high:
         mid = (low + high) // 2
@@ -258,22 +306,37 @@ GUIDELINES = [
 PREFIX = "> You are working in this repository. Start by reading this repo map. Do not read large files unless needed. Prefer targeted file reads. Use patch-only output for code changes. Ask before reading risky or generated files."
 
 
-def markdown(m: RepoMap) -> str:
-    """The map as Markdown."""
+#: The lists whose files have a line each in a map.
+LINES = ["important", *[name for _, name, _, _ in SECTIONS]]
+
+
+def line(name: str, f: dict) -> str:
+    """A file's line under a list."""
+    if name == "important":
+        return f"| {code(f['path'])} | {plain(f['reason'])} | {f['estimated_tokens']:,} | {f['priority']} |"
+    lang = plain(f" ({f['map_language']})") if name == "entry" and f["map_language"] else ""
+    return f"- {code(f['path'])}{lang} — ~{f['estimated_tokens']:,} tokens"
+
+
+def markdown(m: RepoMap, held: Callable[[str], int] | None = None) -> str:
+    """The map as Markdown; held tells how many files lists have whose lines are left out."""
+    if held is None:
+        of = {name: m.of(name) for name in {*LINES, "excluded"}}
+        held = lambda name: len(of[name])
+    else:
+        of = dict.fromkeys(LINES, [])
     sized = lambda f: f"{code(f['path'])} — ~{f['estimated_tokens']:,} tokens"
     grid = lambda head, rules, rows: [f"| {' | '.join(head)} |", "|" + "".join(" ---:|" if r == "r" else " --- |" for r in rules), *("| " + " | ".join(map(str, r)) + " |" for r in rows), ""]
     out = ["# Repo Map", "", "## Summary", ""]
-    facts = {"Workspace Root": code(m.root), "Generated": m.generated_at, "Token Budget": f"{m.budget:,}", "Estimated Repo Map Tokens": f"{m.estimated_tokens:,}", "Workspace Total Tokens": f"{m.workspace_tokens:,}", "Included Files": len(m.of("important")), "Excluded Files": len(m.of("excluded"))}
+    facts = {"Workspace Root": code(m.root), "Generated": m.generated_at, "Token Budget": f"{m.budget:,}", "Estimated Repo Map Tokens": f"{m.estimated_tokens:,}", "Workspace Total Tokens": f"{m.workspace_tokens:,}", "Included Files": held("important"), "Excluded Files": held("excluded")}
     out += [f"- **{k}:** {v}" for k, v in facts.items()] + ["", plain("\n".join(m.summary)), "", "## Project Shape", ""]
     for title, head, rows, shown in (("Top-Level Folders", "Folder", m.folders, code), ("Language Breakdown", "Language", m.languages, plain)):
         if rows:
             out += [f"### {title}", "", *grid([head, "Files", "Estimated Tokens"], "lrr", [[shown(a), n, f"{t:,}"] for a, n, t in rows])]
-    important = sorted(m.of("important"), key=lambda f: -f["priority"])
-    out += ["## Important Files", ""] + (grid(["Path", "Reason", "Tokens", "Priority"], "llrr", [[code(f["path"]), plain(f["reason"]), f"{f['estimated_tokens']:,}", f["priority"]] for f in important]) if important else ["No important files identified.", ""])
+    important = sorted(of["important"], key=lambda f: -f["priority"])
+    out += ["## Important Files", ""] + ([*grid(["Path", "Reason", "Tokens", "Priority"], "llrr", [])[:-1], *[line("important", f) for f in important], ""] if held("important") else ["No important files identified.", ""])
     for title, name, none, lead in SECTIONS:
-        rows = m.of(name)
-        lang = lambda f: plain(f" ({f['map_language']})") if name == "entry" and f["map_language"] else ""  # noqa: B023, E731
-        out += [f"## {title}", ""] + ([lead, ""] * bool(lead) + [f"- {code(f['path'])}{lang(f)} — ~{f['estimated_tokens']:,} tokens" for f in rows] if rows else [none]) + [""]
+        out += [f"## {title}", ""] + ([lead, ""] * bool(lead) + [line(name, f) for f in of[name]] if held(name) else [none]) + [""]
     if m.symbols:
         shown = [[code(s["name"]), plain(s["kind"]), code(s["path"]), "yes" if s["exported"] else "", s["priority"]] for s in m.symbols[: CAPS["symbols"]]]
         rows = grid(["Symbol", "Kind", "File", "Exported", "Priority"], "llllr", shown)
