@@ -200,10 +200,12 @@ def create(
     )
     if files is not None:
         important = mapped.where("priority >= 60")
-        texts = files.join(symbols_.eligible(mapped, important, parse_limit).select("path"), "path", "left_semi")
+        marks = important.select("path").distinct().join(symbols_.eligible(mapped, important, parse_limit).select("path", F.lit(True).alias("_parsed")).distinct(), "path", "left")
+        shown = scratch.table(files.select("path", "text").join(marks, "path"), "texts")  # each language's search reads them, so they are found once
+        texts = shown.where("_parsed").drop("_parsed")
         made.symbols = [r.asDict() for r in symbols_.rank_symbols(symbols_.all_symbols(texts), goal or "build-mvp", max_symbols).collect()]
         made.imports = [r.asDict() for r in symbols_.resolve(symbols_.all_imports(texts), mapped).select("path", "source", "kind", "resolved").orderBy("path", "source").collect()]
-        routes = symbols_.call_routes(files.join(important.select("path"), "path", "left_semi")).select("path", "route", "framework", "reason")
+        routes = symbols_.call_routes(shown).select("path", "route", "framework", "reason")
         if manifests is not None:
             placed = symbols_.file_routes(important.select("path"), manifests)
             routes = placed.select("path", "route", F.lit("nextjs").alias("framework"), F.concat(F.lit("Next.js "), "router", F.lit(" route")).alias("reason")).unionByName(routes)
