@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.batches import slices
+from loomline.functions.batches import ROWS
 from loomline.functions.numbers import round_half_up, to_fixed, utf16_length
 
 #: Tokens of a file by its extension, as a factor.
@@ -92,10 +92,12 @@ def with_provider(text: Column, provider: Callable[[str], int | None]) -> Column
             return None
         return n if isinstance(n, int) and not isinstance(n, bool) and 0 <= n < 1 << 53 else None
 
+    rows = ROWS  # workers needn't have this package for a user's function
+
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [pa.array([safe(x) for x in part], pa.int64()) for part in slices(batch)]
+            parts = [pa.array([safe(x) for x in batch.slice(at, rows).to_pylist()], pa.int64()) for at in range(0, len(batch), rows)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.int64())
 
     return F.coalesce(run(text), estimate(text))
