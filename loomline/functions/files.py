@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +41,9 @@ SECRET_TEXT = [
     r"""(?i:(?:password|passwd|pwd)\s*[:=]\s*['"][^'"]{8,}['"])""",
     r"""(?i:(?:secret)\s*[:=]\s*['"][A-Za-z0-9_\-]{16,}['"])""",
 ]
-#: What a match of SECRET_TEXT holds, in lower case or as it is.
-ANCHORS, EXACT_ANCHORS = ["api_key", "api-key", "apikey", "access_token", "access-token", "accesstoken", "password", "passwd", "pwd", "secret"], ["ghp_", "ghs_", "sk-", "AIza", "PRIVATE KEY-----"]
+#: What a match of SECRET_TEXT holds: in lower case, by a part that several share and that is looked for first, or as it is.
+ANCHORS = {"api": ["api_key", "api-key", "apikey"], "access": ["access_token", "access-token", "accesstoken"], "passw": ["password", "passwd"], "pwd": ["pwd"], "secret": ["secret"]}
+EXACT_ANCHORS = ["ghp_", "ghs_", "sk-", "AIza", "PRIVATE KEY-----"]
 BUILD_FOLDERS = ["dist", "build", "out", ".next", ".nuxt", "coverage"]
 #: Patterns of paths by which repository maps rank files, first match first.
 SKIPPED = r"^(node_modules|dist|build|out|coverage|\.git|\.next)/"
@@ -78,11 +82,13 @@ def secret_name(path: Column) -> Column:
 
 
 def secret_text(text: Column) -> Column:
-    """Patterns run only over texts that have a word without which none of them matches."""
-    low, may = F.lower(text), F.lit(False)
-    for c, some in ((low, ANCHORS), (text, EXACT_ANCHORS)):
-        for anchor in some:
-            may = may | F.contains(c, F.lit(anchor))
+    """Patterns run only over texts that have a word without which none of them matches.
+
+    The lower-cased text is a lambda's argument, as generators and filters would make it anew for each word that is looked for.
+    """
+    has = lambda c, some: reduce(operator.or_, [F.contains(c, F.lit(anchor)) for anchor in some])
+    any_of = lambda low: reduce(operator.or_, [has(low, [part]) & has(low, words) for part, words in ANCHORS.items()])
+    may = F.exists(F.array(F.lower(text)), any_of) | has(text, EXACT_ANCHORS)
     return F.coalesce(F.when(may, text.rlike("|".join(SECRET_TEXT))), F.lit(False))
 
 

@@ -76,3 +76,24 @@ def test_python_sees_few_rows_at_once(spark, monkeypatch):
     got = symbols.parsed_scripts(spark.createDataFrame(odd, "path string, text string").coalesce(1), [".ts"]).collect()
     assert [r.path for r in got] == [p for p, _ in odd]
     assert [(s.name, s.kind, s.line_start) for s in got[0].symbols] == [("A", "class", 1), ("A.m", "method", 1)] and [i.source for i in got[-3].imports] == ["./b"] and got[1].symbols == [] and got[1].error is None
+
+
+def test_a_text_is_lowered_once(spark):
+    """Neither a generator nor a filter shares what several of its words' searches need."""
+    for q in ("language_breakdown", "secret_content"):
+        plan = catalogue.QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(text") + plan.count("lower(replace(text") == 1, q
+
+
+def test_secrets_are_found_by_any_anchor(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from loomline.functions import files
+
+    long = "Ab1_" * 12
+    texts = [f'x {k}{sign}"{long}"' for k in ("API_key", "api-KEY", "apikey", "Access_Token", "access-token", "accesstoken", "PassWord", "passwd", "PWD", "secret", "api", "access", "passw", "ghp") for sign in ("=", " : ", "")]
+    texts += [f"ghp_{'a1' * 18}", f"GHP_{'a1' * 18}", f"ghs_{'a1' * 18}", f"sk-live_{'a' * 20}", f"AIza{'0' * 35}", "-----BEGIN EC PRIVATE KEY-----", "", "api access passw", None]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", files.secret_text(F.col("text")).alias("s")).orderBy("i").collect()]
+    assert got == [any(re.search(p, t or "") for p in files.SECRET_TEXT) for t in texts] and any(got) and not all(got)
