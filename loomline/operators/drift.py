@@ -12,6 +12,9 @@ from loomline.functions import paths
 from loomline.functions.numbers import percent_change
 from loomline.sources import scratch
 
+#: Columns of a table of versions of files: whether the older and the newer scan hold a row.
+SIDES = ["in_base", "in_now"]
+
 
 def last_of_each(scan: DataFrame) -> DataFrame:
     """One row per path, the last by ord, with the tokens of all rows of the path. Of a saved scan, whose paths are normal, rows stay where they lie."""
@@ -37,10 +40,24 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(name)
 
 
-def file_drift(base: DataFrame, now: DataFrame) -> DataFrame:
-    a = last_of_each(base).select("path", F.col("estimated_tokens").alias("base_tokens"), F.col("risk_flags").alias("base_flags"), F.col("all_tokens").alias("base_all"))
-    b = last_of_each(now).select("path", F.col("estimated_tokens").alias("current_tokens"), F.col("risk_flags").alias("current_flags"), F.col("all_tokens").alias("current_all"))
-    both = a.join(b, "path", "full_outer")
+def last_of_versions(scan: DataFrame) -> DataFrame:
+    """last_of_each() of both scans that versions of files tell of, in one grouping."""
+    held = scan.where(F.col(SIDES[0]) | F.col(SIDES[1])).withColumn("path", paths.normal(F.col("path")))
+    last = lambda side: F.max_by(F.struct("estimated_tokens", "risk_flags"), F.when(F.col(side), F.col("ord")))
+    total = lambda side: F.sum(F.when(F.col(side), F.col("estimated_tokens")))
+    names = list(zip(SIDES, ("base", "current")))
+    per = held.groupBy("path").agg(*[last(side).alias(f"_{n}") for side, n in names], *[total(side).alias(f"{n}_all") for side, n in names])
+    return per.select("path", *[F.col(f"_{n}.{c}").alias(f"{n}_{short}") for _, n in names for c, short in (("estimated_tokens", "tokens"), ("risk_flags", "flags"))], *[f"{n}_all" for _, n in names])
+
+
+def file_drift(base: DataFrame, now: DataFrame | None = None) -> DataFrame:
+    """What became of each path, from two scans, or from one table of versions of files, in which SIDES tell the scans that hold a row."""
+    if now is None:
+        both = last_of_versions(base)
+    else:
+        a = last_of_each(base).select("path", F.col("estimated_tokens").alias("base_tokens"), F.col("risk_flags").alias("base_flags"), F.col("all_tokens").alias("base_all"))
+        b = last_of_each(now).select("path", F.col("estimated_tokens").alias("current_tokens"), F.col("risk_flags").alias("current_flags"), F.col("all_tokens").alias("current_all"))
+        both = a.join(b, "path", "full_outer")
     old, new = F.coalesce("base_tokens", F.lit(0)), F.coalesce("current_tokens", F.lit(0))
     was, has = F.coalesce("base_flags", F.array().cast("array<string>")), F.coalesce("current_flags", F.array().cast("array<string>"))
     added, removed = F.filter(has, lambda f: ~F.array_contains(was, f)), F.filter(was, lambda f: ~F.array_contains(has, f))
@@ -109,8 +126,8 @@ class Drift:
         return not self.violations
 
 
-def analyze(base: DataFrame, now: DataFrame, **policy: object) -> Drift:
-    """All of a drift in one call, from two scans or saved scans, under violations()' policy; both are read once."""
+def analyze(base: DataFrame, now: DataFrame | None = None, **policy: object) -> Drift:
+    """All of a drift in one call, from two scans, saved scans or versions of files, under violations()' policy; they are read once."""
     changes = scratch.table(file_drift(base, now), "drift")
     total = summary(changes)
     broken = violations(total, **policy).collect() if any(v not in (None, False) for v in policy.values()) else []

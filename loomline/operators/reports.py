@@ -161,8 +161,8 @@ def recommendation(title: str, p: dict) -> list[str]:
     return out
 
 
-def drift_markdown(base: DataFrame, now: DataFrame, at: str, **policy: object) -> str:
-    """Markdown of the drift between two scans under drift.violations' policy."""
+def drift_markdown(base: DataFrame, now: DataFrame | None, at: str, **policy: object) -> str:
+    """Markdown of the drift between two scans, or in one table of versions of files, under drift.violations' policy."""
     found = drift.analyze(base, now, **policy)
     total, broken = found.summary, found.violations
     signed = lambda n: f"{n:+,}" if n else "0"

@@ -205,7 +205,7 @@ def gitignore_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(BOTH + " SELECT path, status, base_tokens, current_tokens, delta, percent, array_to_string(added_flags, ',') AS added_flags, array_to_string(removed_flags, ',') AS removed_flags FROM drift")
 def drift_files(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.file_drift(*proxies.changed(spark, sf)).withColumn("added_flags", joined("added_flags")).withColumn("removed_flags", joined("removed_flags")).drop("base_all", "current_all")
+    return drift.file_drift(proxies.changed(spark, sf)).withColumn("added_flags", joined("added_flags")).withColumn("removed_flags", joined("removed_flags")).drop("base_all", "current_all")
 
 
 _FOLDERS = ", per AS (SELECT folder, sum(base_tokens)::BIGINT AS base_tokens, sum(current_tokens)::BIGINT AS current_tokens, sum(CASE status WHEN 'added' THEN 1 WHEN 'removed' THEN -1 ELSE 0 END)::BIGINT AS net_files FROM drift GROUP BY folder), dirs AS (SELECT *, current_tokens - base_tokens AS delta, " + change("base_tokens", "current_tokens") + " AS percent FROM per)"
@@ -213,7 +213,7 @@ _FOLDERS = ", per AS (SELECT folder, sum(base_tokens)::BIGINT AS base_tokens, su
 
 @query(BOTH + _FOLDERS + " SELECT * FROM dirs")
 def drift_directories(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.folder_drift(drift.file_drift(*proxies.changed(spark, sf)))
+    return drift.folder_drift(drift.file_drift(proxies.changed(spark, sf)))
 
 
 @query(BOTH + _FOLDERS + " SELECT *, row_number() OVER (ORDER BY abs(delta) DESC, folder)::INTEGER AS rank FROM dirs QUALIFY rank <= 15")
@@ -226,17 +226,17 @@ _SUMMARY = ", counts AS (SELECT count_if(status = 'added') AS added, count_if(st
 
 @query(BOTH + _SUMMARY + " SELECT * FROM summ")
 def drift_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.summary(drift.file_drift(*proxies.changed(spark, sf)))
+    return drift.summary(drift.file_drift(proxies.changed(spark, sf)))
 
 
 @query(BOTH + " SELECT path, delta FROM drift WHERE delta > 0 ORDER BY delta DESC, path LIMIT 10")
 def drift_top_growing(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.top_growing(drift.file_drift(*proxies.changed(spark, sf))).select("path", "delta")
+    return drift.top_growing(drift.file_drift(proxies.changed(spark, sf))).select("path", "delta")
 
 
 @query(BOTH + " SELECT path, delta FROM drift WHERE delta < 0 ORDER BY delta, path LIMIT 10")
 def drift_top_shrinking(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.top_shrinking(drift.file_drift(*proxies.changed(spark, sf))).select("path", "delta")
+    return drift.top_shrinking(drift.file_drift(proxies.changed(spark, sf))).select("path", "delta")
 
 
 @query(BOTH + _SUMMARY + " SELECT * FROM (SELECT 'token-increase' AS rule, net::DOUBLE AS value, -1000000000.0::DOUBLE AS bound FROM summ UNION ALL SELECT 'percent', percent, 5.0 FROM summ UNION ALL SELECT 'new-risk-flags', new_flags::DOUBLE, 0.0 FROM summ UNION ALL SELECT 'file-count', (added - removed)::DOUBLE, 3.0 FROM summ) WHERE value > bound")
@@ -444,8 +444,7 @@ def workspace_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def drift_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    base, now = proxies.changed(spark, sf)
-    return spark.createDataFrame([(reports.drift_markdown(base, now, "2026-01-01T00:00:00Z", max_percent=5.0, new_flags=True),)], "markdown string")
+    return spark.createDataFrame([(reports.drift_markdown(proxies.changed(spark, sf), None, "2026-01-01T00:00:00Z", max_percent=5.0, new_flags=True),)], "markdown string")
 
 
 # Symbols, imports, routes

@@ -78,6 +78,9 @@ def test_python_sees_few_rows_at_once(spark, monkeypatch):
     assert [(s.name, s.kind, s.line_start) for s in got[0].symbols] == [("A", "class", 1), ("A.m", "method", 1)] and [i.source for i in got[-3].imports] == ["./b"] and got[1].symbols == [] and got[1].error is None
 
 
+DRIFTS = ("drift_files", "drift_directories", "drift_largest_directories", "drift_summary", "drift_violations", "drift_top_growing", "drift_top_shrinking")
+
+
 def test_a_text_is_lowered_once(spark):
     """Neither a generator nor a filter shares what several of its words' searches need."""
     for q in ("language_breakdown", "secret_content"):
@@ -97,3 +100,33 @@ def test_secrets_are_found_by_any_anchor(spark):
     texts += [f"ghp_{'a1' * 18}", f"GHP_{'a1' * 18}", f"ghs_{'a1' * 18}", f"sk-live_{'a' * 20}", f"AIza{'0' * 35}", "-----BEGIN EC PRIVATE KEY-----", "", "api access passw", None]
     got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", files.secret_text(F.col("text")).alias("s")).orderBy("i").collect()]
     assert got == [any(re.search(p, t or "") for p in files.SECRET_TEXT) for t in texts] and any(got) and not all(got)
+
+
+def test_drift_classifies_a_text_of_both_scans_once(spark, monkeypatch):
+    from loomline.operators import drift
+
+    sf = "/root/testdata/sf0.001"
+    once = classifications(catalogue.QUERIES["language_breakdown"](spark, sf))
+    made = {q: catalogue.QUERIES[q](spark, sf) for q in DRIFTS}
+    assert {q: classifications(df, once) for q, df in made.items()} == dict.fromkeys(DRIFTS, 1)
+    assert {q: df._jdf.queryExecution().optimizedPlan().toString().count("Relation") for q, df in made.items()} == dict.fromkeys(DRIFTS, 1)
+    kept = []
+    monkeypatch.setattr(drift.scratch, "table", lambda df, name, put=drift.scratch.table: kept.append(df) or put(df, name))
+    catalogue.QUERIES["drift_markdown"](spark, sf)
+    assert [classifications(df, once) for df in kept] == [1]
+
+
+def test_versions_drift_as_their_scans_do(spark):
+    from pyspark.sql import functions as F
+
+    from loomline.operators import drift
+
+    rows = [
+        (0, "a", 10, [], True, True), (1, "b", 5, ["x"], True, False), (1, "b", 7, ["x", "y"], False, True), (2, "a", 20, ["z", "z"], True, False), (3, "gone", 1, [], True, False), (4, "w\\new", 7, ["x"], False, True),
+        (5, "w/new", 9, None, False, True), (6, "none", 3, [], False, False), (7, "zero", 0, [], True, True), (8, "c", None, None, True, True), (9, "d", 4, ["x"], None, True), (None, "e", 4, [], True, True),
+    ]
+    both = spark.createDataFrame(rows, "ord long, path string, estimated_tokens long, risk_flags array<string>, in_base boolean, in_now boolean")
+    key = lambda r: r.path
+    want = sorted(drift.file_drift(both.where("in_base"), both.where("in_now")).collect(), key=key)
+    assert sorted(drift.file_drift(both).collect(), key=key) == want and len(want) == 8
+    assert drift.summary(drift.file_drift(both.where(F.lit(False)))).first().asDict() == dict.fromkeys(("added", "removed", "modified", "unchanged", "new_flags", "base_tokens", "current_tokens", "net"), 0) | {"percent": 0.0}
